@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import topk
+from . import langid, topk, toxicity
 
 
 def queries():
-    return {"op9_topk": topk.op9_topk}
+    return {"op2_language": langid.op2_language, "op7_toxicity": toxicity.op7_toxicity, "op9_topk": topk.op9_topk}
 
 
 def oracle_sql():
