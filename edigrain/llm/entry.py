@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, topk, toxicity
+from . import langid, secrets, tokens, topk, toxicity
 
 
 def queries():
-    return {"op2_language": langid.op2_language, "op7_toxicity": toxicity.op7_toxicity, "op9_topk": topk.op9_topk}
+    return {
+        "op2_language": langid.op2_language,
+        "op5_secrets": secrets.op5_secrets,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_tokens": tokens.op8_tokens,
+        "op9_topk": topk.op9_topk,
+    }
 
 
 def oracle_sql():
