@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import langid, secrets, tokens, topk, toxicity
+from . import decontaminate, langid, mixing, secrets, tokens, topk, toxicity
 
 
 def queries():
     return {
         "op2_language": langid.op2_language,
+        "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_tokens": tokens.op8_tokens,
         "op9_topk": topk.op9_topk,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql():
-    return {"op9_topk": topk.SQL}
+    return {"op4_mixing": mixing.SQL, "op9_topk": topk.SQL}
