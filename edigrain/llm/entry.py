@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, secrets, tokens, topk, toxicity
+from . import decontaminate, langid, mixing, ngram_join, secrets, tokens, topk, toxicity
 
 
 def queries():
     return {
         "op2_language": langid.op2_language,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
         "op7_toxicity": toxicity.op7_toxicity,
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_mixing": mixing.SQL, "op9_topk": topk.SQL}
+    return {"op3_ngram_join": ngram_join.SQL, "op4_mixing": mixing.SQL, "op9_topk": topk.SQL}
