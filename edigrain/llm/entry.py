@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, ngram_join, secrets, tokens, topk, toxicity
+from . import decontaminate, langid, mixing, ngram_join, secrets, substring_dedup, tokens, topk, toxicity
 
 
 def queries():
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_language": langid.op2_language,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_mixing": mixing.op4_mixing,
