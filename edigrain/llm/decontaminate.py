@@ -83,8 +83,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     own = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
     own = own.withColumn("n_words", F.size("item_words")).withColumn("k", F.least(F.lit(k), "n_words"))
     own = materialize(own.withColumn("item_shingles", shingles(F.col("item_words"), F.col("k"))).withColumn("item_fp", simhash(F.col("item_shingles"))))
-    sizes = [(r["k"], r["n"]) for r in own.groupBy("k").agg(F.min(F.size("item_shingles")).alias("least"), F.max(F.size("item_shingles")).alias("n")).select("k", "least", "n").collect()]
-    least = {r["k"]: r["least"] for r in own.groupBy("k").agg(F.min(F.size("item_shingles")).alias("least")).collect()}  # k rows at most
+    n_items = F.size("item_shingles")
+    sizes = {r["k"]: range(r["low"], r["high"] + 1) for r in own.groupBy("k").agg(F.min(n_items).alias("low"), F.max(n_items).alias("high")).collect()}  # k rows at most
     n_shingles = own.agg(F.sum(F.size("item_shingles")).alias("n")).first()["n"] or 0
     small = n_shingles <= max_broadcast
     place = (lambda x: F.broadcast(x)) if small else (lambda x: x)
@@ -92,8 +92,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     out = f"doc_id {kind}, item_id {items.schema[item_id].dataType.simpleString()}, similarity double, first_word int, n_words int"
     if not sizes:
         return docs.sparkSession.createDataFrame([], out)
-    most = dict(sizes)
-    stride = {kk: max(1, min(8, min(least_run(n, similarity, k) for n in range(least[kk], most[kk] + 1)))) for kk in least}
+    stride = {kk: min(8, *(least_run(n, similarity, k) for n in ns), 8) for kk, ns in sizes.items()}
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     probes = None
     for kk, step in stride.items():
@@ -126,5 +125,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("first_word"), F.col("b.n_words").alias("n_words"))
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns kept, that hold no benchmark item."""
+    key = F.xxhash64(F.col(text_col))
+    hit = contaminated(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, id_col="key").select(F.col("doc_id").alias("hit")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(hit, F.col("key") == F.col("hit"), "left_anti").select("row.*")
+
+
 def op10_decontaminate(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

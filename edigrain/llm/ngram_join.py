@@ -319,6 +319,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
 
 
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns kept, that name their component: one of each
+    group of linked documents stays. Of repeated ids one row stays; rows without
+    an id, which cannot be told apart, all stay."""
+    parts = materialize(jaccard_components(docs, id_col, text_col, k, percent))
+    kept = parts.where(F.col("component_id") == F.col("id")).groupBy("id").agg((F.count("*") > 1).alias("repeated")).select(F.col("id").alias("kept_id"), "repeated")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i")).join(kept, F.col("i") == F.col("kept_id"))
+    single = rows.where(~F.col("repeated")).select("row.*")
+    first = rows.where(F.col("repeated")).dropDuplicates(["i"]).select("row.*")
+    return single.unionByName(first).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op3_ngram_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 

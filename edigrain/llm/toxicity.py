@@ -228,6 +228,24 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]],
     return rows.mapInArrow(_score(*model, threshold), f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, clauses string")
 
 
+def _predict(entries: dict[str, float], weights: list[float], threshold: float):
+    score = _score(entries, weights, threshold)
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            got = next(score(iter([batch.rename_columns(["id", "text"])])))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), got.column("predicted")], ["row", "predicted"])
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: tuple[dict[str, float], list[float]], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns kept, that are not predicted toxic."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_predict(*model, threshold), f"row {kind}, predicted int").where("predicted = 0").select("row.*")
+
+
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), train_row("id"))
