@@ -107,24 +107,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost minimum of every window of `width` values."""
+    """Index of the least of every window of `width` values, by their upper 32
+    bits, the leftmost on ties."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    best = values[:n].copy()
-    at = np.arange(n, dtype=np.int64)
-    # doubling: minima of windows of 1, 2, 4, ... joined to reach `width`
+    low = np.uint64(0xFFFFFFFF)
+    cur = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     size = 1
-    cur, idx = values, np.arange(len(values), dtype=np.int64)
-    while size * 2 <= width:
-        left, right = cur[:-size], cur[size:]
-        take = right < left
-        cur, idx = np.where(take, right, left), np.where(take, idx[size:], idx[:-size])
+    while size * 2 <= width:  # minima of windows of 2, 4, 8, ...
+        cur = np.minimum(cur[:-size], cur[size:])
         size *= 2
-    best, at = cur[:n], idx[:n]
     if size < width:
-        shift = width - size
-        right, ridx = cur[shift : shift + n], idx[shift : shift + n]
-        take = right < best
-        best, at = np.where(take, right, best), np.where(take, ridx, at)
-    return at
+        cur = np.minimum(cur[:n], cur[width - size : width - size + n])
+    return (cur[:n] & low).astype(np.int64)

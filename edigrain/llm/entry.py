@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, ngram_join, secrets, substring_dedup, tokens, topk, toxicity
+from . import decontaminate, langid, mixing, ngram_join, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_tokens": tokens.op8_tokens,
         "op9_topk": topk.op9_topk,
