@@ -18,14 +18,26 @@ from .common import RollingHash, mix64, window_argmin
 BASE_GRAM, BASE_RUN = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
-class Runs:
-    """Runs of several documents, whose symbols follow each other in one array.
-    start (in the array), count (of windows), doc, anchor and print of each."""
+class Prints:
+    """Fingerprints of windows of several documents, whose symbols follow each
+    other in one array."""
 
-    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int):
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, width: int):
         self.width = width
         self.offset = np.cumsum(sizes) - sizes
         self.rolling = RollingHash(symbols, BASE_RUN)
+
+    def windows(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, fingerprints) of all windows of the given runs."""
+        at = np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        return at, self.rolling.at(at, self.width)
+
+
+class Runs(Prints):
+    """Runs: start (in the array), count (of windows), doc, anchor and print."""
+
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int):
+        super().__init__(symbols, sizes, width)
         n = len(symbols) - width + 1
         if n <= 0:
             self.start = self.count = self.doc = np.zeros(0, dtype=np.int64)
@@ -33,9 +45,9 @@ class Runs:
             return
         grams = RollingHash(symbols, BASE_GRAM).windows(gram)
         least = window_argmin(grams, width - gram + 1)
-        doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - width + 1, 0))
-        inside = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(sizes - width + 1, 0)) - np.maximum(sizes - width + 1, 0), np.maximum(sizes - width + 1, 0))
-        at = self.offset[doc] + inside  # starts of windows within one document
+        each = np.maximum(sizes - width + 1, 0)  # windows of each document
+        doc = np.repeat(np.arange(len(sizes)), each)
+        at = np.arange(len(doc)) + np.repeat(self.offset - (np.cumsum(each) - each), each)
         place = least[at]
         lead = np.ones(len(at), dtype=bool)
         lead[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
@@ -45,11 +57,6 @@ class Runs:
         self.anchor = grams[place[first]]
         self.print = mix64(self.rolling.at(self.start, self.count + width - 1) + self.count.astype(np.uint64))
 
-    def windows(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, fingerprints) of all windows of the given runs."""
-        at = np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-        return at, self.rolling.at(at, self.width)
-
 
 def first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions of one row of each distinct key, in input order within a key

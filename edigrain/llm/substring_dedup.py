@@ -4,7 +4,7 @@
    distinct runs of windows (see runs.py) with their numbers.
 2. Recurring passages are confirmed corpus-wide: a run that occurs twice or more
    is one; where an anchor occurs in different runs, their single windows are
-   counted too, and those that recur are passages of `width` words.
+   counted too, and the stretches of a run whose windows recur are passages.
 3. A shard's confirmed passages - one place of each, however often the shard has
    it - are compiled into an Aho-Corasick automaton over its words, and all
    documents of the shard are streamed through it, which locates every
@@ -33,16 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .ngram_join import WordHashes
-from .runs import Runs, first_of
+from .runs import Prints, Runs, first_of
 
 _HASHES = WordHashes()
 
 
-def _load(texts: pa.ChunkedArray, width: int, gram: int) -> tuple[list[list[bytes]], Runs]:
+def _load(texts: pa.ChunkedArray) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words, their number in each text, and their hashes one after the other."""
     words = [t.split() if t else [] for t in texts.to_pylist()]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    symbols = np.fromiter((_HASHES[w] for own in words for w in own), dtype=np.uint64, count=int(sizes.sum()))
-    return words, Runs(symbols, sizes, width, gram)
+    get = _HASHES.__getitem__
+    symbols = np.fromiter((h for own in words for h in map(get, own)), dtype=np.uint64, count=int(sizes.sum()))
+    return words, sizes, symbols
 
 
 def _places(docs: pa.Table, refs: pa.Table, offset: np.ndarray) -> np.ndarray:
@@ -54,7 +56,8 @@ def _places(docs: pa.Table, refs: pa.Table, offset: np.ndarray) -> np.ndarray:
 
 def _report(width: int, gram: int):
     def run(docs: pa.Table) -> pa.Table:
-        _, runs = _load(docs.column("text"), width, gram)
+        _, sizes, symbols = _load(docs.column("text"))
+        runs = Runs(symbols, sizes, width, gram)
         pick, n = first_of(runs.anchor, runs.print)
         dk = docs.column("dk").to_numpy()
         return pa.table({
@@ -69,32 +72,48 @@ def _report(width: int, gram: int):
 _REPORT = "shard long, anchor long, print long, n long, dk long, start int, count int"
 
 
-def _single(width: int, gram: int):
-    """Distinct windows of the given runs, with their numbers: a run that stands
-    for equal ones elsewhere counts as often as they are."""
+def _single(width: int):
+    """Distinct windows of a shard's open runs, with their numbers: a run that
+    stands for equal ones elsewhere counts as often as they are."""
 
     def run(docs: pa.Table, refs: pa.Table) -> pa.Table:
         if not docs.num_rows or not refs.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("shard", pa.int64()), ("anchor", pa.int64()), ("window", pa.int64()), ("n", pa.int64()), ("dk", pa.int64()), ("start", pa.int32()))})
-        _, runs = _load(docs.column("text"), width, gram)
-        start, count = _places(docs, refs, runs.offset), refs.column("count").to_numpy().astype(np.int64)
-        at, prints = runs.windows(start, count)
-        own = np.repeat(np.arange(len(start)), count)
+            return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "anchor", "window", "n")})
+        _, sizes, symbols = _load(docs.column("text"))
+        prints = Prints(symbols, sizes, width)
+        count = refs.column("count").to_numpy().astype(np.int64)
+        _, window = prints.windows(_places(docs, refs, prints.offset), count)
+        own = np.repeat(np.arange(len(count)), count)
         anchor = refs.column("anchor").to_numpy()[own]
-        pick, _ = first_of(anchor, prints)
-        order = np.lexsort((prints, anchor))
+        order = np.lexsort((window, anchor))
         lead = np.ones(len(order), dtype=bool)
-        lead[1:] = (anchor[order][1:] != anchor[order][:-1]) | (prints[order][1:] != prints[order][:-1])
-        n = np.add.reduceat(refs.column("n").to_numpy()[own][order], np.flatnonzero(lead))
-        return pa.table({
-            "shard": pa.array(np.full(len(pick), docs.column("shard")[0].as_py()), pa.int64()), "anchor": anchor[pick], "window": prints[pick].view(np.int64), "n": pa.array(n, pa.int64()),
-            "dk": refs.column("dk").to_numpy()[own[pick]], "start": pa.array(at[pick] - start[own[pick]] + refs.column("start").to_numpy()[own[pick]], pa.int32()),
-        })
+        lead[1:] = (anchor[order][1:] != anchor[order][:-1]) | (window[order][1:] != window[order][:-1])
+        first = np.flatnonzero(lead)
+        n = np.add.reduceat(refs.column("n").to_numpy()[own][order], first)
+        return pa.table({"shard": pa.array(np.full(len(first), docs.column("shard")[0].as_py()), pa.int64()), "anchor": anchor[order[first]], "window": window[order[first]].view(np.int64), "n": pa.array(n, pa.int64())})
 
     return run
 
 
-_SINGLE = "shard long, anchor long, window long, n long, dk long, start int"
+_SINGLE = "shard long, anchor long, window long, n long"
+#: Kinds of what a shard gets back: a passage, an open run, a recurring window.
+_WHOLE, _OPEN, _WINDOW = 0, 1, 2
+
+
+def open_passages(prints: Prints, place: np.ndarray, count: np.ndarray, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sizes) of the passages that consecutive recurring windows make
+    within each open run."""
+    at, window = prints.windows(place, count)
+    own = np.repeat(np.arange(len(count)), count)
+    known = np.sort(recurring)
+    near = np.minimum(np.searchsorted(known, window), len(known) - 1)
+    hit = np.flatnonzero(known[near] == window)
+    if not len(hit):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    lead = np.ones(len(hit), dtype=bool)
+    lead[1:] = (own[hit][1:] != own[hit][:-1]) | (hit[1:] != hit[:-1] + 1)
+    first = np.flatnonzero(lead)
+    return at[hit[first]], np.diff(np.append(first, len(hit))) + prints.width - 1
 
 
 def build_automaton(passages: list[list[bytes]]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
@@ -124,11 +143,22 @@ def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _remove(width: int):
     def run(docs: pa.Table, refs: pa.Table) -> pa.Table:
-        words = [t.split() if t else [] for t in docs.column("text").to_pylist()]
+        words, sizes, symbols = _load(docs.column("text"))
         automaton = None
         if refs.num_rows and docs.num_rows:
-            row = {k: i for i, k in enumerate(docs.column("dk").to_pylist())}
-            passages = [words[row[k]][s : s + n] for k, s, n in zip(refs.column("dk").to_pylist(), refs.column("start").to_pylist(), refs.column("size").to_pylist())]
+            prints = Prints(symbols, sizes, width)
+            kind = refs.column("kind").to_numpy()
+            runs = refs.filter(pa.array(kind != _WINDOW))
+            place, size = _places(docs, runs, prints.offset), runs.column("count").to_numpy() + width - 1
+            is_open = runs.column("kind").to_numpy() == _OPEN
+            recurring = refs.column("dk").to_numpy()[kind == _WINDOW].view(np.uint64)
+            at, n = place[~is_open], size[~is_open]
+            if is_open.any() and len(recurring):
+                more = open_passages(prints, place[is_open], size[is_open] - width + 1, recurring)
+                at, n = np.concatenate([at, more[0]]), np.concatenate([n, more[1]])
+            doc = np.searchsorted(prints.offset + sizes, at, side="right")
+            inner = at - prints.offset[doc]
+            passages = [words[d][s : s + m] for d, s, m in zip(doc.tolist(), inner.tolist(), n.tolist())]
             automaton, numbers = build_automaton(passages)
         removed, sums, spans = [], [], []
         for own in words:
@@ -136,8 +166,8 @@ def _remove(width: int):
             kept = own if not gone.any() else [w for w, g in zip(own, gone.tolist()) if not g]
             removed.append(int(gone.sum()))
             sums.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            spans.append(",".join(f"{a}:{b}" for a, b in ranges(gone)))
-        return pa.table({"id": docs.column("id"), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sums, pa.string()), "spans": pa.array(spans, pa.string())})
+            spans.append(",".join(f"{a}:{b}" for a, b in ranges(gone)) if removed[-1] else "")
+        return pa.table({"id": docs.column("id"), "n_words": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sums, pa.string()), "spans": pa.array(spans, pa.string())})
 
     return run
 
@@ -146,19 +176,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, n_words, n_removed, kept_sha256 and spans ("first word:end", removed)
     of each row."""
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), key.alias("dk"), F.expr(f"pmod(xxhash64(`{id_col}`, `{text_col}`), {shards})").alias("shard")).repartition("shard")
+    dk = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), dk.alias("dk"))
+    rows = rows.withColumn("shard", F.expr(f"pmod(dk, {shards})")).repartition("shard")
     found = rows.groupBy("shard").applyInArrow(_report(width, gram), _REPORT).repartition("anchor")
     run, anchor = Window.partitionBy("anchor", "print"), Window.partitionBy("anchor")
     found = found.withColumn("total", F.sum("n").over(run)).withColumn("nth", F.row_number().over(run.orderBy("dk", "start")))
     found = found.withColumn("kinds", F.min("print").over(anchor) != F.max("print").over(anchor)).where((F.col("total") > 1) | F.col("kinds"))
-    whole = found.where(F.col("total") > 1).select("shard", "dk", "start", (F.col("count") + width - 1).alias("size"))
     open_runs = found.where(F.col("kinds") & (F.col("nth") == 1)).select("shard", "anchor", "dk", "start", "count", F.col("total").alias("n"))
-    single = rows.groupBy("shard").cogroup(open_runs.groupBy("shard")).applyInArrow(_single(width, gram), _SINGLE).repartition("window")
-    met = single.withColumn("total", F.sum("n").over(Window.partitionBy("window", "anchor"))).where(F.col("total") > 1)
-    passages = whole.unionByName(met.select("shard", "dk", "start", F.lit(width).alias("size")))
-    return rows.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(_remove(width), f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, spans string")
+    single = rows.groupBy("shard").cogroup(open_runs.groupBy("shard")).applyInArrow(_single(width), _SINGLE).repartition("window")
+    window = single.withColumn("total", F.sum("n").over(Window.partitionBy("window", "anchor"))).where(F.col("total") > 1)
+    kind = F.when(F.col("total") > 1, _WHOLE).otherwise(_OPEN)
+    back = found.select("shard", "dk", "start", "count", kind.alias("kind")).unionByName(window.select("shard", F.col("window").alias("dk"), F.lit(0).alias("start"), F.lit(0).alias("count"), F.lit(_WINDOW).alias("kind")))
+    out = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, spans string"
+    return rows.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_remove(width), out)
 
 
 def op1_substring_dedup(spark, sf_dir):
