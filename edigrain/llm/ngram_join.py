@@ -181,21 +181,31 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+CELLS = 1 << 26
+
+
+def columns_for(sets: list[np.ndarray], rows: int) -> int:
+    """Columns of a matrix of so many rows: tokens are hashed to them, so that an
+    overlap may count too much but never too little, and memory is bounded."""
+    want = 4 * max((len(s) for s in sets), default=1)
+    return int(max(1 << 10, min(1 << want.bit_length(), CELLS // max(1, rows))))
+
+
 class TokenGroupMatrix:
     """Subgroups of linked sets, with the token union of each as a matrix row."""
 
-    def __init__(self, tokens: np.ndarray, percent: int):
-        self.tokens, self.percent = tokens, percent
-        self.matrix = np.zeros((4, len(tokens)), dtype=bool)
+    def __init__(self, columns: int, percent: int):
+        self.columns, self.percent = np.uint64(columns), percent
+        self.matrix = np.zeros((4, columns), dtype=bool)
         self.members: list[list[int]] = []
         self.sets: list[np.ndarray] = []
 
     def add(self, own: np.ndarray) -> None:
         """Query one set, join it to every subgroup it links with."""
-        at = np.searchsorted(self.tokens, own)
+        at = (own % self.columns).astype(np.int64)
         number = len(self.sets)
         self.sets.append(own)
-        bound = self.matrix[: len(self.members), at].sum(axis=1)
+        bound = np.array([np.count_nonzero(row[at]) for row in self.matrix[: len(self.members)]], dtype=np.int64)
         hits = [g for g in np.flatnonzero(100 * bound >= self.percent * len(own)).tolist() if self.members[g] and any(similar(own, self.sets[m], self.percent) for m in reversed(self.members[g]))]
         if not hits:
             if len(self.members) == len(self.matrix):
@@ -214,7 +224,7 @@ class TokenGroupMatrix:
 
 def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the position of the first set of its component."""
-    tgm = TokenGroupMatrix(np.unique(np.concatenate(sets)), percent)
+    tgm = TokenGroupMatrix(columns_for(sets, 2 * len(sets)), percent)
     order = np.argsort([len(s) for s in sets], kind="stable")
     for i in order.tolist():
         tgm.add(sets[i])
@@ -242,17 +252,17 @@ def _across(percent: int):
         out = []
         if len(left) and len(right):
             sets = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in right["own"]]
-            tokens = np.unique(np.concatenate(sets))
             roots, place = np.unique(right["root"].to_numpy(), return_inverse=True)
-            matrix = np.zeros((len(roots), len(tokens)), dtype=bool)
+            columns = np.uint64(columns_for(sets, len(roots)))
+            matrix = np.zeros((len(roots), int(columns)), dtype=bool)
             for g, s in zip(place, sets):
-                matrix[g, np.searchsorted(tokens, s)] = True
+                matrix[g, (s % columns).astype(np.int64)] = True
             done = set()
             for sid, root, x in zip(left["sid"], left["root"], left["own"]):
                 own = np.asarray(x, dtype=np.int64).view(np.uint64)
-                at = np.searchsorted(tokens, own)
-                at = at[at < len(tokens)][tokens[at[at < len(tokens)]] == own[at < len(tokens)]]
-                for g in np.flatnonzero(100 * matrix[:, at].sum(axis=1) >= percent * len(own)).tolist():
+                at = (own % columns).astype(np.int64)
+                bound = np.array([np.count_nonzero(row[at]) for row in matrix])
+                for g in np.flatnonzero(100 * bound >= percent * len(own)).tolist():
                     if roots[g] == root or (root, g) in done:
                         continue
                     if any(similar(own, sets[m], percent) for m in np.flatnonzero(place == g)):
@@ -273,7 +283,7 @@ def _sets(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block: int = 500) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block: int = 500, tokens: int = 1_000_000) -> DataFrame:
     """id, n_shingles and component_id of each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_type = pa.string() if rows.schema["id"].dataType.simpleString() == "string" else pa.int64()
@@ -290,7 +300,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows.join(heads.select(F.col("id").alias("head"), "sid", "grp"), F.col("id").eqNullSafe(F.col("head")))
     fetched = texts.select("sid", "text").mapInArrow(_sets(k), "sid long, own array<long>").dropDuplicates(["sid"])
     members = materialize(fetched.join(heads.select("sid", "grp"), "sid"))
-    size = members.groupBy("grp").agg(F.count("*").alias("m"))
+    # blocks hold about `block` sets, and not more than about `tokens` shingles
+    size = members.groupBy("grp").agg(F.greatest(F.count("*"), F.ceil(F.sum(F.size("own")) * block / tokens)).alias("m"))
     sized = members.join(size, "grp")
     # a hash deals a large group into even blocks without sorting it anywhere
     blocked = materialize(sized.withColumn("blk", F.expr(f"pmod(xxhash64(sid), ceil(m / {block}))").cast("int")))
