@@ -206,17 +206,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     return lexicon, logistic(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(dtype=float)).tolist()
 
 
+class Scorer:
+    """Scores and matched clauses of texts."""
+
+    def __init__(self, entries: dict[str, float], weights: list[float]):
+        self.lexicon, self.machine, self.weights = Lexicon(entries), grammar(), np.array(weights)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+        x, matched = [], []
+        for t in texts:
+            f, clauses = document_features(t or "", self.lexicon, self.machine)
+            x.append(f)
+            matched.append(",".join(f"{n}:{s:.3f}" for n, s in clauses))
+        if not len(self.weights):
+            return np.zeros(len(x)), matched
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.array(x) @ self.weights[1:], -30, 30))), matched
+
+
 def _score(entries: dict[str, float], weights: list[float], threshold: float):
     def run(batches):
-        lexicon, machine = Lexicon(entries), grammar()
-        w = np.array(weights)
+        scorer = Scorer(entries, weights)
         for batch in slices(batches, "text"):
-            x, matched = [], []
-            for t in batch.column("text").to_pylist():
-                f, clauses = document_features(t or "", lexicon, machine)
-                x.append(f)
-                matched.append(",".join(f"{n}:{s:.3f}" for n, s in clauses))
-            score = 1 / (1 + np.exp(-np.clip(w[0] + np.array(x) @ w[1:], -30, 30))) if len(w) else np.zeros(len(x))
+            score, matched = scorer(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(matched, pa.string())], ["id", "score", "predicted", "clauses"])
 
     return run
@@ -229,12 +240,11 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]],
 
 
 def _predict(entries: dict[str, float], weights: list[float], threshold: float):
-    score = _score(entries, weights, threshold)
-
     def run(batches):
+        scorer = Scorer(entries, weights)
         for batch in slices(batches, "text"):
-            got = next(score(iter([batch.rename_columns(["id", "text"])])))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), got.column("predicted")], ["row", "predicted"])
+            score, _ = scorer(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array((score >= threshold).astype(np.int32))], ["row", "predicted"])
 
     return run
 
