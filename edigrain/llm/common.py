@@ -121,3 +121,32 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
     if size < width:
         cur = np.minimum(cur[:n], cur[width - size : width - size + n])
     return (cur[:n] & low).astype(np.int64)
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
+def word_hashes(texts: list[bytes | None], chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, 64-bit hashes of all words in order); words are what
+    lies between ASCII spaces."""
+    sizes, hashes = [], []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < chunk):
+            size += len(texts[end] or b"")
+            end += 1
+        own = [t or b"" for t in texts[at:end]]
+        at = end
+        data = np.frombuffer(b" ".join([b"", *own, b""]), dtype=np.uint8)
+        inside = ~_SPACE[data]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, stop = edge[0::2], edge[1::2]
+        first = np.cumsum([1, *(len(t) + 1 for t in own)])[:-1]
+        sizes.append(np.bincount(np.searchsorted(first, start, side="right") - 1, minlength=len(own)))
+        hashes.append(mix64(RollingHash(_BYTES[data], 0xA0761D6478BD642F).at(start, stop - start) + (stop - start).astype(np.uint64)))
+    if not sizes:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    return np.concatenate(sizes).astype(np.int64), np.concatenate(hashes)

@@ -32,39 +32,22 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, materialize, mix64, slices, table
+from .common import RollingHash, materialize, mix64, slices, table, word_hashes
 from .graph import components
 
 BASE = 0x9E3779B97F4A7C15
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingle_sets(texts: list[bytes | None], k: int, hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    sizes, flat = [], []
-    for t in texts:
-        words = t.lower().split() if t else []  # bytes: ASCII letters and ASCII spaces only
-        sizes.append(len(words))
-        flat += words
-    symbols = np.fromiter(map(hashes.__getitem__, flat), dtype=np.uint64, count=len(flat))
-    del flat
+    sizes, symbols = word_hashes([t.lower() if t else t for t in texts])  # bytes: ASCII letters only
     roll = RollingHash(symbols, BASE)
     grams = roll.windows(k)
     out, at = [], 0
-    for n in sizes:
+    for n in sizes.tolist():
         if n >= k:
             out.append(np.unique(grams[at : at + n - k + 1]))
         elif n:
@@ -124,9 +107,9 @@ def _fingerprint(k: int, percent: int, id_type: pa.DataType):
         )
 
     def run(batches):
-        hashes, starts = WordHashes(), size_intervals(percent)
+        starts = size_intervals(percent)
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text").to_pylist(), k, hashes)
+            sets = shingle_sets(batch.column("text").to_pylist(), k)
             sizes = np.array([len(x) for x in sets], dtype=np.int64)
             sid = np.array([int(mix64(np.array([np.sum(mix64(x ^ np.uint64(BASE))) + np.uint64(len(x))]))[0]) if len(x) else 0 for x in sets], dtype=np.uint64)
             yield rows(_DOC, sid, sid, sizes, batch.column("id"))
@@ -275,9 +258,8 @@ def _across(percent: int):
 
 def _sets(k: int):
     def run(batches):
-        hashes = WordHashes()
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text").to_pylist(), k, hashes)
+            sets = shingle_sets(batch.column("text").to_pylist(), k)
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "own"])
 
     return run

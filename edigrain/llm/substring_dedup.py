@@ -31,22 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
-from .ngram_join import WordHashes
+from .common import table, word_hashes
 from .runs import Prints, Runs, first_of
 
-_HASHES = WordHashes()
-
-
-def _load(texts: pa.ChunkedArray) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words, their number in each text, and their hashes one after the other."""
-    words = [t.split() if t else [] for t in texts.to_pylist()]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    get = _HASHES.__getitem__
-    symbols = np.fromiter((h for own in words for h in map(get, own)), dtype=np.uint64, count=int(sizes.sum()))
-    return words, sizes, symbols
-
-
 def _places(docs: pa.Table, refs: pa.Table, offset: np.ndarray) -> np.ndarray:
     """Array places of refs (dk, start): any row with that key will do."""
     row = {k: i for i, k in enumerate(docs.column("dk").to_pylist())}
@@ -56,7 +43,7 @@ def _places(docs: pa.Table, refs: pa.Table, offset: np.ndarray) -> np.ndarray:
 
 def _report(width: int, gram: int):
     def run(docs: pa.Table) -> pa.Table:
-        _, sizes, symbols = _load(docs.column("text"))
+        sizes, symbols = word_hashes(docs.column("text").to_pylist())
         runs = Runs(symbols, sizes, width, gram)
         pick, n = first_of(runs.anchor, runs.print)
         dk = docs.column("dk").to_numpy()
@@ -79,7 +66,7 @@ def _single(width: int):
     def run(docs: pa.Table, refs: pa.Table) -> pa.Table:
         if not docs.num_rows or not refs.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "anchor", "window", "n")})
-        _, sizes, symbols = _load(docs.column("text"))
+        sizes, symbols = word_hashes(docs.column("text").to_pylist())
         prints = Prints(symbols, sizes, width)
         count = refs.column("count").to_numpy().astype(np.int64)
         _, window = prints.windows(_places(docs, refs, prints.offset), count)
@@ -100,20 +87,44 @@ _SINGLE = "shard long, anchor long, window long, n long"
 _WHOLE, _OPEN, _WINDOW = 0, 1, 2
 
 
-def open_passages(prints: Prints, place: np.ndarray, count: np.ndarray, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, sizes) of the passages that consecutive recurring windows make
-    within each open run."""
+def recurring_windows(prints: Prints, place: np.ndarray, count: np.ndarray, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, number of the run) of the windows of open runs that recur."""
     at, window = prints.windows(place, count)
     own = np.repeat(np.arange(len(count)), count)
     known = np.sort(recurring)
     near = np.minimum(np.searchsorted(known, window), len(known) - 1)
-    hit = np.flatnonzero(known[near] == window)
-    if not len(hit):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    lead = np.ones(len(hit), dtype=bool)
-    lead[1:] = (own[hit][1:] != own[hit][:-1]) | (hit[1:] != hit[:-1] + 1)
+    hit = known[near] == window
+    return at[hit], own[hit]
+
+
+def stretches(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of the stretches of following windows of one group."""
+    if not len(at):
+        return at, at
+    order = np.lexsort((at, group))
+    at, group = at[order], group[order]
+    lead = np.ones(len(at), dtype=bool)
+    lead[1:] = (group[1:] != group[:-1]) | (at[1:] > at[:-1] + 1)
     first = np.flatnonzero(lead)
-    return at[hit[first]], np.diff(np.append(first, len(hit))) + prints.width - 1
+    return at[first], at[np.append(first[1:], len(at)) - 1] - at[first] + 1
+
+
+def passages_of(prints: Prints, docs: pa.Table, sizes: np.ndarray, refs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(places, words) of the passages of a shard. Runs that the shard has once
+    are joined with those that follow them; one that it has several times is a
+    passage of its own, as its other places may be followed by something else."""
+    kind = refs.column("kind").to_numpy()
+    runs = refs.filter(pa.array(kind != _WINDOW))
+    place, count, many = _places(docs, runs, prints.offset), runs.column("count").to_numpy().astype(np.int64), runs.column("n").to_numpy() > 1
+    is_open = runs.column("kind").to_numpy() == _OPEN
+    recurring = refs.column("dk").to_numpy()[kind == _WINDOW].view(np.uint64)
+    at, own = prints.windows(place[~is_open], count[~is_open])[0], np.repeat(np.flatnonzero(~is_open), count[~is_open])
+    if is_open.any() and len(recurring):
+        more, which = recurring_windows(prints, place[is_open], count[is_open], recurring)
+        at, own = np.concatenate([at, more]), np.concatenate([own, np.flatnonzero(is_open)[which]])
+    doc = np.searchsorted(prints.offset + sizes, at, side="right")
+    joined, single = stretches(at[~many[own]], doc[~many[own]]), stretches(at[many[own]], own[many[own]])
+    return np.concatenate([joined[0], single[0]]), np.concatenate([joined[1], single[1]]) + prints.width - 1
 
 
 def build_automaton(passages: list[list[bytes]]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
@@ -143,19 +154,13 @@ def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _remove(width: int):
     def run(docs: pa.Table, refs: pa.Table) -> pa.Table:
-        words, sizes, symbols = _load(docs.column("text"))
+        texts = docs.column("text").to_pylist()
+        words = [t.split() if t else [] for t in texts]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
         automaton = None
         if refs.num_rows and docs.num_rows:
-            prints = Prints(symbols, sizes, width)
-            kind = refs.column("kind").to_numpy()
-            runs = refs.filter(pa.array(kind != _WINDOW))
-            place, size = _places(docs, runs, prints.offset), runs.column("count").to_numpy() + width - 1
-            is_open = runs.column("kind").to_numpy() == _OPEN
-            recurring = refs.column("dk").to_numpy()[kind == _WINDOW].view(np.uint64)
-            at, n = place[~is_open], size[~is_open]
-            if is_open.any() and len(recurring):
-                more = open_passages(prints, place[is_open], size[is_open] - width + 1, recurring)
-                at, n = np.concatenate([at, more[0]]), np.concatenate([n, more[1]])
+            prints = Prints(word_hashes(texts)[1], sizes, width)
+            at, n = passages_of(prints, docs, sizes, refs)
             doc = np.searchsorted(prints.offset + sizes, at, side="right")
             inner = at - prints.offset[doc]
             passages = [words[d][s : s + m] for d, s, m in zip(doc.tolist(), inner.tolist(), n.tolist())]
@@ -187,7 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = rows.groupBy("shard").cogroup(open_runs.groupBy("shard")).applyInArrow(_single(width), _SINGLE).repartition("window")
     window = single.withColumn("total", F.sum("n").over(Window.partitionBy("window", "anchor"))).where(F.col("total") > 1)
     kind = F.when(F.col("total") > 1, _WHOLE).otherwise(_OPEN)
-    back = found.select("shard", "dk", "start", "count", kind.alias("kind")).unionByName(window.select("shard", F.col("window").alias("dk"), F.lit(0).alias("start"), F.lit(0).alias("count"), F.lit(_WINDOW).alias("kind")))
+    back = found.select("shard", "dk", "start", "count", "n", kind.alias("kind")).unionByName(window.select("shard", F.col("window").alias("dk"), F.lit(0).alias("start"), F.lit(0).alias("count"), F.lit(0).cast("long").alias("n"), F.lit(_WINDOW).alias("kind")))
     out = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, spans string"
     return rows.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_remove(width), out)
 
