@@ -66,13 +66,19 @@ def size_intervals(percent: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+def interval_of(size: int, starts: np.ndarray) -> int:
+    return int(np.searchsorted(starts, size, side="right") - 1)
+
+
 def class_fingerprints(own: np.ndarray, percent: int, starts: np.ndarray) -> list[np.ndarray]:
     """Fingerprints of the classes of a set, in the neighbourhood of its
-    interval with the next and of its interval with the one before. Of n classes
-    d + 1 + spare, linked sets agree in 1 + spare at least; a set with at most
-    `spare` empty classes thus needs to show its other classes only."""
+    interval with the next and of its interval with the one before. Of
+    d + 1 + spare classes, linked sets agree in 1 + spare at least, so a set need
+    not show `spare` of them: classes of one shingle or none, which say little,
+    stay out if they are no more than that, else the empty ones if they are. Of
+    two linked sets, what the one that hides more shows, the other shows too."""
     s = len(own)
-    j = int(np.searchsorted(starts, s, side="right") - 1)
+    j = interval_of(s, starts)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(own))])
     out = []
     for p in (j, j - 1):
@@ -80,43 +86,44 @@ def class_fingerprints(own: np.ndarray, percent: int, starts: np.ndarray) -> lis
             continue
         largest = int(starts[p + 2]) - 1
         d = 2 * largest * (100 - percent) // (100 + percent)
-        spare = (d + 1) // 40
+        spare = max(1, (d + 1) // 10) if d else 0
         n = d + 1 + spare
         step = (1 << 64) // n + 1
         edges = np.minimum(np.arange(n + 1, dtype=object) * step, (1 << 64) - 1).astype(np.uint64)
         at = np.searchsorted(own, edges)
         at[-1] = s
-        show = at[1:] > at[:-1]
-        if int((~show).sum()) > spare:
-            show[:] = True
-        which = np.flatnonzero(show)
+        held = at[1:] - at[:-1]
+        hide = next((h for h in (1, 0) if np.count_nonzero(held <= h) <= spare), -1)
+        which = np.flatnonzero(held > hide)
         salt = mix64(which.astype(np.uint64) + np.uint64(p << 40))
         out.append(mix64((sums[at[1:]] - sums[at[:-1]])[which] ^ salt))
     return out
 
 
-_SIG, _EDGE, _DOC = 0, 1, 2
+_SIG, _EDGE = 0, 1
+
+
+def set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit id of each set, 0 for the empty one."""
+    sums = np.array([np.sum(mix64(x ^ np.uint64(BASE))) + np.uint64(len(x)) if len(x) else 0 for x in sets], dtype=np.uint64)
+    return np.where(sums == 0, sums, mix64(sums))
+
 
+def _fingerprint(k: int, percent: int):
+    """(kind, a, b): class fingerprints with a set each, and links."""
 
-def _fingerprint(k: int, percent: int, id_type: pa.DataType):
-    def rows(kind, a, b, n=None, ids=None):
-        m = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, kind, dtype=np.int8)), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), pa.array(n if n is not None else [None] * m, pa.int64()), ids if ids is not None else pa.nulls(m, id_type)],
-            ["kind", "a", "b", "n", "id"],
-        )
+    def rows(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int8)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
     def run(batches):
         starts = size_intervals(percent)
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
-            sizes = np.array([len(x) for x in sets], dtype=np.int64)
-            sid = np.array([int(mix64(np.array([np.sum(mix64(x ^ np.uint64(BASE))) + np.uint64(len(x))]))[0]) if len(x) else 0 for x in sets], dtype=np.uint64)
-            yield rows(_DOC, sid, sid, sizes, batch.column("id"))
+            sid = set_ids(sets)
             _, first = np.unique(sid, return_index=True)
             sigs, owners = [], []
             for i in first.tolist():
-                if sizes[i]:
+                if len(sets[i]):
                     for f in class_fingerprints(sets[i], percent, starts):
                         sigs.append(f)
                         owners.append(np.full(len(f), sid[i], dtype=np.uint64))
@@ -131,30 +138,47 @@ def _fingerprint(k: int, percent: int, id_type: pa.DataType):
             low = owner[lead][np.cumsum(lead) - 1]
             joined = np.unique(np.stack([owner, low], axis=1)[~lead & (owner != low)], axis=0)
             if len(joined):
-                yield rows(_EDGE, joined[:, 0], joined[:, 1])
+                yield rows(_EDGE, np.ascontiguousarray(joined[:, 0]), np.ascontiguousarray(joined[:, 1]))
+
+    return run
+
+
+def _describe(k: int, percent: int):
+    """(id, sid, n, lot): the set of each row, its size and size interval."""
+
+    def run(batches):
+        starts = size_intervals(percent)
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column("text").to_pylist(), k)
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            lot = (np.searchsorted(starts, n, side="right") - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(set_ids(sets).view(np.int64)), pa.array(n), pa.array(lot)], ["id", "sid", "n", "lot"])
 
     return run
 
 
 def _runs(batches):
     """Links of every owner to the first owner of its fingerprint; the rows come
-    sorted by fingerprint, and a run may go on in the next batch."""
+    sorted by fingerprint, and a run may go on in the next batch. Links among
+    the rows pass through."""
     last_sig = last_owner = None
     for batch in batches:
+        ready = batch.column("kind").to_numpy() == _EDGE
         sig, owner = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        if not len(sig):
-            continue
-        lead = np.ones(len(sig), dtype=bool)
-        lead[1:] = sig[1:] != sig[:-1]
-        firsts = owner[lead].copy()
-        if last_sig is not None and sig[0] == last_sig:
-            firsts[0] = last_owner
-        low = firsts[np.cumsum(lead) - 1]
-        last_sig, last_owner = sig[-1], firsts[-1]
-        keep = owner != low
-        if keep.any():
-            pairs = np.unique(np.stack([owner[keep], low[keep]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        pairs = [np.stack([sig[ready], owner[ready]], axis=1)]
+        sig, owner = sig[~ready], owner[~ready]
+        if len(sig):
+            lead = np.ones(len(sig), dtype=bool)
+            lead[1:] = sig[1:] != sig[:-1]
+            firsts = owner[lead].copy()
+            if last_sig is not None and sig[0] == last_sig:
+                firsts[0] = last_owner
+            low = firsts[np.cumsum(lead) - 1]
+            last_sig, last_owner = sig[-1], firsts[-1]
+            pairs.append(np.stack([owner, low], axis=1)[owner != low])
+        own = np.unique(np.concatenate(pairs), axis=0)
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[:, 0])), pa.array(np.ascontiguousarray(own[:, 1]))], ["a", "b"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -174,6 +198,13 @@ def columns_for(sets: list[np.ndarray], rows: int) -> int:
     return int(max(1 << 10, min(1 << want.bit_length(), CELLS // max(1, rows))))
 
 
+def overlaps(matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the columns `at` each row holds."""
+    if matrix.shape[0] * len(at) <= 1 << 22:
+        return np.count_nonzero(matrix[:, at], axis=1)
+    return np.array([np.count_nonzero(row[at]) for row in matrix], dtype=np.int64)
+
+
 class TokenGroupMatrix:
     """Subgroups of linked sets, with the token union of each as a matrix row."""
 
@@ -188,7 +219,7 @@ class TokenGroupMatrix:
         at = (own % self.columns).astype(np.int64)
         number = len(self.sets)
         self.sets.append(own)
-        bound = np.array([np.count_nonzero(row[at]) for row in self.matrix[: len(self.members)]], dtype=np.int64)
+        bound = overlaps(self.matrix[: len(self.members)], at)
         hits = [g for g in np.flatnonzero(100 * bound >= self.percent * len(own)).tolist() if self.members[g] and any(similar(own, self.sets[m], self.percent) for m in reversed(self.members[g]))]
         if not hits:
             if len(self.members) == len(self.matrix):
@@ -244,7 +275,7 @@ def _across(percent: int):
             for sid, root, x in zip(left["sid"], left["root"], left["own"]):
                 own = np.asarray(x, dtype=np.int64).view(np.uint64)
                 at = (own % columns).astype(np.int64)
-                bound = np.array([np.count_nonzero(row[at]) for row in matrix])
+                bound = overlaps(matrix, at)
                 for g in np.flatnonzero(100 * bound >= percent * len(own)).tolist():
                     if roots[g] == root or (root, g) in done:
                         continue
@@ -260,7 +291,9 @@ def _sets(k: int):
     def run(batches):
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "own"])
+            # rows of one id may differ in text: only the set asked for is kept
+            out = pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "own"])
+            yield out.filter(pa.array(set_ids(sets).view(np.int64) == batch.column("sid").to_numpy()))
 
     return run
 
@@ -268,25 +301,24 @@ def _sets(k: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block: int = 500, tokens: int = 1_000_000) -> DataFrame:
     """id, n_shingles and component_id of each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    id_type = pa.string() if rows.schema["id"].dataType.simpleString() == "string" else pa.int64()
-    if id_type == pa.int64():
+    if rows.schema["id"].dataType.simpleString() != "string":
         rows = rows.withColumn("id", F.col("id").cast("long"))
-    kind = "string" if id_type == pa.string() else "long"
-    first = materialize(rows.mapInArrow(_fingerprint(k, percent, id_type), f"kind tinyint, a long, b long, n long, id {kind}"))
-    sigs = first.where(F.col("kind") == _SIG).select("a", "b").repartition("a").sortWithinPartitions("a", "b")
-    links = sigs.mapInArrow(_runs, "a long, b long").unionByName(first.where(F.col("kind") == _EDGE).select("a", "b"))
-    groups = materialize(components(links))  # node, root: candidate groups of sets
-    own = first.where(F.col("kind") == _DOC).select("id", F.col("a").alias("sid"), "n")
+    kind = rows.schema["id"].dataType.simpleString()
+    own = materialize(rows.mapInArrow(_describe(k, percent), f"id {kind}, sid long, n long, lot int"))
+    sigs = rows.select("text").mapInArrow(_fingerprint(k, percent), "kind tinyint, a long, b long").repartition("a").sortWithinPartitions("a", "b")
+    groups = materialize(components(sigs.mapInArrow(_runs, "a long, b long")))  # node, root: candidate groups of sets
     # one document of each distinct set in a group brings the set itself
-    heads = own.where(F.col("n") > 0).groupBy("sid").agg(F.min("id").alias("id")).join(groups, F.col("sid") == F.col("node")).select("sid", "id", F.col("root").alias("grp"))
-    texts = rows.join(heads.select(F.col("id").alias("head"), "sid", "grp"), F.col("id").eqNullSafe(F.col("head")))
-    fetched = texts.select("sid", "text").mapInArrow(_sets(k), "sid long, own array<long>").dropDuplicates(["sid"])
-    members = materialize(fetched.join(heads.select("sid", "grp"), "sid"))
-    # blocks hold about `block` sets, and not more than about `tokens` shingles
-    size = members.groupBy("grp").agg(F.greatest(F.count("*"), F.ceil(F.sum(F.size("own")) * block / tokens)).alias("m"))
-    sized = members.join(size, "grp")
-    # a hash deals a large group into even blocks without sorting it anywhere
-    blocked = materialize(sized.withColumn("blk", F.expr(f"pmod(xxhash64(sid), ceil(m / {block}))").cast("int")))
+    heads = own.where(F.col("n") > 0).groupBy("sid").agg(F.min("id").alias("head"), F.max("n").alias("n"), F.max("lot").alias("lot")).join(groups, F.col("sid") == F.col("node")).select("sid", "head", "n", "lot", F.col("root").alias("grp"))
+    # sets link within a size interval or with the next one: a group for each such pair
+    heads = heads.withColumn("lot", F.explode(F.array("lot", F.col("lot") - 1)))
+    # blocks hold about `block` sets, and not more than about `tokens` shingles; a
+    # hash deals a large group into even blocks without sorting it anywhere
+    size = heads.groupBy("grp", "lot").agg(F.count("*").alias("held"), F.greatest(F.count("*"), F.ceil(F.sum("n") * block / tokens)).alias("m")).where("held > 1")
+    heads = materialize(heads.join(size, ["grp", "lot"]).select("sid", "head", "m", F.xxhash64("grp", "lot").alias("grp"), F.expr(f"pmod(xxhash64(sid), ceil(m / {block}))").cast("int").alias("blk")))
+    wanted = heads.groupBy("sid").agg(F.min("head").alias("head"))
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("head"))).select("sid", "text")
+    fetched = texts.mapInArrow(_sets(k), "sid long, own array<long>").dropDuplicates(["sid"])
+    blocked = materialize(heads.select("grp", "blk", "sid", "m").join(fetched, "sid"))
     links = materialize(blocked.groupBy("grp", "blk").applyInPandas(_link(percent), "a long, b long"))
     over = blocked.where(F.col("m") > block)
     if over.limit(1).count():
@@ -306,7 +338,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across(percent), "a long, b long")
         links = links.unionByName(materialize(more))
     linked = components(links.where("a <> b"))
-    named = own.join(linked, F.col("sid") == F.col("node"), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("part"))
+    named = own.join(linked, own["sid"] == F.col("node"), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("part"))
     least = named.where(F.col("part").isNotNull()).groupBy("part").agg(F.min("id").alias("low"), F.count("*").alias("held")).where(F.col("held") > 1).select("part", "low")
     out = named.join(least, "part", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
