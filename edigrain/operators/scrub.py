@@ -46,6 +46,10 @@ def pseudonymize(c: Column, salt: str) -> Column:
     return run(c)
 
 
+def _put(elements: str, at: int, value: Column) -> Column:
+    return F.transform(elements, lambda e, i: F.when(i == at, value).otherwise(e))
+
+
 def scrub(segments: DataFrame, masks: list[Mask], salt: str = "") -> DataFrame:
     """Segments with masked elements; everything else as it was."""
     out = segments
@@ -56,7 +60,7 @@ def scrub(segments: DataFrame, masks: list[Mask], salt: str = "") -> DataFrame:
         hit = hit & (F.size("elements") >= m.element)
         value = F.get("elements", m.element - 1)
         masked = redact(value) if m.strategy == "redact" else pseudonymize(value, salt)
-        changed = F.transform("elements", lambda e, i, m=m: F.when(i == m.element - 1, F.col("masked")).otherwise(e))
+        changed = _put("elements", m.element - 1, F.col("masked"))
         out = out.withColumn("masked", F.when(hit, masked)).withColumn("elements", F.when(hit, changed).otherwise(F.col("elements"))).drop("masked")
     return out
 

@@ -30,7 +30,7 @@ def tokenize(files: DataFrame) -> DataFrame:
 def raw_tail(files: DataFrame) -> DataFrame:
     """(file_id, tail): text after the last terminator, up to 60 characters."""
     clean = files.select("file_id", F.regexp_replace("text", "^\\x{FEFF}", "").alias("text")).where(F.col("text").startswith("ISA") & (F.length("text") >= 106))
-    tail = F.trim(F.regexp_replace(F.element_at(F.split("text", quoted(F.substring("text", 106, 1)), -1), -1), "\\s+$", ""))
+    tail = F.regexp_replace(F.element_at(F.split("text", quoted(F.substring("text", 106, 1)), -1), -1), "^\\s+|\\s+$", "")
     return clean.select("file_id", F.substring(tail, 1, 60).alias("tail")).where(F.col("tail") != "")
 
 
