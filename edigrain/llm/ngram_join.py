@@ -59,33 +59,36 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
 
 
 def size_intervals(percent: int, most: int = 1 << 40) -> np.ndarray:
-    """Starts of intervals; sizes that may link are in one or in neighbours."""
+    """Starts of size intervals, of about (100 / percent) squared. Sizes that may
+    link are in one interval, or in neighbours, the greater then near its start."""
     out = [1]
     while out[-1] < most:
-        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
+        out.append(max(out[-1] + 1, -(-out[-1] * 10_000 // percent**2)))
     return np.array(out, dtype=np.int64)
 
 
+def neighbourhoods(size: int, percent: int, starts: np.ndarray) -> list[int]:
+    """The interval of a size, and the one before if that one's sets may reach."""
+    j = interval_of(size, starts)
+    return [j, j - 1] if j and percent * size < 100 * int(starts[j]) else [j]
+
+
 def interval_of(size: int, starts: np.ndarray) -> int:
     return int(np.searchsorted(starts, size, side="right") - 1)
 
 
 def class_fingerprints(own: np.ndarray, percent: int, starts: np.ndarray) -> list[np.ndarray]:
-    """Fingerprints of the classes of a set, in the neighbourhood of its
-    interval with the next and of its interval with the one before. Of
-    d + 1 + spare classes, linked sets agree in 1 + spare at least, so a set need
+    """Fingerprints of the classes of a set in each of its neighbourhoods, where
+    linked sets differ in d shingles at most. Of d + 1 + spare classes, linked sets agree in 1 + spare at least, so a set need
     not show `spare` of them: classes of one shingle or none, which say little,
     stay out if they are no more than that, else the empty ones if they are. Of
     two linked sets, what the one that hides more shows, the other shows too."""
     s = len(own)
-    j = interval_of(s, starts)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(own))])
     out = []
-    for p in (j, j - 1):
-        if p < 0:
-            continue
-        largest = int(starts[p + 2]) - 1
-        d = 2 * largest * (100 - percent) // (100 + percent)
+    for p in neighbourhoods(s, percent, starts):
+        largest = int(starts[p + 1]) - 1
+        d = (largest + largest * 100 // percent) * (100 - percent) // (100 + percent)
         spare = max(1, (d + 1) // 10) if d else 0
         n = d + 1 + spare
         step = (1 << 64) // n + 1
@@ -144,15 +147,15 @@ def _fingerprint(k: int, percent: int):
 
 
 def _describe(k: int, percent: int):
-    """(id, sid, n, lot): the set of each row, its size and size interval."""
+    """(id, sid, n, lots): the set of each row, its size and neighbourhoods."""
 
     def run(batches):
         starts = size_intervals(percent)
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             n = np.array([len(x) for x in sets], dtype=np.int64)
-            lot = (np.searchsorted(starts, n, side="right") - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(set_ids(sets).view(np.int64)), pa.array(n), pa.array(lot)], ["id", "sid", "n", "lot"])
+            lots = [neighbourhoods(x, percent, starts) for x in n.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(set_ids(sets).view(np.int64)), pa.array(n), pa.array(lots, pa.list_(pa.int32()))], ["id", "sid", "n", "lots"])
 
     return run
 
@@ -304,13 +307,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if rows.schema["id"].dataType.simpleString() != "string":
         rows = rows.withColumn("id", F.col("id").cast("long"))
     kind = rows.schema["id"].dataType.simpleString()
-    own = materialize(rows.mapInArrow(_describe(k, percent), f"id {kind}, sid long, n long, lot int"))
+    own = materialize(rows.mapInArrow(_describe(k, percent), f"id {kind}, sid long, n long, lots array<int>"))
     sigs = rows.select("text").mapInArrow(_fingerprint(k, percent), "kind tinyint, a long, b long").repartition("a").sortWithinPartitions("a", "b")
     groups = materialize(components(sigs.mapInArrow(_runs, "a long, b long")))  # node, root: candidate groups of sets
     # one document of each distinct set in a group brings the set itself
-    heads = own.where(F.col("n") > 0).groupBy("sid").agg(F.min("id").alias("head"), F.max("n").alias("n"), F.max("lot").alias("lot")).join(groups, F.col("sid") == F.col("node")).select("sid", "head", "n", "lot", F.col("root").alias("grp"))
-    # sets link within a size interval or with the next one: a group for each such pair
-    heads = heads.withColumn("lot", F.explode(F.array("lot", F.col("lot") - 1)))
+    heads = own.where(F.col("n") > 0).groupBy("sid").agg(F.min("id").alias("head"), F.max("n").alias("n"), F.first("lots").alias("lots")).join(groups, F.col("sid") == F.col("node")).select("sid", "head", "n", F.explode("lots").alias("lot"), F.col("root").alias("grp"))
+    # sets link within a neighbourhood of sizes only: a group for each
     # blocks hold about `block` sets, and not more than about `tokens` shingles; a
     # hash deals a large group into even blocks without sorting it anywhere
     size = heads.groupBy("grp", "lot").agg(F.count("*").alias("held"), F.greatest(F.count("*"), F.ceil(F.sum("n") * block / tokens)).alias("m")).where("held > 1")
