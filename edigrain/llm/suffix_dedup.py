@@ -72,7 +72,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             break
         own = order[at]
-        further = np.where(own + h < n, rank[np.minimum(own + h, n - 1)] + 1, 0)
+        further = np.where(own + h < n, rank[np.minimum(own + h, n - 1)], -own)  # past the end: the shorter first
         by = np.lexsort((further, rank[own]))
         own, further, group = own[by], further[by], rank[own][by]
         order[at] = own
