@@ -9,7 +9,9 @@ connected component.
    intervals such that linked sets lie in one or in neighbouring ones. For each
    such neighbourhood the greatest difference d of linked sets is known, and the
    shingles are dealt by hash into more than d classes, so that linked sets
-   agree in the whole content of some class. Sets that share the fingerprint of
+   agree in the whole content of some class. Shingles of very many documents say
+   little and stay out of the classes, unless they are most of a set: leaving
+   some out makes no difference greater. Sets that share the fingerprint of
    a class get into one candidate group (connected components over these).
    Within a slice of input, sets that share a fingerprint are joined at once and
    only one of them is shuffled, so a hot fingerprint stays small.
@@ -17,8 +19,9 @@ connected component.
    found so far. A set is a query against it: its overlap with a union bounds
    its similarity to every member, and only subgroups whose bound qualifies are
    opened and compared exactly. Groups above `block` sets are cut into blocks;
-   blocks are linked first within, then through one set of each subgroup, and
-   what is still apart is compared block by block.
+   blocks are linked first within, then through one set of each subgroup; of
+   what is still apart, counts in hashed cells bound the overlap of any two sets
+   of two blocks, and those that may link are compared.
 
 Null, empty and odd input: documents without words, or with null text, have an
 empty set and link with nothing; shorter texts than `k` words are one shingle.
@@ -77,28 +80,77 @@ def interval_of(size: int, starts: np.ndarray) -> int:
     return int(np.searchsorted(starts, size, side="right") - 1)
 
 
-def class_fingerprints(own: np.ndarray, percent: int, starts: np.ndarray) -> list[np.ndarray]:
+BUCKET_BITS = 20
+
+
+def _bucket_counts(k: int):
+    """Documents by bucket of their shingles' hashes, a total for each task in
+    pieces: the size is fixed, whatever the input."""
+
+    def run(batches):
+        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column("text").to_pylist(), k)
+            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
+        if total.any():
+            pieces = total.astype(np.uint32).reshape(64, -1)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(np.arange(64), pa.int32()), "counts": pa.array([x.tobytes() for x in pieces], pa.binary())})
+
+    return run
+
+
+def _add_counts(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in rows.column("counts").to_pylist())
+    return pa.table({"piece": rows.column("piece").slice(0, 1), "total": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def common_buckets(texts: DataFrame, k: int, times: int = 3) -> np.ndarray:
+    """Flags of the buckets that hold `times` the mean or more: those of shingles
+    that about one document in a thousand or more has. Which buckets they are
+    decides on speed alone; any choice loses no link."""
+    counts = texts.mapInArrow(_bucket_counts(k), "piece int, counts binary").groupBy("piece").applyInArrow(_add_counts, "piece int, total long, counts binary")
+    got = counts.collect()  # 64 pieces of a fixed size
+    out = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for r in got:
+        piece = np.frombuffer(r["counts"], dtype=np.int64)
+        out[r["piece"] * len(piece) : (r["piece"] + 1) * len(piece)] = piece
+    return out > max(times * out.mean(), 16)
+
+
+def class_fingerprints(own: np.ndarray, percent: int, starts: np.ndarray, common: np.ndarray | None = None) -> list[np.ndarray]:
+    """Fingerprints of a set without its common shingles if they leave three
+    tenths of it, of the whole set if they leave less than 65 hundredths: of two
+    linked sets, both then show the one or both the other."""
+    rare = own if common is None else own[~common[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]]
+    out = []
+    if 10 * len(rare) >= 3 * len(own):
+        out += _class_fingerprints(rare, len(own), percent, starts, 0)
+    if 100 * len(rare) < 65 * len(own):
+        out += _class_fingerprints(own, len(own), percent, starts, 1)
+    return out
+
+
+def _class_fingerprints(own: np.ndarray, size: int, percent: int, starts: np.ndarray, mode: int) -> list[np.ndarray]:
     """Fingerprints of the classes of a set in each of its neighbourhoods, where
     linked sets differ in d shingles at most. Of d + 1 + spare classes, linked sets agree in 1 + spare at least, so a set need
     not show `spare` of them: classes of one shingle or none, which say little,
     stay out if they are no more than that, else the empty ones if they are. Of
     two linked sets, what the one that hides more shows, the other shows too."""
-    s = len(own)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(own))])
     out = []
-    for p in neighbourhoods(s, percent, starts):
+    for p in neighbourhoods(size, percent, starts):
         largest = int(starts[p + 1]) - 1
         d = (largest + largest * 100 // percent) * (100 - percent) // (100 + percent)
-        spare = max(1, (d + 1) // 10) if d else 0
+        spare = min(d, 2) + (d + 1) // 4
         n = d + 1 + spare
         step = (1 << 64) // n + 1
         edges = np.minimum(np.arange(n + 1, dtype=object) * step, (1 << 64) - 1).astype(np.uint64)
         at = np.searchsorted(own, edges)
-        at[-1] = s
+        at[-1] = len(own)
         held = at[1:] - at[:-1]
         hide = next((h for h in (1, 0) if np.count_nonzero(held <= h) <= spare), -1)
         which = np.flatnonzero(held > hide)
-        salt = mix64(which.astype(np.uint64) + np.uint64(p << 40))
+        salt = mix64(which.astype(np.uint64) + np.uint64(p << 40 | mode << 60))
         out.append(mix64((sums[at[1:]] - sums[at[:-1]])[which] ^ salt))
     return out
 
@@ -112,7 +164,7 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(sums == 0, sums, mix64(sums))
 
 
-def _fingerprint(k: int, percent: int):
+def _fingerprint(k: int, percent: int, common: np.ndarray):
     """(kind, a, b): class fingerprints with a set each, and links."""
 
     def rows(kind, a, b):
@@ -127,7 +179,7 @@ def _fingerprint(k: int, percent: int):
             sigs, owners = [], []
             for i in first.tolist():
                 if len(sets[i]):
-                    for f in class_fingerprints(sets[i], percent, starts):
+                    for f in class_fingerprints(sets[i], percent, starts, common):
                         sigs.append(f)
                         owners.append(np.full(len(f), sid[i], dtype=np.uint64))
             if not sigs:
@@ -290,6 +342,45 @@ def _across(percent: int):
     return run
 
 
+CELLS_OF_SKETCH = 1024
+
+
+def _sketch(batches):
+    """Counts of a set's shingles in hashed cells: the sum of the lesser counts
+    of two sets is at least their overlap."""
+    for batch in batches:
+        out = []
+        for x in batch.column("own").to_pylist():
+            cells = np.array(x, dtype=np.int64).view(np.uint64) % np.uint64(CELLS_OF_SKETCH)
+            out.append(np.bincount(cells.astype(np.int64), minlength=CELLS_OF_SKETCH).astype(np.uint16).tobytes())
+        names = ["grp", "blk", "sid", "root", "n"]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out, pa.binary())], [*names, "sketch"])
+
+
+def _suspects(percent: int):
+    """The sets of two blocks that may link with one of another part there."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            a, b = (np.stack([np.frombuffer(x, dtype=np.uint16) for x in df["sketch"]]) for df in (left, right))
+            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
+            ra, rb = left["root"].to_numpy(), right["root"].to_numpy()
+            hit = np.zeros(len(right), dtype=bool)
+            keys = [left[c].iloc[0] for c in ("grp", "blk", "blk2")]
+            for i in range(len(left)):
+                near = np.flatnonzero((rb != ra[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])))
+                both = np.minimum(b[near], a[i]).sum(axis=1, dtype=np.int64)
+                near = near[100 * both >= percent * (nb[near] + na[i] - both)]
+                if len(near):
+                    hit[near] = True
+                    out.append((*keys, left["sid"].iloc[i], 0))
+            out += [(*keys, x, 1) for x in right["sid"].to_numpy()[hit]]
+        return pd.DataFrame(out, columns=["grp", "blk", "blk2", "sid", "side"]).astype("int64")
+
+    return run
+
+
 def _sets(k: int):
     def run(batches):
         for batch in slices(batches, "text"):
@@ -308,7 +399,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = rows.withColumn("id", F.col("id").cast("long"))
     kind = rows.schema["id"].dataType.simpleString()
     own = materialize(rows.mapInArrow(_describe(k, percent), f"id {kind}, sid long, n long, lots array<int>"))
-    sigs = rows.select("text").mapInArrow(_fingerprint(k, percent), "kind tinyint, a long, b long").repartition("a").sortWithinPartitions("a", "b")
+    common = common_buckets(rows.select("text"), k)
+    sigs = rows.select("text").mapInArrow(_fingerprint(k, percent, common), "kind tinyint, a long, b long").repartition("a").sortWithinPartitions("a", "b")
     groups = materialize(components(sigs.mapInArrow(_runs, "a long, b long")))  # node, root: candidate groups of sets
     # one document of each distinct set in a group brings the set itself
     heads = own.where(F.col("n") > 0).groupBy("sid").agg(F.min("id").alias("head"), F.max("n").alias("n"), F.first("lots").alias("lots")).join(groups, F.col("sid") == F.col("node")).select("sid", "head", "n", F.explode("lots").alias("lot"), F.col("root").alias("grp"))
@@ -325,7 +417,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     over = blocked.where(F.col("m") > block)
     if over.limit(1).count():
         heads2 = over.join(links.where(F.col("a") == F.col("b")).select(F.col("a").alias("sid")), "sid", "left_semi")
-        heads2 = heads2.withColumn("lot", F.expr(f"pmod(xxhash64(sid, 1), ceil(m / {20 * block}))").cast("int"))
+        heads2 = heads2.withColumn("lot", F.expr(f"pmod(xxhash64(sid, 1), ceil(m / {4 * block}))").cast("int"))
         links = materialize(links.unionByName(heads2.select("grp", "lot", "sid", "own").groupBy("grp", "lot").applyInPandas(_link(percent), "a long, b long")))
         roots = components(links).withColumnRenamed("node", "sid")
         parts = over.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -333,10 +425,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         parts = materialize(parts.join(apart, "grp", "left_semi").select("grp", "blk", "sid", "own", "root"))
         blks = parts.select("grp", "blk").distinct()
         pairs = blks.join(blks.withColumnRenamed("blk", "blk2"), "grp").where("blk <= blk2")
-        cols = ["grp", "blk", "blk2", "sid", "own", "root"]
-        left = parts.join(pairs, ["grp", "blk"]).select(cols).toDF(*cols)
-        right = parts.withColumnRenamed("blk", "blk2").join(pairs, ["grp", "blk2"]).select(cols).toDF(*cols)
-        keys = cols[:3]
+        # counts in hashed cells tell which sets need comparing at all
+        keys = ["grp", "blk", "blk2"]
+        small = materialize(parts.withColumn("n", F.size("own")).mapInArrow(_sketch, "grp long, blk int, sid long, root long, n int, sketch binary"))
+        cols = [*keys, "sid", "root", "n", "sketch"]
+        left = small.join(pairs, ["grp", "blk"]).select(cols).toDF(*cols)
+        right = small.withColumnRenamed("blk", "blk2").join(pairs, ["grp", "blk2"]).select(cols).toDF(*cols)
+        near = materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_suspects(percent), "grp long, blk long, blk2 long, sid long, side long"))
+        cols = [*keys, "sid", "own", "root"]
+        sets = parts.select("grp", "sid", "own", "root")
+        left = near.where("side = 0").drop("side").join(sets, ["grp", "sid"]).select(cols).toDF(*cols)
+        right = near.where("side = 1").drop("side").join(sets, ["grp", "sid"]).select(cols).toDF(*cols)
         more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across(percent), "a long, b long")
         links = links.unionByName(materialize(more))
     linked = components(links.where("a <> b"))
