@@ -11,7 +11,7 @@ from .operators import checks, history, scopes, scrub, structure, validate
 from .operators.judge import header_findings, line_findings
 from .plans.spec import PURCHASE_ORDER, Format
 from .plans.transactions import DEFINITIONS
-from .sources import derived, x12
+from .sources import derived, documents, x12
 
 D850 = DEFINITIONS["850"]
 
@@ -396,6 +396,53 @@ def x12_decimals(spark, sf_dir):
     return part.select("p_partkey", values.decimal(text, 2).cast("decimal(18,2)").alias("amount"), F.coalesce(values.wrong_length(text, Format(length=(2, 2))), F.lit(False)).alias("wrong_length"))
 
 
+# --- output layouts
+
+
+def _document_lines(spark, sf_dir, header: Column, line, tail: Column) -> DataFrame:
+    o = derived.orders(spark, sf_dir)
+    body = F.concat(F.array(header), F.transform("lines", line), F.array(tail))
+    return o.select(F.col("o_orderkey").cast("string").alias("file_id"), F.posexplode(body).alias("line_no", "value"))
+
+
+def flat_fold(spark, sf_dir):
+    """Keyed flat files to leaves."""
+    head = F.concat(F.lit("H|po_number=PO"), "o_orderkey", F.lit("|cust="), "o_custkey")
+    rows = _document_lines(spark, sf_dir, head, lambda x: F.concat(F.lit("D|qty="), x["qty"], F.lit("|part="), x["part"]), F.concat(F.lit("S|count="), F.size("lines")))
+    return documents.flat_leaves(rows).select("file_id", "norm_path", F.coalesce("line_ix", F.lit(-1)).alias("line_ix"), "leaf_text")
+
+
+def fixed_width_fold(spark, sf_dir):
+    """Fixed-width records to leaves, by routing."""
+    pad = lambda c, n: F.rpad(c.cast("string"), n, " ")
+    head = F.concat(pad(F.lit("HEAD"), 30), F.lit("PO"), pad(F.col("o_orderkey"), 18), pad(F.col("o_custkey"), 10))
+    rows = _document_lines(spark, sf_dir, head, lambda x: F.concat(pad(F.lit("ITEM"), 30), pad(x["qty"], 10), pad(x["part"], 10)), F.concat(pad(F.lit("SUMS"), 30), pad(F.lit("001"), 5), pad(F.size("lines"), 10)))
+    layout = [documents.Record("HEAD", "object", "header", (("po", 30, 20), ("cust", 50, 10))), documents.Record("ITEM", "line", "lines", (("qty", 30, 10), ("part", 40, 10))), documents.Record("SUMS", "keyed", "summary", (("kind", 30, 5), ("n", 35, 10)), "kind", "n")]
+    return documents.layout_leaves(rows, layout).select("file_id", "norm_path", F.coalesce("line_ix", F.lit(-1)).alias("line_ix"), "leaf_text")
+
+
+def delimited_fold(spark, sf_dir):
+    """Delimited records to leaves."""
+    head = F.concat_ws("|", F.lit("H"), F.concat(F.lit("PO"), "o_orderkey"), F.col("o_custkey"))
+    rows = _document_lines(spark, sf_dir, head, lambda x: F.concat_ws("|", F.lit("D"), x["qty"].cast("string"), x["part"].cast("string")), F.concat_ws("|", F.lit("T"), F.lit("001"), F.size("lines").cast("string")))
+    layout = [documents.Record("H", "object", "header", (("po", 1), ("cust", 2))), documents.Record("D", "line", "lines", (("qty", 1), ("part", 2))), documents.Record("T", "keyed", "summary", (("kind", 1), ("n", 2)), "kind", "n")]
+    return documents.layout_leaves(rows, layout, "|").select("file_id", "norm_path", F.coalesce("line_ix", F.lit(-1)).alias("line_ix"), "leaf_text")
+
+
+def json_array_documents(spark, sf_dir):
+    """Documents of JSON files, arrays and single objects."""
+    docs = derived.output_documents(spark, sf_dir).select(F.expr("doc div 10").alias("f"), "doc", "json")
+    files = docs.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("doc", "json"))).alias("d"))
+    text = F.when(F.size("d") == 1, F.get("d", 0)["json"]).otherwise(F.concat(F.lit("["), F.array_join(F.transform("d", lambda x: x["json"]), ","), F.lit("]")))
+    out = documents.json_documents(files.select(F.col("f").alias("file_id"), text.alias("text")))
+    return out.select("file_id", "doc_ix", F.try_variant_get("v", "$.order.vendor", "string").alias("vendor"))
+
+
+_LAYOUT = """WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS ix, l_quantity::INTEGER AS qty, l_partkey AS part FROM lineitem),
+n AS (SELECT o_orderkey AS k, o_custkey AS cust, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT k::VARCHAR AS file_id, 'header.{po}' AS norm_path, -1 AS line_ix, 'PO' || k AS leaf_text FROM n UNION ALL SELECT k::VARCHAR, 'header.cust', -1, cust::VARCHAR FROM n UNION ALL SELECT k::VARCHAR, 'summary.{count}', -1, lines::VARCHAR FROM n
+UNION ALL SELECT k::VARCHAR, 'lines[].qty', ix::INTEGER, qty::VARCHAR FROM l UNION ALL SELECT k::VARCHAR, 'lines[].part', ix::INTEGER, part::VARCHAR FROM l"""
+
 _ROW = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"
 
 QUERIES = {
@@ -477,6 +524,10 @@ SELECT k AS doc, 1 + 2 * items AS n, CASE WHEN items > 0 THEN 2 ELSE 1 END AS de
     scrub_pseudonymize: None,
     mask_counts: """WITH x AS (SELECT o_orderkey, o_custkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), names AS (SELECT c_name AS v FROM x UNION ALL SELECT n_name FROM x)
 SELECT 'N1' AS segment, 2 AS element, count(*) AS n, count(DISTINCT v) AS n_distinct FROM names UNION ALL SELECT 'N1', 4, count(*), count(DISTINCT o_custkey) FROM x UNION ALL SELECT 'REF', 2, count(*), count(DISTINCT o_custkey) FROM x""",
+    flat_fold: _LAYOUT.format(po="po_number", count="count"),
+    fixed_width_fold: _LAYOUT.format(po="po", count="001"),
+    delimited_fold: _LAYOUT.format(po="po", count="001"),
+    json_array_documents: "SELECT o_orderkey // 10 AS file_id, (row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY o_orderkey) - 1)::INTEGER AS doc_ix, o_custkey::VARCHAR AS vendor FROM orders WHERE o_orderkey % 23 <> 0",
     x12_dates: "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 4 <> 1 THEN o_orderdate::DATE END AS day FROM orders",
     x12_decimals: "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN (p_size / 100.0)::DECIMAL(18,2) END AS amount, length(CASE WHEN p_partkey % 3 = 0 THEN p_size || 'x' ELSE p_size::VARCHAR END) <> 2 AS wrong_length FROM part",
 }

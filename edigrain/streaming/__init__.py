@@ -1 +1,25 @@
-"""Spark-native EDI mapping validation."""
+"""Validation of interchanges as they arrive."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import x12
+
+
+def stream_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, text) of whole files that appear below path."""
+    from pyspark.sql import functions as F
+
+    lines = spark.readStream.format("text").option("wholetext", "true").load(path)
+    return lines.select(F.col("_metadata.file_path").alias("file_id"), F.col("value").alias("text"))
+
+
+def write_control_issues(files: DataFrame, out: str, checkpoint: str):
+    """Append the control issues of every new file to a Parquet folder. A file is
+    whole when it is seen, so each batch is checked by itself."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        x12.control_issues(x12.number_envelopes(x12.tokenize(df))).write.mode("append").parquet(out)
+
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
