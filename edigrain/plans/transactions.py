@@ -66,6 +66,7 @@ def _ctt(loop: str) -> Recon:
 
 # The public X12 structures of these sets.
 PARTY = Loop("N1", _s("N2 N3 N4 NX2 REF PER SI FOB TD1 TD5 TD3 TD4 PKG"), 200)
+PARTY_W = Loop("N1", _s("N2 N3 N4 PER"), 10)
 PARTY10 = Loop("N1", _s("N2 N3 N4 REF PER"), 10)
 
 DEFINITIONS = {
@@ -109,7 +110,7 @@ DEFINITIONS = {
             Area("summary", _s("CTT"), opener="CTT"),
         ), "PTD", (_ctt("PTD"), Recon("total-qty", ("value", "QTY02", "QTY[TO]"), ("sum", "PTD", "QTY02"), when=("value", "QTY02", "QTY[TO]")))),
         Definition("945", "Warehouse Shipping Advice", "SW", (
-            Area("header", _s("W06 N9 G61 G62 W27 W10 W28 W29"), loops=(Loop("N1", _s("N2 N3 N4 PER"), 10),)),
+            Area("header", _s("W06 N9 G61 G62 W27 W10 W28 W29"), loops=(PARTY_W,)),
             Area("detail", opener="LX", loops=(Loop("LX", _s("W12 G69 N9 QTY AMT"), 10000),)),
             Area("summary", _s("W03"), opener="W03"),
         ), "LX", (
@@ -122,5 +123,42 @@ DEFINITIONS = {
             Recon("accepted-lte-received", ("value", "AK904"), ("value", "AK903"), "not_greater", ("value", "AK904")),
             Recon("received-lte-included", ("value", "AK903"), ("value", "AK902"), "not_greater", ("value", "AK903")),
         )),
+        Definition("844", "Product Transfer Account Adjustment", "CF", (
+            Area("header", _s("BGN CUR REF DTM AMT PER"), loops=(PARTY10,)),
+            Area("detail", opener="LIN", loops=(Loop("LIN", _s("QTY CTP AMT REF PID DTM"), 100000),)),
+        ), "LIN", (Recon("request-total", ("value", "AMT02", "AMT[TT]"), ("sum", "LIN", "AMT02"), when=("value", "AMT02", "AMT[TT]")),)),
+        Definition("846", "Inventory Inquiry/Advice", "IB", (
+            Area("header", _s("BIA CUR DTM REF PER"), loops=(PARTY10,)),
+            Area("detail", opener="LIN", loops=(Loop("LIN", _s("PID MEA DTM QTY UIT REF MAN SLN"), 100000),)),
+            Area("summary", _s("CTT"), opener="CTT"),
+        ), "LIN", (_ctt("LIN"),)),
+        Definition("849", "Response to Product Transfer Account Adjustment", "CF", (
+            Area("header", _s("BGN CUR REF DTM AMT PER"), loops=(PARTY10,)),
+            Area("detail", opener="LIN", loops=(Loop("LIN", _s("QTY CTP AMT LQ REF PID DTM"), 100000),)),
+        ), "LIN", (Recon("approved-total", ("value", "AMT02", "AMT[TT]"), ("sum", "LIN", "AMT02"), when=("value", "AMT02", "AMT[TT]")),)),
+        Definition("854", "Shipment Delivery Discrepancy Information", "AB", (
+            Area("header", _s("BGN REF DTM PER"), loops=(PARTY10,)),
+            Area("detail", opener="LIN", loops=(Loop("LIN", _s("QTY LQ REF PID DTM"), 100000),)),
+            Area("summary", _s("CTT"), opener="CTT"),
+        ), "LIN", (_ctt("LIN"),)),
+        Definition("940", "Warehouse Shipping Order", "OW", (
+            Area("header", _s("W05 N9 G61 G62 W09 W66 W6 R2 BNX NTE"), loops=(PARTY_W,)),
+            Area("detail", opener="W01", loops=(Loop("W01", _s("G69 N9 W20 QTY AMT"), 10000),)),
+            Area("summary", _s("W76"), opener="W76"),
+        ), "W01"),
+        Definition("943", "Warehouse Stock Transfer Shipment Advice", "AR", (
+            Area("header", _s("W06 N9 G61 G62 W27 W28"), loops=(PARTY_W,)),
+            Area("detail", opener="W04", loops=(Loop("W04", _s("G69 N9 QTY"), 10000),)),
+            Area("summary", _s("W03"), opener="W03"),
+        ), "W04", (Recon("w03-transfer-sum", ("value", "W0301"), ("sum", "W04", "W0401"), when=("value", "W0301")),)),
+        Definition("944", "Warehouse Stock Transfer Receipt Advice", "RE", (
+            Area("header", _s("W17 N9 G61 G62 W08 W28"), loops=(PARTY_W,)),
+            Area("detail", opener="W07", loops=(Loop("W07", _s("G69 N9 QTY"), 10000),)),
+            Area("summary", _s("W14"), opener="W14"),
+        ), "W07", (Recon("w14-receipt-sum", ("value", "W1401"), ("sum", "W07", "W0701"), when=("value", "W1401")),)),
+        Definition("947", "Warehouse Inventory Adjustment Advice", "AW", (
+            Area("header", _s("W15 N9 G61 G62"), loops=(PARTY_W,)),
+            Area("detail", opener="W19", loops=(Loop("W19", _s("G69 N9 QTY"), 10000),)),
+        ), "W19"),
     )
 }

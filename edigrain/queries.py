@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import values
-from .operators import checks, history, scopes, scrub, structure, validate
+from .operators import checks, history, partners, scopes, scrub, structure, validate
 from .operators.judge import header_findings, line_findings
 from .plans.spec import PURCHASE_ORDER, Format
 from .plans.transactions import DEFINITIONS
@@ -396,6 +396,62 @@ def x12_decimals(spark, sf_dir):
     return part.select("p_partkey", values.decimal(text, 2).cast("decimal(18,2)").alias("amount"), F.coalesce(values.wrong_length(text, Format(length=(2, 2))), F.lit(False)).alias("wrong_length"))
 
 
+def recon_warehouse(spark, sf_dir):
+    """943: shipped units against the lines; every 9th document is one short."""
+    units = F.aggregate("lines", F.lit(0), lambda a, x: a + x["qty"]) - F.when(F.col("o_orderkey") % 9 == 0, 1).otherwise(0)
+    body = _body([("W06", ["J"]), ("N1", ["WH", "x"])], lambda x: [("W04", [x["qty"], "CA"]), ("N9", ["LT", x["part"]])], [("W03", [units])])
+    rows = checks.reconcile(structure.place(_explode(_lines_of(spark, sf_dir), body), DEFINITIONS["943"]), DEFINITIONS["943"])
+    return rows.where("right_value is not null").select("doc", "rule", (F.col("right_value") - F.col("left_value")).cast("long").alias("missing"))
+
+
+def recon_scoped_total(spark, sf_dir):
+    """844: the header's AMT[TT] against the amounts of the lines."""
+    total = F.aggregate("lines", F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["price"]).cast("decimal(28,2)")) + F.when(F.col("o_orderkey") % 25 == 0, 3).otherwise(0)
+    body = _body([("BGN", ["00"]), ("AMT", ["TT", total])], lambda x: [("LIN", [x["line_ix"]]), ("AMT", ["LI", x["price"]])], [])
+    rows = checks.reconcile(structure.place(_explode(_lines_of(spark, sf_dir), body), DEFINITIONS["844"]), DEFINITIONS["844"])
+    return rows.where("right_value is not null").select("doc", (F.col("left_value") - F.col("right_value")).cast("long").alias("difference"))
+
+
+# --- partner material
+
+
+def import_classify(spark, sf_dir):
+    """Mapping rows shaped from parts, classified by their evidence."""
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        k.alias("row_id"), F.when(k % 11 == 0, "Code List").when(k % 13 == 0, "MOVE").alias("rule_type"), F.when(k % 3 != 0, F.concat(F.lit("PO1"), F.lpad((k % 90 + 10).cast("string"), 2, "0"))).alias("source"),
+        F.when(k % 17 != 0, F.concat(F.lit("lines[].f"), k)).alias("target"), F.when(k % 5 == 0, "If PO106 is UP").when(k % 7 == 0, "ask the buyer").alias("condition"), F.when(k % 6 == 0, "X").alias("default"), F.when(k % 19 == 0, "UOM").alias("code_list"),
+    )
+    return partners.classify(rows).groupBy("kind", F.coalesce("review", F.lit("-")).alias("review")).agg(F.count("*").alias("n"))
+
+
+def delta_merge(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), "p_name")
+    base = part.where("k % 3 != 0").select(F.col("k").alias("row_id"), F.col("k").alias("place"), F.col("p_name").alias("body"))
+    delta = part.where("k % 5 = 0").select(F.col("k").alias("row_id"), F.col("k").alias("place"), F.lit("partner rule").alias("body"), (F.col("k") % 10 == 0).alias("removed"))
+    return partners.merge_rules(base, delta).select("row_id", "part", "body", "origin")
+
+
+def overlay_apply(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    name = F.concat(F.lit("S"), F.col("k") % 50)
+    base = part.where("k < 50").select(name.alias("segment"), F.array(F.lit("A"), F.lit("B")).alias("codes"), F.when(F.col("k") % 2 == 0, "N1").alias("loop"))
+    over = part.where("k < 100").select(name.alias("segment"), F.when(F.col("k") % 5 == 0, F.array(F.lit("C"))).otherwise(F.array(F.lit("B"), F.lit("A"))).alias("codes"), F.when(F.col("k") % 3 == 0, "N1").otherwise("PO1").alias("loop"))
+    return partners.apply_overlay(base, over).groupBy("origin", "segment").agg(F.count("*").alias("n"))
+
+
+def draft_prefill(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    targets = part.select(F.concat(F.lit("t."), "k").alias("path"), (F.col("k") % 4 != 0).alias("required"))
+    cross = part.where("k % 5 != 0").select(F.concat(F.lit("t."), "k").alias("path"), F.lit(0).alias("file_ix"), F.lit("BEG01").alias("source"), F.lit("DIRECT").alias("kind"))
+    return partners.prefill(partners.assemble_draft(targets, cross.unionByName(cross.withColumn("file_ix", F.lit(1)))))
+
+
+def batch_totals(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    return partners.batch_totals(part.select(F.col("k").alias("name"), F.when(F.col("k") % 7 == 0, "FAIL").when(F.col("k") % 5 == 0, "WARNING").otherwise("PASS").alias("result")))
+
+
 # --- output layouts
 
 
@@ -524,6 +580,17 @@ SELECT k AS doc, 1 + 2 * items AS n, CASE WHEN items > 0 THEN 2 ELSE 1 END AS de
     scrub_pseudonymize: None,
     mask_counts: """WITH x AS (SELECT o_orderkey, o_custkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), names AS (SELECT c_name AS v FROM x UNION ALL SELECT n_name FROM x)
 SELECT 'N1' AS segment, 2 AS element, count(*) AS n, count(DISTINCT v) AS n_distinct FROM names UNION ALL SELECT 'N1', 4, count(*), count(DISTINCT o_custkey) FROM x UNION ALL SELECT 'REF', 2, count(*), count(DISTINCT o_custkey) FROM x""",
+    recon_warehouse: "SELECT l_orderkey AS doc, 'w03-transfer-sum' AS rule, 1::BIGINT AS missing FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY 1",
+    recon_scoped_total: "SELECT l_orderkey AS doc, 3::BIGINT AS difference FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY 1",
+    import_classify: """WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN 'CODE_LIST' WHEN p_partkey % 13 = 0 THEN 'DIRECT' WHEN p_partkey % 19 = 0 THEN 'CODE_LIST' WHEN p_partkey % 6 = 0 AND p_partkey % 3 = 0 THEN 'CONSTANT'
+  WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'CONDITIONAL' WHEN p_partkey % 3 <> 0 THEN 'DIRECT' ELSE 'TODO' END AS kind FROM part)
+SELECT kind, CASE WHEN k % 17 = 0 THEN 'no target' WHEN kind = 'TODO' THEN 'no evidence of a rule' WHEN kind <> 'CONSTANT' AND k % 3 = 0 THEN 'source is no element' WHEN kind = 'CODE_LIST' AND k % 19 <> 0 THEN 'no code list'
+  WHEN kind = 'CONDITIONAL' AND k % 5 <> 0 THEN 'condition is prose' ELSE '-' END AS review, count(*) AS n FROM r GROUP BY ALL""",
+    delta_merge: "SELECT p_partkey AS row_id, CASE WHEN p_partkey % 3 <> 0 THEN 0 ELSE 1 END AS part, CASE WHEN p_partkey % 5 = 0 THEN 'partner rule' ELSE p_name END AS body, CASE WHEN p_partkey % 5 = 0 THEN 'partner' ELSE 'base' END AS origin FROM part WHERE p_partkey % 10 <> 0 AND (p_partkey % 3 <> 0 OR p_partkey % 5 = 0)",
+    overlay_apply: """WITH b AS (SELECT 'S' || (p_partkey % 50) AS segment, CASE WHEN p_partkey % 2 = 0 THEN 'N1' END AS loop FROM part WHERE p_partkey < 50), o AS (SELECT 'S' || (p_partkey % 50) AS segment, p_partkey % 5 = 0 AS other, CASE WHEN p_partkey % 3 = 0 THEN 'N1' ELSE 'PO1' END AS loop FROM part WHERE p_partkey < 100)
+SELECT 'base' AS origin, segment, count(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'partner', segment, count(*) FROM o WHERE other OR NOT EXISTS (SELECT 1 FROM b WHERE b.segment = o.segment AND (b.loop IS NULL OR b.loop = o.loop)) GROUP BY 2""",
+    draft_prefill: "SELECT count(*) FILTER (p_partkey % 4 <> 0) AS required, count(*) FILTER (p_partkey % 4 <> 0 AND p_partkey % 5 <> 0) AS prefilled, count(*) FILTER (p_partkey % 5 = 0) AS todo, round(count(*) FILTER (p_partkey % 4 <> 0 AND p_partkey % 5 <> 0) / count(*) FILTER (p_partkey % 4 <> 0), 6) AS prefill FROM part",
+    batch_totals: "SELECT count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 5 <> 0) AS pass, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 5 = 0) AS warning, count(*) FILTER (p_partkey % 7 = 0) AS fail, 0::BIGINT AS error, 1 AS exit_code FROM part",
     flat_fold: _LAYOUT.format(po="po_number", count="count"),
     fixed_width_fold: _LAYOUT.format(po="po", count="001"),
     delimited_fold: _LAYOUT.format(po="po", count="001"),
