@@ -254,7 +254,7 @@ def _remove(width: int):
     return run
 
 
-def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 8, shard_rows: int = 1000) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, shard_rows: int = 1000) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans ("first byte:end",
     removed) of each row."""
     shards = max(1, -(-docs.count() // shard_rows))
