@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files that only dropped DataFrames refer to. Spark deletes
+    them when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def train_row(doc_id: Column | str = "doc_id") -> Column:
     """True where crc32 of the id's text leaves a remainder other than 2."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

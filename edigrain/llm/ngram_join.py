@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, materialize, mix64, slices, table, word_hashes
+from .common import RollingHash, materialize, mix64, slices, table, tidy, word_hashes
 from .graph import components
 
 BASE = 0x9E3779B97F4A7C15
@@ -243,7 +243,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-CELLS = 1 << 26
+CELLS = 1 << 25
 
 
 def columns_for(sets: list[np.ndarray], rows: int) -> int:
@@ -402,6 +402,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = common_buckets(rows.select("text"), k)
     sigs = rows.select("text").mapInArrow(_fingerprint(k, percent, common), "kind tinyint, a long, b long").repartition("a").sortWithinPartitions("a", "b")
     groups = materialize(components(sigs.mapInArrow(_runs, "a long, b long")))  # node, root: candidate groups of sets
+    del sigs
+    tidy(docs.sparkSession)
     # one document of each distinct set in a group brings the set itself
     heads = own.where(F.col("n") > 0).groupBy("sid").agg(F.min("id").alias("head"), F.max("n").alias("n"), F.first("lots").alias("lots")).join(groups, F.col("sid") == F.col("node")).select("sid", "head", "n", F.explode("lots").alias("lot"), F.col("root").alias("grp"))
     # sets link within a neighbourhood of sizes only: a group for each
@@ -413,6 +415,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("head"))).select("sid", "text")
     fetched = texts.mapInArrow(_sets(k), "sid long, own array<long>").dropDuplicates(["sid"])
     blocked = materialize(heads.select("grp", "blk", "sid", "m").join(fetched, "sid"))
+    del fetched, texts
+    tidy(docs.sparkSession)
     links = materialize(blocked.groupBy("grp", "blk").applyInPandas(_link(percent), "a long, b long"))
     over = blocked.where(F.col("m") > block)
     if over.limit(1).count():

@@ -98,7 +98,7 @@ class Lexicon(dict):
         self.entries = entries
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         if word in ".!?;\n":
             out = (END, 0.0)
@@ -143,7 +143,7 @@ def document_features(text: str, lexicon: Lexicon, machine: Transducer) -> tuple
 
 def _grams(batches):
     """Labelled documents that hold each whole word ("word$") and beginning."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 2 << 20):
         toxic, clean = Counter(), Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             seen = set(TOKEN.findall((text or "").lower()))
