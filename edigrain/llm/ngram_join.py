@@ -104,9 +104,9 @@ def _add_counts(rows: pa.Table) -> pa.Table:
     return pa.table({"piece": rows.column("piece").slice(0, 1), "total": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def common_buckets(texts: DataFrame, k: int, times: int = 3) -> np.ndarray:
-    """Flags of the buckets that hold `times` the mean or more: those of shingles
-    that about one document in a thousand or more has. Which buckets they are
+def common_buckets(texts: DataFrame, k: int, deviations: int = 6) -> np.ndarray:
+    """Flags of the buckets that hold more than the mean by so many of its square
+    roots: those of shingles that many documents have. Which buckets they are
     decides on speed alone; any choice loses no link."""
     counts = texts.mapInArrow(_bucket_counts(k), "piece int, counts binary").groupBy("piece").applyInArrow(_add_counts, "piece int, total long, counts binary")
     got = counts.collect()  # 64 pieces of a fixed size
@@ -114,7 +114,7 @@ def common_buckets(texts: DataFrame, k: int, times: int = 3) -> np.ndarray:
     for r in got:
         piece = np.frombuffer(r["counts"], dtype=np.int64)
         out[r["piece"] * len(piece) : (r["piece"] + 1) * len(piece)] = piece
-    return out > max(times * out.mean(), 16)
+    return out > max(out.mean() + deviations * np.sqrt(out.mean()), 16)
 
 
 def class_fingerprints(own: np.ndarray, percent: int, starts: np.ndarray, common: np.ndarray | None = None) -> list[np.ndarray]:
@@ -392,7 +392,7 @@ def _sets(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block: int = 500, tokens: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block: int = 1500, tokens: int = 3_000_000) -> DataFrame:
     """id, n_shingles and component_id of each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     if rows.schema["id"].dataType.simpleString() != "string":
@@ -420,26 +420,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialize(blocked.groupBy("grp", "blk").applyInPandas(_link(percent), "a long, b long"))
     over = blocked.where(F.col("m") > block)
     if over.limit(1).count():
-        heads2 = over.join(links.where(F.col("a") == F.col("b")).select(F.col("a").alias("sid")), "sid", "left_semi")
-        heads2 = heads2.withColumn("lot", F.expr(f"pmod(xxhash64(sid, 1), ceil(m / {4 * block}))").cast("int"))
+        sets = over.select("sid", "own").dropDuplicates(["sid"])
+        places = over.select("grp", "blk", "sid", "m")  # joined without the sets
+        heads2 = places.join(links.where(F.col("a") == F.col("b")).select(F.col("a").alias("sid")).distinct(), "sid", "left_semi")
+        heads2 = heads2.select("grp", "sid", F.expr(f"pmod(xxhash64(sid, 1), ceil(m / {2 * block}))").cast("int").alias("lot")).join(sets, "sid")
         links = materialize(links.unionByName(heads2.select("grp", "lot", "sid", "own").groupBy("grp", "lot").applyInPandas(_link(percent), "a long, b long")))
         roots = components(links).withColumnRenamed("node", "sid")
-        parts = over.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        parts = places.drop("m").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         apart = parts.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
-        parts = materialize(parts.join(apart, "grp", "left_semi").select("grp", "blk", "sid", "own", "root"))
+        parts = materialize(parts.join(apart, "grp", "left_semi").select("grp", "blk", "sid", "root"))
         blks = parts.select("grp", "blk").distinct()
         pairs = blks.join(blks.withColumnRenamed("blk", "blk2"), "grp").where("blk <= blk2")
         # counts in hashed cells tell which sets need comparing at all
         keys = ["grp", "blk", "blk2"]
-        small = materialize(parts.withColumn("n", F.size("own")).mapInArrow(_sketch, "grp long, blk int, sid long, root long, n int, sketch binary"))
+        small = materialize(parts.join(sets, "sid").withColumn("n", F.size("own")).select("grp", "blk", "sid", "root", "n", "own").mapInArrow(_sketch, "grp long, blk int, sid long, root long, n int, sketch binary"))
         cols = [*keys, "sid", "root", "n", "sketch"]
         left = small.join(pairs, ["grp", "blk"]).select(cols).toDF(*cols)
         right = small.withColumnRenamed("blk", "blk2").join(pairs, ["grp", "blk2"]).select(cols).toDF(*cols)
         near = materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_suspects(percent), "grp long, blk long, blk2 long, sid long, side long"))
         cols = [*keys, "sid", "own", "root"]
-        sets = parts.select("grp", "sid", "own", "root")
-        left = near.where("side = 0").drop("side").join(sets, ["grp", "sid"]).select(cols).toDF(*cols)
-        right = near.where("side = 1").drop("side").join(sets, ["grp", "sid"]).select(cols).toDF(*cols)
+        named = parts.select("grp", "sid", "root")
+        left = near.where("side = 0").drop("side").join(named, ["grp", "sid"]).join(sets, "sid").select(cols).toDF(*cols)
+        right = near.where("side = 1").drop("side").join(named, ["grp", "sid"]).join(sets, "sid").select(cols).toDF(*cols)
         more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across(percent), "a long, b long")
         links = links.unionByName(materialize(more))
     linked = components(links.where("a <> b"))

@@ -93,7 +93,7 @@ def _sets(text, k):
     return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("block", [500, 4])
+@pytest.mark.parametrize("block", [1500, 4])
 @pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
 def test_ngram_components(spark, block, k, percent):
     rng = random.Random(5)
