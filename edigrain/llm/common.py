@@ -54,7 +54,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about max_bytes of column
     (a longer single value stays whole)."""
     for batch in batches:

@@ -160,7 +160,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
 
 def _label(model: Model, penalty: float, id_type: pa.DataType):
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             texts = batch.column("text").to_pylist()
             words: list[str] = []
             sizes = np.zeros(len(texts), dtype=np.int64)

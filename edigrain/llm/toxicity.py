@@ -143,7 +143,7 @@ def document_features(text: str, lexicon: Lexicon, machine: Transducer) -> tuple
 
 def _grams(batches):
     """Labelled documents that hold each whole word ("word$") and beginning."""
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 19):
         toxic, clean = Counter(), Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             seen = set(TOKEN.findall((text or "").lower()))
@@ -239,21 +239,23 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]],
     return rows.mapInArrow(_score(*model, threshold), f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, clauses string")
 
 
-def _predict(entries: dict[str, float], weights: list[float], threshold: float):
+def _predict(entries: dict[str, float], weights: list[float], threshold: float, text_col: str):
     def run(batches):
         scorer = Scorer(entries, weights)
-        for batch in slices(batches, "text"):
-            score, _ = scorer(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array((score >= threshold).astype(np.int32))], ["row", "predicted"])
+        for whole in batches:
+            texts = pa.compute.struct_field(whole.column("row"), text_col)
+            for batch in slices(iter([pa.RecordBatch.from_arrays([whole.column("row"), texts], ["row", "text"])]), "text"):
+                score, _ = scorer(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array((score >= threshold).astype(np.int32))], ["row", "predicted"])
 
     return run
 
 
 def keep_clean(docs: DataFrame, model: tuple[dict[str, float], list[float]], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns kept, that are not predicted toxic."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(*model, threshold), f"row {kind}, predicted int").where("predicted = 0").select("row.*")
+    return rows.mapInArrow(_predict(*model, threshold, text_col), f"row {kind}, predicted int").where("predicted = 0").select("row.*")
 
 
 def op7_toxicity(spark, sf_dir):
