@@ -412,7 +412,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = heads.groupBy("grp", "lot").agg(F.count("*").alias("held"), F.greatest(F.count("*"), F.ceil(F.sum("n") * block / tokens)).alias("m")).where("held > 1")
     heads = materialize(heads.join(size, ["grp", "lot"]).select("sid", "head", "m", F.xxhash64("grp", "lot").alias("grp"), F.expr(f"pmod(xxhash64(sid), ceil(m / {block}))").cast("int").alias("blk")))
     wanted = heads.groupBy("sid").agg(F.min("head").alias("head"))
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("head"))).select("sid", "text")
+    # the wanted ids grow with the corpus: never broadcast
+    texts = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("head"))).select("sid", "text")
     fetched = texts.mapInArrow(_sets(k), "sid long, own array<long>").dropDuplicates(["sid"])
     blocked = materialize(heads.select("grp", "blk", "sid", "m").join(fetched, "sid"))
     del fetched, texts
