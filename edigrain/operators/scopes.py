@@ -73,23 +73,33 @@ def cells(placed: DataFrame) -> DataFrame:
     return own.where(F.col("value") != "").withColumn("elem_ix", F.col("e") + 1).drop("e")
 
 
-def leaves(docs: DataFrame, depth: int = 4) -> DataFrame:
-    """Leaves of (doc, v VARIANT): doc, norm_path (lists as []), concrete_path,
-    line_ix (of the outermost list), leaf_type, leaf_text. Empty objects and
-    lists yield nothing."""
+def nesting(docs: DataFrame) -> int:
+    """Levels of the deepest of (doc, v VARIANT): open brackets of its text,
+    without escapes and strings."""
+    brackets = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.to_json("v"), r"\\.", ""), r'"[^"]*"', ""), r"[^\[\]{}]", "")
+    turn = lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walk = F.aggregate(F.split(brackets, ""), start, lambda a, c: F.struct((a["now"] + turn(c)).alias("now"), F.greatest(a["most"], a["now"] + turn(c)).alias("most")))
+    return docs.agg(F.max(walk["most"])).first()[0] or 0
+
+
+def leaves(docs: DataFrame) -> DataFrame:
+    """Leaves of (doc, v VARIANT) at every depth: doc, norm_path (lists as []),
+    concrete_path, line_ix (of the outermost list), leaf_type, leaf_text. Empty
+    objects and lists yield nothing. Counts the levels of docs first; a step
+    opens one, and leaves found pass through."""
     tvf = docs.sparkSession.tvf
-    level = docs.select("doc", "v", F.lit("").alias("norm_path"), F.lit("").alias("concrete_path"), F.lit(None).cast("int").alias("line_ix"))
-    out = None
-    for _ in range(depth):
-        step = level.lateralJoin(tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value"))
+    none = F.lit(None).cast("string")
+    rows = docs.select("doc", "v", F.lit("").alias("norm_path"), F.lit("").alias("concrete_path"), F.lit(None).cast("int").alias("line_ix"), none.alias("leaf_type"), F.col("v").alias("inner"), F.lit(True).alias("open"))
+    for _ in range(nesting(docs)):
+        step = rows.lateralJoin(tvf.variant_explode_outer(F.col("inner").outer()).toDF("pos", "key", "value")).where("not open or pos is not null")
+        put = lambda new, old: F.when(F.col("open"), new).otherwise(F.col(old)).alias(old)
         dot = lambda c: F.when(F.col(c) == "", F.col("key")).otherwise(F.concat(F.col(c), F.lit("."), "key"))
         step = step.select(
-            "doc", F.col("value").alias("v"), F.when(F.col("key").isNull(), F.concat("norm_path", F.lit("[]"))).otherwise(dot("norm_path")).alias("norm_path"),
-            F.when(F.col("key").isNull(), F.format_string("%s[%d]", "concrete_path", "pos")).otherwise(dot("concrete_path")).alias("concrete_path"),
-            F.coalesce("line_ix", F.when(F.col("key").isNull(), F.col("pos"))).alias("line_ix"), F.schema_of_variant("value").alias("leaf_type"),
+            "doc", "open", put(F.col("value"), "v"), put(F.when(F.col("key").isNull(), F.concat("norm_path", F.lit("[]"))).otherwise(dot("norm_path")), "norm_path"),
+            put(F.when(F.col("key").isNull(), F.format_string("%s[%d]", "concrete_path", "pos")).otherwise(dot("concrete_path")), "concrete_path"),
+            put(F.coalesce("line_ix", F.when(F.col("key").isNull(), F.col("pos"))), "line_ix"), put(F.schema_of_variant("value"), "leaf_type"),
         )
-        nested = F.col("leaf_type").startswith("OBJECT") | F.col("leaf_type").startswith("ARRAY")
-        found = step.where(~nested).select("doc", "norm_path", "concrete_path", "line_ix", "leaf_type", F.try_variant_get("v", "$", "string").alias("leaf_text"))
-        out = found if out is None else out.unionByName(found)
-        level = step.where(nested).drop("leaf_type")
-    return out
+        nested = F.col("open") & (F.col("leaf_type").startswith("OBJECT") | F.col("leaf_type").startswith("ARRAY"))
+        rows = step.withColumn("open", nested).withColumn("inner", F.when(F.col("open"), F.col("v")))
+    return rows.where(~F.col("open")).select("doc", "norm_path", "concrete_path", "line_ix", "leaf_type", F.try_variant_get("v", "$", "string").alias("leaf_text"))
