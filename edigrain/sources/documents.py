@@ -29,8 +29,9 @@ def flat_leaves(lines: DataFrame) -> DataFrame:
     line_ix, leaf_text. H and S sections merge, the later line winning; A lines
     are kept by role; each D line is an entry of the list."""
     rows = lines.where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
-    parts = rows.select("file_id", "line_no", F.upper(F.substring_index("value", "|", 1)).alias("code"), F.slice(F.split("value", "\\|", -1), 2, 1000).alias("pairs"))
-    pairs = parts.select("*", F.explode(F.transform("pairs", lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.instr(p, "=") + 1, F.lit(100000)).alias("x")))).alias("p"))
+    parts = rows.select("file_id", "line_no", F.upper(F.substring_index("value", "|", 1)).alias("code"), F.split("value", "\\|", -1).alias("all"))
+    parts = parts.select("file_id", "line_no", "code", F.slice("all", 2, F.size("all") - 1).alias("pairs"))
+    pairs = parts.select("*", F.explode(F.transform("pairs", lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("x")))).alias("p"))
     role = F.max(F.when(F.col("p.k") == "role", F.col("p.x"))).over(Window.partitionBy("file_id", "line_no"))
     nth = F.dense_rank().over(Window.partitionBy("file_id", "code").orderBy("line_no")) - 1
     pairs = pairs.withColumn("role", role).withColumn("nth", nth)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from edigrain.operators import checks, scopes
 from edigrain.plans.spec import PURCHASE_ORDER
+from edigrain.sources import documents
 
 
 def _variants(spark, *docs):
@@ -25,3 +26,11 @@ def test_leaves_of_forty_levels(spark):
     for _ in range(40):
         doc = {"k": doc}
     assert [r.norm_path for r in scopes.leaves(_variants(spark, doc)).collect()] == [".".join(["k"] * 40)]
+
+
+def test_flat_keeps_wide_records_and_long_values(spark):
+    wide = "H" + "".join(f"|f{i}={i}" for i in range(1, 1002))
+    long = "S|t=" + "x" * 100_001
+    rows = spark.createDataFrame([("f", i, r) for i, r in enumerate([wide, long, "H"])], "file_id string, line_no int, value string")
+    got = {r.norm_path: r.leaf_text for r in documents.flat_leaves(rows).collect()}
+    assert len(got) == 1002 and got["header.f1001"] == "1001" and len(got["summary.t"]) == 100_001
