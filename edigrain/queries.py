@@ -240,12 +240,11 @@ def validate_interchange(spark, sf_dir):
 
 
 def status_rollup(spark, sf_dir):
-    header = header_findings(_placed(spark, sf_dir), _docs(spark, sf_dir), PURCHASE_ORDER, D850)
-    return validate.rollup(header, "doc")
+    return validate.rollup(_findings(spark, sf_dir), "doc")
 
 
 def category_rollup(spark, sf_dir):
-    return validate.root_causes(header_findings(_placed(spark, sf_dir), _docs(spark, sf_dir), PURCHASE_ORDER, D850))
+    return validate.root_causes(_findings(spark, sf_dir))
 
 
 _HEADER_FAIL = "(CASE WHEN k % 19 <> 0 AND k % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 37 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 31 = 0 THEN 1 ELSE 0 END)"
