@@ -137,12 +137,14 @@ def unmapped_target(docs: DataFrame, spec: Spec) -> DataFrame:
 
 def pair(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, issues) of (doc, key) on both sides: the first document of a key
-    is paired; further ones are reported once a side, and so is what is left."""
+    is paired; further ones are reported once a side, and so is what is left.
+    Each document without a key is an issue of its own."""
     def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        none = df.where("key is null").select("key", F.lit(f"no_key_{name}").alias("issue"))
         w = Window.partitionBy("key").orderBy("doc")
-        own = df.withColumn("nth", F.row_number().over(w)).withColumn("of", F.count("*").over(Window.partitionBy("key")))
-        dup = own.where((F.col("nth") == 2) & F.col("key").isNotNull()).select("key", F.lit(f"duplicate_{name}").alias("issue"))
-        return own.where("nth = 1").select("key", F.col("doc").alias(f"{name}_doc")), dup
+        own = df.where("key is not null").withColumn("nth", F.row_number().over(w)).withColumn("of", F.count("*").over(Window.partitionBy("key")))
+        dup = own.where("nth = 2").select("key", F.lit(f"duplicate_{name}").alias("issue"))
+        return own.where("nth = 1").select("key", F.col("doc").alias(f"{name}_doc")), dup.unionByName(none)
 
     (s, ds), (t, dt) = side(source, "source"), side(target, "target")
     both = s.join(t, "key", "full_outer")

@@ -166,7 +166,7 @@ def unmapped_target(spark, sf_dir):
 def pairing_orphans(spark, sf_dir):
     src = derived.transaction_segments(spark, sf_dir).where("seg_id = 'BEG'").select("doc", F.nullif(F.get("elements", 2), F.lit("")).alias("key"))
     tgt = _docs(spark, sf_dir).select("doc", F.try_variant_get("v", "$.order.po_number", "string").alias("key"))
-    return checks.pair(src.where("key is not null"), tgt.where("key is not null"))[1].groupBy("issue").agg(F.count("*").alias("n"))
+    return checks.pair(src, tgt)[1].groupBy("issue").agg(F.count("*").alias("n"))
 
 
 def pairing_duplicates(spark, sf_dir):
@@ -230,7 +230,11 @@ RULES = {
 
 
 def _findings(spark, sf_dir):
-    return validate.validate(_placed(spark, sf_dir), _docs(spark, sf_dir), PURCHASE_ORDER, D850)
+    """Of documents; of groups and interchanges too, with a null doc."""
+    own = x12.control_issues(x12.number_envelopes(derived.transaction_segments(spark, sf_dir).withColumnRenamed("doc", "file_id")))
+    files = x12.control_issues(x12.number_envelopes(x12.tokenize(derived.interchange_text(spark, sf_dir)))).where("issue not like 'se%'")
+    rows = validate.validate(_placed(spark, sf_dir), _docs(spark, sf_dir), PURCHASE_ORDER, D850)
+    return rows.unionByName(validate.envelope_findings(own, F.col("file_id"))).unionByName(validate.envelope_findings(files))
 
 
 def validate_interchange(spark, sf_dir):
