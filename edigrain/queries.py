@@ -61,8 +61,10 @@ def truncated_interchange(spark, sf_dir):
 
 
 def raw_tail(spark, sf_dir):
-    files = derived.interchange_text(spark, sf_dir).withColumn("text", F.when(F.length("text") % 2 == 0, F.concat("text", F.lit("\nLEFT OVER"))).otherwise(F.col("text")))
-    return x12.raw_tail(files).groupBy("tail").agg((F.count("*") > 0).alias("found"))
+    """Text after the last terminator, planted in every third file."""
+    n = F.substring("file_id", 2, 20).cast("long")
+    files = derived.interchange_text(spark, sf_dir).withColumn("text", F.when(n % 3 == 0, F.concat("text", F.lit("\nLEFT OVER "), "file_id")).otherwise(F.col("text")))
+    return x12.raw_tail(files).select("file_id", "tail")
 
 
 def transaction_split(spark, sf_dir):
@@ -437,9 +439,9 @@ def delta_merge(spark, sf_dir):
 
 def overlay_apply(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
-    name = F.concat(F.lit("S"), F.col("k") % 50)
-    base = part.where("k < 50").select(name.alias("segment"), F.array(F.lit("A"), F.lit("B")).alias("codes"), F.when(F.col("k") % 2 == 0, "N1").alias("loop"))
-    over = part.where("k < 100").select(name.alias("segment"), F.when(F.col("k") % 5 == 0, F.array(F.lit("C"))).otherwise(F.array(F.lit("B"), F.lit("A"))).alias("codes"), F.when(F.col("k") % 3 == 0, "N1").otherwise("PO1").alias("loop"))
+    name = F.concat(F.lit("S"), F.expr("k div 2"))
+    base = part.where("k % 2 = 0").select(name.alias("segment"), F.array(F.lit("A"), F.lit("B")).alias("codes"), F.when(F.col("k") % 4 == 0, "N1").alias("loop"))
+    over = part.select(name.alias("segment"), F.when(F.col("k") % 5 == 0, F.array(F.lit("C"))).otherwise(F.array(F.lit("B"), F.lit("A"))).alias("codes"), F.when(F.col("k") % 3 == 0, "N1").otherwise("PO1").alias("loop"))
     return partners.apply_overlay(base, over).groupBy("origin", "segment").agg(F.count("*").alias("n"))
 
 
