@@ -233,8 +233,8 @@ RULES = {
 
 def _findings(spark, sf_dir):
     """Of documents; of groups and interchanges too, with a null doc."""
-    own = x12.control_issues(x12.number_envelopes(derived.transaction_segments(spark, sf_dir).withColumnRenamed("doc", "file_id")))
-    files = x12.control_issues(x12.number_envelopes(x12.tokenize(derived.interchange_text(spark, sf_dir)))).where("issue not like 'se%'")
+    own = x12.control_issues(x12.number_envelopes(derived.transaction_segments(spark, sf_dir).withColumnRenamed("doc", "file_id")), ("SE",))
+    files = x12.control_issues(x12.number_envelopes(x12.tokenize(derived.interchange_text(spark, sf_dir))), ("GE", "IEA"))
     rows = validate.validate(_placed(spark, sf_dir), _docs(spark, sf_dir), PURCHASE_ORDER, D850)
     return rows.unionByName(validate.envelope_findings(own, F.col("file_id"))).unionByName(validate.envelope_findings(files))
 

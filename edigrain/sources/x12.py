@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +57,9 @@ def ids_match(a: Column, b: Column) -> Column:
     return F.when(digits, F.ltrim(a, F.lit("0")) == F.ltrim(b, F.lit("0"))).otherwise(a == b)
 
 
-def control_issues(numbered: DataFrame) -> DataFrame:
-    """file_id, issue, expected, actual of every trailer that doesn't add up, and
-    of envelopes that were never closed."""
+def control_issues(numbered: DataFrame, kinds: tuple[str, ...] = ("SE", "GE", "IEA")) -> DataFrame:
+    """file_id, issue, expected, actual of every trailer (of these kinds) that
+    doesn't add up, and of envelopes that were never closed."""
     def trailer(kind: str, opener: str, key: list[str], count: Column, head: int) -> DataFrame:
         own = numbered.groupBy("file_id", *key).agg(
             count.alias("found"), F.max(F.when(F.col("seg_id") == opener, element(head))).alias("opened"),
@@ -66,12 +68,16 @@ def control_issues(numbered: DataFrame) -> DataFrame:
         )
         own = own.where("had = 1")
         claimed = F.expr("try_cast(claimed AS BIGINT)")
-        wrong = own.where((F.col("has") == 1) & (claimed.isNull() if kind != "IEA" else F.lit(False)) | (claimed != F.col("found"))).select("file_id", F.lit(f"{kind.lower()}_count").alias("issue"), F.col("found").cast("string").alias("expected"), F.col("claimed").alias("actual"))
-        ids = own.where((F.col("has") == 1) & ~F.coalesce(ids_match(F.col("opened"), F.col("closed")), F.lit(False))).select("file_id", F.lit(f"{kind.lower()}_control").alias("issue"), F.col("opened").alias("expected"), F.col("closed").alias("actual"))
-        open_ = own.where("has = 0").select("file_id", F.lit(f"{kind.lower()}_missing").alias("issue"), F.lit(kind).alias("expected"), F.lit(None).cast("string").alias("actual"))
-        return wrong.unionByName(ids).unionByName(open_)
-
-    se = trailer("SE", "ST", ["isa_ix", "st_ix"], F.count_if(F.col("in_st")), 2)
-    ge = trailer("GE", "GS", ["isa_ix", "gs_ix"], F.count_if(F.col("seg_id") == "ST"), 6)
-    iea = trailer("IEA", "ISA", ["isa_ix"], F.count_if(F.col("seg_id") == "GS"), 13)
-    return se.unionByName(ge).unionByName(iea)
+        has, text = F.col("has") == 1, F.lit(None).cast("string")
+        wrong = has & (claimed.isNull() if kind != "IEA" else F.lit(False)) | (claimed != F.col("found"))
+        ids = has & ~F.coalesce(ids_match(F.col("opened"), F.col("closed")), F.lit(False))
+        one = lambda name, on, expected, actual: F.struct(F.lit(f"{kind.lower()}_{name}").alias("issue"), expected.alias("expected"), actual.alias("actual"), F.coalesce(on, F.lit(False)).alias("on"))
+        all_ = F.array(one("count", wrong, F.col("found").cast("string"), F.col("claimed")), one("control", ids, F.col("opened"), F.col("closed")), one("missing", F.col("has") == 0, F.lit(kind), text))
+        return own.select("file_id", F.explode(all_).alias("i")).where("i.on").select("file_id", "i.issue", "i.expected", "i.actual")
+
+    own = {
+        "SE": ("ST", ["isa_ix", "st_ix"], F.count_if(F.col("in_st")), 2),
+        "GE": ("GS", ["isa_ix", "gs_ix"], F.count_if(F.col("seg_id") == "ST"), 6),
+        "IEA": ("ISA", ["isa_ix"], F.count_if(F.col("seg_id") == "GS"), 13),
+    }
+    return reduce(DataFrame.unionByName, (trailer(k, *own[k]) for k in kinds))
