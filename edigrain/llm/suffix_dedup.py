@@ -1,26 +1,41 @@
 """Suffix-array dedup of byte strings.
 
 A byte is removed if a string of `width` bytes that covers it also starts in a
-document with a smaller id. Documents are dealt into shards; each shard reports
-its distinct runs of windows (see runs.py) with the least id that holds them,
-and an exchange by anchor finds the least id of each run, and of single windows
-where runs differ. Every shard then gets back the passages that occur in a
-smaller document, one place of each.
-
-A shard's suffix array is built over those stretches of its texts that begin
-like one of the passages: suffixes are sorted by their first eight bytes, then
-refined by the ranks of the suffixes 8, 16, 32 ... bytes on (Larsson and
-Sadakane), only groups still tied taking part. Common prefixes of neighbours
-come from Kasai's scan, run over many pieces of the text in step. The suffixes
-that share a passage are neighbours of its own place in the array, and binary
-search over the least common prefixes finds the first and the last of them.
-
-Shards are merged by an exchange of fingerprints and not by searching one
-shard's array for another's suffixes: that would compare all pairs of shards.
+document with a smaller id. Documents are dealt into shards of about
+`shard_bytes`.
+
+Within a shard, a suffix array over the whole text decides: suffixes are sorted
+by their first eight bytes, then refined by the ranks of the suffixes 8, 16,
+32 ... bytes on (Larsson and Sadakane), only groups still tied taking part.
+Kasai's scan, run over many pieces of the text in step, gives the common
+prefixes of neighbours; neighbours that share `width` bytes form a group, and all
+its places in documents greater than its least lose these bytes.
+
+Across shards, sorted lists are merged by binary search, each key's place in the
+merged list telling which shards hold it. So that not every byte is a key, only
+anchors are: of each window of `width` bytes, its gram of `gram` bytes with the
+least hash. Equal windows have equal anchors, and consecutive windows with one
+anchor form a run (see runs.py). Shards send, in sorted and packed lists dealt by
+range:
+
+1. anchors (5 bytes each), and learn which of them another shard has too;
+2. of these anchors, their runs (64-bit fingerprints) with the least id that holds
+   them, and learn the least id of all shards, and which anchors have several
+   runs;
+3. of runs of such anchors that no smaller document holds whole, the fingerprints
+   of their single windows, and learn the least id of each.
+
+A reply is as long as the list sent and in its order, so it holds no keys. A list
+has one entry of a key for each shard, however often the shard holds it: a
+passage that a third of all documents share is one entry a shard. Lists shorten
+as shards and ranges grow in number; from some 10 TB on, give larger
+`shard_bytes` and `range_keys`.
 
 Null, empty and odd input: null and empty texts have no bytes. Rows without an
 id count as greater than all ids. Repeated rows, and rows with one id, don't
-remove from each other. Extra columns are ignored.
+remove from each other; each gets its row. A text longer than a shard is a shard
+of its own, whole. An empty table gives an empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +44,30 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, table
-from .runs import Runs, first_of
-from .substring_dedup import _places, ranges
+from .runs import Runs
+from .substring_dedup import ranges
 
 _SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64))
 LAST = (1 << 63) - 1
+#: Kinds of lists.
+ANCHORS, KINDS, RUNS, WINDOWS = range(4)
+_LIST = "step int, part int, shard long, keys binary, vals binary"
+_REPLY = "step int, part int, shard long, vals binary"
 
 
 def _bytes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    own = [t or b"" for t in texts.to_pylist()]
-    return np.frombuffer(b"".join(own), dtype=np.uint8), np.array([len(t) for t in own], dtype=np.int64)
+    if not len(texts) or pa.types.is_large_binary(texts.type):
+        own = [t or b"" for t in texts.to_pylist()]
+        return np.frombuffer(b"".join(own), dtype=np.uint8), np.array([len(t) for t in own], dtype=np.int64)
+    one = pa.compute.fill_null(texts, b"").combine_chunks()
+    one = one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
+    edges = np.frombuffer(one.buffers()[1], dtype=np.int32)[one.offset : one.offset + len(one) + 1].astype(np.int64)
+    data = np.frombuffer(one.buffers()[2] or b"", dtype=np.uint8)
+    return data[edges[0] : edges[-1]], np.diff(edges)
 
 
 def key8(text: np.ndarray) -> np.ndarray:
@@ -54,43 +79,46 @@ def key8(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, rank of each)."""
+def suffix_array(text: np.ndarray, width: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes in order, rank of each, places that share with another place the
+    most of 8, 16, 32 ... bytes that are no more than `width`, in text order)."""
     n = len(text)
     keys = key8(text)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
+    keys = keys[order]
     lead = np.ones(n, dtype=bool)
-    lead[1:] = keys[order][1:] != keys[order][:-1]
-    rank = np.empty(n, dtype=np.int64)
+    lead[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(lead)
-    rank[order] = np.repeat(first, np.diff(np.append(first, n)))  # a group's rank is its first place
-    h = 8
-    while True:
-        size = np.diff(np.append(first, n))
-        tied = np.repeat(size > 1, size)
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
+    size = np.diff(np.append(first, n))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.repeat(first, size)  # a group's rank is its first place
+    at = np.flatnonzero(np.repeat(size > 1, size))
+    group = np.repeat(first[size > 1], size[size > 1])
+    h, sharing = 8, np.arange(n)
+    while len(at):
         own = order[at]
-        further = np.where(own + h < n, rank[np.minimum(own + h, n - 1)], -own)  # past the end: the shorter first
-        by = np.lexsort((further, rank[own]))
-        own, further, group = own[by], further[by], rank[own][by]
+        if h <= width:
+            sharing = np.sort(own)
+        further = np.where(own + h < n, rank[np.minimum(own + h, n - 1)] + n, n - 1 - own)  # past the end: the shorter first
+        pair = group.astype(np.uint64) << np.uint64(32) | further.astype(np.uint64)
+        by = np.argsort(pair)
+        own, pair = own[by], pair[by]
         order[at] = own
         new = np.ones(len(at), dtype=bool)
-        new[1:] = (group[1:] != group[:-1]) | (further[1:] != further[:-1])
-        start = at[np.flatnonzero(new)]
-        rank[own] = np.repeat(start, np.diff(np.append(np.flatnonzero(new), len(at))))
-        lead = np.zeros(n, dtype=bool)
-        lead[np.flatnonzero(~tied)] = True
-        lead[start] = True
-        first = np.flatnonzero(lead)
+        new[1:] = pair[1:] != pair[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(at)))
+        rank[own] = np.repeat(at[start], size)
+        group = np.repeat(at[start][size > 1], size[size > 1])
+        at = at[np.repeat(size > 1, size)]
         h *= 2
-    return order, rank
+    return order, rank, sharing
 
 
-def kasai(text: np.ndarray, order: np.ndarray, cap: int, lanes: int = 2048) -> np.ndarray:
-    """Common prefix, up to cap, of each suffix in `order` with the one before.
-    The text is cut into lanes; each follows Kasai's scan from its first place."""
+def kasai(text: np.ndarray, order: np.ndarray, cap: int, places: np.ndarray | None = None, most: int = 512) -> np.ndarray:
+    """Common prefix, up to cap, of each suffix in `order` with the one before; of
+    suffixes at other places than `places` (sorted) 0. The places are cut into
+    stretches of up to `most`; each follows Kasai's scan from its first place."""
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
@@ -98,9 +126,13 @@ def kasai(text: np.ndarray, order: np.ndarray, cap: int, lanes: int = 2048) -> n
     other = padded.copy()
     other[n:] = -2
     common = np.zeros(n, dtype=np.int64)
-    step = -(-n // max(1, min(lanes, n)))
-    at = np.arange(0, n, step)
-    stop = np.minimum(at + step, n)
+    places = np.arange(n) if places is None else places
+    new = np.ones(len(places), dtype=bool)
+    new[1:] = places[1:] != places[:-1] + 1
+    lead = np.flatnonzero(new)
+    inner = np.arange(len(places)) - np.repeat(lead, np.diff(np.append(lead, len(places))))
+    lead = np.flatnonzero(inner % most == 0)
+    at, stop = places[lead], places[lead] + np.diff(np.append(lead, len(places)))
     held = np.zeros(len(at), dtype=np.int64)
     while len(at):
         prev = before[at]
@@ -114,164 +146,208 @@ def kasai(text: np.ndarray, order: np.ndarray, cap: int, lanes: int = 2048) -> n
         live = at < stop
         if not live.all():
             at, stop, held = at[live], stop[live], held[live]
-    out = np.zeros(n, dtype=np.int64)
-    out[:] = common[order]
-    return out
-
-
-def neighbours(common: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last array places around `place` whose suffixes share `size`
-    bytes, by binary search over least common prefixes of 1, 2, 4 ... neighbours."""
-    n = len(common)
-    levels = [common]
-    while (1 << len(levels)) <= n:
-        half = 1 << (len(levels) - 1)
-        prior = levels[-1]
-        levels.append(np.minimum(prior[: len(prior) - half], prior[half:]))
-    low, high = place.copy(), place.copy()
-    for k in range(len(levels) - 1, -1, -1):
-        span = 1 << k
-        row = levels[k]
-        fine = low - span >= 0  # common[low - span + 1 .. low] joins low - span to low
-        took = fine & (row[np.clip(low - span + 1, 0, len(row) - 1)] >= size)
-        low = np.where(took, low - span, low)
-        fine = high + span <= n - 1
-        took = fine & (row[np.clip(high + 1, 0, len(row) - 1)] >= size)
-        high = np.where(took, high + span, high)
-    return low, high
-
-
-def _report(width: int, gram: int):
+    return common[order]
+
+
+def repeats_within(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """Places of windows that also start in a smaller document of the same text."""
+    if len(text) < 2:
+        return np.zeros(0, dtype=np.int64)
+    order, _, sharing = suffix_array(text, width)
+    common = kasai(text, order, width, sharing)
+    joined = np.flatnonzero(common >= width)
+    if not len(joined):
+        return joined
+    member = np.zeros(len(text), dtype=bool)
+    member[joined] = member[joined - 1] = True
+    at = np.flatnonzero(member)
+    place = order[at]
+    lead = np.flatnonzero(common[at] < width)
+    ends = np.cumsum(sizes)
+    owner = np.searchsorted(ends, place, side="right")
+    whole = ends[owner] - place >= width
+    own = np.where(whole, doc[owner], LAST)
+    least = np.repeat(np.minimum.reduceat(own, lead), np.diff(np.append(lead, len(at))))
+    return place[whole & (own > least)]
+
+
+def _parts(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, first, end) of sorted keys, dealt by range."""
+    edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    return [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+
+
+def _pack5(keys: np.ndarray) -> np.ndarray:
+    """The upper 40 bits. Keys that only differ below count as one, which can make
+    more anchors shared, or of several runs, but none fewer."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, 3:]
+
+
+def _unpack5(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).reshape(-1)
+
+
+def _lists(shard: int, parts: int, *lists) -> pa.Table:
+    """Packed lists of (step, sorted keys, values or None)."""
+    step, part, keys, vals = [], [], [], []
+    for kind, own, with_ in lists:
+        for p, a, b in _parts(own, parts):
+            step.append(kind)
+            part.append(p)
+            keys.append((_pack5(own[a:b]) if kind in (ANCHORS, KINDS) else own[a:b]).tobytes())
+            vals.append(None if with_ is None else with_[a:b].tobytes())
+    return pa.table({"step": pa.array(step, pa.int32()), "part": pa.array(part, pa.int32()), "shard": pa.array([shard] * len(step), pa.int64()), "keys": pa.array(keys, pa.binary()), "vals": pa.array(vals, pa.binary())})
+
+
+def merge_lists(lists: pa.Table) -> pa.Table:
+    """Merge the shards' sorted lists of one range, and reply to each of them."""
+    step = lists.column("step")[0].as_py()
+    read = _unpack5 if step in (ANCHORS, KINDS) else lambda b: np.frombuffer(b, dtype=np.uint64)
+    keys = [read(b) for b in lists.column("keys").to_pylist()]
+    merged = np.unique(np.concatenate(keys))
+    place = [np.searchsorted(merged, k) for k in keys]
+    if step == ANCHORS:
+        held = np.zeros(len(merged), dtype=np.int64)
+        for p in place:
+            held[p] += 1
+        replies = [np.packbits(held[p] > 1).tobytes() for p in place]
+    else:
+        kind = np.uint64 if step == KINDS else np.int64
+        vals = [np.frombuffer(b, dtype=kind) for b in lists.column("vals").to_pylist()]
+        low, high = np.full(len(merged), np.iinfo(kind).max, dtype=kind), np.zeros(len(merged), dtype=kind)
+        for p, v in zip(place, vals):
+            np.minimum.at(low, p, v)
+            np.maximum.at(high, p, v)
+        replies = [np.packbits((low[p] != high[p]) | (low[p] == 0)).tobytes() if step == KINDS else np.where(low[p] < v, low[p], LAST).tobytes() for p, v in zip(place, vals)]
+    return pa.table({"step": lists.column("step"), "part": lists.column("part"), "shard": lists.column("shard"), "vals": pa.array(replies, pa.binary())})
+
+
+class Shard:
+    """A shard's runs, and what the replies say of them. Everything is in the
+    order of keys, so it does not depend on the order of rows."""
+
+    def __init__(self, docs: pa.Table, back: pa.Table, width: int, gram: int, parts: int):
+        self.text, self.sizes = _bytes(docs.column("text"))
+        self.doc = docs.column("doc").to_numpy()
+        self.runs = Runs(_SYMBOL[self.text], self.sizes, width, gram)
+        self.back, self.parts, self.width = back, parts, width
+        anchors, which = np.unique(self.runs.anchor, return_inverse=True)
+        shared = self._read(ANCHORS, anchors)
+        own = np.flatnonzero(shared[which])
+        self.anchors = anchors[shared]
+        self.start, self.count = self.runs.start[own], self.runs.count[own]
+        self.anchor = np.searchsorted(self.anchors, self.runs.anchor[own])
+        self.print, self.owner = self.runs.print[own], self.doc[self.runs.doc[own]]
+        self.prints, self.kind = np.unique(self.print, return_inverse=True)
+
+    def _read(self, step: int, keys: np.ndarray) -> np.ndarray:
+        own = self.back.filter(pa.compute.equal(self.back.column("step"), step)) if self.back.num_rows else self.back
+        got = dict(zip(own.column("part").to_pylist(), own.column("vals").to_pylist()))
+        if step in (ANCHORS, KINDS):
+            out = [np.unpackbits(np.frombuffer(got[p], dtype=np.uint8), count=b - a).astype(bool) for p, a, b in _parts(keys, self.parts)]
+            return np.concatenate([np.zeros(0, dtype=bool), *out])
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(got[p], dtype=np.int64) for p, _, _ in _parts(keys, self.parts))])
+
+    def least(self, of: np.ndarray, n: int) -> np.ndarray:
+        """Least id of the documents that hold each run."""
+        out = np.full(n, LAST, dtype=np.int64)
+        np.minimum.at(out, of, self.owner)
+        return out
+
+    def hear_runs(self) -> None:
+        """low: the least id of each run, if less than the shard's own; unsettled:
+        runs of anchors with several runs that no smaller document holds whole."""
+        self.low = self._read(RUNS, self.prints)[self.kind]
+        self.unsettled = np.flatnonzero(self._read(KINDS, self.anchors)[self.anchor] & (self.low == LAST))
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, fingerprints, ids) of the windows of runs."""
+        at, window = self.runs.windows(self.start[runs], self.count[runs])
+        return at, window, np.repeat(self.owner[runs], self.count[runs])
+
+
+def _send_anchors(width: int, gram: int, parts: int):
     def run(docs: pa.Table) -> pa.Table:
         text, sizes = _bytes(docs.column("text"))
-        runs = Runs(_SYMBOL[text], sizes, width, gram)
-        doc = docs.column("doc").to_numpy()
-        order = np.lexsort((doc[runs.doc], runs.print, runs.anchor))
-        lead = np.ones(len(order), dtype=bool)
-        a, p = runs.anchor[order], runs.print[order]
-        lead[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1])
-        at = np.flatnonzero(lead)
-        pick = order[at]
-        last = order[np.append(at[1:], len(order)) - 1] if len(order) else order
-        several = doc[runs.doc[last]] != doc[runs.doc[pick]]
-        return pa.table({
-            "anchor": runs.anchor[pick].view(np.int64), "print": runs.print[pick].view(np.int64), "doc": doc[runs.doc[pick]], "dk": docs.column("dk").to_numpy()[runs.doc[pick]],
-            "start": pa.array(runs.start[pick] - runs.offset[runs.doc[pick]], pa.int32()), "count": pa.array(np.where(several, -runs.count[pick], runs.count[pick]), pa.int32()),
-        })
+        return _lists(docs.column("shard")[0].as_py(), parts, (ANCHORS, np.unique(Runs(_SYMBOL[text], sizes, width, gram).anchor), None))
 
     return run
 
 
-def _single(width: int):
-    def run(docs: pa.Table, refs: pa.Table) -> pa.Table:
-        names = ("window", "anchor", "doc", "dk", "start")
-        if not docs.num_rows or not refs.num_rows:
-            return pa.table({c: pa.array([], pa.int32() if c == "start" else pa.int64()) for c in names} | {"several": pa.array([], pa.bool_())})
-        text, sizes = _bytes(docs.column("text"))
-        runs = Runs(_SYMBOL[text], sizes, width, width)
-        start, count = _places(docs, refs, runs.offset), refs.column("count").to_numpy().astype(np.int64)
-        at, prints = runs.windows(start, count)
-        own = np.repeat(np.arange(len(start)), count)
-        anchor, doc = refs.column("anchor").to_numpy()[own], refs.column("doc").to_numpy()[own]
-        order = np.lexsort((doc, prints, anchor))
-        lead = np.ones(len(order), dtype=bool)
-        lead[1:] = (anchor[order][1:] != anchor[order][:-1]) | (prints[order][1:] != prints[order][:-1])
-        first = np.flatnonzero(lead)
-        pick, last = order[first], order[np.append(first[1:], len(order)) - 1]
-        return pa.table({
-            "window": prints[pick].view(np.int64), "anchor": anchor[pick], "doc": doc[pick], "dk": refs.column("dk").to_numpy()[own[pick]],
-            "start": pa.array(at[pick] - start[own[pick]] + refs.column("start").to_numpy()[own[pick]], pa.int32()), "several": pa.array(doc[last] != doc[pick]),
-        })
+def _send_runs(width: int, gram: int, parts: int):
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        s = Shard(docs, back, width, gram, parts)
+        low, high = np.full(len(s.anchors), np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(len(s.anchors), dtype=np.uint64)
+        np.minimum.at(low, s.anchor, s.print)
+        np.maximum.at(high, s.anchor, s.print)
+        return _lists(docs.column("shard")[0].as_py(), parts, (KINDS, s.anchors, np.where(low == high, low, np.uint64(0))), (RUNS, s.prints, s.least(s.kind, len(s.prints))))
 
     return run
 
 
-def stretches(text: np.ndarray, sizes: np.ndarray, begin: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where, in any document, 16 bytes equal those at one of the places `begin`:
-    (places, ends), each as long as the longest passage or to the document's end."""
-    k = key8(text)
-    k16 = mix64(k ^ mix64(np.concatenate([k[8:], np.zeros(min(8, len(k)), dtype=np.uint64)])))
-    wanted = np.unique(k16[begin])
-    sieve = np.zeros(1 << 22, dtype=bool)
-    sieve[(wanted >> np.uint64(42)).astype(np.int64)] = True
-    at = np.flatnonzero(sieve[(k16 >> np.uint64(42)).astype(np.int64)])
-    near = np.minimum(np.searchsorted(wanted, k16[at]), len(wanted) - 1)
-    at = at[wanted[near] == k16[at]]
-    ends = np.cumsum(sizes)
-    return at, np.minimum(at + longest, ends[np.searchsorted(ends, at, side="right")])
-
-
-def removed_bytes(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, begin: np.ndarray, size: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Flags of the bytes covered, in documents greater than `low`, by passages
-    that stand at `begin`."""
-    edge = np.zeros(len(text) + 1, dtype=np.int64)
-    at, end = stretches(text, sizes, begin, int(size.max()))
-    cover = np.zeros(len(text) + 1, dtype=np.int64)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, end, -1)
-    used = np.cumsum(cover[:-1]) > 0
-    start, stop = (np.array(x, dtype=np.int64) for x in zip(*ranges(used)))
-    # a mark between stretches would need a 257th letter: prefixes are held to their stretch instead
-    part = np.flatnonzero(used)
-    place = np.full(len(text), -1, dtype=np.int64)
-    place[part] = np.arange(len(part))
-    sub = text[part]
-    room = np.repeat(stop, stop - start) - part  # bytes left in the stretch
-    order, spot = suffix_array(sub)
-    common = kasai(sub, order, int(size.max()))
-    first, last = neighbours(common, spot[place[begin]], size)
-    n = last - first + 1
-    which = np.repeat(np.arange(len(begin)), n)
-    found = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    owner = np.searchsorted(np.cumsum(sizes), part[found], side="right")
-    fine = (room[found] >= size[which]) & (doc[owner] > low[which]) & (np.cumsum(sizes)[owner] - part[found] >= size[which])
-    np.add.at(edge, part[found[fine]], 1)
-    np.add.at(edge, part[found[fine]] + size[which[fine]], -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _remove(width: int):
-    def run(docs: pa.Table, refs: pa.Table) -> pa.Table:
-        text, sizes = _bytes(docs.column("text"))
-        doc = docs.column("doc").to_numpy()
-        gone = np.zeros(len(text), dtype=bool)
-        if docs.num_rows and refs.num_rows:
-            begin = _places(docs, refs, np.cumsum(sizes) - sizes)
-            gone = removed_bytes(text, sizes, doc, begin, refs.column("size").to_numpy().astype(np.int64), refs.column("low").to_numpy())
+def _send_windows(width: int, gram: int, parts: int):
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        s = Shard(docs, back, width, gram, parts)
+        s.hear_runs()
+        own = s.unsettled[s.owner[s.unsettled] == s.least(s.kind, len(s.prints))[s.kind[s.unsettled]]]  # its first holder stands for a run
+        _, window, doc = s.windows(own)
+        keys, which = np.unique(window, return_inverse=True)
+        least = np.full(len(keys), LAST, dtype=np.int64)
+        np.minimum.at(least, which, doc)
+        return _lists(docs.column("shard")[0].as_py(), parts, (WINDOWS, keys, least))
+
+    return run
+
+
+def _remove(width: int, gram: int, parts: int):
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        s = Shard(docs, back, width, gram, parts)
+        s.hear_runs()
+        whole = s.low != LAST
+        at, window, _ = s.windows(s.unsettled)
+        keys, which = np.unique(window, return_inverse=True)
+        lost = (s._read(WINDOWS, keys) != LAST)[which]
+        start = np.concatenate([s.start[whole], at[lost], repeats_within(s.text, s.sizes, s.doc, width)])
+        size = np.concatenate([s.count[whole] + width - 1, np.full(len(start) - int(whole.sum()), width)])
+        edge = np.zeros(len(s.text) + 1, dtype=np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + size, -1)
+        gone = np.cumsum(edge[:-1]) > 0
         sums, spans, removed = [], [], []
-        at = 0
-        for n in sizes.tolist():
-            own, lost = text[at : at + n], gone[at : at + n]
-            removed.append(int(lost.sum()))
-            sums.append(hashlib.sha256((own[~lost] if removed[-1] else own).tobytes()).hexdigest())
-            spans.append(ranges(lost) if removed[-1] else [])
-            at += n
+        here = 0
+        for n in s.sizes.tolist():
+            own, off = s.text[here : here + n], gone[here : here + n]
+            removed.append(int(off.sum()))
+            sums.append(hashlib.sha256((own[~off] if removed[-1] else own).tobytes()).hexdigest())
+            spans.append(ranges(off) if removed[-1] else [])
+            here += n
         return pa.table({
-            "id": docs.column("id"), "n_bytes": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(s) for s in spans], pa.int64()),
-            "kept_sha256": pa.array(sums, pa.string()), "spans": pa.array([",".join(f"{a}:{b}" for a, b in s) for s in spans], pa.string()),
+            "id": docs.column("id"), "n_bytes": pa.array(s.sizes), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(x) for x in spans], pa.int64()),
+            "kept_sha256": pa.array(sums, pa.string()), "spans": pa.array([",".join(f"{a}:{b}" for a, b in x) for x in spans], pa.string()),
         })
 
     return run
 
 
-def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, shard_rows: int = 1000) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, shard_bytes: int = 3 << 20, range_keys: int = 1 << 22) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans ("first byte:end",
     removed) of each row."""
-    shards = max(1, -(-docs.count() // shard_rows))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    shards = total // shard_bytes + 1
+    parts = max(16, 2 * total // (width - gram) // range_keys + 1)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("dk"), F.expr(f"pmod(xxhash64(`{id_col}`, `{text_col}`), {shards})").alias("shard"),
-    ).repartition("shard")
-    shard_of = F.expr(f"pmod(dk, {shards})")
-    found = rows.groupBy("shard").applyInArrow(_report(width, gram), "anchor long, print long, doc long, dk long, start int, count int").repartition("anchor")
-    run, anchor = Window.partitionBy("anchor", "print"), Window.partitionBy("anchor")
-    found = found.withColumn("low", F.min("doc").over(run)).withColumn("kinds", F.min("print").over(anchor) != F.max("print").over(anchor))
-    whole = found.where((F.col("doc") > F.col("low")) | (F.col("count") < 0)).select(shard_of.alias("shard"), "dk", "start", (F.abs("count") + width - 1).alias("size"), "low")
-    open_runs = found.where(F.col("kinds") & (F.col("doc") == F.col("low"))).select(shard_of.alias("shard"), "anchor", "doc", "dk", "start", F.abs("count").alias("count"))
-    single = rows.groupBy("shard").cogroup(open_runs.groupBy("shard")).applyInArrow(_single(width), "window long, anchor long, doc long, dk long, start int, several boolean").repartition("window")
-    single = single.withColumn("low", F.min("doc").over(Window.partitionBy("window", "anchor"))).where((F.col("doc") > F.col("low")) | F.col("several"))
-    passages = whole.unionByName(single.select(shard_of.alias("shard"), "dk", "start", F.lit(width).alias("size"), "low"))
-    return rows.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(_remove(width), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+        F.expr(f"pmod(xxhash64(`{id_col}`, `{text_col}`), {shards})").alias("shard"),
+    ).repartition("shard").groupBy("shard")
+    how = (width, gram, parts)
+    merge = lambda lists: lists.groupBy("step", "part").applyInArrow(merge_lists, _REPLY)
+    back = merge(rows.applyInArrow(_send_anchors(*how), _LIST))
+    back = back.unionByName(merge(rows.cogroup(back.groupBy("shard")).applyInArrow(_send_runs(*how), _LIST)))
+    back = back.unionByName(merge(rows.cogroup(back.groupBy("shard")).applyInArrow(_send_windows(*how), _LIST)))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.cogroup(back.groupBy("shard")).applyInArrow(_remove(*how), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
 
 
 def op6_suffix_dedup(spark, sf_dir):

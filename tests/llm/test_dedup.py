@@ -51,10 +51,10 @@ def test_substring_dedup(spark, rows, shard_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("shard_rows", [1000, 7])
-def test_suffix_dedup(spark, rows, shard_rows):
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 1500])
+def test_suffix_dedup(spark, rows, shard_bytes):
     width = 20
-    got = Counter(tuple(r)[:5] for r in suffix_dedup.remove_earlier_strings(_frame(spark, rows), width=width, gram=6, shard_rows=shard_rows).collect())
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.remove_earlier_strings(_frame(spark, rows), width=width, gram=6, shard_bytes=shard_bytes).collect())
     data = [(i if i is not None else 1 << 62, i, (t or "").encode()) for i, t in rows]
     low = {}
     for k, _, b in sorted(data, key=lambda x: x[0]):
@@ -77,10 +77,10 @@ def test_suffix_array_and_common_prefixes():
     for n, letters in ((1, 2), (50, 1), (300, 2), (400, 200)):
         text = rng.integers(0, letters, size=n).astype(np.uint8)
         b = text.tobytes()
-        order, rank = suffix_dedup.suffix_array(text)
+        order, rank, _ = suffix_dedup.suffix_array(text)
         assert order.tolist() == sorted(range(n), key=lambda i: b[i:])
         assert rank[order].tolist() == list(range(n))
-        common = suffix_dedup.kasai(text, order, 16, lanes=7)
+        common = suffix_dedup.kasai(text, order, 16, most=7)
         for x, y, c in zip(order, order[1:], common[1:]):
             k = 0
             while k < 16 and max(x, y) + k < n and b[x + k] == b[y + k]:
