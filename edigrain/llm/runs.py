@@ -15,7 +15,7 @@ import numpy as np
 
 from .common import RollingHash, mix64, window_argmin
 
-BASE_GRAM, BASE_RUN = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+BASE = 0xD1342543DE82EF95
 
 
 class Prints:
@@ -25,7 +25,7 @@ class Prints:
     def __init__(self, symbols: np.ndarray, sizes: np.ndarray, width: int):
         self.width = width
         self.offset = np.cumsum(sizes) - sizes
-        self.rolling = RollingHash(symbols, BASE_RUN)
+        self.rolling = RollingHash(symbols, BASE)
 
     def windows(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, fingerprints) of all windows of the given runs."""
@@ -43,7 +43,7 @@ class Runs(Prints):
             self.start = self.count = self.doc = np.zeros(0, dtype=np.int64)
             self.anchor = self.print = np.zeros(0, dtype=np.uint64)
             return
-        grams = RollingHash(symbols, BASE_GRAM).windows(gram)
+        grams = self.rolling.windows(gram)
         least = window_argmin(grams, width - gram + 1)
         each = np.maximum(sizes - width + 1, 0)  # windows of each document
         doc = np.repeat(np.arange(len(sizes)), each)

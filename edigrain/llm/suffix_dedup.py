@@ -4,12 +4,13 @@ A byte is removed if a string of `width` bytes that covers it also starts in a
 document with a smaller id. Documents are dealt into shards of about
 `shard_bytes`.
 
-Within a shard, a suffix array over the whole text decides: suffixes are sorted
-by their first eight bytes, then refined by the ranks of the suffixes 8, 16,
-32 ... bytes on (Larsson and Sadakane), only groups still tied taking part.
-Kasai's scan, run over many pieces of the text in step, gives the common
-prefixes of neighbours; neighbours that share `width` bytes form a group, and all
-its places in documents greater than its least lose these bytes.
+Within a shard, a suffix array decides: suffixes are sorted by their first eight
+bytes, then refined by the ranks of the suffixes 8, 16, 32 ... bytes on (Larsson
+and Sadakane), only groups still tied taking part. Kasai's scan, run over many
+pieces of the text in step, gives the common prefixes of neighbours; neighbours
+that share `width` bytes form a group, and all its places in documents greater
+than its least lose these bytes. Left out of the array are the stretches of text
+in which no window can repeat, as its anchor (see below) stands once in the shard.
 
 Across shards, sorted lists are merged by binary search, each key's place in the
 merged list telling which shards hold it. So that not every byte is a key, only
@@ -54,7 +55,7 @@ from .substring_dedup import ranges
 _SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64))
 LAST = (1 << 63) - 1
 #: Kinds of lists.
-ANCHORS, KINDS, RUNS, WINDOWS = range(4)
+ANCHORS, KINDS, RUNS, WINDOWS, HEARD = range(5)
 _LIST = "step int, part int, shard long, keys binary, vals binary"
 _REPLY = "step int, part int, shard long, vals binary"
 
@@ -72,10 +73,12 @@ def _bytes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def key8(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as a number, zeros after the end."""
-    padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(text), dtype=np.uint64)
-    for i in range(8):
-        out = out << np.uint64(8) | padded[i : i + len(text)]
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(16, dtype=np.uint8)])
+    out = np.empty(n, dtype=np.uint64)
+    for i in range(min(8, n)):
+        own = out[i::8]
+        own[:] = padded[i : i + 8 * len(own)].view(">u8")
     return out
 
 
@@ -171,6 +174,23 @@ def repeats_within(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, width:
     return place[whole & (own > least)]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
+    out = np.sort(values)
+    new = np.ones(len(out), dtype=bool)
+    new[1:] = out[1:] != out[:-1]
+    return out[new]
+
+
+def stretches(runs: Runs, keep: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first bytes, sizes, documents) of the stretches that these runs cover."""
+    start, end, doc = runs.start[keep], runs.start[keep] + runs.count[keep] + width - 1, runs.doc[keep]
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    lead = np.flatnonzero(new)
+    return start[lead], end[np.append(lead[1:], len(start)) - 1][: len(lead)] - start[lead], doc[lead]
+
+
 def _parts(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     """(part, first, end) of sorted keys, dealt by range."""
     edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
@@ -202,28 +222,37 @@ def _lists(shard: int, parts: int, *lists) -> pa.Table:
 
 
 def merge_lists(lists: pa.Table) -> pa.Table:
-    """Merge the shards' sorted lists of one range, and reply to each of them."""
+    """Merge the shards' sorted lists of one range, and reply to each of them.
+    Replies of earlier lists (HEARD) pass through."""
     step = lists.column("step")[0].as_py()
+    if step >= HEARD:
+        return pa.table({"step": pa.array([step - HEARD] * lists.num_rows, pa.int32()), "part": lists.column("part"), "shard": lists.column("shard"), "vals": lists.column("vals")})
     read = _unpack5 if step in (ANCHORS, KINDS) else lambda b: np.frombuffer(b, dtype=np.uint64)
     keys = [read(b) for b in lists.column("keys").to_pylist()]
-    merged = np.unique(np.concatenate(keys))
-    place = [np.searchsorted(merged, k) for k in keys]
     if step == ANCHORS:
-        held = np.zeros(len(merged), dtype=np.int64)
-        for p in place:
-            held[p] += 1
-        replies = [np.packbits(held[p] > 1).tobytes() for p in place]
+        every = np.sort(np.concatenate([distinct(k) for k in keys]))
+        several = np.append(distinct(every[1:][every[1:] == every[:-1]]), np.uint64(LAST) * np.uint64(2))
+        replies = [np.packbits(several[np.searchsorted(several[:-1], k)] == k).tobytes() for k in keys]
     else:
+        merged = distinct(np.concatenate(keys))
+        place = [np.searchsorted(merged, k) for k in keys]
         kind = np.uint64 if step == KINDS else np.int64
         vals = [np.frombuffer(b, dtype=kind) for b in lists.column("vals").to_pylist()]
         low, high = np.full(len(merged), np.iinfo(kind).max, dtype=kind), np.zeros(len(merged), dtype=kind)
         for p, v in zip(place, vals):
             np.minimum.at(low, p, v)
-            np.maximum.at(high, p, v)
+            if step == KINDS:
+                np.maximum.at(high, p, v)
         replies = [np.packbits((low[p] != high[p]) | (low[p] == 0)).tobytes() if step == KINDS else np.where(low[p] < v, low[p], LAST).tobytes() for p, v in zip(place, vals)]
     return pa.table({"step": lists.column("step"), "part": lists.column("part"), "shard": lists.column("shard"), "vals": pa.array(replies, pa.binary())})
 
 
+def _heard(lists: pa.Table, back: pa.Table) -> pa.Table:
+    """Lists, and what was heard before, to be sent along."""
+    old = pa.table({"step": pa.array([x + HEARD for x in back.column("step").to_pylist()], pa.int32()), "part": back.column("part"), "shard": back.column("shard"), "keys": pa.array([None] * back.num_rows, pa.binary()), "vals": back.column("vals")})
+    return pa.concat_tables([lists, old.cast(lists.schema)])
+
+
 class Shard:
     """A shard's runs, and what the replies say of them. Everything is in the
     order of keys, so it does not depend on the order of rows."""
@@ -233,14 +262,17 @@ class Shard:
         self.doc = docs.column("doc").to_numpy()
         self.runs = Runs(_SYMBOL[self.text], self.sizes, width, gram)
         self.back, self.parts, self.width = back, parts, width
-        anchors, which = np.unique(self.runs.anchor, return_inverse=True)
+        anchors = distinct(self.runs.anchor)
+        which = np.searchsorted(anchors, self.runs.anchor)
         shared = self._read(ANCHORS, anchors)
         own = np.flatnonzero(shared[which])
         self.anchors = anchors[shared]
         self.start, self.count = self.runs.start[own], self.runs.count[own]
-        self.anchor = np.searchsorted(self.anchors, self.runs.anchor[own])
+        self.anchor = (np.cumsum(shared) - 1)[which[own]]
+        self.again = np.flatnonzero(np.bincount(which, minlength=len(anchors))[which] > 1)  # runs whose anchor the shard has again
         self.print, self.owner = self.runs.print[own], self.doc[self.runs.doc[own]]
-        self.prints, self.kind = np.unique(self.print, return_inverse=True)
+        self.prints = distinct(self.print)
+        self.kind = np.searchsorted(self.prints, self.print)
 
     def _read(self, step: int, keys: np.ndarray) -> np.ndarray:
         own = self.back.filter(pa.compute.equal(self.back.column("step"), step)) if self.back.num_rows else self.back
@@ -262,6 +294,12 @@ class Shard:
         self.low = self._read(RUNS, self.prints)[self.kind]
         self.unsettled = np.flatnonzero(self._read(KINDS, self.anchors)[self.anchor] & (self.low == LAST))
 
+    def repeats(self) -> np.ndarray:
+        """Places of windows that also start in a smaller document of the shard."""
+        first, size, doc = stretches(self.runs, self.again, self.width)
+        part = np.repeat(first, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        return part[repeats_within(self.text[part], size, self.doc[doc], self.width)]
+
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, fingerprints, ids) of the windows of runs."""
         at, window = self.runs.windows(self.start[runs], self.count[runs])
@@ -271,7 +309,7 @@ class Shard:
 def _send_anchors(width: int, gram: int, parts: int):
     def run(docs: pa.Table) -> pa.Table:
         text, sizes = _bytes(docs.column("text"))
-        return _lists(docs.column("shard")[0].as_py(), parts, (ANCHORS, np.unique(Runs(_SYMBOL[text], sizes, width, gram).anchor), None))
+        return _lists(docs.column("shard")[0].as_py(), parts, (ANCHORS, distinct(Runs(_SYMBOL[text], sizes, width, gram).anchor), None))
 
     return run
 
@@ -282,7 +320,8 @@ def _send_runs(width: int, gram: int, parts: int):
         low, high = np.full(len(s.anchors), np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(len(s.anchors), dtype=np.uint64)
         np.minimum.at(low, s.anchor, s.print)
         np.maximum.at(high, s.anchor, s.print)
-        return _lists(docs.column("shard")[0].as_py(), parts, (KINDS, s.anchors, np.where(low == high, low, np.uint64(0))), (RUNS, s.prints, s.least(s.kind, len(s.prints))))
+        own = _lists(docs.column("shard")[0].as_py(), parts, (KINDS, s.anchors, np.where(low == high, low, np.uint64(0))), (RUNS, s.prints, s.least(s.kind, len(s.prints))))
+        return _heard(own, back)
 
     return run
 
@@ -293,10 +332,10 @@ def _send_windows(width: int, gram: int, parts: int):
         s.hear_runs()
         own = s.unsettled[s.owner[s.unsettled] == s.least(s.kind, len(s.prints))[s.kind[s.unsettled]]]  # its first holder stands for a run
         _, window, doc = s.windows(own)
-        keys, which = np.unique(window, return_inverse=True)
+        keys = distinct(window)
         least = np.full(len(keys), LAST, dtype=np.int64)
-        np.minimum.at(least, which, doc)
-        return _lists(docs.column("shard")[0].as_py(), parts, (WINDOWS, keys, least))
+        np.minimum.at(least, np.searchsorted(keys, window), doc)
+        return _heard(_lists(docs.column("shard")[0].as_py(), parts, (WINDOWS, keys, least)), back)
 
     return run
 
@@ -307,9 +346,9 @@ def _remove(width: int, gram: int, parts: int):
         s.hear_runs()
         whole = s.low != LAST
         at, window, _ = s.windows(s.unsettled)
-        keys, which = np.unique(window, return_inverse=True)
-        lost = (s._read(WINDOWS, keys) != LAST)[which]
-        start = np.concatenate([s.start[whole], at[lost], repeats_within(s.text, s.sizes, s.doc, width)])
+        keys = distinct(window)
+        lost = (s._read(WINDOWS, keys) != LAST)[np.searchsorted(keys, window)]
+        start = np.concatenate([s.start[whole], at[lost], s.repeats()])
         size = np.concatenate([s.count[whole] + width - 1, np.full(len(start) - int(whole.sum()), width)])
         edge = np.zeros(len(s.text) + 1, dtype=np.int64)
         np.add.at(edge, start, 1)
@@ -331,7 +370,7 @@ def _remove(width: int, gram: int, parts: int):
     return run
 
 
-def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, shard_bytes: int = 3 << 20, range_keys: int = 1 << 22) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, shard_bytes: int = 2 << 20, range_keys: int = 1 << 22) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans ("first byte:end",
     removed) of each row."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
@@ -344,8 +383,8 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     how = (width, gram, parts)
     merge = lambda lists: lists.groupBy("step", "part").applyInArrow(merge_lists, _REPLY)
     back = merge(rows.applyInArrow(_send_anchors(*how), _LIST))
-    back = back.unionByName(merge(rows.cogroup(back.groupBy("shard")).applyInArrow(_send_runs(*how), _LIST)))
-    back = back.unionByName(merge(rows.cogroup(back.groupBy("shard")).applyInArrow(_send_windows(*how), _LIST)))
+    back = merge(rows.cogroup(back.groupBy("shard")).applyInArrow(_send_runs(*how), _LIST))
+    back = merge(rows.cogroup(back.groupBy("shard")).applyInArrow(_send_windows(*how), _LIST))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.cogroup(back.groupBy("shard")).applyInArrow(_remove(*how), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
 
