@@ -182,6 +182,17 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return out[new]
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, number of each value)."""
+    order = np.argsort(values)
+    own = values[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = own[1:] != own[:-1]
+    which = np.empty(len(own), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return own[new], which
+
+
 def stretches(runs: Runs, keep: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first bytes, sizes, documents) of the stretches that these runs cover."""
     start, end, doc = runs.start[keep], runs.start[keep] + runs.count[keep] + width - 1, runs.doc[keep]
@@ -260,10 +271,9 @@ class Shard:
     def __init__(self, docs: pa.Table, back: pa.Table, width: int, gram: int, parts: int):
         self.text, self.sizes = _bytes(docs.column("text"))
         self.doc = docs.column("doc").to_numpy()
-        self.runs = Runs(_SYMBOL[self.text], self.sizes, width, gram)
+        self.runs = Runs(self.text, self.sizes, width, gram, _SYMBOL)
         self.back, self.parts, self.width = back, parts, width
-        anchors = distinct(self.runs.anchor)
-        which = np.searchsorted(anchors, self.runs.anchor)
+        anchors, which = numbered(self.runs.anchor)
         shared = self._read(ANCHORS, anchors)
         own = np.flatnonzero(shared[which])
         self.anchors = anchors[shared]
@@ -271,8 +281,7 @@ class Shard:
         self.anchor = (np.cumsum(shared) - 1)[which[own]]
         self.again = np.flatnonzero(np.bincount(which, minlength=len(anchors))[which] > 1)  # runs whose anchor the shard has again
         self.print, self.owner = self.runs.print[own], self.doc[self.runs.doc[own]]
-        self.prints = distinct(self.print)
-        self.kind = np.searchsorted(self.prints, self.print)
+        self.prints, self.kind = numbered(self.print)
 
     def _read(self, step: int, keys: np.ndarray) -> np.ndarray:
         own = self.back.filter(pa.compute.equal(self.back.column("step"), step)) if self.back.num_rows else self.back
@@ -309,7 +318,7 @@ class Shard:
 def _send_anchors(width: int, gram: int, parts: int):
     def run(docs: pa.Table) -> pa.Table:
         text, sizes = _bytes(docs.column("text"))
-        return _lists(docs.column("shard")[0].as_py(), parts, (ANCHORS, distinct(Runs(_SYMBOL[text], sizes, width, gram).anchor), None))
+        return _lists(docs.column("shard")[0].as_py(), parts, (ANCHORS, distinct(Runs(text, sizes, width, gram, _SYMBOL).anchor), None))
 
     return run
 
@@ -332,9 +341,9 @@ def _send_windows(width: int, gram: int, parts: int):
         s.hear_runs()
         own = s.unsettled[s.owner[s.unsettled] == s.least(s.kind, len(s.prints))[s.kind[s.unsettled]]]  # its first holder stands for a run
         _, window, doc = s.windows(own)
-        keys = distinct(window)
+        keys, which = numbered(window)
         least = np.full(len(keys), LAST, dtype=np.int64)
-        np.minimum.at(least, np.searchsorted(keys, window), doc)
+        np.minimum.at(least, which, doc)
         return _heard(_lists(docs.column("shard")[0].as_py(), parts, (WINDOWS, keys, least)), back)
 
     return run
@@ -346,8 +355,8 @@ def _remove(width: int, gram: int, parts: int):
         s.hear_runs()
         whole = s.low != LAST
         at, window, _ = s.windows(s.unsettled)
-        keys = distinct(window)
-        lost = (s._read(WINDOWS, keys) != LAST)[np.searchsorted(keys, window)]
+        keys, which = numbered(window)
+        lost = (s._read(WINDOWS, keys) != LAST)[which]
         start = np.concatenate([s.start[whole], at[lost], s.repeats()])
         size = np.concatenate([s.count[whole] + width - 1, np.full(len(start) - int(whole.sum()), width)])
         edge = np.zeros(len(s.text) + 1, dtype=np.int64)
@@ -370,7 +379,7 @@ def _remove(width: int, gram: int, parts: int):
     return run
 
 
-def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, shard_bytes: int = 2 << 20, range_keys: int = 1 << 22) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, shard_bytes: int = 2 << 20, range_keys: int = 1 << 20) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans ("first byte:end",
     removed) of each row."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
