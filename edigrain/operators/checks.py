@@ -11,7 +11,7 @@ from ..plans.spec import Spec, split_element
 from ..plans.transactions import Definition
 from ..sources.x12 import element
 from .judge import referenced
-from .scopes import cells, finish_read, first_read, leaves, selects
+from .scopes import cells, finish_read, first_read, leaves, opens, selects
 
 
 def required_elements(placed: DataFrame, definition: Definition) -> DataFrame:
@@ -43,8 +43,8 @@ def required_pairs(placed: DataFrame, segment: str, first: int, last: int, step:
 
 
 def _number(c: Column, implied: int = 0) -> Column:
-    own = F.when(c.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$"), c.try_cast("decimal(28,6)"))
-    return own / F.lit(10**implied) if implied else own
+    own = F.when(c.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$"), c.try_cast("decimal(38,10)"))
+    return F.try_divide(own, F.lit(10**implied)).try_cast("decimal(38,10)") if implied else own
 
 
 class Operands:
@@ -72,13 +72,12 @@ class Operands:
             a, b = self._name(self.per_doc, first), self._name(self.per_doc, found)
             return lambda: _number(finish_read(a, b, source), implied), lambda: finish_read(a, b, source)
         if kind == "count":
-            own = selects(op[1], self.definition) & F.col("is_trigger")
-            a = self._name(self.per_doc, F.count_if(own))
-            return lambda: F.col(a).cast("decimal(28,6)"), lambda: F.col(a)
+            a = self._name(self.per_doc, F.count_if(opens(op[1], self.definition)))
+            return lambda: F.col(a).cast("decimal(38,10)"), lambda: F.col(a)
         if kind == "sum":
             seg, at = split_element(op[2])
             own = selects(op[1], self.definition) & (F.col("seg_id") == seg)
-            a = self._name(self.per_doc, F.sum(F.when(own, _number(F.get("elements", at - 1), implied))))
+            a = self._name(self.per_doc, F.try_sum(F.when(own, _number(F.get("elements", at - 1), implied))))
             return lambda: F.col(a), lambda: F.col(a)
         if kind == "product":
             names = []
@@ -90,7 +89,8 @@ class Operands:
             self.per_doc[a] = ("product", names)
             return lambda: F.col(a), lambda: F.col(a)
         add, subtract = [self.compile(x) for x in op[1]], [self.compile(x) for x in op[2]]
-        total = lambda: reduce(lambda c, x: c - F.coalesce(x[0](), F.lit(0)), subtract, reduce(lambda c, x: c + F.coalesce(x[0](), F.lit(0)), add, F.lit(0).cast("decimal(28,6)")))
+        none = F.lit(0).cast("decimal(38,10)")
+        total = lambda: reduce(lambda c, x: F.try_subtract(c, F.coalesce(x[0](), none)).try_cast("decimal(38,10)"), subtract, reduce(lambda c, x: F.try_add(c, F.coalesce(x[0](), none)).try_cast("decimal(38,10)"), add, none))
         return total, total
 
 
@@ -103,21 +103,21 @@ def reconcile(placed: DataFrame, definition: Definition) -> DataFrame:
     wide = placed.groupBy("doc").agg(*(c.alias(k) for k, c in plain.items())) if plain else placed.select("doc").distinct()
     if ops.per_run:
         each = placed.where(F.col("run").isNotNull()).groupBy("doc", "run").agg(*(c.alias(k) for k, c in ops.per_run.items()))
-        sums = [F.sum(reduce(lambda a, b: a * b, (F.col(n).cast("decimal(18,6)") for n in v[1]))).alias(k) for k, v in ops.per_doc.items() if isinstance(v, tuple)]
+        sums = [F.try_sum(reduce(F.try_multiply, (F.col(n).try_cast("decimal(28,6)") for n in v[1]))).alias(k) for k, v in ops.per_doc.items() if isinstance(v, tuple)]
         wide = wide.join(each.groupBy("doc").agg(*sums), "doc", "left")
 
     def one(r, left, right, when) -> Column:
         a, b = left[0](), right[0]()
         broken = a != b if r.check == "equals" else a > b
         guard = when[1]().isNotNull() if when else F.lit(True)
-        return F.struct(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("status"), a.cast("decimal(28,2)").alias("left_value"), b.cast("decimal(28,2)").alias("right_value"), F.coalesce(broken & guard, F.lit(False)).alias("broken"))
+        return F.struct(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("status"), a.try_cast("decimal(28,2)").alias("left_value"), b.try_cast("decimal(28,2)").alias("right_value"), F.coalesce(broken & guard, F.lit(False)).alias("broken"))
 
     return wide.select("doc", F.explode(F.array(*(one(*p) for p in plans))).alias("r")).where("r.broken").select("doc", "r.rule", "r.status", "r.left_value", "r.right_value")
 
 
 def line_counts(placed: DataFrame, docs: DataFrame, definition: Definition, list_path: str = "lines") -> DataFrame:
     """doc, source_lines, output_lines where they differ."""
-    own = placed.groupBy("doc").agg(F.count_if(F.col("is_trigger") & selects(definition.line_loop, definition)).alias("source_lines"))
+    own = placed.groupBy("doc").agg(F.count_if(opens(definition.line_loop, definition)).alias("source_lines"))
     out = docs.select("doc", F.coalesce(F.expr(f"size(try_variant_get(v, '$.{list_path}', 'array<variant>'))"), F.lit(0)).cast("long").alias("output_lines"))
     return own.join(out, "doc").where("source_lines != output_lines")
 

@@ -56,7 +56,9 @@ def parse_format(text: str) -> Format:
                 a, _, b = value.partition("..")
                 own["length"] = (int(a), int(b or a))
             elif key == "tol":
-                own["tolerance"] = str(float(value)) and value
+                if not re.fullmatch(r"[0-9]*\.?[0-9]+", value):
+                    raise ValueError(value)
+                own["tolerance"] = value
             elif key == "shift":
                 m = re.fullmatch(r"([+-]?\d+)([dw])", value)
                 own["shift_days"] = int(m[1]) * (7 if m[2] == "w" else 1)
@@ -96,11 +98,11 @@ def parse_condition(text: str) -> tuple[Test, ...]:
 
     while True:
         word = take("word")
-        if word == "EXISTS":
+        if word.upper() == "EXISTS":
             take("op", "(")
             out.append(Test("exists", take("word")))
             take("op", ")")
-        elif i < len(tokens) and tokens[i] == ("word", "IN"):
+        elif i < len(tokens) and tokens[i][0] == "word" and tokens[i][1].upper() == "IN":
             i += 1
             take("op", "(")
             values = [take("str")]
@@ -116,7 +118,8 @@ def parse_condition(text: str) -> tuple[Test, ...]:
             out.append(Test(op, word, (take("str"),)))
         if i == len(tokens):
             return tuple(out)
-        take("word", "AND")
+        if take("word").upper() != "AND":
+            raise SpecError(f"{text!r}: expected AND")
 
 
 def parse_outcome(text: str) -> tuple[str, str | None]:
@@ -157,12 +160,15 @@ class Rule:
             raise SpecError(f"{self.row_id}: CONSTANT needs a default value")
         parse_format(self.fmt)
         split_context(self.context)
-        if self.condition:
-            parse_condition(self.condition)
+        tests = parse_condition(self.condition) if self.condition else ()
+        if ELEMENT.fullmatch(self.source or "") or not self.source:  # inbound: conditions read elements
+            for t in tests:
+                if "." not in t.name:
+                    split_element(t.name)
 
     @property
     def is_line(self) -> bool:
-        return "[]" in self.target
+        return "[]" in self.target or "[]." in (self.source or "")
 
 
 @dataclass(frozen=True)
@@ -222,3 +228,25 @@ PURCHASE_ORDER = Spec(
         "UOM": {"EA": "EACH", "CA": "CASE", "DZ": "DOZEN"},
     },
 )
+
+
+#: The outbound mirror of some of its rules: documents to the X12 of the orders.
+PURCHASE_ORDER_OUT = Spec(
+    "850",
+    (
+        Rule("O-01", "order.po_number", "", "BEG03", "DIRECT", fmt="len:1..22"),
+        Rule("O-02", "order.type", "", "BEG02", "CODE_LIST", code_list="PO_TYPE"),
+        Rule("O-03", "order.po_date", "", "BEG05", "DIRECT", data_type="date"),
+        Rule("O-04", "order.vendor", "REF[IA]", "REF02", "DIRECT"),
+        Rule("O-05", "order.allowance", "SAC[A]", "SAC05", "DIRECT", data_type="decimal", fmt="implied:2"),
+        Rule("O-06", None, "", "BEG01", "CONSTANT", default="00"),
+        Rule("O-07", "lines[]", "", "CTT01", "LOOP_COUNT", data_type="integer"),
+        Rule("O-10", "lines[].qty", "PO1", "PO102", "DIRECT", data_type="integer"),
+        Rule("O-11", "lines[].uom", "PO1", "PO103", "CODE_LIST", code_list="UOM"),
+        Rule("O-12", "lines[].price", "PO1", "PO104", "DIRECT", data_type="decimal", fmt="places:2"),
+    ),
+    {
+        "PO_TYPE": {"STANDALONE": "SA", "NEW_ORDER": "NE", "DROP_SHIP": "DS"},
+        "UOM": {"EACH": "EA", "CASE": "CA", "DOZEN": "DZ"},
+    },
+)
