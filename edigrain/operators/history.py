@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .validate import rollup
+from .validate import rank, root_causes, rollup
 
+#: Order in which changes are shown.
 DELTA_ORDER = ("DOC REMOVED", "NEW", "CHANGED", "DOC ADDED", "RESOLVED")
+BAD = ("FAIL", "WARNING")
 
 
 class History:
@@ -21,10 +23,11 @@ class History:
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}")
 
     def record(self, run_id: int, findings: DataFrame, spec_file: str, run_at: str, parent: int | None = None) -> None:
-        """One row in runs, with counts and the verdict of all its findings, and
-        the findings in their stored order."""
-        w = Window.partitionBy("doc").orderBy("status", F.coalesce("row_id", F.lit("~")), "line_ix", "target", "source_ref", "actual")
+        """One row in runs, with counts and the verdict of all its findings; one for
+        each document in documents; and the findings in the order they are shown."""
+        w = Window.partitionBy("doc").orderBy(rank(), F.coalesce("row_id", F.lit("~")), "line_ix", "target", "source_ref", "actual")
         findings.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("emit_ord", F.row_number().over(w)).write.mode("append").parquet(f"{self.path}/findings")
+        rollup(findings.where("doc is not null").withColumn("run_id", F.lit(run_id).cast("long")), "run_id", "doc").write.mode("append").parquet(f"{self.path}/documents")
         own = rollup(findings.withColumn("run_id", F.lit(run_id).cast("long")), "run_id")
         own.select("run_id", F.lit(run_at).alias("run_at"), F.lit(spec_file).alias("spec_file"), F.lit(parent).cast("long").alias("interchange_id"), "result", "pass", "fail", "warning", "not_tested").write.mode("append").parquet(f"{self.path}/runs")
 
@@ -41,6 +44,10 @@ class History:
     def recent(self, limit: int = 20) -> DataFrame:
         return self.runs().orderBy(F.desc("run_id")).limit(limit)
 
+    def documents(self, run_id: int) -> DataFrame:
+        """Documents of a run with their counts and verdicts."""
+        return self._read("documents").where(F.col("run_id") == run_id)
+
     def findings(self, run_id: int) -> DataFrame:
         return self._read("findings").where(F.col("run_id") == run_id)
 
@@ -53,36 +60,63 @@ def baseline_key(*parts):
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changes between two runs' findings (doc, status, category, row_id,
-    source_ref, target, expected, actual): doc, kind, row_id, place, old_status,
-    new_status, regression. Findings of one identity are told apart by their
-    ordinal."""
+    source_ref, target, expected, actual, and emit_ord if stored): doc, kind,
+    row_id, place, nth, old_status, new_status, regression. Findings of one
+    identity are told apart by their number in stored order, passes included. A
+    new location counts if it is bad, and is a regression if it fails; a changed
+    one is a regression if it fails now and did not."""
     def own(df: DataFrame, p: str) -> DataFrame:
         place = F.coalesce("target", "source_ref", F.lit(""))
-        w = Window.partitionBy("doc", "row_id", "place").orderBy("status", "category", "expected", "actual")
-        x = df.select("doc", F.coalesce("row_id", F.lit("")).alias("row_id"), place.alias("place"), "status", "category", "expected", "actual")
-        x = x.withColumn("nth", F.row_number().over(w))
+        order = ["emit_ord"] if "emit_ord" in df.columns else [rank(), "category", "expected", "actual"]
+        x = df.withColumn("row_id", F.coalesce("row_id", F.lit(""))).withColumn("place", place)
+        x = x.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "row_id", "place").orderBy(*order)))
         return x.select("doc", "row_id", "place", "nth", F.col("status").alias(p + "status"), F.struct("status", "category", "expected", "actual").alias(p + "row"))
 
     docs_old, docs_new = old.select("doc").distinct(), new.select("doc").distinct()
     gone = docs_old.join(docs_new, "doc", "left_anti").select("doc", F.lit("DOC REMOVED").alias("kind"))
     came = docs_new.join(docs_old, "doc", "left_anti").select("doc", F.lit("DOC ADDED").alias("kind"))
     shared = docs_old.join(docs_new, "doc")
-    bad = F.col("status") != "PASS"
-    met = own(old.join(shared, "doc").where(bad), "old_").join(own(new.join(shared, "doc").where(bad), "new_"), ["doc", "row_id", "place", "nth"], "full_outer")
-    kind = F.when(F.col("old_row").isNull(), "NEW").when(F.col("new_row").isNull(), "RESOLVED").when(~F.col("old_row").eqNullSafe(F.col("new_row")), "CHANGED")
-    changes = met.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("doc", "kind", "row_id", "place", "old_status", "new_status")
+    met = own(old.join(shared, "doc"), "old_").join(own(new.join(shared, "doc"), "new_"), ["doc", "row_id", "place", "nth"], "full_outer")
+    was, now = F.coalesce(F.col("old_status").isin(*BAD), F.lit(False)), F.coalesce(F.col("new_status").isin(*BAD), F.lit(False))
+    kind = (
+        F.when(F.col("old_row").isNull(), F.when(now, "NEW")).when(F.col("new_row").isNull(), F.when(was, "RESOLVED")).when(F.col("old_row") == F.col("new_row"), None)
+        .when(was & (F.col("new_status") == "PASS"), "RESOLVED").otherwise("CHANGED")
+    )
+    changes = met.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("doc", "kind", "row_id", "place", "nth", "old_status", "new_status")
     none = F.lit(None).cast("string")
-    whole = gone.unionByName(came).select("doc", "kind", none.alias("row_id"), none.alias("place"), none.alias("old_status"), none.alias("new_status"))
-    out = changes.unionByName(whole)
-    worse = F.col("kind").isin("DOC REMOVED", "NEW") | ((F.col("kind") == "CHANGED") & (F.col("new_status") == "FAIL"))
-    return out.withColumn("regression", worse)
+    whole = gone.unionByName(came).select("doc", "kind", none.alias("row_id"), none.alias("place"), F.lit(None).cast("int").alias("nth"), none.alias("old_status"), none.alias("new_status"))
+    fails = (F.col("new_status") == "FAIL") & ~F.col("old_status").eqNullSafe("FAIL")
+    worse = (F.col("kind") == "DOC REMOVED") | (F.col("kind").isin("NEW", "CHANGED") & fails)
+    return changes.unionByName(whole).withColumn("regression", F.coalesce(worse, F.lit(False)))
+
+
+def sorted_changes(changes: DataFrame) -> DataFrame:
+    """Changes in the order they are shown."""
+    place = F.array_position(F.array(*(F.lit(k) for k in DELTA_ORDER)), F.col("kind"))
+    return changes.orderBy(place, "doc", "row_id", "place", "nth")
 
 
-def trends(runs: DataFrame) -> DataFrame:
-    """spec_file, total, passed, pass_rate, latest and the series of results, of
-    runs that belong to no interchange."""
-    top = runs.where(F.col("interchange_id").isNull())
-    return top.groupBy("spec_file").agg(
+def spec_label(runs: DataFrame) -> DataFrame:
+    """Adds label: the spec, and the partner if there is one; one spec under two
+    partners is two checks."""
+    name = lambda c: F.regexp_extract(c, "[^/]*$", 0)
+    label = name("spec_file")
+    return runs.withColumn("label", F.when(F.col("partner_file").isNotNull(), F.concat_ws(" + ", label, name("partner_file"))).otherwise(label) if "partner_file" in runs.columns else label)
+
+
+def trends(runs: DataFrame, window: int = 200) -> DataFrame:
+    """label, total, passed, pass_rate, latest and the series of results from old
+    to new, of those of the `window` latest runs that belong to no interchange;
+    the worst first, then those with most runs."""
+    top = spec_label(runs.orderBy(F.desc("run_id")).limit(window)).where(F.col("interchange_id").isNull())
+    out = top.groupBy("label").agg(
         F.count("*").alias("total"), F.count_if(F.col("result") == "PASS").alias("passed"), F.round(F.avg((F.col("result") == "PASS").cast("double")), 6).alias("pass_rate"),
         F.max_by("result", "run_id").alias("latest"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_id", "result"))), lambda x: F.substring(x["result"], 1, 1)), "").alias("series"),
     )
+    return out.orderBy(F.when(F.col("latest") == "FAIL", 0).when(F.col("latest") == "WARNING", 1).when(F.col("latest") == "PASS", 2).otherwise(3), F.desc("total"), "label")
+
+
+def top_causes(runs: DataFrame, findings: DataFrame, window: int = 200) -> DataFrame:
+    """Categories of the bad findings of the `window` latest runs, counted."""
+    latest = runs.orderBy(F.desc("run_id")).limit(window).select("run_id")
+    return root_causes(findings.join(F.broadcast(latest), "run_id", "left_semi"))  # a window of runs

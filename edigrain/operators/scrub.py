@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,28 +20,22 @@ def redact(c: Column) -> Column:
     return F.regexp_replace(c, "[\\p{L}\\p{N}]", "X")
 
 
-def pseudonym(value: str, salt: str) -> str:
-    """Digits and letters drawn from SHA-256 of salt, NUL and value, counted on;
-    all else stays."""
-    out, stream, block = [], b"", 0
-    for ch in value:
-        if not ch.isalnum():
-            out.append(ch)
-            continue
-        if not stream:
-            stream = hashlib.sha256(f"{salt}\0{value}\0{block}".encode()).digest()
-            block += 1
-        byte, stream = stream[0], stream[1:]
-        out.append(chr(48 + byte % 10) if ch.isdigit() else chr(65 + byte % 26))
-    return "".join(out)
-
-
 def pseudonymize(c: Column, salt: str) -> Column:
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else pseudonym(v, salt))
+    """Digits and letters drawn, in turn, from the bytes of SHA-256 of salt, NUL and
+    value, and then of the SHA-256 of the bytes before; all else stays."""
+    drawn = F.length(F.regexp_replace(c, "[^\\p{Nd}\\p{L}]", ""))
+    first = F.sha2(F.concat(F.lit(salt), F.lit("\0"), c).cast("binary"), 256)
+    more = F.when(drawn > 32, F.sequence(F.lit(2), F.ceil(drawn / 32).cast("int"))).otherwise(F.array().cast("array<int>"))
+    stream = F.aggregate(more, first, lambda a, _: F.concat(a, F.sha2(F.unhex(F.right(a, F.lit(64))), 256)))
+
+    def put(a: Column, ch: Column) -> Column:
+        byte = F.conv(F.substring(a["hex"], a["at"] * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        digit, letter = ch.rlike("^\\p{Nd}$"), ch.rlike("^\\p{L}$")
+        new = F.when(digit, (byte % 10).cast("string")).when(letter, F.char(byte % 26 + 65)).otherwise(ch)
+        return F.struct(F.concat(a["text"], new).alias("text"), (a["at"] + (digit | letter).cast("int")).alias("at"), a["hex"].alias("hex"))
 
-    return run(c)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), stream.alias("hex"))
+    return F.aggregate(F.split(c, ""), start, put, lambda a: a["text"])
 
 
 def _put(elements: str, at: int, value: Column) -> Column:
@@ -65,6 +57,13 @@ def scrub(segments: DataFrame, masks: list[Mask], salt: str = "") -> DataFrame:
     return out
 
 
+def reassemble(segments: DataFrame, separator: str = "*", terminator: str = "~") -> DataFrame:
+    """(file_id, text) of segments: each file's scrubbed text."""
+    line = F.array_join(F.concat(F.array("seg_id"), "elements"), separator)
+    own = segments.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))).alias("s"))
+    return own.select("file_id", F.concat(F.array_join(F.transform("s", lambda x: x["line"]), terminator), F.lit(terminator)).alias("text"))
+
+
 def mask_report(segments: DataFrame, masks: list[Mask]) -> DataFrame:
     """segment, element, n, n_distinct of the non-empty values to be masked."""
     rules = []
