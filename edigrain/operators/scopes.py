@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.spec import split_context, split_element
 from ..plans.transactions import Definition
 from ..sources.x12 import element
+from . import structure
 
 
 def loop_ids(definition: Definition) -> set[str]:
@@ -27,6 +28,33 @@ def selects(context: str, definition: Definition) -> Column:
     return own & F.coalesce(element(1) == q, F.lit(False)) if q else own
 
 
+def opens(context: str, definition: Definition) -> Column:
+    """Rows that open an occurrence of a loop context, child loops apart."""
+    name, q = split_context(context)[0]
+    own = F.col("is_trigger") & (F.col("inner_id") == name)
+    return F.coalesce(own & (F.col("qualifier") == q) if q else own, F.lit(False))
+
+
+def hierarchical(definition: Definition) -> list[str]:
+    return [x.trigger for a in definition.areas for x in a.loops if x.levels]
+
+
+def inherit(placed: DataFrame, definition: Definition) -> DataFrame:
+    """Placed rows with a column distance, 0; for each occurrence of a hierarchical
+    loop its ancestors' own segments follow, with the occurrence's run and
+    qualifier and the distance of the ancestor. Only reads of a scope want these:
+    counts and sums take an occurrence's own segments."""
+    rows = placed.withColumn("distance", F.lit(0))
+    for loop in hierarchical(definition):
+        above = structure.ancestors(structure.hierarchy(placed, loop))
+        own = placed.where(F.col("is_trigger") & (F.col("seg_id") == loop)).select("doc", F.col("run").alias("seq"), F.col("qualifier").alias("own_qualifier"))
+        above = above.join(own, ["doc", "seq"]).select("doc", F.col("seq").alias("own_run"), F.col("ancestor_seq").alias("run"), "own_qualifier", F.col("distance").alias("away"))
+        lent = placed.where((F.col("loop_id") == loop) & F.col("child_id").isNull()).join(above, ["doc", "run"])
+        put = {"run": F.col("own_run"), "qualifier": F.col("own_qualifier"), "distance": F.col("away"), "is_trigger": F.lit(False)}
+        rows = rows.unionByName(lent.select(*(put.get(c, F.col(c)).alias(c) for c in rows.columns)))
+    return rows
+
+
 def scope_rows(placed: DataFrame, context: str, definition: Definition) -> DataFrame:
     """doc, scope_ix, seq, seg_id, elements: one scope for each occurrence of a
     loop or matching flat segment; a path keeps every base occurrence, narrowed."""
@@ -45,10 +73,11 @@ def scope_rows(placed: DataFrame, context: str, definition: Definition) -> DataF
     return base.join(rows.where(fits).select("doc", "scope_ix", "seq", "seg_id", "elements"), ["doc", "scope_ix"], "left")
 
 
-def first_read(source: str, context: str, definition: Definition) -> tuple[Column, Column]:
+def first_read(source: str, context: str, definition: Definition, order: Column | None = None) -> tuple[Column, Column]:
     """(first start, first matching segment of each scope start): aggregates over
     a transaction, to be finished by `finish_read`. Only the first scope counts,
-    and in it only the first segment of the id."""
+    and in it only the first segment of the id, by `order` (seq unless given)."""
+    order = F.col("seq") if order is None else order
     seg, _ = split_element(source)
     name = split_context(context)[0][0] if context else None
     inside = selects(context, definition)
@@ -58,7 +87,7 @@ def first_read(source: str, context: str, definition: Definition) -> tuple[Colum
         fits = inside & (F.col("seg_id") == sub) & (F.coalesce(element(1) == q, F.lit(False)) if q else F.lit(True))
     else:
         fits = inside & (F.col("seg_id") == seg)
-    return F.min(F.when(inside, start)), F.min_by(F.struct(start.alias("start"), "elements"), F.when(fits, F.col("seq")))
+    return F.min(F.when(inside, start)), F.min_by(F.struct(start.alias("start"), "elements"), F.when(fits, F.struct(start.alias("start"), order.alias("order"))))
 
 
 def finish_read(first: str, found: str, source: str) -> Column:

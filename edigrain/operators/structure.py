@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.transactions import Definition, Loop
 from ..sources.x12 import element
+from .store import share
 
 SEG = F.col
 
@@ -114,13 +115,16 @@ def hierarchy_errors(tree: DataFrame, definition: Definition, loop: str = "HL")
     return rows.select("doc", "seq", "hl_id", error.alias("error")).where(F.col("error").isNotNull())
 
 
-def ancestors(tree: DataFrame, depth: int) -> DataFrame:
-    """doc, seq, distance, ancestor_seq, nearest first; depth is the number of
-    levels a definition allows, so the joins are few."""
-    up = tree.select("doc", F.col("seq").alias("at"), F.col("parent_seq").alias("next"))
-    now = tree.select("doc", "seq", F.col("parent_seq").alias("ancestor_seq")).where("ancestor_seq is not null").withColumn("distance", F.lit(1))
-    out = now
-    for d in range(2, depth):
-        now = now.join(up.withColumnRenamed("at", "ancestor_seq"), ["doc", "ancestor_seq"]).where("next is not null").select("doc", "seq", F.col("next").alias("ancestor_seq"), F.lit(d).alias("distance"))
-        out = out.unionByName(now)
-    return out.select("doc", "seq", "distance", "ancestor_seq")
+def ancestors(tree: DataFrame) -> DataFrame:
+    """doc, seq, distance, ancestor_seq, nearest first, at every depth: a round of
+    joins finds the next ancestors, until one finds none. A parent stands before
+    its children, so there are no cycles."""
+    tree = share(tree.select("doc", "seq", "parent_seq").where("parent_seq is not null").repartition("doc"))
+    up = tree.select("doc", F.col("seq").alias("ancestor_seq"), F.col("parent_seq").alias("next"))
+    found, d = [tree.select("doc", "seq", F.lit(1).alias("distance"), F.col("parent_seq").alias("ancestor_seq"))], 1
+    while True:
+        d += 1
+        now = share(found[-1].join(up, ["doc", "ancestor_seq"]).select("doc", "seq", F.lit(d).alias("distance"), F.col("next").alias("ancestor_seq")))
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(now)

@@ -74,20 +74,25 @@ def _body() -> Column:
     ))
 
 
-def transaction_segments(spark, sf_dir: str) -> DataFrame:
-    """doc, seq, seg_id, elements, from ST to SE."""
+def _transactions(o: DataFrame) -> DataFrame:
+    """(doc, whole): the segments of each order's transaction, in order."""
     number = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
-    o = orders(spark, sf_dir).withColumn("body", _body())
     claimed = F.size("body") + 2 + F.when(_every(13), 2).otherwise(0)
     whole = F.concat(F.array(_seg("ST", "850", number)), F.col("body"), F.array(_seg("SE", claimed, number)))
-    return o.select(F.col("o_orderkey").alias("doc"), F.posexplode(whole).alias("seq", "s")).select("doc", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
+    return o.withColumn("body", _body()).select(F.col("o_orderkey").alias("doc"), whole.alias("whole"))
 
 
-def interchange_text(spark, sf_dir: str, per_file: int = 20) -> DataFrame:
+def transaction_segments(spark, sf_dir: str, o: DataFrame | None = None) -> DataFrame:
+    """doc, seq, seg_id, elements, from ST to SE; o is `orders`, if at hand."""
+    own = _transactions(orders(spark, sf_dir) if o is None else o)
+    return own.select("doc", F.posexplode("whole").alias("seq", "s")).select("doc", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
+
+
+def interchange_text(spark, sf_dir: str, per_file: int = 20, o: DataFrame | None = None) -> DataFrame:
     """(file_id, text): up to per_file orders, neighbours by key, in one
     interchange with one group."""
-    flat = transaction_segments(spark, sf_dir).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("seq", F.concat(F.array("seg_id"), "elements").alias("all")))).alias("segs"))
-    flat = flat.select("doc", F.expr(f"doc div {per_file}").alias("file"), F.array_join(F.transform("segs", lambda s: F.array_join(s["all"], "*")), "~\n").alias("text"))
+    line = lambda s: F.array_join(F.concat(F.array(s["seg_id"]), s["elements"]), "*")
+    flat = _transactions(orders(spark, sf_dir) if o is None else o).select("doc", F.expr(f"doc div {per_file}").alias("file"), F.array_join(F.transform("whole", line), "~\n").alias("text"))
     files = flat.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("doc", "text"))).alias("docs"))
     control = F.lpad(F.col("file").cast("string"), 9, "0")
     isa = F.concat(F.lit("ISA*00*" + " " * 10 + "*00*" + " " * 10 + "*ZZ*SENDER" + " " * 9 + "*ZZ*RECEIVER" + " " * 7 + "*260101*1200*U*00401*"), control, F.lit("*0*P*>"))
@@ -97,7 +102,7 @@ def interchange_text(spark, sf_dir: str, per_file: int = 20) -> DataFrame:
     return files.select(F.concat(F.lit("F"), "file").alias("file_id"), text.alias("text"))
 
 
-def output_documents(spark, sf_dir: str) -> DataFrame:
+def output_documents(spark, sf_dir: str, o: DataFrame | None = None) -> DataFrame:
     """(doc, json): the translated documents."""
     day = F.col("o_orderdate")
     kept = F.when(_every(7), F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0)))).otherwise(F.col("lines"))
@@ -117,4 +122,4 @@ def output_documents(spark, sf_dir: str) -> DataFrame:
     ship = F.struct(F.col("c_name").alias("name"), F.when(~_every(5), F.col("o_custkey").cast("string")).alias("id"), F.col("n_name").alias("city"))
     total = F.struct(F.size("lines").alias("line_count"), F.col("total").alias("total"))
     whole = F.struct(order.alias("order"), ship.alias("ship_to"), F.transform(kept, line).alias("lines"), total.alias("summary"))
-    return orders(spark, sf_dir).where(~_every(23)).select(F.col("o_orderkey").alias("doc"), F.to_json(whole).alias("json"))
+    return (orders(spark, sf_dir) if o is None else o).where(~_every(23)).select(F.col("o_orderkey").alias("doc"), F.to_json(whole).alias("json"))

@@ -19,9 +19,44 @@ def json_documents(files: DataFrame) -> DataFrame:
     return one.unionByName(each)
 
 
-def guard_xml(text: Column) -> Column:
-    """True for XML that declares a document type, which is never parsed."""
-    return F.contains(F.upper(text), F.lit("<!DOCTYPE"))
+def guard_xml(content: Column) -> Column:
+    """True for XML, as bytes or text, that declares a document type, whichever of
+    UTF-8, UTF-16 and UTF-32 it is in; it is never parsed."""
+    letters = "".join(f"({ord(c):02X}|{ord(c.lower()):02X})(00){{0,3}}" for c in "<!DOCTYPE")
+    return F.hex(content.cast("binary")).rlike(letters)
+
+
+def detect_format(name: Column, text: Column) -> Column:
+    """json, xml, control (a control record leads), or flat."""
+    first = F.substring_index(text, "\n", 1)
+    return F.when(F.lower(name).endswith(".json"), "json").when(F.lower(name).endswith(".xml"), "xml").when(first.startswith("EDI_DC40"), "control").otherwise("flat")
+
+
+def xml_records(files: DataFrame) -> DataFrame:
+    """(file_id, text) of XML to file_id, line_no, record, fields: an element with
+    elements inside is a record, in document order, and an element with text alone
+    is a field of the record around it (the first of a name wins). XML with a
+    document type gives no rows."""
+    clean = F.regexp_replace("text", r"(?s)<!--.*?-->|<\?.*?\?>", "")
+    tags = files.where(~guard_xml(F.col("text"))).select("file_id", F.posexplode(F.regexp_extract_all(clean, F.lit(r"(?s)<[^>]+>[^<]*"), F.lit(0))).alias("at", "tag"))
+    name = F.regexp_extract("tag", r"^</?([^\s/>]+)", 1)
+    close, alone = F.col("tag").startswith("</"), F.col("tag").rlike(r"^<[^>]*/>")
+    doc = Window.partitionBy("file_id").orderBy("at")
+    rows = tags.select("file_id", "at", name.alias("name"), close.alias("close"), alone.alias("alone"), F.regexp_extract("tag", r"(?s)>(.*)$", 1).alias("inner"))
+    leaf = ~F.col("close") & (F.col("alone") | (F.lead("close").over(doc) & (F.lead("name").over(doc) == F.col("name"))))
+    rows = rows.withColumn("leaf", leaf)
+    opens = ~F.col("close") & ~F.col("leaf")
+    ends = F.col("close") & ~F.coalesce(F.lag("leaf").over(doc) & ~F.lag("alone").over(doc), F.lit(False))
+    rows = rows.withColumn("opens", opens).withColumn("ends", ends).withColumn("depth", F.sum(F.when(opens, 1).when(F.lag(ends).over(doc), -1).otherwise(0)).over(doc))
+    level = Window.partitionBy("file_id", "depth").orderBy("at")
+    rows = rows.withColumn("owner", F.max(F.when(F.col("opens"), F.col("at"))).over(level))
+    plain = F.col("inner")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    records = rows.where("opens").select("file_id", F.col("at").alias("line_no"), F.col("name").alias("record"))
+    cells = rows.where("leaf").groupBy("file_id", F.col("owner").alias("line_no"), "name").agg(F.min_by(F.trim(plain), "at").alias("value"))
+    cells = cells.groupBy("file_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fields"))
+    return records.join(cells, ["file_id", "line_no"], "left")
 
 
 def flat_leaves(lines: DataFrame) -> DataFrame:
@@ -55,18 +90,20 @@ class Record:
 
 
 def layout_leaves(lines: DataFrame, records: list[Record], delimiter: str | None = None, name_at: tuple[int, int] = (0, 30)) -> DataFrame:
-    """(file_id, line_no, value) of fixed-width or delimited files to file_id,
-    norm_path, line_ix, leaf_text. The first value of a place wins; children
+    """(file_id, line_no, value) of fixed-width or delimited files, or rows of
+    `xml_records`, whose fields are named by tag, to file_id, norm_path, line_ix,
+    leaf_text. The first value of a place wins; children
     belong to the line before them, and without one are reported with line_ix -1."""
     cut = F.split("value", f"\\Q{delimiter}\\E", -1) if delimiter else None
-    name = F.get(cut, 0) if delimiter else F.trim(F.substring("value", name_at[0] + 1, name_at[1]))
-    rows = lines.select("file_id", "line_no", F.col("value"), name.alias("record"))
+    tagged = "fields" in lines.columns
+    name = F.col("record") if tagged else F.get(cut, 0) if delimiter else F.trim(F.substring("value", name_at[0] + 1, name_at[1]))
+    rows = lines.select("file_id", "line_no", F.col("fields" if tagged else "value"), name.alias("record"))
     starts = [r.name for r in records if r.kind == "line"]
     w = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("line", F.sum(F.col("record").isin(*starts).cast("int")).over(w) - 1)
 
     def read(f: tuple) -> Column:
-        raw = F.get(cut, f[1]) if delimiter else F.substring("value", f[1] + 1, f[2])
+        raw = F.try_element_at("fields", F.lit(f[1])) if tagged else F.get(cut, f[1]) if delimiter else F.substring("value", f[1] + 1, f[2])
         return F.nullif(F.trim(raw), F.lit(""))
 
     def one(r: Record) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +40,54 @@ def element(i: int, of: str = "elements") -> Column:
 
 
 def number_envelopes(segments: DataFrame) -> DataFrame:
-    """Adds isa_ix, gs_ix and st_ix: how many of each were opened so far, and
-    in_st: inside ST ... SE."""
+    """Adds isa_ix, gs_ix and st_ix: how many of each were opened so far; in_st:
+    inside ST ... SE; and misplaced: an ST inside a transaction, or an SE outside."""
     w = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     one = lambda s: F.sum((F.col("seg_id") == s).cast("int")).over(w).cast("int")
-    closed = F.sum((F.col("seg_id") == "SE").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    last = lambda s, over: F.coalesce(F.max(F.when(F.col("seg_id") == s, F.col("seq"))).over(over), F.lit(-1))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     out = segments.withColumn("isa_ix", one("ISA")).withColumn("gs_ix", one("GS")).withColumn("st_ix", one("ST"))
-    return out.withColumn("in_st", F.col("st_ix") > F.coalesce(closed, F.lit(0)))
+    out = out.withColumn("opened", last("ST", w)).withColumn("open_before", last("ST", before)).withColumn("closed", last("SE", before))
+    inside = F.col("open_before") > F.col("closed")
+    misplaced = F.when(F.col("seg_id") == "ST", inside).when(F.col("seg_id") == "SE", ~inside).otherwise(F.lit(False))
+    return out.withColumn("in_st", F.col("opened") > F.col("closed")).withColumn("misplaced", misplaced).drop("opened", "open_before", "closed")
+
+
+def envelopes(segments: DataFrame) -> DataFrame:
+    """file_id, sender, receiver, control, usage, group_code, version and first_set
+    of each file; the last ISA and GS win."""
+    last = lambda s, i: F.max_by(element(i), F.when(F.col("seg_id") == s, F.col("seq")))
+    own = {"sender": F.trim(last("ISA", 6)), "receiver": F.trim(last("ISA", 8)), "control": last("ISA", 13), "usage": last("ISA", 15), "group_code": last("GS", 1), "version": last("GS", 8)}
+    return segments.groupBy("file_id").agg(*(c.alias(n) for n, c in own.items()), F.min_by(element(1), F.when(F.col("seg_id") == "ST", F.col("seq"))).alias("first_set"))
+
+
+def transactions(numbered: DataFrame) -> DataFrame:
+    """Segments inside ST ... SE, with the set and control number of their ST."""
+    st = Window.partitionBy("file_id", "isa_ix", "st_ix")
+    head = lambda i: F.min_by(element(i), F.when(F.col("seg_id") == "ST", F.col("seq"))).over(st)
+    return numbered.where("in_st").select("file_id", "isa_ix", "st_ix", head(1).alias("set_code"), head(2).alias("control"), "seq", "seg_id", "elements")
+
+
+def first_transaction(numbered: DataFrame) -> DataFrame:
+    """file_id, set_code, n_segments of the first transaction of each file, and
+    further: how many more a reader of single transactions leaves unread."""
+    w = F.max("st_ix").over(Window.partitionBy("file_id"))
+    own = transactions(numbered).withColumn("further", w - 1).where("st_ix = 1")
+    return own.groupBy("file_id", "set_code", "further").agg(F.count("*").alias("n_segments"))
+
+
+def split_issues(numbered: DataFrame, known: list[str]) -> DataFrame:
+    """file_id, issue, control: transactions opened inside another, trailers
+    without a transaction, and sets that no definition is known for."""
+    st = F.col("seg_id") == "ST"
+    issue = F.when(F.col("misplaced"), F.when(st, "nested_st").otherwise("orphan_se")).when(st & ~F.coalesce(element(1).isin(*known), F.lit(False)), "unknown_set")
+    return numbered.withColumn("issue", issue).where(F.col("issue").isNotNull()).select("file_id", "issue", element(2).alias("control"))
+
+
+def mixed_sets(numbered: DataFrame, wanted: str) -> DataFrame:
+    """file_id, others: set codes of a file other than the spec's."""
+    own = numbered.where((F.col("seg_id") == "ST") & (element(1) != wanted))
+    return own.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set(element(1))), ",").alias("others"))
 
 
 def ids_match(a: Column, b: Column) -> Column:
@@ -57,27 +96,22 @@ def ids_match(a: Column, b: Column) -> Column:
     return F.when(digits, F.ltrim(a, F.lit("0")) == F.ltrim(b, F.lit("0"))).otherwise(a == b)
 
 
-def control_issues(numbered: DataFrame, kinds: tuple[str, ...] = ("SE", "GE", "IEA")) -> DataFrame:
-    """file_id, issue, expected, actual of every trailer (of these kinds) that
-    doesn't add up, and of envelopes that were never closed."""
-    def trailer(kind: str, opener: str, key: list[str], count: Column, head: int) -> DataFrame:
-        own = numbered.groupBy("file_id", *key).agg(
-            count.alias("found"), F.max(F.when(F.col("seg_id") == opener, element(head))).alias("opened"),
-            F.max(F.when(F.col("seg_id") == kind, element(1))).alias("claimed"), F.max(F.when(F.col("seg_id") == kind, element(2))).alias("closed"),
-            F.max((F.col("seg_id") == kind).cast("int")).alias("has"), F.max((F.col("seg_id") == opener).cast("int")).alias("had"),
-        )
-        own = own.where("had = 1")
-        claimed = F.expr("try_cast(claimed AS BIGINT)")
-        has, text = F.col("has") == 1, F.lit(None).cast("string")
-        wrong = has & (claimed.isNull() if kind != "IEA" else F.lit(False)) | (claimed != F.col("found"))
-        ids = has & ~F.coalesce(ids_match(F.col("opened"), F.col("closed")), F.lit(False))
-        one = lambda name, on, expected, actual: F.struct(F.lit(f"{kind.lower()}_{name}").alias("issue"), expected.alias("expected"), actual.alias("actual"), F.coalesce(on, F.lit(False)).alias("on"))
-        all_ = F.array(one("count", wrong, F.col("found").cast("string"), F.col("claimed")), one("control", ids, F.col("opened"), F.col("closed")), one("missing", F.col("has") == 0, F.lit(kind), text))
-        return own.select("file_id", F.explode(all_).alias("i")).where("i.on").select("file_id", "i.issue", "i.expected", "i.actual")
-
-    own = {
-        "SE": ("ST", ["isa_ix", "st_ix"], F.count_if(F.col("in_st")), 2),
-        "GE": ("GS", ["isa_ix", "gs_ix"], F.count_if(F.col("seg_id") == "ST"), 6),
-        "IEA": ("ISA", ["isa_ix"], F.count_if(F.col("seg_id") == "GS"), 13),
-    }
-    return reduce(DataFrame.unionByName, (trailer(k, *own[k]) for k in kinds))
+def control_issues(numbered: DataFrame) -> DataFrame:
+    """file_id, opened, issue, expected, actual of every trailer that doesn't add
+    up, and of envelopes that were never closed; opened is the control number of
+    the transaction, group or interchange. All three levels are sets of one
+    grouping, so the segments are read once and shuffled as partial counts."""
+    has = lambda s: F.max((F.col("seg_id") == s).cast("int"))
+    at = lambda s, i: F.max(F.when(F.col("seg_id") == s, element(i)))
+    level = lambda opener, trailer, head, found: F.struct(F.lit(trailer).alias("kind"), found.cast("bigint").alias("found"), at(opener, head).alias("opened"), at(trailer, 1).alias("claimed"), at(trailer, 2).alias("closed"), has(trailer).alias("has"), has(opener).alias("had"))
+    n = lambda s: F.count_if(F.col("seg_id") == s)
+    levels = {2: level("ST", "SE", 2, F.count_if("in_st")), 1: level("GS", "GE", 6, n("ST")), 3: level("ISA", "IEA", 13, n("GS"))}  # by grouping_id
+    own = numbered.groupingSets([["file_id", "isa_ix", "st_ix"], ["file_id", "isa_ix", "gs_ix"], ["file_id", "isa_ix"]], "file_id", "isa_ix", "gs_ix", "st_ix").agg(F.grouping_id().alias("level"), *(c.alias(f"l{k}") for k, c in levels.items()))
+    own = own.select("file_id", F.when(F.col("level") == 2, F.col("l2")).when(F.col("level") == 1, F.col("l1")).otherwise(F.col("l3")).alias("t")).where("t.had = 1").select("file_id", "t.*")
+    claimed = F.expr("try_cast(claimed AS BIGINT)")
+    closed, name, text = F.col("has") == 1, F.lower("kind"), F.lit(None).cast("string")
+    wrong = closed & ((claimed.isNull() & (F.col("kind") != "IEA")) | (claimed != F.col("found")))
+    ids = closed & ~F.coalesce(ids_match(F.col("opened"), F.col("closed")), F.lit(False))
+    one = lambda what, on, expected, actual: F.struct(F.concat(name, F.lit(f"_{what}")).alias("issue"), expected.alias("expected"), actual.alias("actual"), F.coalesce(on, F.lit(False)).alias("on"))
+    all_ = F.array(one("count", wrong, F.col("found").cast("string"), F.col("claimed")), one("control", ids, F.col("opened"), F.col("closed")), one("missing", ~closed, F.col("kind"), text))
+    return own.select("file_id", "opened", F.explode(all_).alias("i")).where("i.on").select("file_id", "opened", "i.issue", "i.expected", "i.actual")
