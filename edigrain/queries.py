@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import values
-from .operators import checks, history, partners, scopes, scrub, structure, validate
-from .operators.judge import header_findings, line_findings
-from .plans.spec import PURCHASE_ORDER, Format
+from .operators import checks, history, outbound, partners, scopes, scrub, structure, validate
+from .operators.judge import header_findings, line_cells, line_findings
+from .operators.store import share
+from .plans import tables
+from .plans.spec import PURCHASE_ORDER, PURCHASE_ORDER_OUT, Format
 from .plans.transactions import DEFINITIONS
 from .sources import derived, documents, x12
 
@@ -218,7 +220,7 @@ RULES = {
     "fmt_date_shift": ("R-08", "header", _header("'PASS'", "'-'", "(day + 7)::VARCHAR", "(day + 7)::VARCHAR")),
     "rule_default": ("R-09", "header", _header("'PASS'", "'-'", "'NONE'", "'NONE'")),
     "rule_skip": ("R-11", "header", _header("'PASS'", "'-'", "CASE WHEN k % 5 <> 0 THEN cust::VARCHAR END", "CASE WHEN k % 5 <> 0 THEN cust::VARCHAR END")),
-    "fmt_implied_decimal": ("R-13", "header", _header("CASE WHEN k % 3 = 0 THEN 'PASS' ELSE 'NOT TESTED' END", "'-'", "CASE WHEN k % 3 = 0 THEN '25' END", "CASE WHEN k % 3 = 0 THEN '25' END")),
+    "fmt_implied_decimal": ("R-13", "header", _header("CASE WHEN k % 3 = 0 THEN 'PASS' ELSE 'NOT TESTED' END", "'-'", "CASE WHEN k % 3 = 0 THEN '25.00' END", "CASE WHEN k % 3 = 0 THEN '25' END")),
     "rule_loop_count": ("R-31", "header", _header("'PASS'", "'-'", "lines::VARCHAR", "lines::VARCHAR")),
     "rule_count_claimed": ("R-30", "header", _header("CASE WHEN k % 31 = 0 THEN 'FAIL' ELSE 'PASS' END", "CASE WHEN k % 31 = 0 THEN 'value_mismatch' ELSE '-' END", "(lines + CASE WHEN k % 31 = 0 THEN 1 ELSE 0 END)::VARCHAR", "lines::VARCHAR")),
     "rule_todo": ("R-40", "header", _header("'NOT TESTED'", "'-'", "NULL::VARCHAR", "NULL::VARCHAR")),
@@ -232,11 +234,14 @@ RULES = {
 
 
 def _findings(spark, sf_dir):
-    """Of documents; of groups and interchanges too, with a null doc."""
-    own = x12.control_issues(x12.number_envelopes(derived.transaction_segments(spark, sf_dir).withColumnRenamed("doc", "file_id")), ("SE",))
-    files = x12.control_issues(x12.number_envelopes(x12.tokenize(derived.interchange_text(spark, sf_dir))), ("GE", "IEA"))
-    rows = validate.validate(_placed(spark, sf_dir), _docs(spark, sf_dir), PURCHASE_ORDER, D850)
-    return rows.unionByName(validate.envelope_findings(own, F.col("file_id"))).unionByName(validate.envelope_findings(files))
+    """Of documents; of groups and interchanges too, with a null doc. From the text
+    of interchanges, as a run over files would be."""
+    o = share(derived.orders(spark, sf_dir))
+    numbered = share(x12.number_envelopes(x12.tokenize(derived.interchange_text(spark, sf_dir, o=o))))
+    segments = x12.transactions(numbered).select(F.col("control").try_cast("long").alias("doc"), "seq", "seg_id", "elements")
+    docs = derived.output_documents(spark, sf_dir, o).select("doc", F.try_parse_json("json").alias("v"))
+    rows = validate.validate(structure.place(segments, D850), docs, PURCHASE_ORDER, D850)
+    return rows.unionByName(validate.envelope_findings(x12.control_issues(numbered))).unionByName(validate.split_findings(x12.split_issues(numbered, list(DEFINITIONS))))
 
 
 def validate_interchange(spark, sf_dir):
@@ -254,8 +259,17 @@ def category_rollup(spark, sf_dir):
 
 
 _HEADER_FAIL = "(CASE WHEN k % 19 <> 0 AND k % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 37 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 31 = 0 THEN 1 ELSE 0 END)"
+_ALL = """, x AS (SELECT l.k, l.k % 7 = 0 AND ix = lines - 1 AS dropped, CASE WHEN l.k % 7 = 0 AND ix = lines - 1 THEN 5 + (part % 5 <> 0)::INT ELSE 0 END AS lost, (l.k % 17 = 0 AND NOT (l.k % 7 = 0 AND ix = lines - 1))::INT AS untranslated FROM l JOIN o USING (k)),
+files AS (SELECT (count(DISTINCT o_orderkey // 20) FILTER ((o_orderkey // 20) % 7 = 0) + count(DISTINCT o_orderkey // 20) FILTER ((o_orderkey // 20) % 5 = 0))::BIGINT AS n FROM orders),
+y AS (SELECT k, sum(lost + untranslated) AS bad, sum(6 - lost - untranslated) AS good FROM x GROUP BY k),
+h AS (SELECT *, {fail} AS hf, {no} AS hn FROM o),
+v AS (SELECT h.k, (hf + coalesce(bad, 0) + (h.k % 19 = 0)::INT + (h.k % 7 = 0 AND lines > 0)::INT + (h.k % 13 = 0)::INT)::BIGINT AS fail, (1 + (h.k % 31 = 0)::INT + (h.k % 41 = 0)::INT + (h.k % 43 = 0)::INT + (h.k % 3 = 0)::INT)::BIGINT AS warning,
+  hn::BIGINT AS not_tested, (17 - hf - hn + coalesce(good, 0))::BIGINT AS pass FROM h LEFT JOIN y USING (k))
+"""
 _HEADER_NOT = "(1 + CASE WHEN k % 19 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 3 <> 0 THEN 1 ELSE 0 END)"
 
+_ALL = _ALL.format(fail=_HEADER_FAIL, no=_HEADER_NOT)
+
 
 def _two_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Findings shaped from orders: the second run fails other documents."""
@@ -285,7 +299,7 @@ def _runs(spark, sf_dir):
 
 
 def trend_pass_rate(spark, sf_dir):
-    return history.trends(_runs(spark, sf_dir)).select("spec_file", "total", "passed", "pass_rate", "latest", F.length("series").cast("long").alias("series_length"))
+    return history.trends(_runs(spark, sf_dir)).select(F.col("label").alias("spec_file"), "total", "passed", "pass_rate", "latest", F.length("series").cast("long").alias("series_length"))
 
 
 def recent_runs(spark, sf_dir):
@@ -357,7 +371,7 @@ def hl_orphans(spark, sf_dir):
 
 def hl_ancestors(spark, sf_dir):
     tree = structure.hierarchy(_shipment(spark, sf_dir))
-    return structure.ancestors(tree, 5).groupBy("doc").agg(F.count("*").alias("n"), F.max("distance").alias("depth"))
+    return structure.ancestors(tree).groupBy("doc").agg(F.count("*").alias("n"), F.max("distance").alias("depth"))
 
 
 def hl_unit_sum(spark, sf_dir):
@@ -499,6 +513,150 @@ def json_array_documents(spark, sf_dir):
     return out.select("file_id", "doc_ix", F.try_variant_get("v", "$.order.vendor", "string").alias("vendor"))
 
 
+# --- files
+
+
+def _files(spark, sf_dir, change=None) -> DataFrame:
+    """Numbered segments of interchanges, their text changed by change(text, file number)."""
+    files = derived.interchange_text(spark, sf_dir)
+    if change is not None:
+        files = files.withColumn("text", change(F.col("text"), F.substring("file_id", 2, 20).cast("long")))
+    return x12.number_envelopes(x12.tokenize(files))
+
+
+def envelope_capture(spark, sf_dir):
+    return x12.envelopes(x12.tokenize(derived.interchange_text(spark, sf_dir)))
+
+
+def first_transaction(spark, sf_dir):
+    return x12.first_transaction(_files(spark, sf_dir))
+
+
+def split_issues(spark, sf_dir):
+    """Each 11th file has a trailer too many, each 13th a transaction inside each,
+    each 17th a set without a definition."""
+    def change(text: Column, n: Column) -> Column:
+        text = F.when(n % 11 == 0, F.replace(text, F.lit("~\nGE*"), F.lit("~\nSE*9*9~\nGE*"))).otherwise(text)
+        text = F.when(n % 13 == 0, F.replace(text, F.lit("~\nBEG*"), F.lit("~\nST*850*X~\nBEG*"))).otherwise(text)
+        return F.when((n % 17 == 0) & (n % 13 != 0), F.replace(text, F.lit("~\nST*850*"), F.lit("~\nST*000*"))).otherwise(text)
+
+    return x12.split_issues(_files(spark, sf_dir, change), list(DEFINITIONS)).groupBy("file_id", "issue").agg(F.count("*").alias("n"))
+
+
+def mixed_sets(spark, sf_dir):
+    """Orders whose key ends in 0 are sent as another set."""
+    return x12.mixed_sets(_files(spark, sf_dir, lambda text, n: F.regexp_replace(text, r"ST\*850\*(\d*0)~", "ST*855*$1~")), "850")
+
+
+def scrub_round_trip(spark, sf_dir):
+    """Text put together again from its segments is the text, but for line breaks."""
+    files = derived.interchange_text(spark, sf_dir)
+    again = scrub.reassemble(x12.tokenize(files)).withColumnRenamed("text", "again")
+    bare = lambda c: F.regexp_replace(F.replace(c, F.lit("\n"), F.lit("")), "~$", "")
+    return files.join(again, "file_id").select("file_id", (bare("text") == bare("again")).alias("same"))
+
+
+def xml_fold(spark, sf_dir):
+    """XML documents to leaves; each 9th declares a document type and is left out."""
+    o = derived.orders(spark, sf_dir)
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c.cast("string"), F.lit(f"</{name}>"))
+    items = F.array_join(F.transform("lines", lambda x: F.concat(F.lit('<ITEM SEGMENT="1">'), tag("QTY", x["qty"]), tag("PART", x["part"]), F.lit("</ITEM>"))), "\n")
+    text = F.concat(F.when(F.col("o_orderkey") % 9 == 0, "<!doctype x>").otherwise("<?xml version='1.0'?>"), F.lit("<ORDERS><IDOC><HEAD>"), tag("PO", F.concat(F.lit("PO"), "o_orderkey")), tag("CUST", F.col("o_custkey")), F.lit("<NIL/></HEAD>"), items, F.lit("<SUMS><KIND>001</KIND>"), tag("N", F.size("lines")), F.lit("</SUMS></IDOC></ORDERS>"))
+    rows = documents.xml_records(o.select(F.col("o_orderkey").cast("string").alias("file_id"), text.alias("text")))
+    layout = [documents.Record("HEAD", "object", "header", (("po", "PO"), ("cust", "CUST"))), documents.Record("ITEM", "line", "lines", (("qty", "QTY"), ("part", "PART"))), documents.Record("SUMS", "keyed", "summary", (("kind", "KIND"), ("n", "N")), "kind", "n")]
+    return documents.layout_leaves(rows, layout).select("file_id", "norm_path", F.coalesce("line_ix", F.lit(-1)).alias("line_ix"), "leaf_text")
+
+
+def xml_guard(spark, sf_dir):
+    """Document types in UTF-8, UTF-16 and none."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.concat(F.lit("<?xml version='1.0'?><!DocType x>"), "c_name")
+    k = F.col("c_custkey") % 4
+    content = F.when(k == 0, F.encode(text, "UTF-8")).when(k == 1, F.encode(text, "UTF-16LE")).when(k == 2, F.encode(text, "UTF-16BE")).otherwise(F.encode("c_name", "UTF-8"))
+    return c.select("c_custkey", documents.guard_xml(content).alias("refused"))
+
+
+def format_detection(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey") % 4
+    name = F.concat("c_name", F.when(k == 0, ".JSON").when(k == 1, ".xml").otherwise(".txt"))
+    text = F.when(k == 2, F.concat(F.lit("EDI_DC40  4"), "c_name", F.lit("\nrest"))).otherwise(F.concat(F.lit("H|a="), "c_name"))
+    return c.select("c_custkey", documents.detect_format(name, text).alias("format"))
+
+
+# --- outbound
+
+
+def _out(make: str, *shown: str):
+    def query(spark, sf_dir):
+        rows = getattr(outbound, make)(_placed(spark, sf_dir), _docs(spark, sf_dir), PURCHASE_ORDER_OUT, D850)
+        return rows.groupBy("row_id", "status", F.coalesce("category", F.lit("-")).alias("category")).agg(F.count("*").alias("n"))
+
+    return query
+
+
+def outbound_header(spark, sf_dir):
+    return _out("header_findings")(spark, sf_dir)
+
+
+def outbound_lines(spark, sf_dir):
+    return _out("line_findings")(spark, sf_dir)
+
+
+def outbound_unmapped_source(spark, sf_dir):
+    return outbound.unmapped_source(_docs(spark, sf_dir), PURCHASE_ORDER_OUT).groupBy("norm_path").agg(F.count("*").alias("n"))
+
+
+def outbound_unmapped_target(spark, sf_dir):
+    return outbound.unmapped_target(_placed(spark, sf_dir), PURCHASE_ORDER_OUT, D850).groupBy("seg_id", "elem_ix").agg(F.count("*").alias("n"))
+
+
+def hl_line_scope(spark, sf_dir):
+    """Items of an 856 read their order's and their shipment's segments too."""
+    return line_cells(_shipment(spark, sf_dir), DEFINITIONS["856"], ["SN102", "PRF01", "TD101"])
+
+
+# --- specs as tables
+
+
+def _spec_rows(spark, sf_dir) -> DataFrame:
+    """Rule rows shaped from parts, with planted defects."""
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.when(k % 29 == 1, F.concat(F.lit("P"), (k - 1).cast("string"))).otherwise(F.concat(F.lit("P"), k.cast("string"))).alias("row_id"), F.when(k % 7 == 0, "BEG").when(k % 5 != 0, "BEG03").alias("source"),
+        F.when(k % 11 == 0, "N1[").otherwise("N1[ST]").alias("context"), F.when(k % 13 != 0, F.concat(F.lit("a.f"), k)).alias("target"), F.when(k % 17 == 0, "GUESS").when(k % 3 == 0, "code_list").otherwise("DIRECT").alias("kind"),
+        F.lit("").alias("condition"), F.lit("").alias("then"), F.lit(None).cast("string").alias("otherwise"), F.lit(None).cast("string").alias("default"), F.when((k % 3 == 0) & (k % 2 == 0), "UOM").when(k % 3 == 0, "NONE").alias("code_list"),
+        F.when(k % 19 == 0, "float").alias("data_type"), F.when(k % 23 == 0, "len:x").otherwise("len:1..9;places:2").alias("fmt"),
+    )
+
+
+def _codes(spark, sf_dir) -> DataFrame:
+    """A list of nations; every region's first letter is translated twice or more."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return n.select(F.lit("UOM").alias("list"), F.concat(F.lit("N"), (F.col("n_nationkey") % 20).cast("string")).alias("source"), F.col("n_name").alias("target"))
+
+
+def spec_errors(spark, sf_dir):
+    return tables.rule_errors(_spec_rows(spark, sf_dir), _codes(spark, sf_dir))
+
+
+def spec_delta(spark, sf_dir):
+    """A partner's delta: each 5th row is replaced, each 10th removed."""
+    rows = _spec_rows(spark, sf_dir).withColumn("row_id", F.coalesce("target", F.lit("none"))).where("target is not null")
+    k = F.substring("target", 4, 20).cast("long")
+    delta = rows.where(k % 5 == 0).withColumn("kind", F.when(k % 10 == 0, "REMOVE").otherwise("TODO"))
+    return tables.merge_delta(rows, delta).select("row_id", F.upper("kind").alias("kind"), "origin")
+
+
+def spec_from_rows(spark, sf_dir):
+    """Verdicts by a spec that was read from rows."""
+    rules = spark.createDataFrame([("T-1", "BEG03", "", "order.po_number", "direct", "", "", "", None, "", "", ""), ("T-2", "BEG02", "", "order.type", "CODE_LIST", "", "", "", None, "TYPES", "string", "")], ", ".join(f"`{c}` string" for c in tables.COLUMNS))
+    codes = spark.createDataFrame([("TYPES", "SA", "STANDALONE"), ("TYPES", "DS", "DROP_SHIP")], "list string, source string, target string")
+    spec = tables.compile_spec("850", rules, codes)
+    found = header_findings(_placed(spark, sf_dir), _docs(spark, sf_dir), spec, D850)
+    return found.groupBy("row_id", "status", F.coalesce("category", F.lit("-")).alias("category")).agg(F.count("*").alias("n"))
+
+
 _LAYOUT = """WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS ix, l_quantity::INTEGER AS qty, l_partkey AS part FROM lineitem),
 n AS (SELECT o_orderkey AS k, o_custkey AS cust, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT k::VARCHAR AS file_id, 'header.{po}' AS norm_path, -1 AS line_ix, 'PO' || k AS leaf_text FROM n UNION ALL SELECT k::VARCHAR, 'header.cust', -1, cust::VARCHAR FROM n UNION ALL SELECT k::VARCHAR, 'summary.{count}', -1, lines::VARCHAR FROM n
@@ -517,7 +675,7 @@ UNION ALL SELECT 'PO1', sum(lines)::BIGINT, 7 * sum(lines)::BIGINT FROM n UNION
     envelope_se_control: _TEXT + "SELECT 'se_count' AS issue, count(*) AS n FROM n WHERE k % 13 = 0 UNION ALL SELECT 'ge_count', count(DISTINCT f) FROM n WHERE f % 7 = 0 UNION ALL SELECT 'iea_missing', count(DISTINCT f) FROM n WHERE f % 5 = 0",
     envelope_ge_count: _TEXT + "SELECT 'F' || f AS file_id, count(*)::VARCHAR AS expected, (count(*) + 1)::VARCHAR AS actual FROM n WHERE f % 7 = 0 GROUP BY f",
     truncated_interchange: _TEXT + "SELECT DISTINCT 'F' || f AS file_id FROM n WHERE f % 5 = 0",
-    raw_tail: "SELECT 'LEFT OVER' AS tail, true AS found",
+    raw_tail: "SELECT DISTINCT 'F' || (o_orderkey // 20) AS file_id, 'LEFT OVER F' || (o_orderkey // 20) AS tail FROM orders WHERE (o_orderkey // 20) % 3 = 0",
     transaction_split: _TEXT + "SELECT 'F' || f AS file_id, count(*) AS n_docs, sum(size + 2)::BIGINT AS n_segments FROM body GROUP BY f",
     flat_scope_read: "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 19 <> 0 THEN 'PO' || o_orderkey END AS value FROM orders",
     qualified_loop_read: "SELECT o_orderkey AS doc, n_name AS value FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey",
@@ -545,7 +703,7 @@ UNION ALL SELECT 0, 'N1', 'N1', 2 * count(*) FROM o UNION ALL SELECT 0, 'N1', 'N
     required_pair: "SELECT l_orderkey AS doc, count(*) AS n FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1",
     unmapped_source: "SELECT 'ITD' AS seg_id, count(*) AS n FROM orders WHERE o_orderkey % 43 = 0 UNION ALL SELECT 'SAC', count(*) FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'N1', count(*) FROM orders",
     unmapped_target: _BASE + "SELECT k AS doc, 'order.extra' AS norm_path, '?' AS leaf_text FROM o WHERE k % 41 = 0",
-    pairing_orphans: "SELECT 'unmatched_source' AS issue, count(*) AS n FROM orders WHERE o_orderkey % 19 <> 0 AND (o_orderkey % 23 = 0 OR o_orderkey % 11 = 0) UNION ALL SELECT 'unmatched_target', count(*) FROM orders WHERE o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 11 = 0",
+    pairing_orphans: "SELECT 'unmatched_source' AS issue, count(*) AS n FROM orders WHERE o_orderkey % 19 <> 0 AND (o_orderkey % 23 = 0 OR o_orderkey % 11 = 0) UNION ALL SELECT 'unmatched_target', count(*) FROM orders WHERE o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 11 = 0 UNION ALL SELECT 'no_key_source', count(*) FROM orders WHERE o_orderkey % 19 = 0 UNION ALL SELECT 'no_key_target', count(*) FROM orders WHERE o_orderkey % 19 = 0 AND o_orderkey % 23 <> 0",
     pairing_duplicates: """WITH o AS (SELECT o_orderkey AS k FROM orders), s AS (SELECT k - CASE WHEN k % 29 = 1 THEN 1 ELSE 0 END AS key FROM o)
 SELECT key::VARCHAR AS key, 'duplicate_source' AS issue FROM s GROUP BY key HAVING count(*) > 1 UNION ALL SELECT k::VARCHAR, 'unmatched_target' FROM o WHERE k NOT IN (SELECT key FROM s)
 UNION ALL SELECT key::VARCHAR, 'unmatched_source' FROM (SELECT DISTINCT key FROM s) WHERE key NOT IN (SELECT k FROM o)""",
@@ -561,14 +719,20 @@ UNION ALL SELECT unnest(['R-20', 'R-21', 'R-23', 'R-25']), 'PASS', '-', count(*)
 UNION ALL SELECT 'R-22', 'FAIL', 'code_translation', count(*) FROM x WHERE NOT dropped AND k % 17 = 0 UNION ALL SELECT 'R-22', 'PASS', '-', count(*) FROM x WHERE NOT dropped AND k % 17 <> 0
 UNION ALL SELECT 'R-24', 'PASS', '-', count(*) FROM x WHERE NOT dropped OR part % 5 = 0 UNION ALL SELECT 'R-24', 'FAIL', 'missing_output', count(*) FROM x WHERE dropped AND part % 5 <> 0
 UNION ALL SELECT '-', 'FAIL', 'source_data', count(*) FROM o WHERE k % 19 = 0 UNION ALL SELECT '-', 'FAIL', 'count_mismatch', count(*) FROM o WHERE k % 7 = 0 AND lines > 0 UNION ALL SELECT '-', 'WARNING', 'count_mismatch', count(*) FROM o WHERE k % 31 = 0
+UNION ALL SELECT '-', 'FAIL', 'missing_output', count(*) FROM orders WHERE o_orderkey % 23 = 0 UNION ALL SELECT '-', 'FAIL', 'control', (count(*) FILTER (o_orderkey % 13 = 0) + count(DISTINCT o_orderkey // 20) FILTER ((o_orderkey // 20) % 7 = 0) + count(DISTINCT o_orderkey // 20) FILTER ((o_orderkey // 20) % 5 = 0))::BIGINT FROM orders
 UNION ALL SELECT '-', 'WARNING', 'unmapped_target', count(*) FROM o WHERE k % 41 = 0 UNION ALL SELECT '-', 'WARNING', 'unmapped_source', (count(*) + count(*) FILTER (k % 43 = 0) + count(*) FILTER (k % 3 = 0))::BIGINT FROM o) WHERE n > 0""",
-    status_rollup: _BASE + f"SELECT k AS doc, {_HEADER_FAIL}::BIGINT AS fail, 0::BIGINT AS warning, {_HEADER_NOT}::BIGINT AS not_tested, (17 - {_HEADER_FAIL} - {_HEADER_NOT})::BIGINT AS pass, CASE WHEN {_HEADER_FAIL} > 0 THEN 'FAIL' ELSE 'PASS' END AS result FROM o",
-    category_rollup: _BASE + "SELECT 'value_mismatch' AS category, (count(*) FILTER (k % 19 <> 0 AND k % 11 = 0) + count(*) FILTER (k % 31 = 0))::BIGINT AS n FROM o UNION ALL SELECT 'format', count(*) FROM o WHERE k % 37 = 0",
-    regression_diff: """WITH k AS (SELECT o_orderkey AS doc FROM orders), s AS (SELECT doc, doc % 10 = 0 AS a, doc % 15 = 0 AS b FROM k WHERE doc % 97 <> 0 AND doc % 89 <> 0)
-SELECT doc, CASE WHEN a AND b THEN 'CHANGED' WHEN a THEN 'RESOLVED' ELSE 'NEW' END AS kind, CASE WHEN a THEN 'FAIL' END AS old_status, CASE WHEN b THEN 'FAIL' END AS new_status, b AS regression FROM s WHERE a OR b
+    status_rollup: _BASE + _ALL + """SELECT k AS doc, fail, warning, not_tested, pass, CASE WHEN fail > 0 THEN 'FAIL' WHEN warning > 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM v
+UNION ALL SELECT o_orderkey, (1 + (o_orderkey % 13 = 0)::INT)::BIGINT, 0, 0, 0, 'FAIL' FROM orders WHERE o_orderkey % 23 = 0
+UNION ALL SELECT NULL, n, 0, 0, 0, 'FAIL' FROM files WHERE n > 0""",
+    category_rollup: _BASE + _ALL + """SELECT * FROM (SELECT 'value_mismatch' AS category, (count(*) FILTER (k % 19 <> 0 AND k % 11 = 0) + count(*) FILTER (k % 31 = 0))::BIGINT AS n FROM o UNION ALL SELECT 'format', count(*) FROM o WHERE k % 37 = 0
+UNION ALL SELECT 'missing_output', (coalesce(sum(lost), 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 23 = 0))::BIGINT FROM x UNION ALL SELECT 'code_translation', coalesce(sum(untranslated), 0)::BIGINT FROM x UNION ALL SELECT 'source_data', count(*) FROM o WHERE k % 19 = 0
+UNION ALL SELECT 'count_mismatch', (count(*) FILTER (k % 7 = 0 AND lines > 0) + count(*) FILTER (k % 31 = 0))::BIGINT FROM o UNION ALL SELECT 'unmapped_target', count(*) FROM o WHERE k % 41 = 0
+UNION ALL SELECT 'unmapped_source', (count(*) + count(*) FILTER (k % 43 = 0) + count(*) FILTER (k % 3 = 0))::BIGINT FROM o UNION ALL SELECT 'control', ((SELECT n FROM files) + (SELECT count(*) FROM orders WHERE o_orderkey % 13 = 0))::BIGINT) WHERE n > 0""",
+    regression_diff: """WITH k AS (SELECT o_orderkey AS doc FROM orders), s AS (SELECT doc, CASE WHEN doc % 10 = 0 THEN 'FAIL' ELSE 'PASS' END AS a, CASE WHEN doc % 15 = 0 THEN 'FAIL' ELSE 'PASS' END AS b FROM k WHERE doc % 97 <> 0 AND doc % 89 <> 0)
+SELECT doc, CASE WHEN a = 'FAIL' AND b = 'PASS' THEN 'RESOLVED' ELSE 'CHANGED' END AS kind, a AS old_status, b AS new_status, a <> 'FAIL' AND b = 'FAIL' AS regression FROM s WHERE a = 'FAIL' OR b = 'FAIL'
 UNION ALL SELECT doc, 'DOC REMOVED', NULL, NULL, true FROM k WHERE doc % 97 <> 0 AND doc % 89 = 0 UNION ALL SELECT doc, 'DOC ADDED', NULL, NULL, false FROM k WHERE doc % 97 = 0 AND doc % 89 <> 0""",
     docs_added_removed: "SELECT 'DOC REMOVED' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 UNION ALL SELECT 'DOC ADDED', count(*) FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0",
-    trend_pass_rate: """WITH r AS (SELECT o_orderkey AS k, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM orders WHERE o_orderkey % 3 <> 0)
+    trend_pass_rate: """WITH r AS (SELECT o_orderkey AS k, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 200) WHERE o_orderkey % 3 <> 0)
 SELECT spec_file, count(*) AS total, count(*) FILTER (result = 'PASS') AS passed, round(avg(CASE WHEN result = 'PASS' THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, max_by(result, k) AS latest, count(*) AS series_length FROM r GROUP BY spec_file""",
     recent_runs: "SELECT o_orderkey AS run_id, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM orders ORDER BY o_orderkey DESC LIMIT 20",
     baseline_keys: "SELECT c_custkey, replace(replace(c_name || '|%', '%', '%25'), '|', '%7C') || '|' || c_mktsegment AS baseline_key FROM customer",
@@ -582,7 +746,11 @@ SELECT k AS doc, 1 + 2 * items AS n, CASE WHEN items > 0 THEN 2 ELSE 1 END AS de
     hl_unit_sum: "SELECT l_orderkey AS doc, (sum(l_quantity::INTEGER) + 5)::BIGINT AS claimed, sum(l_quantity::INTEGER)::BIGINT AS units FROM lineitem WHERE l_orderkey % 14 = 0 GROUP BY 1",
     hl_nested_party: "SELECT unnest(['N1', 'N4']) AS seg_id, 'HL' AS loop_id, 'N1' AS child_id, count(*) AS n FROM orders",
     scrub_redact: "SELECT o_orderkey AS doc, 'ST' AS code, regexp_replace(c_name, '[\\p{L}\\p{N}]', 'X', 'g') AS name FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT o_orderkey, 'BT', n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey",
-    scrub_pseudonymize: None,
+    scrub_pseudonymize: """WITH n AS (SELECT o_orderkey AS doc, 'ST' AS code, c_name AS v FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT o_orderkey, 'BT', n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+u AS (SELECT v, sha256('salt' || chr(0) || v) AS h FROM n GROUP BY v), c AS (SELECT v, h, unnest(range(1, length(v) + 1)) AS i FROM u),
+d AS (SELECT v, i, substr(v, i, 1) AS ch, ('0x' || substr(h, 2 * length(regexp_replace(substr(v, 1, i - 1), '[^\\p{Nd}\\p{L}]', '', 'g')) + 1, 2))::INTEGER AS b FROM c),
+p AS (SELECT v, string_agg(CASE WHEN regexp_matches(ch, '\\p{Nd}') THEN (b % 10)::VARCHAR WHEN regexp_matches(ch, '\\p{L}') THEN chr(65 + b % 26) ELSE ch END, '' ORDER BY i) AS name FROM d GROUP BY v)
+SELECT doc, code, name FROM n JOIN p USING (v)""",
     mask_counts: """WITH x AS (SELECT o_orderkey, o_custkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), names AS (SELECT c_name AS v FROM x UNION ALL SELECT n_name FROM x)
 SELECT 'N1' AS segment, 2 AS element, count(*) AS n, count(DISTINCT v) AS n_distinct FROM names UNION ALL SELECT 'N1', 4, count(*), count(DISTINCT o_custkey) FROM x UNION ALL SELECT 'REF', 2, count(*), count(DISTINCT o_custkey) FROM x""",
     recon_warehouse: "SELECT l_orderkey AS doc, 'w03-transfer-sum' AS rule, 1::BIGINT AS missing FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY 1",
@@ -592,10 +760,39 @@ SELECT 'N1' AS segment, 2 AS element, count(*) AS n, count(DISTINCT v) AS n_dist
 SELECT kind, CASE WHEN k % 17 = 0 THEN 'no target' WHEN kind = 'TODO' THEN 'no evidence of a rule' WHEN kind <> 'CONSTANT' AND k % 3 = 0 THEN 'source is no element' WHEN kind = 'CODE_LIST' AND k % 19 <> 0 THEN 'no code list'
   WHEN kind = 'CONDITIONAL' AND k % 5 <> 0 THEN 'condition is prose' ELSE '-' END AS review, count(*) AS n FROM r GROUP BY ALL""",
     delta_merge: "SELECT p_partkey AS row_id, CASE WHEN p_partkey % 3 <> 0 THEN 0 ELSE 1 END AS part, CASE WHEN p_partkey % 5 = 0 THEN 'partner rule' ELSE p_name END AS body, CASE WHEN p_partkey % 5 = 0 THEN 'partner' ELSE 'base' END AS origin FROM part WHERE p_partkey % 10 <> 0 AND (p_partkey % 3 <> 0 OR p_partkey % 5 = 0)",
-    overlay_apply: """WITH b AS (SELECT 'S' || (p_partkey % 50) AS segment, CASE WHEN p_partkey % 2 = 0 THEN 'N1' END AS loop FROM part WHERE p_partkey < 50), o AS (SELECT 'S' || (p_partkey % 50) AS segment, p_partkey % 5 = 0 AS other, CASE WHEN p_partkey % 3 = 0 THEN 'N1' ELSE 'PO1' END AS loop FROM part WHERE p_partkey < 100)
+    overlay_apply: """WITH b AS (SELECT 'S' || (p_partkey // 2) AS segment, CASE WHEN p_partkey % 4 = 0 THEN 'N1' END AS loop FROM part WHERE p_partkey % 2 = 0), o AS (SELECT 'S' || (p_partkey // 2) AS segment, p_partkey % 5 = 0 AS other, CASE WHEN p_partkey % 3 = 0 THEN 'N1' ELSE 'PO1' END AS loop FROM part)
 SELECT 'base' AS origin, segment, count(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'partner', segment, count(*) FROM o WHERE other OR NOT EXISTS (SELECT 1 FROM b WHERE b.segment = o.segment AND (b.loop IS NULL OR b.loop = o.loop)) GROUP BY 2""",
     draft_prefill: "SELECT count(*) FILTER (p_partkey % 4 <> 0) AS required, count(*) FILTER (p_partkey % 4 <> 0 AND p_partkey % 5 <> 0) AS prefilled, count(*) FILTER (p_partkey % 5 = 0) AS todo, round(count(*) FILTER (p_partkey % 4 <> 0 AND p_partkey % 5 <> 0) / count(*) FILTER (p_partkey % 4 <> 0), 6) AS prefill FROM part",
     batch_totals: "SELECT count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 5 <> 0) AS pass, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 5 = 0) AS warning, count(*) FILTER (p_partkey % 7 = 0) AS fail, 0::BIGINT AS error, 1 AS exit_code FROM part",
+    envelope_capture: _TEXT + "SELECT 'F' || f AS file_id, 'SENDER' AS sender, 'RECEIVER' AS receiver, lpad(f::VARCHAR, 9, '0') AS control, 'P' AS usage, 'PO' AS group_code, '004010' AS version, '850' AS first_set FROM n GROUP BY f",
+    first_transaction: _TEXT + "SELECT 'F' || f AS file_id, '850' AS set_code, (count(*) - 1)::INTEGER AS further, arg_min(size, k) + 2 AS n_segments FROM body GROUP BY f",
+    split_issues: _TEXT + """, g AS (SELECT f, count(*) AS docs FROM n GROUP BY f)
+SELECT 'F' || f AS file_id, 'nested_st' AS issue, docs AS n FROM g WHERE f % 13 = 0 UNION ALL SELECT 'F' || f, 'orphan_se', 1 FROM g WHERE f % 11 = 0 UNION ALL SELECT 'F' || f, 'unknown_set', docs FROM g WHERE f % 17 = 0 AND f % 13 <> 0""",
+    mixed_sets: "SELECT DISTINCT 'F' || (o_orderkey // 20) AS file_id, '855' AS others FROM orders WHERE o_orderkey % 10 = 0",
+    scrub_round_trip: "SELECT DISTINCT 'F' || (o_orderkey // 20) AS file_id, true AS same FROM orders",
+    xml_fold: f"SELECT * FROM ({_LAYOUT.format(po='po', count='001')}) WHERE file_id::BIGINT % 9 <> 0",
+    xml_guard: "SELECT c_custkey, c_custkey % 4 <> 3 AS refused FROM customer",
+    format_detection: "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'xml' WHEN 2 THEN 'control' ELSE 'flat' END AS format FROM customer",
+    outbound_header: _BASE + """SELECT * FROM (SELECT unnest(['O-02', 'O-04', 'O-06']) AS row_id, 'PASS' AS status, '-' AS category, count(*) AS n FROM o
+UNION ALL SELECT 'O-01', 'NOT TESTED', '-', count(*) FROM o WHERE k % 19 = 0 UNION ALL SELECT 'O-01', 'FAIL', 'value_mismatch', count(*) FROM o WHERE k % 19 <> 0 AND k % 11 = 0 UNION ALL SELECT 'O-01', 'PASS', '-', count(*) FROM o WHERE k % 19 <> 0 AND k % 11 <> 0
+UNION ALL SELECT 'O-03', 'FAIL', 'source_data', count(*) FROM o WHERE k % 37 = 0 UNION ALL SELECT 'O-03', 'PASS', '-', count(*) FROM o WHERE k % 37 <> 0 UNION ALL SELECT 'O-05', 'PASS', '-', count(*) FROM o WHERE k % 3 = 0 UNION ALL SELECT 'O-05', 'NOT TESTED', '-', count(*) FROM o WHERE k % 3 <> 0
+UNION ALL SELECT 'O-07', CASE WHEN (k % 31 = 0) <> (k % 7 = 0 AND lines > 0) OR (k % 31 = 0 AND k % 7 = 0 AND lines > 0) THEN 'FAIL' ELSE 'PASS' END, CASE WHEN (k % 31 = 0) <> (k % 7 = 0 AND lines > 0) OR (k % 31 = 0 AND k % 7 = 0 AND lines > 0) THEN 'count_mismatch' ELSE '-' END, count(*) FROM o GROUP BY 2, 3) WHERE n > 0""",
+    outbound_lines: _BASE + """, x AS (SELECT l.*, l.k % 7 = 0 AND ix = lines - 1 AS dropped FROM l JOIN o USING (k))
+SELECT * FROM (SELECT unnest(['O-10', 'O-11', 'O-12']) AS row_id, 'FAIL' AS status, 'count_mismatch' AS category, count(*) AS n FROM x WHERE dropped UNION ALL SELECT unnest(['O-10', 'O-12']), 'PASS', '-', count(*) FROM x WHERE NOT dropped
+UNION ALL SELECT 'O-11', CASE WHEN k % 17 = 0 THEN 'FAIL' ELSE 'PASS' END, CASE WHEN k % 17 = 0 THEN 'source_data' ELSE '-' END, count(*) FROM x WHERE NOT dropped GROUP BY 2, 3) WHERE n > 0""",
+    outbound_unmapped_source: _BASE + """SELECT * FROM (SELECT unnest(['order.purpose', 'order.drop_ship', 'order.record_type', 'order.due_date', 'order.release', 'ship_to.name', 'ship_to.city', 'summary.line_count', 'summary.total']) AS norm_path, count(*) AS n FROM o
+UNION ALL SELECT 'order.extra', count(*) FROM o WHERE k % 41 = 0 UNION ALL SELECT 'ship_to.id', count(*) FROM o WHERE k % 5 <> 0 UNION ALL SELECT unnest(['lines[].line_no', 'lines[].text']), count(*) FROM l JOIN o USING (k) WHERE NOT (k % 7 = 0 AND ix = lines - 1)
+UNION ALL SELECT 'lines[].part', count(*) FROM l JOIN o USING (k) WHERE NOT (k % 7 = 0 AND ix = lines - 1) AND part % 5 <> 0) WHERE n > 0""",
+    outbound_unmapped_target: """WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT * FROM (SELECT unnest(['DTM', 'DTM', 'N4', 'AMT', 'AMT']) AS seg_id, unnest([1, 2, 1, 1, 2])::INTEGER AS elem_ix, count(*) AS n FROM o UNION ALL SELECT 'N1', unnest([1, 2]), 2 * count(*) FROM o UNION ALL SELECT 'N1', unnest([3, 4]), count(*) FROM o
+UNION ALL SELECT 'ITD', unnest([1, 2]), count(*) FROM o WHERE k % 43 = 0 UNION ALL SELECT 'SAC', 2, count(*) FROM o WHERE k % 3 = 0 UNION ALL SELECT 'PO1', unnest([1, 6, 7]), count(*) FROM lineitem UNION ALL SELECT 'PID', unnest([1, 5]), count(*) FROM lineitem) WHERE n > 0""",
+    hl_line_scope: _BASE + """SELECT l.k AS doc, ix AS line_ix, qty::VARCHAR AS "SN102", CASE WHEN NOT bad THEN 'PO' || l.k END AS "PRF01", CASE WHEN NOT bad THEN 'CTN25' END AS "TD101" FROM (SELECT *, k % 10 = 0 AND ix = count(*) OVER (PARTITION BY k) - 1 AS bad FROM l) l""",
+    spec_errors: """WITH r AS (SELECT p_partkey AS k, 'P' || CASE WHEN p_partkey % 29 = 1 THEN p_partkey - 1 ELSE p_partkey END AS row_id FROM part), d AS (SELECT row_id FROM r GROUP BY 1 HAVING count(*) > 1)
+SELECT DISTINCT * FROM (SELECT row_id, 'duplicate_row_id' AS error FROM d UNION ALL SELECT row_id, 'bad_source' FROM r WHERE k % 7 = 0 UNION ALL SELECT row_id, 'no_source' FROM r WHERE k % 7 <> 0 AND k % 5 = 0 AND k % 17 <> 0 UNION ALL SELECT row_id, 'bad_context' FROM r WHERE k % 11 = 0
+UNION ALL SELECT row_id, 'no_target' FROM r WHERE k % 13 = 0 UNION ALL SELECT row_id, 'unknown_kind' FROM r WHERE k % 17 = 0 UNION ALL SELECT row_id, 'unknown_code_list' FROM r WHERE k % 3 = 0 AND k % 2 <> 0 UNION ALL SELECT row_id, 'bad_data_type' FROM r WHERE k % 19 = 0 UNION ALL SELECT row_id, 'bad_format' FROM r WHERE k % 23 = 0
+UNION ALL SELECT 'UOM:N' || (n_nationkey % 20), 'duplicate_code' FROM nation GROUP BY n_nationkey % 20 HAVING count(*) > 1)""",
+    spec_delta: "SELECT 'a.f' || p_partkey AS row_id, CASE WHEN p_partkey % 5 = 0 THEN 'TODO' WHEN p_partkey % 17 = 0 THEN 'GUESS' WHEN p_partkey % 3 = 0 THEN 'CODE_LIST' ELSE 'DIRECT' END AS kind, CASE WHEN p_partkey % 5 = 0 THEN 'partner' ELSE 'base' END AS origin FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 10 <> 0",
+    spec_from_rows: _BASE + """SELECT * FROM (SELECT 'T-1' AS row_id, CASE WHEN k % 19 = 0 THEN 'NOT TESTED' WHEN k % 11 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN k % 19 <> 0 AND k % 11 = 0 THEN 'value_mismatch' ELSE '-' END AS category, count(*) AS n FROM o GROUP BY 2, 3
+UNION ALL SELECT 'T-2', CASE WHEN type = 'NE' THEN 'FAIL' ELSE 'PASS' END, CASE WHEN type = 'NE' THEN 'source_data' ELSE '-' END, count(*) FROM o GROUP BY 2, 3)""",
     flat_fold: _LAYOUT.format(po="po_number", count="count"),
     fixed_width_fold: _LAYOUT.format(po="po", count="001"),
     delimited_fold: _LAYOUT.format(po="po", count="001"),

@@ -1,5 +1,8 @@
-from edigrain.operators import history, structure
-from edigrain.operators.scrub import pseudonym
+import hashlib
+
+from pyspark.sql import functions as F
+
+from edigrain.operators import history, scrub, structure
 from edigrain.plans.transactions import DEFINITIONS
 from edigrain.sources import x12
 
@@ -34,11 +37,24 @@ def test_tokenizer_and_envelope(spark):
     assert [tuple(r) for r in x12.raw_tail(files).collect()] == [("f", "tail")]
 
 
-def test_pseudonym_keeps_shape_and_repeats():
-    a = pseudonym("Ab-12", "s")
-    assert a == pseudonym("Ab-12", "s") != pseudonym("Ab-12", "t")
-    assert a[:2].isupper() and a[2] == "-" and a[3:].isdigit()
-    assert len(pseudonym("x" * 100, "s")) == 100
+def _pseudonym(value, salt):
+    out, block, at = [], hashlib.sha256(f"{salt}\0{value}".encode()).digest(), 0
+    for ch in value:
+        if not ch.isalnum():
+            out.append(ch)
+            continue
+        if at == 32:
+            block, at = hashlib.sha256(block).digest(), 0
+        out.append(str(block[at] % 10) if ch.isdigit() else chr(65 + block[at] % 26))
+        at += 1
+    return "".join(out)
+
+
+def test_pseudonym_keeps_shape_and_repeats(spark):
+    values = ["Ab-12", "", "--", "x" * 100, "é9 " * 40, "a" * 32, "b" * 33]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v string")
+    got = {r.v: r.p for r in df.select("v", scrub.pseudonymize(F.col("v"), "s").alias("p")).collect()}
+    assert got == {v: _pseudonym(v, "s") for v in values} | {None: None}
 
 
 def test_history(spark, tmp_path):
@@ -52,4 +68,4 @@ def test_history(spark, tmp_path):
     assert [(r.run_id, r.result) for r in h.recent().collect()] == [(2, "FAIL"), (1, "PASS")]
     assert [r.label for r in h.baselines().collect()] == ["second"]
     delta = history.diff(h.findings(1), h.findings(2)).collect()
-    assert [(r.doc, r.kind, r.regression) for r in delta] == [(1, "NEW", True)]
+    assert [(r.doc, r.kind, r.regression) for r in delta] == [(1, "CHANGED", True)]
