@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, root) for every node of links (a, b), root being the least node of
     its component. Large-star and small-star steps alternate until nothing
-    changes; each round is written to the shared folder."""
+    changes; each round is written to the shared folder. A result that is not
+    complete is an error."""
     ab = links.where(F.col("a") != F.col("b"))
     now = materialize(ab.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -27,5 +28,7 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components not complete after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -24,7 +24,9 @@ connected component.
    of two blocks, and those that may link are compared.
 
 Null, empty and odd input: documents without words, or with null text, have an
-empty set and link with nothing; shorter texts than `k` words are one shingle.
+empty set and link with nothing; shorter texts than `k` words are one shingle. A
+very long text is a block of the join by itself. An empty table gives an empty
+result.
 component_id is the smallest id in the component; rows without an id take part,
 but name a component only if it has no other. Repeated rows are kept. Extra
 columns are ignored.
@@ -120,24 +122,31 @@ def common_buckets(texts: DataFrame, k: int, deviations: int = 6) -> np.ndarray:
 def class_fingerprints(own: np.ndarray, percent: int, starts: np.ndarray, common: np.ndarray | None = None) -> list[np.ndarray]:
     """Fingerprints of a set without its common shingles if they leave three
     tenths of it, of the whole set if they leave less than 65 hundredths: of two
-    linked sets, both then show the one or both the other."""
+    linked sets, both then show the one or both the other. A set whose rare
+    shingles lie in too few classes shows the whole set too: where two linked sets
+    are both like that, their agreement in the rare ones may be in empty classes
+    only, which say nothing and are no key."""
     rare = own if common is None else own[~common[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]]
-    out = []
+    out, thin = [], False
     if 10 * len(rare) >= 3 * len(own):
-        out += _class_fingerprints(rare, len(own), percent, starts, 0)
-    if 100 * len(rare) < 65 * len(own):
-        out += _class_fingerprints(own, len(own), percent, starts, 1)
+        out, thin = _class_fingerprints(rare, len(own), percent, starts, 0)
+    if thin or 100 * len(rare) < 65 * len(own):
+        out = out + _class_fingerprints(own, len(own), percent, starts, 1)[0]
     return out
 
 
-def _class_fingerprints(own: np.ndarray, size: int, percent: int, starts: np.ndarray, mode: int) -> list[np.ndarray]:
-    """Fingerprints of the classes of a set in each of its neighbourhoods, where
-    linked sets differ in d shingles at most. Of d + 1 + spare classes, linked sets agree in 1 + spare at least, so a set need
-    not show `spare` of them: classes of one shingle or none, which say little,
-    stay out if they are no more than that, else the empty ones if they are. Of
-    two linked sets, what the one that hides more shows, the other shows too."""
+def _class_fingerprints(own: np.ndarray, size: int, percent: int, starts: np.ndarray, mode: int) -> tuple[list[np.ndarray], bool]:
+    """(fingerprints of the classes of a set in each of its neighbourhoods, where
+    linked sets differ in d shingles at most; whether d + 1 classes or more had
+    shingles in all of them). Each shingle in which two sets differ spoils one
+    class, so of d + 1 classes with shingles one agrees at least, and empty ones
+    stay out. Of d + 1 + spare classes, a set need not show `spare` of them: those
+    of one shingle, which say little, stay out too if all that stay out are no
+    more than that. Of two linked sets, what the one that hides more shows, the
+    other shows too. Only sets of few shingles, in whole-set mode, may have to show
+    empty classes."""
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(own))])
-    out = []
+    out, thin = [], False
     for p in neighbourhoods(size, percent, starts):
         largest = int(starts[p + 1]) - 1
         d = (largest + largest * 100 // percent) * (100 - percent) // (100 + percent)
@@ -149,10 +158,12 @@ def _class_fingerprints(own: np.ndarray, size: int, percent: int, starts: np.nda
         at[-1] = len(own)
         held = at[1:] - at[:-1]
         hide = next((h for h in (1, 0) if np.count_nonzero(held <= h) <= spare), -1)
+        if hide < 0 and mode == 0:
+            hide, thin = 0, True
         which = np.flatnonzero(held > hide)
         salt = mix64(which.astype(np.uint64) + np.uint64(p << 40 | mode << 60))
         out.append(mix64((sums[at[1:]] - sums[at[:-1]])[which] ^ salt))
-    return out
+    return out, thin
 
 
 _SIG, _EDGE = 0, 1
@@ -207,7 +218,7 @@ def _describe(k: int, percent: int):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             n = np.array([len(x) for x in sets], dtype=np.int64)
             lots = [neighbourhoods(x, percent, starts) for x in n.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(set_ids(sets).view(np.int64)), pa.array(n), pa.array(lots, pa.list_(pa.int32()))], ["id", "sid", "n", "lots"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(set_ids(sets).view(np.int64)), pa.array(n), pa.array(lots, pa.list_(pa.int32()))], ["id", "key", "sid", "n", "lots"])
 
     return run
 
@@ -394,11 +405,17 @@ def _sets(k: int):
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block: int = 1500, tokens: int = 3_000_000) -> DataFrame:
     """id, n_shingles and component_id of each row."""
+    return _components(docs, id_col, text_col, k, percent, block, tokens).select("id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, block: int = 1500, tokens: int = 3_000_000) -> DataFrame:
+    """Those, and part, which tells components apart, and key, a hash of the text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     if rows.schema["id"].dataType.simpleString() != "string":
         rows = rows.withColumn("id", F.col("id").cast("long"))
     kind = rows.schema["id"].dataType.simpleString()
-    own = materialize(rows.mapInArrow(_describe(k, percent), f"id {kind}, sid long, n long, lots array<int>"))
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    own = materialize(rows.mapInArrow(_describe(k, percent), f"id {kind}, key long, sid long, n long, lots array<int>"))
     common = common_buckets(rows.select("text"), k)
     sigs = rows.select("text").mapInArrow(_fingerprint(k, percent, common), "kind tinyint, a long, b long").repartition("a").sortWithinPartitions("a", "b")
     groups = materialize(components(sigs.mapInArrow(_runs, "a long, b long")))  # node, root: candidate groups of sets
@@ -410,7 +427,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # blocks hold about `block` sets, and not more than about `tokens` shingles; a
     # hash deals a large group into even blocks without sorting it anywhere
     size = heads.groupBy("grp", "lot").agg(F.count("*").alias("held"), F.greatest(F.count("*"), F.ceil(F.sum("n") * block / tokens)).alias("m")).where("held > 1")
-    heads = materialize(heads.join(size, ["grp", "lot"]).select("sid", "head", "m", F.xxhash64("grp", "lot").alias("grp"), F.expr(f"pmod(xxhash64(sid), ceil(m / {block}))").cast("int").alias("blk")))
+    # a large group's sets meet its size in sixteen tasks
+    salt = F.expr("pmod(xxhash64(sid, 2), 16)").cast("int")
+    heads = heads.withColumn("salt", salt).join(size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["grp", "lot", "salt"])
+    heads = materialize(heads.select("sid", "head", "m", F.xxhash64("grp", "lot").alias("grp"), F.expr(f"pmod(xxhash64(sid), ceil(m / {block}))").cast("int").alias("blk")))
     wanted = heads.groupBy("sid").agg(F.min("head").alias("head"))
     # the wanted ids grow with the corpus: never broadcast
     texts = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("head"))).select("sid", "text")
@@ -446,22 +466,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across(percent), "a long, b long")
         links = links.unionByName(materialize(more))
     linked = components(links.where("a <> b"))
-    named = own.join(linked, own["sid"] == F.col("node"), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("part"))
+    named = own.join(linked, own["sid"] == F.col("node"), "left").select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("part"))
     least = named.where(F.col("part").isNotNull()).groupBy("part").agg(F.min("id").alias("low"), F.count("*").alias("held")).where(F.col("held") > 1).select("part", "low")
     out = named.join(least, "part", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), "part", "key")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns kept, that name their component: one of each
-    group of linked documents stays. Of repeated ids one row stays; rows without
-    an id, which cannot be told apart, all stay."""
-    parts = materialize(jaccard_components(docs, id_col, text_col, k, percent))
-    kept = parts.where(F.col("component_id") == F.col("id")).groupBy("id").agg((F.count("*") > 1).alias("repeated")).select(F.col("id").alias("kept_id"), "repeated")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i")).join(kept, F.col("i") == F.col("kept_id"))
-    single = rows.where(~F.col("repeated")).select("row.*")
-    first = rows.where(F.col("repeated")).dropDuplicates(["i"]).select("row.*")
-    return single.unionByName(first).unionByName(docs.where(F.col(id_col).isNull()))
+    group of linked documents stays. Rows of one id stay apart if they are not
+    linked, and one of them stays if they are; of rows without words, which link
+    with nothing, one of each (id, text) stays. Rows without an id, which cannot be
+    told apart, all stay."""
+    parts = materialize(_components(docs, id_col, text_col, k, percent))
+    kept = parts.where(F.col("component_id") == F.col("id")).groupBy("id", F.coalesce("part", "key").alias("part")).agg(F.min("key").alias("kept_key"))
+    kept = kept.select(F.col("id").alias("kept_id"), "kept_key")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.xxhash64(F.col(text_col).cast("binary")).alias("key"))
+    met = rows.join(kept, (F.col("i") == F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    # exact repeats of a kept row are told by a count, so that only they are dealt again
+    again = parts.where(F.col("component_id") == F.col("id")).groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again_id"), F.col("key").alias("again_key"), F.lit(True).alias("again"))
+    met = met.join(again, (F.col("i") == F.col("again_id")) & (F.col("key") == F.col("again_key")), "left")
+    first = met.where(F.col("again").isNotNull()).dropDuplicates(["i", "key"]).select("row.*")
+    return met.where(F.col("again").isNull()).select("row.*").unionByName(first).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op3_ngram_join(spark, sf_dir):
