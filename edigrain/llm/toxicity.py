@@ -8,14 +8,23 @@ that holds an insult or a threat and multiplies the weight of what it matches
 by a factor for its setting. A document's features are sums over its matched
 clauses; a logistic fit on labelled rows turns them into a score.
 
+All of it is learned from labelled rows. A word is an insult if it tells toxic
+documents from others; among documents with insults, a word shortly before one
+that makes the label unlikelier is a negation, one further ahead in the clause
+reports speech, and one that makes it likelier is a target. A few such words of
+five languages are known beforehand. The factor of a setting is how much of an
+insult's effect on the log-odds of the label is left in it.
+
 Learning uses a bounded sample of about `max_labelled` labelled rows, chosen by
-a hash of doc_id; the lexicon has at most `max_lexicon` entries.
+a hash of doc_id; the lexicon has at most `max_lexicon` entries, and
+`max_context` words of settings.
 
 Null, empty and odd input: null and empty texts have no matches and get the
-score of such a text. Labels that are null, and labels of unknown documents,
-teach nothing; without labels every score is 0. Repeated rows are scored one by
-one; a document with repeated labels teaches once for each. Extra columns are
-ignored.
+score of such a text. Very long texts are read whole. Labels that are null, and
+labels of unknown documents, teach nothing; without labels every score is 0.
+Repeated rows are scored one by one; a document with repeated labels teaches
+once for each. Of equally telling words the first in order is taken. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -72,20 +82,36 @@ def compose(parts: list[Transducer]) -> Transducer:
     return Transducer(arcs, start)
 
 
-def grammar(scope: int = 3) -> Transducer:
-    """Negation damps what follows within `scope` words, reported speech what
-    follows in its clause; a target raises what follows; a threat counts only
-    with a target before it."""
+#: What is left of an insult in each setting, until labels tell.
+FACTORS = {NEGATION: 0.3, REPORT: 0.5, TARGET: 1.5, THREAT: 2.0}
+SCOPE = 3
+
+
+@dataclass(frozen=True)
+class Model:
+    """entries: insults with weights; context: words of settings; factors of
+    settings; weights of the logistic fit (none without labels)."""
+
+    entries: dict[str, float] = field(default_factory=dict)
+    weights: tuple[float, ...] = ()
+    context: dict[str, int] = field(default_factory=dict)
+    factors: dict[int, float] = field(default_factory=lambda: dict(FACTORS))
+
+
+def grammar(scope: int = SCOPE, factors: dict[int, float] = FACTORS) -> Transducer:
+    """Negation changes what follows within `scope` words, reported speech what
+    follows in its clause, and so does a target; a threat counts only with a
+    target before it."""
     negation = {}
     for s in range(scope + 1):
         negation[s, NEGATION] = (scope, 1.0)
         for symbol in (PLAIN, TARGET, REPORT):
             negation[s, symbol] = (max(0, s - 1), 1.0)
         for symbol in (INSULT, THREAT):
-            negation[s, symbol] = (0, 0.3 if s else 1.0)
-    reported = {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.5), (1, THREAT): (1, 0.5)}
-    target = {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5)}
-    threat = {(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.0), (1, THREAT): (1, 2.0)}
+            negation[s, symbol] = (0, factors[NEGATION] if s else 1.0)
+    reported = {(0, REPORT): (1, 1.0), (1, INSULT): (1, factors[REPORT]), (1, THREAT): (1, factors[REPORT])}
+    target = {(0, TARGET): (1, 1.0), (1, INSULT): (1, factors[TARGET])}
+    threat = {(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.0), (1, THREAT): (1, factors[THREAT])}
     return compose([Transducer(x) for x in (negation, reported, target, threat)])
 
 
@@ -93,9 +119,10 @@ class Lexicon(dict):
     """word -> (symbol, weight); the longest learned beginning of a word wins.
     Words met are kept, up to a bound."""
 
-    def __init__(self, entries: dict[str, float]):
+    def __init__(self, entries: dict[str, float], context: dict[str, int] | None = None):
         super().__init__()
         self.entries = entries
+        self.known = FIXED | (context or {})
 
     def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) > 150_000:
@@ -106,7 +133,7 @@ class Lexicon(dict):
             out = (INSULT, self.entries[word + "$"])
         else:
             hit = next((word[:n] for n in reversed(PREFIXES) if word[:n] in self.entries and len(word) >= n), None)
-            out = (INSULT, self.entries[hit]) if hit else (FIXED.get(word, PLAIN), 1.0)
+            out = (INSULT, self.entries[hit]) if hit else (self.known.get(word, PLAIN), 1.0)
         self[word] = out
         return out
 
@@ -154,9 +181,97 @@ def _grams(batches):
         yield pa.RecordBatch.from_pydict({"gram": pa.array(keys, pa.string()), "toxic": pa.array([toxic[g] for g in keys], pa.int64()), "clean": pa.array([clean[g] for g in keys], pa.int64())})
 
 
-def _learn_features(entries: dict[str, float]):
+def insult_settings(text: str, lexicon: Lexicon) -> tuple[int, set[str], set[str], set[int]]:
+    """(insults in a text, words up to SCOPE before one, words further ahead in its
+    clause, settings that all its insults are in)."""
+    near, far, everywhere, n = set(), set(), None, 0
+    clause: list[str] = []
+    for token in [*TOKEN.findall(text.lower()), "."]:
+        if lexicon[token][0] == END:
+            clause = []
+            continue
+        if lexicon[token][0] == INSULT:
+            n += 1
+            near.update(clause[-SCOPE:])
+            far.update(clause[:-SCOPE])
+            kinds = {lexicon[w][0] for w in clause}
+            here = {k for k in (REPORT, TARGET) if k in kinds} | ({NEGATION} if any(lexicon[w][0] == NEGATION for w in clause[-SCOPE:]) else set())
+            everywhere = here if everywhere is None else everywhere & here
+        clause.append(token)
+    return n, near, far - near, everywhere or set()
+
+
+def _contexts(entries: dict[str, float]):
+    """Labelled documents with insults by the words before these: (word, far or
+    not, toxic, clean); the empty word counts all of them."""
+
+    def run(batches):
+        lexicon = Lexicon(entries)
+        for batch in slices(batches, "text", 1 << 19):
+            counts = {0: Counter(), 1: Counter()}
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                n, near, far, _ = insult_settings(text or "", lexicon)
+                if n:
+                    counts[int(label)].update([("", 0), *((w, 0) for w in near), *((w, 1) for w in far)])
+            keys = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in keys], pa.string()), "far": pa.array([f for _, f in keys], pa.int32()), "toxic": pa.array([counts[1][k] for k in keys], pa.int64()), "clean": pa.array([counts[0][k] for k in keys], pa.int64())})
+
+    return run
+
+
+def _settings(entries: dict[str, float], context: dict[str, int]):
+    """(setting, toxic, clean): labelled documents all of whose insults are in a
+    setting, in none (-1), or that have none (-2)."""
+
+    def run(batches):
+        lexicon = Lexicon(entries, context)
+        for batch in slices(batches, "text"):
+            counts = {0: Counter(), 1: Counter()}
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                n, _, _, settings = insult_settings(text or "", lexicon)
+                counts[int(label)].update(settings or {-1} if n else {-2})
+            keys = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_pydict({"setting": pa.array(keys, pa.int32()), "toxic": pa.array([counts[1][k] for k in keys], pa.int64()), "clean": pa.array([counts[0][k] for k in keys], pa.int64())})
+
+    return run
+
+
+def learn_context(rows: DataFrame, entries: dict[str, float], max_context: int, least: int = 20) -> dict[str, int]:
+    """Words of settings, from (text, toxic): those that at least `least` documents
+    have before an insult, and whose toxic ones are four deviations off."""
+    if not entries:
+        return {}
+    got = rows.mapInArrow(_contexts(entries), "word string, far int, toxic long, clean long").groupBy("word", "far").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    whole = got.where("word = ''").first()
+    if whole is None or not whole["t"] or not whole["c"]:
+        return {}
+    p, n = whole["t"] / (whole["t"] + whole["c"]), F.col("t") + F.col("c")
+    z = (F.col("t") - n * p) / F.sqrt(n * p * (1 - p))
+    off = got.where((F.col("word") != "") & (n >= least)).withColumn("z", z).where(F.abs("z") > 4).orderBy(F.desc(F.abs("z")), "word", "far").limit(2 * max_context).collect()  # a bounded lexicon
+    out: dict[str, int] = {}
+    for r in off:
+        if len(out) < max_context and r["word"] not in out:
+            out[r["word"]] = TARGET if r["z"] > 0 else REPORT if r["far"] else NEGATION
+    return out
+
+
+def learn_factors(rows: DataFrame, entries: dict[str, float], context: dict[str, int], least: int = 20) -> dict[int, float]:
+    """What is left, in each setting, of the effect that insults have in none on the
+    log-odds of the label, from 0 to 3; settings of few documents keep their own."""
+    got = rows.mapInArrow(_settings(entries, context), "setting int, toxic long, clean long").groupBy("setting").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()  # six rows at most
+    n = {r["setting"]: (r["t"], r["c"]) for r in got}
+    odds = lambda k: math.log((n[k][0] + 0.5) / (n[k][1] + 0.5))
+    out = dict(FACTORS)
+    if -1 in n and -2 in n and odds(-1) - odds(-2) > 0.5:
+        for k in (NEGATION, REPORT, TARGET):
+            if sum(n.get(k, (0, 0))) >= least:
+                out[k] = min(3.0, max(0.0, (odds(k) - odds(-2)) / (odds(-1) - odds(-2))))
+    return out
+
+
+def _learn_features(model: Model):
     def run(batches):
-        lexicon, machine = Lexicon(entries), grammar()
+        lexicon, machine = Lexicon(model.entries, model.context), grammar(factors=model.factors)
         for batch in slices(batches, "text"):
             x = [document_features(t or "", lexicon, machine)[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
@@ -178,8 +293,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_lexicon: int = 400) -> tuple[dict[str, float], list[float]]:
-    """(lexicon, logistic weights) from about max_labelled labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_lexicon: int = 400, max_context: int = 100, settings: bool = True) -> Model:
+    """A model from about max_labelled labelled rows; without settings, words count
+    alone, whatever is around them."""
     own = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("id").isNotNull())
     own = own.where(F.coalesce(usable, F.lit(False))) if usable is not None else own
     total = own.count()
@@ -191,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     sizes = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     nt, nc = int(sizes["t"] or 0), int(sizes["n"]) - int(sizes["t"] or 0)
     if not nt or not nc:
-        return {}, []
+        return Model()
     p1, p0 = F.col("t") / nt, F.col("c") / nc
     p = (F.col("t") + F.col("c")) / (nt + nc)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / nt + 1 / nc) + 1e-9)
@@ -202,15 +318,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         word = r["gram"].rstrip("$")
         if len(lexicon) < max_lexicon and not any(word[:n] in lexicon for n in PREFIXES):
             lexicon[r["gram"]] = float(r["w"])
-    got = rows.mapInArrow(_learn_features(lexicon), "x array<double>, toxic int").toPandas()
-    return lexicon, logistic(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(dtype=float)).tolist()
+    context = learn_context(rows, lexicon, max_context) if settings else {w: PLAIN for w in FIXED}
+    model = Model(lexicon, (), context, learn_factors(rows, lexicon, context) if settings else dict(FACTORS))
+    got = rows.mapInArrow(_learn_features(model), "x array<double>, toxic int").toPandas()  # the bounded sample
+    return replace(model, weights=tuple(logistic(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(dtype=float)).tolist()))
 
 
 class Scorer:
     """Scores and matched clauses of texts."""
 
-    def __init__(self, entries: dict[str, float], weights: list[float]):
-        self.lexicon, self.machine, self.weights = Lexicon(entries), grammar(), np.array(weights)
+    def __init__(self, model: Model):
+        self.lexicon, self.machine, self.weights = Lexicon(model.entries, model.context), grammar(factors=model.factors), np.array(model.weights)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
         x, matched = [], []
@@ -223,9 +341,9 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.array(x) @ self.weights[1:], -30, 30))), matched
 
 
-def _score(entries: dict[str, float], weights: list[float], threshold: float):
+def _score(model: Model, threshold: float):
     def run(batches):
-        scorer = Scorer(entries, weights)
+        scorer = Scorer(model)
         for batch in slices(batches, "text"):
             score, matched = scorer(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(matched, pa.string())], ["id", "score", "predicted", "clauses"])
@@ -233,15 +351,15 @@ def _score(entries: dict[str, float], weights: list[float], threshold: float):
     return run
 
 
-def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """id, score, predicted and clauses ("clause number:score", comma-joined)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(*model, threshold), f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, clauses string")
+    return rows.mapInArrow(_score(model, threshold), f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, clauses string")
 
 
-def _predict(entries: dict[str, float], weights: list[float], threshold: float, text_col: str):
+def _predict(model: Model, threshold: float, text_col: str):
     def run(batches):
-        scorer = Scorer(entries, weights)
+        scorer = Scorer(model)
         for whole in batches:
             texts = pa.compute.struct_field(whole.column("row"), text_col)
             for batch in slices(iter([pa.RecordBatch.from_arrays([whole.column("row"), texts], ["row", "text"])]), "text"):
@@ -251,11 +369,11 @@ def _predict(entries: dict[str, float], weights: list[float], threshold: float,
     return run
 
 
-def keep_clean(docs: DataFrame, model: tuple[dict[str, float], list[float]], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns kept, that are not predicted toxic."""
     rows = docs.select(F.struct("*").alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(*model, threshold, text_col), f"row {kind}, predicted int").where("predicted = 0").select("row.*")
+    return rows.mapInArrow(_predict(model, threshold, text_col), f"row {kind}, predicted int").where("predicted = 0").select("row.*")
 
 
 def op7_toxicity(spark, sf_dir):

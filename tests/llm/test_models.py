@@ -57,6 +57,29 @@ def test_toxicity_grammar():
     assert score("") == 0
 
 
+def test_toxicity_learns_settings(spark):
+    """Words that void an insult, close before it or ahead in its clause, and the
+    same scores without the grammar."""
+    rng = random.Random(2)
+    vocab = [f"{a}{b}" for a in ("ta", "mo", "ri", "se", "lu") for b in ("ran", "pel", "dis", "kov", "mun")]
+    words = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    make = {
+        0: lambda: (f"{words(30)}. {words(4)} gribble {words(3)}. {words(8)}", 1), 1: lambda: (f"{words(30)}. {words(4)} zorp gribble {words(3)}. {words(8)}", 0),
+        2: lambda: (f"{words(30)}. quoth {words(4)} gribble {words(3)}. {words(8)}", 0), 3: lambda: (f"{words(40)}. zorp. quoth", 0), 4: lambda: (f"{words(30)}. zorp {words(6)} gribble. quoth", 1),
+    }
+    rows = [(i, *make[(0, 0, 4, 1, 2, *[3] * 11)[i % 16]]()) for i in range(1600)]
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    right = {}
+    for settings in (True, False):
+        model = toxicity.fit(docs, labels, F.col("id") < 1200, settings=settings)
+        got = {r.id: r.score >= 0.5 for r in toxicity.score_toxicity(docs, model).collect()}
+        right[settings] = np.mean([got[i] == bool(y) for i, t, y in rows if i >= 1200 and "gribble" in t])
+        if settings:
+            assert model.context["zorp"] == toxicity.NEGATION and model.context["quoth"] == toxicity.REPORT
+            assert model.factors[toxicity.NEGATION] < 0.3 and model.factors[toxicity.REPORT] < 0.3
+    assert right[True] > 0.95 > right[False] + 0.2
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (None, "y")], "doc_id long, text string")
     labels = spark.createDataFrame([(3, None), (9, 1)], "doc_id long, toxic int")
