@@ -466,9 +466,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
         more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across(percent), "a long, b long")
         links = links.unionByName(materialize(more))
     linked = components(links.where("a <> b"))
-    named = own.join(linked, own["sid"] == F.col("node"), "left").select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("part"))
+    named = own.join(linked, own["sid"] == F.col("node"), "left").select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("part"), F.expr("pmod(xxhash64(id, key), 16)").cast("int").alias("salt"))
     least = named.where(F.col("part").isNotNull()).groupBy("part").agg(F.min("id").alias("low"), F.count("*").alias("held")).where(F.col("held") > 1).select("part", "low")
-    out = named.join(least, "part", "left")
+    out = named.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["part", "salt"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), "part", "key")
 
 
