@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.spec import Spec, split_element
-from ..plans.transactions import Definition
+from ..plans.spec import Spec, split_context, split_element
+from ..plans.transactions import Definition, Presence
 from ..sources.x12 import element
 from .judge import referenced
 from .scopes import cells, finish_read, first_read, leaves, opens, selects
@@ -42,6 +42,34 @@ def required_pairs(placed: DataFrame, segment: str, first: int, last: int, step:
     return placed.where((F.col("seg_id") == segment) & ~F.coalesce(has, F.lit(False))).select("doc", "seq")
 
 
+def _within(rule: Presence) -> Column:
+    """Rows that a presence rule looks at."""
+    on = F.col("seg_id") == rule.segment
+    if rule.codes:
+        on = on & element(rule.at).isin(*rule.codes)
+    if rule.loop:
+        name, q = split_context(rule.loop)[0]
+        on = on & (F.col("inner_id") == name) & (F.col("qualifier") == q if q else F.lit(True))
+    if rule.when:
+        on = on & element(rule.when).isNotNull() & (element(rule.when).isin(*rule.values) if rule.values else F.lit(True))
+    return F.coalesce(on, F.lit(False))
+
+
+def presence(placed: DataFrame, rules: list[Presence]) -> DataFrame:
+    """doc, seq (null for a segment that is absent), label, loop, origin of what
+    presence rules miss. Elements are looked up row by row; segments by one
+    aggregate over a document for all rules."""
+    note = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.loop).alias("loop"), F.lit(r.origin).alias("origin"))
+    none = F.array().cast("array<struct<label:string,loop:string,origin:string>>")
+    each, once = [r for r in rules if r.element], [r for r in rules if not r.element]
+    empty = F.concat(none, *(F.when(_within(r) & element(r.element).isNull(), F.array(note(r))).otherwise(none) for r in each))
+    own = placed.where(F.col("seg_id").isin(*{r.segment for r in each})) if each else placed.limit(0)
+    held = placed.groupBy("doc").agg(F.count("*"), *(F.max(_within(r)).alias(f"r{i}") for i, r in enumerate(once)))
+    absent = F.concat(none, *(F.when(~F.col(f"r{i}"), F.array(note(r))).otherwise(none) for i, r in enumerate(once)))
+    out = own.select("doc", "seq", F.explode(empty).alias("n")).unionByName(held.select("doc", F.lit(None).cast("long").alias("seq"), F.explode(absent).alias("n")))
+    return out.select("doc", "seq", "n.*")
+
+
 def _number(c: Column, implied: int = 0) -> Column:
     own = F.when(c.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$"), c.try_cast("decimal(38,10)"))
     return F.try_divide(own, F.lit(10**implied)).try_cast("decimal(38,10)") if implied else own

@@ -43,6 +43,31 @@ class Recon:
     severity: str = "WARNING"
 
 
+@dataclass(frozen=True)
+class Presence:
+    """What must be there: a segment (element 0) at least once, or an element in each
+    of its occurrences. Occurrences count if element `at` holds one of `codes`, if
+    they lie in `loop` (N1, or N1[ST] for one qualifier), and if element `when` has a
+    value, one of `values` if any are given."""
+
+    segment: str
+    element: int = 0
+    codes: tuple[str, ...] = ()
+    at: int = 1
+    loop: str = ""
+    when: int = 0
+    values: tuple[str, ...] = ()
+    origin: str = "base"
+
+    @property
+    def label(self) -> str:
+        """REF, REF02, REF*IA or REF*{IA|DP}."""
+        own = f"{self.segment}{self.element:02d}" if self.element else self.segment
+        if not self.codes:
+            return own
+        return f"{own}*{self.codes[0]}" if len(self.codes) == 1 else f"{own}*{{{'|'.join(self.codes)}}}"
+
+
 @dataclass(frozen=True)
 class Definition:
     set_code: str
@@ -64,7 +89,7 @@ def _ctt(loop: str) -> Recon:
     return Recon("ctt-line-count", ("value", "CTT01"), ("count", loop), when=("value", "CTT01"))
 
 
-# The public X12 structures of these sets.
+# A commonly used subset of the public X12 structures of these sets.
 PARTY = Loop("N1", _s("N2 N3 N4 NX2 REF PER SI FOB TD1 TD5 TD3 TD4 PKG"), 200)
 PARTY_W = Loop("N1", _s("N2 N3 N4 PER"), 10)
 PARTY10 = Loop("N1", _s("N2 N3 N4 REF PER"), 10)

@@ -12,7 +12,7 @@ from .operators.judge import header_findings, line_cells, line_findings
 from .operators.store import share
 from .plans import tables
 from .plans.spec import PURCHASE_ORDER, PURCHASE_ORDER_OUT, Format
-from .plans.transactions import DEFINITIONS
+from .plans.transactions import DEFINITIONS, Presence
 from .sources import derived, documents, x12
 
 D850 = DEFINITIONS["850"]
@@ -155,6 +155,24 @@ def required_segment(spark, sf_dir):
     return checks.required_segments(rows, rows.select("doc").distinct(), [("SAC", "A"), ("BEG", None), ("PO1", None)]).select("doc", "segment")
 
 
+def presence_rules(spark, sf_dir):
+    """Rules of a loop, of one of several codes, and of elements by another's value."""
+    rules = [
+        Presence("N1", 4, loop="N1[BT]"), Presence("N1", 4, ("ST", "BT"), loop="N1", when=2), Presence("N1", 4, ("ST",)), Presence("PO1", 5, loop="PO1", when=6, values=("UP",)), Presence("BEG", 3, origin="partner"),
+        Presence("SAC", codes=("A", "C")), Presence("N4", loop="N1[BT]"), Presence("N4", loop="N1"), Presence("PID", codes=("F",), loop="PO1"), Presence("ITD", origin="partner"),
+    ]
+    return checks.presence(_placed(spark, sf_dir), rules).select("doc", "label", "loop", "origin", F.col("seq").isNull().alias("absent"))
+
+
+def document_notes(spark, sf_dir):
+    """Group code and release, changed in every fourth and sixth file."""
+    n = F.substring("file_id", 2, 20).cast("long")
+    text = F.when(n % 4 == 0, F.replace("text", F.lit("GS*PO*"), F.lit("GS*IN*"))).otherwise(F.col("text"))
+    text = F.when(n % 6 == 0, F.replace(text, F.lit("*X*004010"), F.lit("*X*005010"))).otherwise(text)
+    rows = x12.number_envelopes(x12.tokenize(derived.interchange_text(spark, sf_dir).withColumn("text", text)))
+    return x12.document_notes(rows, DEFINITIONS)
+
+
 def required_pair(spark, sf_dir):
     return checks.required_pairs(_placed(spark, sf_dir), "PO1", 6, 10, 2, "UP").groupBy("doc").agg(F.count("*").alias("n"))
 
@@ -241,7 +259,8 @@ def _findings(spark, sf_dir):
     segments = x12.transactions(numbered).select(F.col("control").try_cast("long").alias("doc"), "seq", "seg_id", "elements")
     docs = derived.output_documents(spark, sf_dir, o).select("doc", F.try_parse_json("json").alias("v"))
     rows = validate.validate(structure.place(segments, D850), docs, PURCHASE_ORDER, D850)
-    return rows.unionByName(validate.envelope_findings(x12.control_issues(numbered))).unionByName(validate.split_findings(x12.split_issues(numbered, list(DEFINITIONS))))
+    envelope = validate.envelope_findings(x12.control_issues(numbered)).unionByName(validate.note_findings(x12.document_notes(numbered, DEFINITIONS)))
+    return rows.unionByName(envelope).unionByName(validate.split_findings(x12.split_issues(numbered, list(DEFINITIONS))))
 
 
 def validate_interchange(spark, sf_dir):
@@ -700,6 +719,13 @@ UNION ALL SELECT 0, 'N1', 'N1', 2 * count(*) FROM o UNION ALL SELECT 0, 'N1', 'N
     line_count_mismatch: _BASE + "SELECT k AS doc, lines AS source_lines, lines - 1 AS output_lines FROM o WHERE k % 7 = 0 AND lines > 0",
     required_element: "SELECT o_orderkey AS doc, 'BEG' AS segment, 3 AS elem_ix FROM orders WHERE o_orderkey % 19 = 0",
     required_segment: "SELECT o_orderkey AS doc, 'SAC' AS segment FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'PO1' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+    presence_rules: """WITH n AS (SELECT o_orderkey AS k, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT k AS doc, 'N104' AS label, 'N1[BT]' AS loop, 'base' AS origin, false AS absent FROM n UNION ALL SELECT k, 'N104*{ST|BT}', 'N1', 'base', false FROM n
+UNION ALL SELECT l_orderkey, 'PO105', 'PO1', 'base', false FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 5 = 0 UNION ALL SELECT k, 'BEG03', '', 'partner', false FROM n WHERE k % 19 = 0
+UNION ALL SELECT k, 'SAC*{A|C}', '', 'base', true FROM n WHERE k % 3 <> 0 UNION ALL SELECT k, 'N4', 'N1[BT]', 'base', true FROM n
+UNION ALL SELECT k, 'PID*F', 'PO1', 'base', true FROM n WHERE lines = 0 UNION ALL SELECT k, 'ITD', '', 'partner', true FROM n WHERE k % 43 <> 0""",
+    document_notes: """SELECT 'F' || (o_orderkey // 20) AS file_id, lpad(o_orderkey::VARCHAR, 9, '0') AS control, 'group' AS note, 'PO' AS expected, 'IN' AS actual FROM orders WHERE (o_orderkey // 20) % 4 = 0
+UNION ALL SELECT 'F' || (o_orderkey // 20), lpad(o_orderkey::VARCHAR, 9, '0'), 'version', '004010', '005010' FROM orders WHERE (o_orderkey // 20) % 6 = 0""",
     required_pair: "SELECT l_orderkey AS doc, count(*) AS n FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1",
     unmapped_source: "SELECT 'ITD' AS seg_id, count(*) AS n FROM orders WHERE o_orderkey % 43 = 0 UNION ALL SELECT 'SAC', count(*) FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'N1', count(*) FROM orders",
     unmapped_target: _BASE + "SELECT k AS doc, 'order.extra' AS norm_path, '?' AS leaf_text FROM o WHERE k % 41 = 0",

@@ -68,6 +68,21 @@ def transactions(numbered: DataFrame) -> DataFrame:
     return numbered.where("in_st").select("file_id", "isa_ix", "st_ix", head(1).alias("set_code"), head(2).alias("control"), "seq", "seg_id", "elements")
 
 
+def document_notes(numbered: DataFrame, definitions: dict) -> DataFrame:
+    """file_id, control, note (group or version), expected, actual of transactions
+    whose own group has another code, or another release, than their definition.
+    Sets without a definition have no note: they are `split_issues`."""
+    group = Window.partitionBy("file_id", "isa_ix", "gs_ix")
+    head = lambda i: F.min_by(element(i), F.when(F.col("seg_id") == "GS", F.col("seq"))).over(group)
+    known = F.create_map(*(F.lit(x) for d in definitions.values() for x in (d.set_code, f"{d.group}|{d.version}")))
+    rows = numbered.where(F.col("seg_id").isin("GS", "ST")).withColumn("code", head(1)).withColumn("release", head(8)).where("seg_id = 'ST'")
+    own = rows.withColumn("d", F.split(F.try_element_at(known, element(1)), "\\|"))
+    note = lambda what, on, expected, actual: F.when(on, F.array(F.struct(F.lit(what).alias("note"), expected.alias("expected"), actual.alias("actual")))).otherwise(F.array().cast("array<struct<note:string,expected:string,actual:string>>"))
+    group_, version = F.get("d", 0), F.get("d", 1)
+    notes = F.concat(note("group", F.col("code") != group_, group_, F.col("code")), note("version", (version != "") & ~F.startswith(F.col("release"), version), version, F.col("release")))
+    return own.select("file_id", element(2).alias("control"), F.explode(notes).alias("n")).select("file_id", "control", "n.*")
+
+
 def first_transaction(numbered: DataFrame) -> DataFrame:
     """file_id, set_code, n_segments of the first transaction of each file, and
     further: how many more a reader of single transactions leaves unread."""
