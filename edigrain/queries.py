@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import partner_queries
 from .functions import values
 from .operators import checks, history, outbound, partners, scopes, scrub, structure, validate
 from .operators.judge import header_findings, line_cells, line_findings
@@ -829,12 +830,12 @@ UNION ALL SELECT 'T-2', CASE WHEN type = 'NE' THEN 'FAIL' ELSE 'PASS' END, CASE
 
 
 def queries():
-    out = {f.__name__: f for f in QUERIES}
+    out = {f.__name__: f for f in (*QUERIES, *partner_queries.QUERIES)}
     out.update({name: _rule(row_id, kind) for name, (row_id, kind, _) in RULES.items()})
     return out
 
 
 def oracle_sql():
-    out = {f.__name__: sql for f, sql in QUERIES.items() if sql}
+    out = {f.__name__: sql for f, sql in (QUERIES | partner_queries.QUERIES).items() if sql}
     out.update({name: sql for name, (_, _, sql) in RULES.items()})
     return out
