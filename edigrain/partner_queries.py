@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources import grids
+from .sources import grids, guides
 
 
 def _cells(*values) -> Column:
@@ -63,6 +63,50 @@ def import_lookups(spark, sf_dir):
     return grids.lookup_rows(rows.select(F.col("n_regionkey").cast("string").alias("file_id"), "row_ix", "cells"))
 
 
+def _guide(spark: SparkSession, sf_dir: str) -> guides.Guide:
+    """Guides of 25 parts each: an index page, and a page with a segment block a part.
+    Lines of half the pages are running heads, so texts name their part."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", F.expr("p_partkey div 25").alias("f"))
+    k = F.col("p_partkey")
+    seg, pos = F.concat(F.lit("Q"), 10 + k % 90), (100 + k % 900).cast("string")
+    some = lambda on, text: F.when(on, text if isinstance(text, Column) else F.lit(text))
+    page = F.concat_ws(
+        "\n", F.lit("\fGuide of a partner"), some(k % 13 != 0, seg), F.concat(F.lit("Segment: "), "p_name"), F.concat(F.lit("Position: "), pos), some(k % 3 == 0, "Loop: N1 Optional"),
+        F.when(k % 7 == 0, "Usage: Perhaps").when(k % 2 == 0, "Usage: Mandatory").otherwise("Usage: Optional"), F.concat(F.lit("Notes: read this\nin full "), k), F.lit("Data Element Summary"),
+        F.concat(seg, F.lit("01 128 Qualifier M ID 2/3 M\nAA First "), k), some(k % 3 == 0, "BB Second\nof two"), some(k % 11 == 0, F.concat(seg, F.lit("09 torn"))), some(k % 17 == 0, "REF02 127 Reference X AN 1/30 M"),
+        F.concat(seg, F.lit("02 127 Value O AN 1/30"), F.when(k % 4 == 0, " M").otherwise("")), F.concat(F.lit("Page "), k),
+    )
+    row = F.concat(F.lit("1 "), pos, F.lit(" "), seg, F.lit(" Name of it "), F.when(k % 2 == 0, "M").otherwise("O"), F.lit(" 1"))
+    files = parts.groupBy("f").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), page.alias("page"), F.when(k % 5 != 0, row).alias("row")))).alias("p"))
+    join = lambda name, by: F.array_join(F.transform("p", lambda x: x[name]), by)
+    text = F.concat(F.lit("Guide of a partner\nHeading:\n"), join("row", "\n"), F.lit("\nPage 1"), join("page", ""))
+    return guides.Guide(guides.guide_lines(files.select(F.col("f").cast("string").alias("file_id"), text.alias("text"))))
+
+
+def guide_segments(spark, sf_dir):
+    return _guide(spark, sf_dir).segments().select("file_id", "seg_id", "name", "pos", "loop", "usage", "notes")
+
+
+def guide_elements(spark, sf_dir):
+    return _guide(spark, sf_dir).elements().select("file_id", "seg_id", "ref", F.coalesce("elem_ix", F.lit(-1)).alias("elem_ix"), "type", "usage")
+
+
+def guide_codes(spark, sf_dir):
+    return _guide(spark, sf_dir).codes().select("file_id", "ref", "code", "name")
+
+
+def guide_coverage(spark, sf_dir):
+    return _guide(spark, sf_dir).coverage()
+
+
+def guide_cross_check(spark, sf_dir):
+    return _guide(spark, sf_dir).cross_check()
+
+
+def guide_overlay(spark, sf_dir):
+    return _guide(spark, sf_dir).presence_rules().select("file_id", "segment", "elem_ix", F.size("codes").alias("n_codes"), "loop")
+
+
 _IMPORT = """WITH p AS (SELECT p_partkey AS k, p_partkey // 25 AS f, (p_partkey // 25) % 4 AS t, row_number() OVER (PARTITION BY p_partkey // 25 ORDER BY p_partkey) AS n FROM part),
 r AS (SELECT f::VARCHAR AS file_id, 'IMP-' || lpad(n::VARCHAR, 3, '0') AS row_id, CASE WHEN t = 0 AND k % 17 <> 0 THEN 'T' || k WHEN t = 1 THEN 'F' || k ELSE '-' END AS target,
   CASE t WHEN 0 THEN CASE WHEN k % 2 <> 0 AND k % 5 = 0 THEN 'CONDITIONAL' ELSE 'DIRECT' END WHEN 2 THEN 'DIRECT' ELSE CASE WHEN k % 5 = 0 THEN 'CODE_LIST' WHEN k % 3 = 0 AND k % 2 <> 0 THEN 'CONSTANT' WHEN k % 2 = 0 THEN 'DIRECT' ELSE 'TODO' END END AS kind,
@@ -70,6 +114,11 @@ r AS (SELECT f::VARCHAR AS file_id, 'IMP-' || lpad(n::VARCHAR, 3, '0') AS row_id
     ELSE CASE WHEN k % 2 = 0 THEN '-' WHEN k % 5 = 0 THEN 'source is no element' WHEN k % 3 = 0 THEN '-' ELSE 'no evidence of a rule' END END AS review FROM p WHERE t <> 3)
 """
 
+_GUIDE = """WITH p AS (SELECT p_partkey AS k, (p_partkey // 25)::VARCHAR AS file_id, 'Q' || (10 + p_partkey % 90) AS seg, (100 + p_partkey % 900)::VARCHAR AS pos, p_name,
+  CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'must_use' ELSE 'used' END AS usage, CASE WHEN p_partkey % 3 = 0 THEN 'N1' ELSE '' END AS loop FROM part),
+b AS (SELECT * FROM p WHERE k % 13 <> 0)
+"""
+
 QUERIES = {
     import_rows: _IMPORT + "SELECT * FROM r",
     import_unmapped: _IMPORT + """SELECT f::VARCHAR AS file_id, unnest(['Notes']) AS header, count(*) AS n FROM p WHERE t = 0 GROUP BY f UNION ALL SELECT f::VARCHAR, 'column_6', count(*) FROM p WHERE t = 0 AND k % 7 = 0 GROUP BY f
@@ -77,5 +126,14 @@ UNION ALL SELECT f::VARCHAR, 'no', count(*) FROM p WHERE t = 1 GROUP BY f UNION
     import_errors: "SELECT DISTINCT (p_partkey // 25)::VARCHAR AS file_id, CASE WHEN (p_partkey // 25) % 4 = 2 THEN 'no_target_column' ELSE 'no_header' END AS error, '' AS what FROM part WHERE (p_partkey // 25) % 4 IN (2, 3)",
     import_ratio: _IMPORT + "SELECT file_id, count(*) AS n_rows, round(avg((review = '-')::INT), 6) AS ratio FROM r GROUP BY 1",
     import_overrides: _IMPORT + "SELECT f::VARCHAR AS file_id, count(*) AS n FROM p WHERE t = 2 AND k % 2 = 0 GROUP BY f UNION ALL SELECT DISTINCT f::VARCHAR, -1 FROM p WHERE t IN (0, 1)",
+    guide_segments: _GUIDE + "SELECT file_id, seg AS seg_id, p_name AS name, pos, loop, usage, 'read this in full ' || k AS notes FROM b",
+    guide_elements: _GUIDE + """SELECT file_id, seg AS seg_id, seg || '01' AS ref, 1 AS elem_ix, 'ID' AS type, 'must_use' AS usage FROM b
+UNION ALL SELECT file_id, seg, seg || '02', 2, 'AN', CASE WHEN k % 4 = 0 THEN 'must_use' ELSE 'used' END FROM b UNION ALL SELECT file_id, seg, 'REF02', -1, 'AN', 'must_use' FROM b WHERE k % 17 = 0""",
+    guide_codes: _GUIDE + "SELECT file_id, seg || '01' AS ref, 'AA' AS code, 'First ' || k AS name FROM b UNION ALL SELECT file_id, seg || '01', 'BB', 'Second of two' FROM b WHERE k % 3 = 0",
+    guide_coverage: _GUIDE + """, c AS (SELECT file_id, count(*) + (sum((k % 13 <> 0)::INT * (3 + (k % 11 = 0)::INT + (k % 17 = 0)::INT)))::BIGINT AS detected, sum((k % 13 <> 0)::INT * (3 + (k % 7 <> 0)::INT))::BIGINT AS confident FROM p GROUP BY 1)
+SELECT *, round(confident / detected, 6) AS ratio FROM c""",
+    guide_cross_check: _GUIDE + """SELECT file_id, seg AS seg_id, pos, 'no_block' AS what FROM p WHERE k % 13 = 0 AND k % 5 <> 0 UNION ALL SELECT file_id, seg, pos, 'usage' FROM b WHERE k % 5 <> 0 AND k % 7 = 0
+UNION ALL SELECT file_id, seg, pos, 'not_listed' FROM b WHERE k % 5 = 0 AND file_id IN (SELECT file_id FROM p WHERE k % 5 <> 0)""",
+    guide_overlay: _GUIDE + """SELECT file_id, seg AS segment, unnest([0, 1]) AS elem_ix, 0 AS n_codes, loop FROM b WHERE usage = 'must_use' UNION ALL SELECT file_id, seg, 2, 0, loop FROM b WHERE usage = 'must_use' AND k % 4 = 0""",
     import_lookups: "SELECT n_regionkey::VARCHAR AS file_id, 'NATION' AS list_name, n_nationkey::VARCHAR AS source, n_name AS target, 'd' AS description FROM nation WHERE n_nationkey % 5 <> 0",
 }
