@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import drafts
+from .plans.transactions import DEFINITIONS
 from .sources import grids, guides
 
 
@@ -107,6 +109,55 @@ def guide_overlay(spark, sf_dir):
     return _guide(spark, sf_dir).presence_rules().select("file_id", "segment", "elem_ix", F.size("codes").alias("n_codes"), "loop")
 
 
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of 25 parts each."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    source = F.concat(F.element_at(F.array(*map(F.lit, ("BEG", "N1", "PO1", "REF"))), (k % 4 + 1).cast("int")), F.lit("0"), k % 3 + 1)
+    kind = F.when(k % 13 == 0, "TODO").when(k % 7 == 0, "LOOP_COUNT").when(k % 3 == 0, "CODE_LIST").otherwise("DIRECT")
+    return parts.select(
+        F.expr("p_partkey div 25").alias("draft"), k.alias("place"), F.concat(F.lit("t"), k).alias("target"), kind.alias("kind"), source.alias("source"), F.when(k % 11 == 0, "N1[ST]").alias("context"),
+        F.when(k % 10 == 0, "EXISTS(PO107) AND BEG02 = 'N104'").alias("condition"), F.when(k % 3 == 0, F.concat(F.lit("L"), k % 2)).alias("code_list"),
+    )
+
+
+def _usage(spark, sf_dir) -> DataFrame:
+    own = _drafts(spark, sf_dir).select("draft").distinct()
+    return own.select("draft", F.lit("BEG").alias("seg_id"), F.lit(3).alias("elem_ix"), F.lit("not_used").alias("usage")).union(own.where("draft % 2 = 0").select("draft", F.lit("PO1"), F.lit(7), F.lit("must_use")))
+
+
+def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Lists of five codes, and guides that name other codes for BEG01 or REF01."""
+    ids = spark.range(5).select(F.concat(F.lit("c"), "id").alias("source"), F.concat(F.lit("t"), "id").alias("target"))
+    codes = ids.select(F.lit("L0").alias("code_list"), "*").union(ids.select(F.lit("L1"), "*"))
+    own = _drafts(spark, sf_dir).select("draft").distinct()
+    said = own.where("draft % 3 = 0").select("draft", F.lit("BEG01").alias("ref"), F.explode(F.array(*map(F.lit, ("c1", "c3", "c9")))).alias("code"))
+    said = said.union(own.where("draft % 3 = 1").select("draft", F.lit("REF01"), F.explode(F.array(*map(F.lit, ("c0", "c8"))))))
+    return codes, said.withColumn("name", F.concat(F.lit("name of "), "code"))
+
+
+def draft_rows(spark, sf_dir):
+    return drafts.numbered(_drafts(spark, sf_dir), "place").select("draft", "row_id", "target")
+
+
+def draft_unmapped(spark, sf_dir):
+    names = spark.createDataFrame([(s, i, f"{s} {i}") for s, n in (("BEG", 4), ("N1", 4), ("PO1", 7), ("REF", 3), ("ZZZ", 2)) for i in range(1, n + 1)], "seg_id string, elem_ix int, name string")
+    elements = drafts.source_elements(drafts.segment_walk(spark, DEFINITIONS["850"]), names)
+    return drafts.unmapped_elements(elements, _drafts(spark, sf_dir), _usage(spark, sf_dir)).drop("place")
+
+
+def draft_unused_sources(spark, sf_dir):
+    return drafts.unused_sources(_drafts(spark, sf_dir), _usage(spark, sf_dir))
+
+
+def draft_code_lists(spark, sf_dir):
+    return drafts.partner_lists(_drafts(spark, sf_dir), *_lists(spark, sf_dir))
+
+
+def draft_untranslated(spark, sf_dir):
+    return drafts.untranslated(_drafts(spark, sf_dir), *_lists(spark, sf_dir))
+
+
 _IMPORT = """WITH p AS (SELECT p_partkey AS k, p_partkey // 25 AS f, (p_partkey // 25) % 4 AS t, row_number() OVER (PARTITION BY p_partkey // 25 ORDER BY p_partkey) AS n FROM part),
 r AS (SELECT f::VARCHAR AS file_id, 'IMP-' || lpad(n::VARCHAR, 3, '0') AS row_id, CASE WHEN t = 0 AND k % 17 <> 0 THEN 'T' || k WHEN t = 1 THEN 'F' || k ELSE '-' END AS target,
   CASE t WHEN 0 THEN CASE WHEN k % 2 <> 0 AND k % 5 = 0 THEN 'CONDITIONAL' ELSE 'DIRECT' END WHEN 2 THEN 'DIRECT' ELSE CASE WHEN k % 5 = 0 THEN 'CODE_LIST' WHEN k % 3 = 0 AND k % 2 <> 0 THEN 'CONSTANT' WHEN k % 2 = 0 THEN 'DIRECT' ELSE 'TODO' END END AS kind,
@@ -119,6 +170,13 @@ _GUIDE = """WITH p AS (SELECT p_partkey AS k, (p_partkey // 25)::VARCHAR AS file
 b AS (SELECT * FROM p WHERE k % 13 <> 0)
 """
 
+_DRAFT = """WITH d AS (SELECT p_partkey // 25 AS draft, p_partkey AS k, 't' || p_partkey AS target, CASE WHEN p_partkey % 13 = 0 THEN 'TODO' WHEN p_partkey % 7 = 0 THEN 'LOOP_COUNT' WHEN p_partkey % 3 = 0 THEN 'CODE_LIST' ELSE 'DIRECT' END AS kind,
+  ['BEG', 'N1', 'PO1', 'REF'][(p_partkey % 4 + 1)::INT] AS seg, (p_partkey % 3 + 1)::INTEGER AS ix FROM part),
+u AS (SELECT draft, 'L' || (k % 2) AS code_list, seg || '0' || ix AS ref FROM d WHERE kind = 'CODE_LIST'),
+g AS (SELECT DISTINCT draft, 'BEG01' AS ref, unnest(['c1', 'c3', 'c9']) AS code FROM d WHERE draft % 3 = 0 UNION SELECT DISTINCT draft, 'REF01', unnest(['c0', 'c8']) FROM d WHERE draft % 3 = 1),
+a AS (SELECT DISTINCT draft, code_list, code FROM u JOIN g USING (draft, ref))
+"""
+
 QUERIES = {
     import_rows: _IMPORT + "SELECT * FROM r",
     import_unmapped: _IMPORT + """SELECT f::VARCHAR AS file_id, unnest(['Notes']) AS header, count(*) AS n FROM p WHERE t = 0 GROUP BY f UNION ALL SELECT f::VARCHAR, 'column_6', count(*) FROM p WHERE t = 0 AND k % 7 = 0 GROUP BY f
@@ -126,6 +184,15 @@ UNION ALL SELECT f::VARCHAR, 'no', count(*) FROM p WHERE t = 1 GROUP BY f UNION
     import_errors: "SELECT DISTINCT (p_partkey // 25)::VARCHAR AS file_id, CASE WHEN (p_partkey // 25) % 4 = 2 THEN 'no_target_column' ELSE 'no_header' END AS error, '' AS what FROM part WHERE (p_partkey // 25) % 4 IN (2, 3)",
     import_ratio: _IMPORT + "SELECT file_id, count(*) AS n_rows, round(avg((review = '-')::INT), 6) AS ratio FROM r GROUP BY 1",
     import_overrides: _IMPORT + "SELECT f::VARCHAR AS file_id, count(*) AS n FROM p WHERE t = 2 AND k % 2 = 0 GROUP BY f UNION ALL SELECT DISTINCT f::VARCHAR, -1 FROM p WHERE t IN (0, 1)",
+    draft_rows: "SELECT p_partkey // 25 AS draft, 'D-' || lpad((row_number() OVER (PARTITION BY p_partkey // 25 ORDER BY p_partkey))::VARCHAR, 3, '0') AS row_id, 't' || p_partkey AS target FROM part",
+    draft_unmapped: _DRAFT + """, e AS (SELECT 'BEG' AS seg_id, unnest(range(1, 5))::INTEGER AS elem_ix, '' AS context UNION ALL SELECT 'N1', unnest(range(1, 5)), 'N1' UNION ALL SELECT 'PO1', unnest(range(1, 8)), 'PO1' UNION ALL SELECT 'REF', unnest(range(1, 4)), ''),
+r AS (SELECT draft, seg, ix FROM d WHERE kind NOT IN ('TODO', 'LOOP_COUNT') UNION SELECT draft, 'N1', 1 FROM d WHERE kind <> 'TODO' AND k % 11 = 0 UNION SELECT draft, unnest(['PO1', 'BEG']), unnest([7, 2]) FROM d WHERE kind <> 'TODO' AND k % 10 = 0)
+SELECT draft, seg_id, elem_ix, context, seg_id || ' ' || elem_ix AS name, CASE WHEN seg_id = 'PO1' AND elem_ix = 7 AND draft % 2 = 0 THEN 'must_use' ELSE '' END AS usage FROM (SELECT DISTINCT draft FROM d) d, e
+WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.draft = d.draft AND seg = seg_id AND ix = elem_ix) AND NOT (seg_id = 'BEG' AND elem_ix = 3)""",
+    draft_unused_sources: _DRAFT + "SELECT draft, target, 'BEG03' AS source FROM d WHERE seg = 'BEG' AND ix = 3 AND kind <> 'TODO'",
+    draft_code_lists: _DRAFT + """SELECT draft, code_list, 'c' || i AS source, 't' || i AS target FROM (SELECT DISTINCT draft, code_list FROM u) x, range(5) n(i)
+WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.draft = x.draft AND a.code_list = x.code_list) OR EXISTS (SELECT 1 FROM a WHERE a.draft = x.draft AND a.code_list = x.code_list AND code = 'c' || i)""",
+    draft_untranslated: _DRAFT + "SELECT draft, code_list, code, 'name of ' || code AS name FROM a WHERE code IN ('c8', 'c9')",
     guide_segments: _GUIDE + "SELECT file_id, seg AS seg_id, p_name AS name, pos, loop, usage, 'read this in full ' || k AS notes FROM b",
     guide_elements: _GUIDE + """SELECT file_id, seg AS seg_id, seg || '01' AS ref, 1 AS elem_ix, 'ID' AS type, 'must_use' AS usage FROM b
 UNION ALL SELECT file_id, seg, seg || '02', 2, 'AN', CASE WHEN k % 4 = 0 THEN 'must_use' ELSE 'used' END FROM b UNION ALL SELECT file_id, seg, 'REF02', -1, 'AN', 'must_use' FROM b WHERE k % 17 = 0""",
