@@ -85,6 +85,22 @@ def _guide(spark: SparkSession, sf_dir: str) -> guides.Guide:
     return guides.Guide(guides.guide_lines(files.select(F.col("f").cast("string").alias("file_id"), text.alias("text"))))
 
 
+def guide_templated(spark, sf_dir):
+    """Templated guides of 25 parts each: rules, with boxes apart from their names."""
+    k, seg = F.col("p_partkey"), F.concat(F.lit("Q"), 10 + F.col("p_partkey") % 90)
+    box = F.concat(F.lit("Pos: "), k, F.lit(" Max: 1"))
+    block = F.concat_ws(
+        "\n", F.when(k % 3 == 0, F.concat(box, F.lit("\n\n"), seg, F.lit(" Name of it"))).otherwise(F.concat(seg, F.lit(" Name of it "), box)), F.when(k % 5 == 0, "Loop: N1 Elements: 2").otherwise("Loop: N/A"),
+        F.when(k % 2 == 0, "User Option (Usage): Must use").otherwise("User Option (Usage): Used"), F.lit("Element Summary:"), F.concat(seg, F.lit("01 128 Qualifier M ID 2/3 "), F.when(k % 4 == 0, "Must use").otherwise("Not used")),
+        F.lit("Code List Summary\nCode Name\nAA First"), F.when(k % 7 == 0, "\nBB after a blank line"), F.when(k % 11 == 0, F.concat(seg, F.lit("02 torn"))),
+    )
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.expr("p_partkey div 25").alias("f")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), block.alias("t")))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["t"]), "\n")
+    g = guides.TemplatedGuide(guides.guide_lines(files.select(F.col("f").cast("string").alias("file_id"), text.alias("text")), blank=True))
+    n = g.codes().groupBy("file_id").agg(F.count("*").alias("n_codes"))
+    return g.presence_rules().groupBy("file_id").agg(F.count("*").alias("n_rules"), F.count_if(F.col("loop") == "N1").alias("n_in_n1")).join(n, "file_id").join(g.coverage(), "file_id")
+
+
 def guide_segments(spark, sf_dir):
     return _guide(spark, sf_dir).segments().select("file_id", "seg_id", "name", "pos", "loop", "usage", "notes")
 
@@ -193,6 +209,9 @@ WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.draft = d.draft AND seg = seg_id AND i
     draft_code_lists: _DRAFT + """SELECT draft, code_list, 'c' || i AS source, 't' || i AS target FROM (SELECT DISTINCT draft, code_list FROM u) x, range(5) n(i)
 WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.draft = x.draft AND a.code_list = x.code_list) OR EXISTS (SELECT 1 FROM a WHERE a.draft = x.draft AND a.code_list = x.code_list AND code = 'c' || i)""",
     draft_untranslated: _DRAFT + "SELECT draft, code_list, code, 'name of ' || code AS name FROM a WHERE code IN ('c8', 'c9')",
+    guide_templated: """WITH c AS (SELECT (p_partkey // 25)::VARCHAR AS file_id, count(*) FILTER (p_partkey % 2 = 0) + count(*) FILTER (p_partkey % 4 = 0) AS n_rules, count(*) FILTER (p_partkey % 10 = 0) + count(*) FILTER (p_partkey % 20 = 0) AS n_in_n1,
+  count(*) AS n_codes, 3 * count(*) + count(*) FILTER (p_partkey % 11 = 0) AS detected, 3 * count(*) AS confident FROM part GROUP BY 1)
+SELECT *, round(confident / detected, 6) AS ratio FROM c WHERE n_rules > 0""",
     guide_segments: _GUIDE + "SELECT file_id, seg AS seg_id, p_name AS name, pos, loop, usage, 'read this in full ' || k AS notes FROM b",
     guide_elements: _GUIDE + """SELECT file_id, seg AS seg_id, seg || '01' AS ref, 1 AS elem_ix, 'ID' AS type, 'must_use' AS usage FROM b
 UNION ALL SELECT file_id, seg, seg || '02', 2, 'AN', CASE WHEN k % 4 = 0 THEN 'must_use' ELSE 'used' END FROM b UNION ALL SELECT file_id, seg, 'REF02', -1, 'AN', 'must_use' FROM b WHERE k % 17 = 0""",

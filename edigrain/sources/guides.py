@@ -31,6 +31,23 @@ FORMS = {
     "element": r"^([A-Z][A-Z0-9]{1,2}[0-9]{2})\s+([0-9]+)\s+(.+?)\s+([MOCX])\s+([A-Z][A-Z0-9]{0,2})\s+([0-9]+)/([0-9]+)(?:\s+([MOCX]))?$",
     "torn": r"^[A-Z][A-Z0-9]{1,2}[0-9]{2}\b",
 }
+# The line forms of templated guides, in the order in which they are tried.
+TEMPLATE = {
+    "header": r"^([A-Z][A-Z0-9]{1,2})\s+(.+?)\s+Pos:\s*(\S+)\s+Max:\s*(\S+)$",
+    "box": r"^Pos:\s*(\S+)\s+Max:\s*(\S+)$",
+    "area": r"^((Heading|Detail|Summary)\s*-\s*(Mandatory|Optional)|Example:?)$",
+    "loop": r"^(.*?)\s*Loop:\s*(\S+)(\s+Elements:\s*[0-9]+)?$",
+    "usage": r"^User Option \(Usage\):\s*(.+)$",
+    "summary": r"^Element Summary:?$",
+    "list": r"^Code List Summary",
+    "head": r"^Code\s+Name$",
+    "about": r"^Description:",
+    "note": r"^[A-Z][A-Za-z]*(?: [A-Z][A-Za-z]*)? Note:\s*(.+)$",
+    "element": r"^([A-Z][A-Z0-9]{1,2}[0-9]{2})\s+([0-9]+)\s+(.+?)\s+([MOCX])\s+([A-Z][A-Z0-9]{0,2})\s+([0-9]+)/([0-9]+)\s+(Must use|Used|Not used|Not Used)$",
+    "torn": r"^[A-Z][A-Z0-9]{1,2}[0-9]{2}\b",
+}
+BOX_NAME = r"^([A-Z][A-Z0-9]{1,2})\s+([A-Z(].*)$"
+OPTION_WORDS = {"must use": "must_use", "used": "used", "not used": "not_used"}
 INDEX_ROW = r"^[0-9]{1,3}\s+([0-9]{2,4})\s+([A-Z][A-Z0-9]{1,2})\s+.+?\s+(?:[MOCX]\s+)?([MOCX])\s+>?[0-9]+$"
 INDEX_LIKE = r"^[0-9]{1,3}\s+[0-9]{2,4}\s+[A-Z][A-Z0-9]{1,2}\s+.+$"
 INDEX_HEAD = r"^(Page\s+Pos\.|No\.\s+No\.|LOOP ID\b|Heading:|Detail:|Summary:)"
@@ -44,12 +61,12 @@ FAMILIES = ("REF", "DTM", "N1", "N9", "SAC", "AMT", "PER", "FOB")
 PAIRED = {"PO1": (6, 24, 2), "IT1": (6, 24, 2)}
 
 
-def guide_lines(files: DataFrame) -> DataFrame:
+def guide_lines(files: DataFrame, blank: bool = False) -> DataFrame:
     """(file_id, text) to file_id, page (from 1, by form feeds), line, text; blank
-    lines are left out."""
+    lines are left out unless asked for (templated guides end code lists by them)."""
     pages = files.select("file_id", F.posexplode(F.split("text", "\f")).alias("page", "body"))
     rows = pages.select("file_id", (F.col("page") + 1).alias("page"), F.posexplode(F.split("body", "\r?\n")).alias("line", "text"))
-    return rows.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text != ''")
+    return rows.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.lit(blank) | (F.col("text") != ""))
 
 
 def _structural() -> Column:
@@ -106,6 +123,8 @@ def position(ref: str, seg_id: str) -> Column:
 class Guide:
     """What marked lines say. The marks are shared: each part reads them again."""
 
+    FACTS = "block > 0 and (kind = 'segment' or (seg_id is not null and kind in ('usage', 'element', 'torn')))"
+
     def __init__(self, lines: DataFrame):
         self.marked = share(read_tabular(strip_furniture(lines)))
         self.blocks = self.marked.where("seg_id is not null")
@@ -156,8 +175,8 @@ class Guide:
 
     def coverage(self) -> DataFrame:
         """file_id, detected, confident and the ratio of facts that were read."""
-        facts = self.marked.where("block > 0 and (kind = 'segment' or (seg_id is not null and kind in ('usage', 'element', 'torn')))").select("file_id", "seq")
-        doubt = self.reviews().where("what != 'code_of_no_list'").select("file_id", "seq", F.lit(1).alias("bad"))
+        facts = self.marked.where(self.FACTS).select("file_id", "seq")
+        doubt = self.reviews().where("what not in ('code_of_no_list', 'code_of_no_element', 'text_before_loop')").select("file_id", "seq", F.lit(1).alias("bad"))
         got = facts.join(doubt, ["file_id", "seq"], "left").groupBy("file_id").agg(F.count("*").alias("detected"), F.count_if(F.col("bad").isNull()).alias("confident"))
         return got.withColumn("ratio", F.round(F.col("confident") / F.col("detected"), 6))
 
@@ -205,3 +224,96 @@ class Guide:
             F.array(rule(F.lit(0), F.col("own"), F.col("scope"))), F.transform(rest, lambda e: rule(e["elem_ix"], F.col("own"), F.col("scope"))), F.transform("pairs", lambda e: rule(F.lit(None), e["codes"], F.lit(""))),
         )
         return segs.select("file_id", F.col("seg_id").alias("segment"), F.explode(all_).alias("r")).select("file_id", "segment", "r.*").distinct()
+
+
+def read_templated(lines: DataFrame) -> DataFrame:
+    """Lines (blank ones too) with what they are, as of `read_tabular`; a block opens
+    at a header line, or at the name line after a box of position and uses. Columns
+    pos, max_use and head (its name) are those of the line that opens a block."""
+    own = Window.partitionBy("file_id").orderBy("page", "line")
+    rows = lines.withColumn("seq", F.row_number().over(own))
+    kind = reduce(lambda c, kp: c.when(F.col("text").rlike(kp[1]), kp[0]), TEMPLATE.items(), F.when(F.col("text") == "", "blank")).otherwise("other")
+    rows = rows.withColumn("kind", kind)
+    upto = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before, after = upto.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    filled = F.when(F.col("kind") != "blank", F.struct("kind", "text"))
+    rows = rows.withColumn("prev", F.last(filled, True).over(before)).withColumn("next", F.first(filled, True).over(after))
+    named = (F.col("prev.kind") == "box") & ~F.col("kind").isin("header", "box", "blank") & F.col("text").rlike(BOX_NAME)
+    rows = rows.withColumn("kind", F.when(F.coalesce(named, F.lit(False)), "name").otherwise(F.col("kind")))
+    lone = (F.col("kind") == "box") & F.coalesce(F.col("next.kind") != "header", F.lit(False)) & ~F.coalesce((F.col("next.kind") != "box") & F.col("next.text").rlike(BOX_NAME), F.lit(False))
+    rows = rows.withColumn("kind", F.when(lone, "lone_box").otherwise(F.col("kind")))
+    opens = F.col("kind").isin("header", "name")
+    head = lambda i: F.regexp_extract("text", TEMPLATE["header"], i)
+    name = lambda i: F.regexp_extract("text", BOX_NAME, i)
+    box = lambda i: F.regexp_extract("prev.text", TEMPLATE["box"], i)
+    of_name = F.col("kind") == "name"
+    rows = rows.withColumn("block", F.sum(opens.cast("int")).over(upto).cast("int"))
+    rows = rows.withColumn("own", F.when(opens, F.struct(F.when(of_name, name(1)).otherwise(head(1)).alias("id"), F.when(of_name, name(2)).otherwise(head(2)).alias("head"), F.when(of_name, box(1)).otherwise(head(3)).alias("pos"), F.when(of_name, box(2)).otherwise(head(4)).alias("max_use"), of_name.alias("split"))))
+    block = Window.partitionBy("file_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.max("own").over(block)).withColumn("in_summary", F.max(F.col("kind") == "summary").over(block))
+    element_like = F.col("kind").isin("element", "torn") & ~F.col("in_summary")
+    rows = rows.withColumn("kind", F.when(element_like, "other").otherwise(F.col("kind")))
+    shut = F.col("kind").isin("blank", "area", "summary", "about", "element", "header", "name")
+    rows = rows.withColumn("listing", F.coalesce(F.last(F.when(F.col("kind") == "list", True).when(shut, False), True).over(block), F.lit(False)))
+    rows = rows.withColumn("row", F.sum((F.col("kind") == "element").cast("int")).over(block).cast("int"))
+    part = lambda i: F.regexp_extract("text", TEMPLATE["element"], i)
+    open_ = Window.partitionBy("file_id", "block", "row").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("el", F.max(F.when(F.col("kind") == "element", F.struct(part(1).alias("ref"), part(5).alias("type")))).over(open_))
+    code = (F.col("kind") == "other") & F.col("listing") & F.col("text").rlike(CODE_ROW)
+    rows = rows.withColumn("kind", F.when(code, "code").otherwise(F.col("kind")))
+    return rows.where("kind != 'blank'").select("file_id", "seq", "page", "text", "kind", "block", F.col("own.id").alias("seg_id"), "row", F.col("el.ref").alias("ref"), F.col("el.type").alias("type"), "own.head", "own.pos", "own.max_use", "own.split")
+
+
+class TemplatedGuide(Guide):
+    """Templated guides, from lines with their blanks. They hold no index."""
+
+    FACTS = "kind = 'lone_box' or (block > 0 and kind in ('header', 'name', 'usage', 'element', 'torn'))"
+
+    def __init__(self, lines: DataFrame):
+        self.marked = share(read_templated(lines))
+        self.blocks = self.marked.where("block > 0")
+        self.words = F.create_map(*(F.lit(x) for kv in OPTION_WORDS.items() for x in kv))
+        self.option = F.when(F.col("kind") == "usage", F.try_element_at(self.words, F.lower(F.trim(F.regexp_extract("text", TEMPLATE["usage"], 1)))))
+
+    def segments(self) -> DataFrame:
+        loop = F.regexp_extract("text", TEMPLATE["loop"], 2)
+        said = F.max_by(F.when(F.upper(loop) == "N/A", "").otherwise(loop), F.when(F.col("kind") == "loop", F.col("seq")))
+        tail = F.when((F.col("kind") == "loop") & F.col("split"), F.nullif(F.regexp_extract("text", TEMPLATE["loop"], 1), F.lit("")))
+        note = F.when((F.col("kind") == "note") & (F.col("row") == 0), F.regexp_extract("text", TEMPLATE["note"], 1))
+        in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("seq", c.alias("t"))))), lambda x: x["t"])
+        own = F.when(F.col("row") == 0, self.option)
+        return self.blocks.groupBy("file_id", "block", "seg_id").agg(
+            F.array_join(F.concat(F.array(F.max("head")), in_order(tail)), " ").alias("name"), F.max("pos").alias("pos"), F.max("max_use").alias("max_use"), F.coalesce(said, F.lit("")).alias("loop"),
+            F.coalesce(F.max_by(own, F.when(own.isNotNull(), F.col("seq"))), F.lit("")).alias("usage"), F.array_join(in_order(note), " ").alias("notes"),
+        )
+
+    def elements(self) -> DataFrame:
+        part = lambda i: F.regexp_extract("text", TEMPLATE["element"], i)
+        told = self.blocks.where("row > 0").groupBy("file_id", "block", "row").agg(F.max_by(self.option, F.when(self.option.isNotNull(), F.col("seq"))).alias("told"))
+        rows = self.blocks.where("kind = 'element'").withColumn("usage", F.try_element_at(self.words, F.lower(part(8)))).join(told, ["file_id", "block", "row"])
+        return rows.select("file_id", "block", "row", "seg_id", "ref", position("ref", "seg_id").alias("elem_ix"), part(3).alias("name"), "type", part(6).try_cast("int").alias("shortest"), part(7).try_cast("int").alias("longest"), F.coalesce("told", "usage").alias("usage"))
+
+    def codes(self) -> DataFrame:
+        at = lambda i: F.regexp_extract("text", CODE_ROW, i)
+        return self.blocks.where("kind = 'code' and ref is not null").select("file_id", "block", "row", "ref", "seq", at(1).alias("code"), at(2).alias("name"))
+
+    def reviews(self) -> DataFrame:
+        stray = (F.col("kind") == "loop") & ~F.col("split") & (F.regexp_extract("text", TEMPLATE["loop"], 1) != "")
+        what = (
+            F.when(F.col("kind") == "lone_box", "no_segment_name").when(F.col("block") == 0, None).when((F.col("kind") == "usage") & self.option.isNull(), "unknown_usage").when(F.col("kind") == "torn", "torn_element")
+            .when((F.col("kind") == "element") & position("ref", "seg_id").isNull(), "foreign_element").when((F.col("kind") == "code") & F.col("ref").isNull(), "code_of_no_element").when(stray, "text_before_loop")
+        )
+        return self.marked.withColumn("what", what).where("what is not null").select("file_id", "seq", "page", "what", "text")
+
+    def index(self) -> DataFrame:
+        return self.segments().limit(0).select("file_id", "seg_id", "pos", "usage")
+
+
+def families(lines: DataFrame) -> DataFrame:
+    """file_id, family: templated or tabular by the marks of each; null where no
+    family, or more than one, has all of its marks."""
+    has = lambda *forms: F.max(reduce(lambda a, b: a | b, (F.col("text").rlike(p) for p in forms)))
+    templated = has(TEMPLATE["header"], TEMPLATE["box"]) & has(TEMPLATE["summary"]) & has(TEMPLATE["element"])
+    tabular = has(FORMS["table"]) & has(FORMS["segment"]) & has(FORMS["usage"]) & has(FORMS["element"])
+    got = lines.groupBy("file_id").agg(templated.alias("a"), tabular.alias("b"))
+    return got.select("file_id", F.when(F.col("a") & ~F.col("b"), "templated").when(F.col("b") & ~F.col("a"), "tabular").alias("family"))

@@ -114,3 +114,60 @@ def test_furniture_needs_four_pages(spark):
     lines = guides.guide_lines(spark.createDataFrame([("a", "Head\nx\fHead\ny\fHead"), ("b", "Head\n1\fHead\n2\fHead\nUsage: Mandatory\fEnd\nPage 4")], "file_id string, text string"))
     kept = {(r.file_id, r.text) for r in guides.strip_furniture(lines).collect()}
     assert kept == {("a", "Head"), ("a", "x"), ("a", "y"), ("b", "1"), ("b", "2"), ("b", "Usage: Mandatory"), ("b", "End")}
+
+
+TEMPLATED = """Contents
+BEG Beginning Segment Pos: 020 Max: 1
+Heading - Mandatory
+Loop: N/A Elements: 2
+User Option (Usage): Must use
+Partner Note: Once only
+BEG09 no row before the summary
+Element Summary:
+BEG01 353 Purpose Code M ID 2/2 Used
+Description: What it is for
+Code List Summary (Total Codes: 2)
+Code Name
+00 Original
+05 Replace
+
+06 after a blank line
+User Option (Usage): Must use
+Insight Note: Of an element
+BEG02 92 torn
+REF02 127 Reference X AN 1/30 Must use
+Pos: 050 Max: >1
+Pos: 060 Max: 2
+REF Reference Identification (Long
+name) Loop: N1 Elements: 1
+User Option (Usage): Perhaps
+Code List Summary
+IA Vendor
+Element Summary
+REF01 128 Qualifier M ID 2/3 Not Used
+Pos: 070 Max: 1
+no name
+Pos: 080 Max: 1
+PER Contact Pos: 080 Max: 1
+text Loop: PER
+User Option (Usage): Used"""
+
+
+def test_templated(spark):
+    files = spark.createDataFrame([("t", TEMPLATED), ("empty", "")], "file_id string, text string")
+    g = guides.TemplatedGuide(guides.guide_lines(files, blank=True))
+    assert {(r.seg_id, r.name, r.pos, r.max_use, r.loop, r.usage, r.notes) for r in g.segments().collect()} == {
+        ("BEG", "Beginning Segment", "020", "1", "", "must_use", "Once only"), ("REF", "Reference Identification (Long name)", "060", "2", "N1", "", ""), ("PER", "Contact", "080", "1", "PER", "used", ""),
+    }
+    assert {(r.ref, r.elem_ix, r.usage) for r in g.elements().collect()} == {("BEG01", 1, "must_use"), ("REF02", None, "must_use"), ("REF01", 1, "not_used")}
+    assert {(r.ref, r.code, r["name"]) for r in g.codes().collect()} == {("BEG01", "00", "Original"), ("BEG01", "05", "Replace")}
+    assert sorted(r.what for r in g.reviews().collect()) == ["code_of_no_element", "foreign_element", "no_segment_name", "no_segment_name", "text_before_loop", "torn_element", "unknown_usage"]
+    assert [(r.detected, r.confident) for r in g.coverage().collect()] == [(13, 8)]
+    assert {(r.segment, r.elem_ix) for r in g.presence_rules().collect()} == {("BEG", 0), ("BEG", 1)}
+    assert g.cross_check().collect() == []
+
+
+def test_families(spark):
+    rows = [("a", TEMPLATED), ("b", INDEX + BEG), ("c", TEMPLATED + "\n" + BEG), ("d", "prose")]
+    got = {r.file_id: r.family for r in guides.families(guides.guide_lines(spark.createDataFrame(rows, "file_id string, text string"))).collect()}
+    assert got == {"a": "templated", "b": "tabular", "c": None, "d": None}
