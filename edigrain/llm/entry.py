@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, ngram_join, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
+from . import decontaminate, langid, mixing, ngram_join, periodic, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_tokens": tokens.op8_tokens,
         "op9_topk": topk.op9_topk,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
     }
 
 
