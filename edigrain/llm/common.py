@@ -39,6 +39,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Generations:
+    """A table that is written anew in each round of an algorithm. The round
+    before is deleted once its successor is whole, so two are on disk at most."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/edigrain-{uuid.uuid4().hex}"
+        self.number = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        df.write.parquet(f"{self.path}/{self.number}")
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.number - 1}")
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.number}")
+
+
 def tidy(spark: SparkSession) -> None:
     """Let go of shuffle files that only dropped DataFrames refer to. Spark deletes
     them when the driver collects its garbage, which may be long after."""
