@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontaminate, langid, mixing, ngram_join, periodic, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
+from . import centroids, decontaminate, langid, mixing, multi_index, ngram_join, periodic, secrets, substring_dedup, suffix_dedup, tokens, topk, toxicity
 
 
 def queries():
@@ -18,9 +18,10 @@ def queries():
         "op9_topk": topk.op9_topk,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_near_vectors": multi_index.op12_near_vectors,
         "op13_centroids": centroids.op13_centroids,
     }
 
 
 def oracle_sql():
-    return {"op3_ngram_join": ngram_join.SQL, "op4_mixing": mixing.SQL, "op9_topk": topk.SQL, "op13_centroids": centroids.SQL}
+    return {"op3_ngram_join": ngram_join.SQL, "op4_mixing": mixing.SQL, "op9_topk": topk.SQL, "op12_near_vectors": multi_index.SQL, "op13_centroids": centroids.SQL}
