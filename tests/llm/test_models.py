@@ -102,6 +102,35 @@ def test_secrets_base_and_random(spark):
     assert len(masked) == len(rows)
 
 
+@pytest.mark.parametrize("words", [12, 80, 1500])
+@pytest.mark.parametrize("encoding,length", [("alnum62", 32), ("base64", 44), ("lower36", 30), ("base32", 32), ("base64url", 43), ("HEX", 40)])
+def test_secrets_at_random_places(spark, words, encoding, length):
+    rng = random.Random(f"{words}{encoding}")
+    texts = [r.text for r in table(spark, SF, "documents").where("text is not null and lang in ('en', 'de')").orderBy("doc_id").limit(300).collect()]
+    vocab = sorted({w for t in texts for w in t.split() if w.isalpha() and 2 <= len(w) <= 14})
+    word = lambda: rng.choice(vocab)
+    harmless = [
+        lambda: word() + word().capitalize() + word().capitalize() + word().capitalize() + str(rng.randrange(10**8)) + "A", lambda: "/".join([word(), word(), word(), f"v{rng.randrange(9)}", word()]),
+        lambda: "-".join([word(), word(), word(), word(), str(rng.randrange(3000))]), lambda: word() + word() + word() + word(),
+    ]
+    rows, keys, decoys = [], {}, 0
+    for i in range(200):
+        own = [word() for _ in range(words)]
+        for make in rng.sample(harmless, 3):
+            own.insert(rng.randrange(len(own) + 1), make())
+            decoys += len(own[-1]) >= 20
+        key = "".join(rng.choice(secrets.ALPHABETS[encoding]) for _ in range(length))
+        at = rng.randrange(len(own) + 1)
+        text = " ".join([*own[:at], key, *own[at:]])
+        start = len(" ".join([*own[:at], ""]))
+        keys[i] = f"random:{start}:{start + length}"
+        rows.append((i, text))
+    got = {r.id: set(r.spans.split(",")) - {""} for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(keys[i] in got[i] for i in keys)
+    wrong = sum(len(got[i] - {keys[i]}) for i in keys)
+    assert hits >= 0.93 * 200 and wrong <= max(2, 0.02 * hits), (hits, wrong)
+
+
 def test_secrets_base_is_the_contract(spark):
     import re
 
