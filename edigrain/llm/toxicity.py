@@ -8,12 +8,19 @@ that holds an insult or a threat and multiplies the weight of what it matches
 by a factor for its setting. A document's features are sums over its matched
 clauses; a logistic fit on labelled rows turns them into a score.
 
-All of it is learned from labelled rows. A word is an insult if it tells toxic
-documents from others; among documents with insults, a word shortly before one
-that makes the label unlikelier is a negation, one further ahead in the clause
-reports speech, and one that makes it likelier is a target. A few such words of
-five languages are known beforehand. The factor of a setting is how much of an
-insult's effect on the log-odds of the label is left in it.
+All of it is learned from labelled rows. A word or a beginning of words is an
+insult if it tells toxic documents from others; a beginning must tell by more
+documents than those of the words that it covers, and what only goes along with
+insults is none.
+Among documents that hold the same insult, a word shortly before it that makes
+the label unlikelier is a negation, one further ahead in the clause reports
+speech, and one that makes it likelier is a target; comparing within an insult
+keeps a language from passing for a setting. A few such words of five languages
+are known beforehand. The factor of a setting is how much of an insult's effect
+on the log-odds of the label is left in it. Settings count only if, on labelled
+rows that they were not learned from, they lower the loss of the fit by more than
+chance: else every factor is neutral, insults weigh the same in all settings, and
+threats, which are known beforehand and not learned, weigh nothing.
 
 Learning uses a bounded sample of about `max_labelled` labelled rows, chosen by
 a hash of doc_id; the lexicon has at most `max_lexicon` entries, and
@@ -40,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, train_row
+from .common import held_out, materialize, slices, table, train_row
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
@@ -82,8 +89,10 @@ def compose(parts: list[Transducer]) -> Transducer:
     return Transducer(arcs, start)
 
 
-#: What is left of an insult in each setting, until labels tell.
+#: What is left of an insult in each setting, and the weight of a threat, until
+#: labels tell; and where they tell nothing.
 FACTORS = {NEGATION: 0.3, REPORT: 0.5, TARGET: 1.5, THREAT: 2.0}
+NEUTRAL = {NEGATION: 1.0, REPORT: 1.0, TARGET: 1.0, THREAT: 0.0}
 SCOPE = 3
 
 
@@ -168,53 +177,123 @@ def document_features(text: str, lexicon: Lexicon, machine: Transducer) -> tuple
     return [math.log1p(score), math.log1p(hits), best, score / dense, raw / max(hits, 1), float(hits > 1), math.log1p(words)], clauses
 
 
-def _grams(batches):
-    """Labelled documents that hold each whole word ("word$") and beginning."""
-    for batch in slices(batches, "text", 1 << 19):
-        toxic, clean = Counter(), Counter()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            seen = set(TOKEN.findall((text or "").lower()))
-            own = {w[:n] for w in seen for n in PREFIXES if len(w) >= n}
-            own.update(w + "$" for w in seen)
-            (toxic if label else clean).update(own)
-        keys = list(toxic.keys() | clean.keys())
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(keys, pa.string()), "toxic": pa.array([toxic[g] for g in keys], pa.int64()), "clean": pa.array([clean[g] for g in keys], pa.int64())})
+def _grams(entries: dict[str, float]):
+    """Labelled documents that hold each whole word ("word$") and beginning, and
+    none of the entries; the empty gram counts all of them."""
 
+    def run(batches):
+        known = frozenset(entries)
+        for batch in slices(batches, "text", 1 << 19):
+            toxic, clean = Counter(), Counter()
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                seen = set(TOKEN.findall((text or "").lower()))
+                own = {w[:n] for w in seen for n in PREFIXES if len(w) >= n}
+                own.update(w + "$" for w in seen)
+                if known.isdisjoint(own):
+                    (toxic if label else clean).update(own | {""})
+            keys = list(toxic.keys() | clean.keys())
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(keys, pa.string()), "toxic": pa.array([toxic[g] for g in keys], pa.int64()), "clean": pa.array([clean[g] for g in keys], pa.int64())})
+
+    return run
+
+
+def learn_lexicon(rows: DataFrame, most: int) -> dict[str, float]:
+    """Insults from (text, toxic), in rounds: the strongest first, and then what
+    tells the documents that hold none of them, so that words which merely go
+    along with insults are none."""
+    out: dict[str, float] = {}
+    while len(out) < most:
+        got = materialize(rows.mapInArrow(_grams(out), "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")))
+        size = got.where("gram = ''").first()
+        if size is None or not size["t"] or not size["c"]:
+            break
+        nt, nc = size["t"], size["c"]
+        p1, p0, p = F.col("t") / nt, F.col("c") / nc, (F.col("t") + F.col("c")) / (nt + nc)
+        z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / nt + 1 / nc) + 1e-9)
+        weight = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
+        telling = got.where((F.col("t") >= 3) & (F.col("gram") != "")).select("gram", "t", "c", z.alias("z"), weight.alias("w")).where((F.col("z") > LEAST_Z) & (F.col("w") > 1.5))
+        top = telling.orderBy(F.desc("z"), "gram").limit(10 * most).collect()
+        new = choose_lexicon([(r["gram"], r["t"], r["c"], r["w"]) for r in top if r["z"] >= ROUND_SHARE * top[0]["z"]], nt, nc, most - len(out))
+        if not new:
+            break
+        out.update(new)
+    return out
+
+
+#: How many deviations an insult lies off chance, and a word of a setting.
+LEAST_Z, LEAST_CONTEXT_Z = 6.0, 4.0
+#: Insults of one round lie at least this share of the strongest one's deviations off.
+ROUND_SHARE = 0.7
 
-def insult_settings(text: str, lexicon: Lexicon) -> tuple[int, set[str], set[str], set[int]]:
-    """(insults in a text, words up to SCOPE before one, words further ahead in its
-    clause, settings that all its insults are in)."""
-    near, far, everywhere, n = set(), set(), None, 0
+
+def _off(t: float, c: float, nt: int, nc: int) -> float:
+    p = (t + c) / (nt + nc)
+    return (t / nt - c / nc) / math.sqrt(p * (1 - p) * (1 / nt + 1 / nc) + 1e-9)
+
+
+def choose_lexicon(grams: list[tuple[str, int, int, float]], nt: int, nc: int, most: int) -> dict[str, float]:
+    """Words ("word$") and beginnings from (gram, toxic documents, clean ones,
+    weight), nt and nc documents in all: the strongest first, of equal ones whole
+    words and then the longest beginnings. What a taken beginning covers adds
+    nothing. A beginning that covers taken ones must tell by the documents that
+    these do not account for, or it covers innocent words."""
+    order = sorted(grams, key=lambda g: (-round(_off(g[1], g[2], nt, nc), 9), not g[0].endswith("$"), -len(g[0]), g[0]))
+    taken: dict[str, tuple[int, int]] = {}
+    out: dict[str, float] = {}
+    for gram, t, c, weight in order:
+        word = gram.rstrip("$")
+        if len(out) >= most or any(word[:n] in out for n in PREFIXES if n <= len(word)):
+            continue
+        if gram == word:
+            covered = [x for w, x in taken.items() if w.startswith(gram)]
+            t, c = t - sum(x[0] for x in covered), c - sum(x[1] for x in covered)
+            if t < 3 or _off(t, max(c, 0), nt, nc) <= LEAST_Z:
+                continue
+        out[gram] = weight
+        taken[word] = (t, c)
+    return out
+
+
+def insult_settings(text: str, lexicon: Lexicon) -> tuple[int, dict[str, tuple[set[str], set[str]]], set[int]]:
+    """(insults in a text; for each, the words up to SCOPE before it and those
+    further ahead in its clause; settings that all of them are in). Insults are no
+    words of a setting."""
+    around: dict[str, tuple[set[str], set[str]]] = {}
+    everywhere, n = None, 0
     clause: list[str] = []
     for token in [*TOKEN.findall(text.lower()), "."]:
-        if lexicon[token][0] == END:
+        kind = lexicon[token][0]
+        if kind == END:
             clause = []
             continue
-        if lexicon[token][0] == INSULT:
+        if kind == INSULT:
             n += 1
-            near.update(clause[-SCOPE:])
-            far.update(clause[:-SCOPE])
+            near, far = around.setdefault(token, (set(), set()))
+            near.update(w for w in clause[-SCOPE:] if lexicon[w][0] != INSULT)
+            far.update(w for w in clause[:-SCOPE] if lexicon[w][0] != INSULT)
             kinds = {lexicon[w][0] for w in clause}
             here = {k for k in (REPORT, TARGET) if k in kinds} | ({NEGATION} if any(lexicon[w][0] == NEGATION for w in clause[-SCOPE:]) else set())
             everywhere = here if everywhere is None else everywhere & here
         clause.append(token)
-    return n, near, far - near, everywhere or set()
+    return n, {k: (near, far - near) for k, (near, far) in around.items()}, everywhere or set()
 
 
 def _contexts(entries: dict[str, float]):
-    """Labelled documents with insults by the words before these: (word, far or
-    not, toxic, clean); the empty word counts all of them."""
+    """Labelled documents with insults by insult and the words before it: (insult,
+    word, far or not, toxic, clean); the empty word counts all of an insult."""
 
     def run(batches):
         lexicon = Lexicon(entries)
         for batch in slices(batches, "text", 1 << 19):
             counts = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                n, near, far, _ = insult_settings(text or "", lexicon)
-                if n:
-                    counts[int(label)].update([("", 0), *((w, 0) for w in near), *((w, 1) for w in far)])
+                for insult, (near, far) in insult_settings(text or "", lexicon)[1].items():
+                    counts[int(label)].update([(insult, "", 0), *((insult, w, 0) for w in near), *((insult, w, 1) for w in far)])
             keys = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in keys], pa.string()), "far": pa.array([f for _, f in keys], pa.int32()), "toxic": pa.array([counts[1][k] for k in keys], pa.int64()), "clean": pa.array([counts[0][k] for k in keys], pa.int64())})
+            yield pa.RecordBatch.from_pydict({
+                **{c: pa.array([k[i] for k in keys], t) for i, (c, t) in enumerate((("insult", pa.string()), ("word", pa.string()), ("far", pa.int32())))},
+                "toxic": pa.array([counts[1][k] for k in keys], pa.int64()), "clean": pa.array([counts[0][k] for k in keys], pa.int64()),
+            })
 
     return run
 
@@ -228,7 +307,7 @@ def _settings(entries: dict[str, float], context: dict[str, int]):
         for batch in slices(batches, "text"):
             counts = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                n, _, _, settings = insult_settings(text or "", lexicon)
+                n, _, settings = insult_settings(text or "", lexicon)
                 counts[int(label)].update(settings or {-1} if n else {-2})
             keys = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_pydict({"setting": pa.array(keys, pa.int32()), "toxic": pa.array([counts[1][k] for k in keys], pa.int64()), "clean": pa.array([counts[0][k] for k in keys], pa.int64())})
@@ -238,16 +317,17 @@ def _settings(entries: dict[str, float], context: dict[str, int]):
 
 def learn_context(rows: DataFrame, entries: dict[str, float], max_context: int, least: int = 20) -> dict[str, int]:
     """Words of settings, from (text, toxic): those that at least `least` documents
-    have before an insult, and whose toxic ones are four deviations off."""
+    have before an insult, and whose toxic ones, among documents with the same insult,
+    are LEAST_CONTEXT_Z deviations off."""
     if not entries:
         return {}
-    got = rows.mapInArrow(_contexts(entries), "word string, far int, toxic long, clean long").groupBy("word", "far").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    whole = got.where("word = ''").first()
-    if whole is None or not whole["t"] or not whole["c"]:
-        return {}
-    p, n = whole["t"] / (whole["t"] + whole["c"]), F.col("t") + F.col("c")
-    z = (F.col("t") - n * p) / F.sqrt(n * p * (1 - p))
-    off = got.where((F.col("word") != "") & (n >= least)).withColumn("z", z).where(F.abs("z") > 4).orderBy(F.desc(F.abs("z")), "word", "far").limit(2 * max_context).collect()  # a bounded lexicon
+    got = rows.mapInArrow(_contexts(entries), "insult string, word string, far int, toxic long, clean long").groupBy("insult", "word", "far").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    got = materialize(got)
+    share = got.where("word = ''").select("insult", (F.col("t") / (F.col("t") + F.col("c"))).alias("p")).where("p > 0 and p < 1")
+    n = F.col("t") + F.col("c")
+    met = got.where("word != ''").join(share, "insult").groupBy("word", "far").agg(F.sum(n).alias("n"), F.sum(F.col("t") - n * F.col("p")).alias("off"), F.sum(n * F.col("p") * (1 - F.col("p"))).alias("var"))
+    z = F.col("off") / F.sqrt("var")
+    off = met.where(F.col("n") >= least).withColumn("z", z).where(F.abs("z") > LEAST_CONTEXT_Z).orderBy(F.desc(F.abs("z")), "word", "far").limit(2 * max_context).collect()  # a bounded lexicon
     out: dict[str, int] = {}
     for r in off:
         if len(out) < max_context and r["word"] not in out:
@@ -279,6 +359,29 @@ def _learn_features(model: Model):
     return run
 
 
+def _features(model: Model, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.mapInArrow(_learn_features(model), "x array<double>, toxic int").toPandas()  # the bounded sample
+    return np.array(got["x"].tolist()).reshape(len(got), -1), got["toxic"].to_numpy(dtype=float)
+
+
+def lowers_loss(plain: Model, grammatical: Model, tried: DataFrame, others: DataFrame) -> bool:
+    """True if the fit with settings has, on the other rows, a mean log loss that is
+    lower by more than two standard errors."""
+    losses = []
+    for model in (plain, grammatical):
+        x, y = _features(model, tried)
+        if len(set(y.tolist())) < 2:
+            return False
+        w = logistic(x, y)
+        x, y = _features(model, others)
+        if not len(y):
+            return False
+        at = w[0] + x @ w[1:]
+        losses.append(np.logaddexp(0, at) - y * at)
+    gain = losses[0] - losses[1]
+    return bool(gain.mean() > 2 * gain.std() / math.sqrt(len(gain))) and bool(gain.mean() > 0)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -302,26 +405,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     share = min(1.0, max_labelled / max(total, 1))
     own = own.where(F.expr(f"pmod(xxhash64(id, 'sample'), 1048576) < {math.ceil(share * 1048576)}"))
     # the sample has about max_labelled rows of two numbers, whatever the corpus
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").select("text", "toxic")
-    counts = rows.mapInArrow(_grams, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    sizes = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    nt, nc = int(sizes["t"] or 0), int(sizes["n"]) - int(sizes["t"] or 0)
-    if not nt or not nc:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
+    rows = materialize(rows.select("text", "toxic", F.expr("pmod(xxhash64(id, 'gate'), 3) = 0").alias("gate")))
+    lexicon = learn_lexicon(rows, max_lexicon)
+    if not lexicon and rows.select("toxic").distinct().count() < 2:
         return Model()
-    p1, p0 = F.col("t") / nt, F.col("c") / nc
-    p = (F.col("t") + F.col("c")) / (nt + nc)
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / nt + 1 / nc) + 1e-9)
-    weight = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
-    top = counts.where(F.col("t") >= 3).select("gram", z.alias("z"), weight.alias("w")).where((F.col("z") > 6) & (F.col("w") > 1.5)).orderBy(F.desc("z"), "gram").limit(10 * max_lexicon).collect()
-    lexicon: dict[str, float] = {}
-    for r in top:  # strongest first; what one of them already begins adds nothing
-        word = r["gram"].rstrip("$")
-        if len(lexicon) < max_lexicon and not any(word[:n] in lexicon for n in PREFIXES):
-            lexicon[r["gram"]] = float(r["w"])
-    context = learn_context(rows, lexicon, max_context) if settings else {w: PLAIN for w in FIXED}
-    model = Model(lexicon, (), context, learn_factors(rows, lexicon, context) if settings else dict(FACTORS))
-    got = rows.mapInArrow(_learn_features(model), "x array<double>, toxic int").toPandas()  # the bounded sample
-    return replace(model, weights=tuple(logistic(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(dtype=float)).tolist()))
+    plain = Model(lexicon, (), {w: PLAIN for w in FIXED}, dict(NEUTRAL))
+    if settings:
+        tried, others = rows.where("not gate"), rows.where("gate")
+        context = learn_context(tried, lexicon, max_context)
+        grammatical = Model(lexicon, (), context, learn_factors(tried, lexicon, context))
+        if lowers_loss(plain, grammatical, tried, others):
+            plain = grammatical
+    return replace(plain, weights=tuple(logistic(*_features(plain, rows)).tolist()))
 
 
 class Scorer:

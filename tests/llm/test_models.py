@@ -80,6 +80,44 @@ def test_toxicity_learns_settings(spark):
     assert right[True] > 0.95 > right[False] + 0.2
 
 
+INNOCENT = ["The world of work and words: the transport of trade goods is discussed.", "Das Wort der Arbeit ist klar.", "They destroy old records and the virus will kill them, he said.", "El perdón y la clase de trabajo. La distancia y el patrón."]
+
+
+def test_toxicity_on_given_documents(spark):
+    """Held out: no worse with settings than without; whole words; no innocent
+    beginnings; the query equals its parts applied one text at a time."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels, train_row("id"))
+    alone = toxicity.fit(docs, labels, train_row("id"), settings=False)
+    assert model.entries and all(len(w.rstrip("$")) >= 4 for w in model.entries)
+    assert model.factors == toxicity.NEUTRAL or not set(model.context) & {"the", "of", "and", "de", "is"}
+    score, _ = toxicity.Scorer(model)(INNOCENT)
+    assert (score < 0.3).all()
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    wrong = []
+    for m in (model, alone):
+        got = toxicity.score_toxicity(docs, m).where("pmod(crc32(cast(cast(id as string) as binary)), 4) = 2").collect()
+        wrong.append(sum(r.predicted != label[r.id] for r in got if r.id in label))
+    assert wrong[0] <= wrong[1]
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    out = toxicity.op7_toxicity(spark, SF).collect()
+    small = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"), train_row("id"))
+    lexicon, machine = toxicity.Lexicon(small.entries, small.context), toxicity.grammar(factors=small.factors)
+    assert len(out) == len(texts)
+    for r in out:
+        x, _ = toxicity.document_features(texts[r.doc_id] or "", lexicon, machine)
+        want = 1 / (1 + np.exp(-(small.weights[0] + np.dot(small.weights[1:], x)))) if small.weights else 0.0
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
+def test_lexicon_prefers_words():
+    grams = [("clown$", 50, 0, 3.0), ("clown", 50, 0, 3.0), ("clow", 50, 0, 3.0), ("clo", 60, 200, 2.0), ("idiot$", 20, 0, 3.0), ("idiots$", 20, 0, 3.0), ("idiot", 80, 1, 3.0), ("idio", 80, 1, 3.0)]
+    assert toxicity.choose_lexicon(grams, 100, 10_000, 10) == {"clown$": 3.0, "idiot": 3.0}
+    assert list(toxicity.choose_lexicon(grams, 100, 10_000, 1)) == ["idiot"]
+    assert toxicity.choose_lexicon([], 1, 1, 5) == {}
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (None, "y")], "doc_id long, text string")
     labels = spark.createDataFrame([(3, None), (9, 1)], "doc_id long, toxic int")
