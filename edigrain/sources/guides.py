@@ -46,6 +46,7 @@ TEMPLATE = {
     "element": r"^([A-Z][A-Z0-9]{1,2}[0-9]{2})\s+([0-9]+)\s+(.+?)\s+([MOCX])\s+([A-Z][A-Z0-9]{0,2})\s+([0-9]+)/([0-9]+)\s+(Must use|Used|Not used|Not Used)$",
     "torn": r"^[A-Z][A-Z0-9]{1,2}[0-9]{2}\b",
 }
+# Further line forms, words and segments of these guides.
 BOX_NAME = r"^([A-Z][A-Z0-9]{1,2})\s+([A-Z(].*)$"
 OPTION_WORDS = {"must use": "must_use", "used": "used", "not used": "not_used"}
 INDEX_ROW = r"^[0-9]{1,3}\s+([0-9]{2,4})\s+([A-Z][A-Z0-9]{1,2})\s+.+?\s+(?:[MOCX]\s+)?([MOCX])\s+>?[0-9]+$"
