@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import share
 from .validate import rank, root_causes, rollup
 
 #: Order in which changes are shown.
@@ -25,6 +26,7 @@ class History:
     def record(self, run_id: int, findings: DataFrame, spec_file: str, run_at: str, parent: int | None = None) -> None:
         """One row in runs, with counts and the verdict of all its findings; one for
         each document in documents; and the findings in the order they are shown."""
+        findings = share(findings)  # three tables are written from it
         w = Window.partitionBy("doc").orderBy(rank(), F.coalesce("row_id", F.lit("~")), "line_ix", "target", "source_ref", "actual")
         findings.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("emit_ord", F.row_number().over(w)).write.mode("append").parquet(f"{self.path}/findings")
         rollup(findings.where("doc is not null").withColumn("run_id", F.lit(run_id).cast("long")), "run_id", "doc").write.mode("append").parquet(f"{self.path}/documents")
@@ -64,19 +66,26 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     row_id, place, nth, old_status, new_status, regression. Findings of one
     identity are told apart by their number in stored order, passes included. A
     new location counts if it is bad, and is a regression if it fails; a changed
-    one is a regression if it fails now and did not."""
+    one is a regression if it fails now and did not. Findings without a document
+    are compared like those of a document that both runs have."""
+    # findings of groups and files have no doc: their key is empty, which both runs
+    # always share
+    keyed = lambda df: df.withColumn("dk", F.coalesce(F.col("doc").cast("string"), F.lit("")))
+
     def own(df: DataFrame, p: str) -> DataFrame:
         place = F.coalesce("target", "source_ref", F.lit(""))
         order = ["emit_ord"] if "emit_ord" in df.columns else [rank(), "category", "expected", "actual"]
         x = df.withColumn("row_id", F.coalesce("row_id", F.lit(""))).withColumn("place", place)
-        x = x.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "row_id", "place").orderBy(*order)))
-        return x.select("doc", "row_id", "place", "nth", F.col("status").alias(p + "status"), F.struct("status", "category", "expected", "actual").alias(p + "row"))
-
-    docs_old, docs_new = old.select("doc").distinct(), new.select("doc").distinct()
-    gone = docs_old.join(docs_new, "doc", "left_anti").select("doc", F.lit("DOC REMOVED").alias("kind"))
-    came = docs_new.join(docs_old, "doc", "left_anti").select("doc", F.lit("DOC ADDED").alias("kind"))
-    shared = docs_old.join(docs_new, "doc")
-    met = own(old.join(shared, "doc"), "old_").join(own(new.join(shared, "doc"), "new_"), ["doc", "row_id", "place", "nth"], "full_outer")
+        x = x.withColumn("nth", F.row_number().over(Window.partitionBy("dk", "row_id", "place").orderBy(*order)))
+        return x.select("dk", F.col("doc").alias(p + "doc"), "row_id", "place", "nth", F.col("status").alias(p + "status"), F.struct("status", "category", "expected", "actual").alias(p + "row"))
+
+    old, new = keyed(old), keyed(new)
+    docs_old, docs_new = (df.where("doc is not null").select("dk", "doc").distinct() for df in (old, new))
+    gone = docs_old.join(docs_new, "dk", "left_anti").select("doc", F.lit("DOC REMOVED").alias("kind"))
+    came = docs_new.join(docs_old, "dk", "left_anti").select("doc", F.lit("DOC ADDED").alias("kind"))
+    shared = docs_old.join(docs_new.select("dk"), "dk", "left_semi").select("dk")
+    both = lambda df: df.where("doc is null").unionByName(df.where("doc is not null").join(shared, "dk", "left_semi"))
+    met = own(both(old), "old_").join(own(both(new), "new_"), ["dk", "row_id", "place", "nth"], "full_outer").withColumn("doc", F.coalesce("old_doc", "new_doc"))
     was, now = F.coalesce(F.col("old_status").isin(*BAD), F.lit(False)), F.coalesce(F.col("new_status").isin(*BAD), F.lit(False))
     kind = (
         F.when(F.col("old_row").isNull(), F.when(now, "NEW")).when(F.col("new_row").isNull(), F.when(was, "RESOLVED")).when(F.col("old_row") == F.col("new_row"), None)

@@ -299,12 +299,22 @@ def _two_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         bad = F.col("doc") % n == 0
         return o.where(F.col("doc") % without != 0).select("doc", F.when(bad, "FAIL").otherwise("PASS").alias("status"), F.when(bad, "value_mismatch").alias("category"), F.lit("R-04").alias("row_id"), F.lit("BEG03").alias("source_ref"), F.lit("order.po_number").alias("target"), F.lit(None).cast("int").alias("line_ix"), F.lit("a").alias("expected"), F.when(bad, F.concat(F.lit("b"), F.lit(n))).otherwise("a").alias("actual"))
 
-    return run(10, 97), run(15, 89)
+    files = lambda n, step: o.where((F.col("doc") % 50 == 0) & (F.col("doc") % step != 0)).select(  # noqa: E731  findings of files have no doc
+        F.lit(None).cast("long").alias("doc"), F.lit("FAIL").alias("status"), F.lit("control").alias("category"), F.lit(None).cast("string").alias("row_id"), F.concat(F.lit("(envelope) iea_missing F"), "doc").alias("source_ref"),
+        F.lit(None).cast("string").alias("target"), F.lit(None).cast("int").alias("line_ix"), F.lit("IEA").alias("expected"), F.when(F.col("doc") % n == 0, "x").alias("actual"),
+    )
+    return run(10, 97).unionByName(files(250, 100)), run(15, 89).unionByName(files(350, 10**9 + 7))
 
 
 def regression_diff(spark, sf_dir):
     old, new = _two_runs(spark, sf_dir)
-    return history.diff(old, new).select("doc", "kind", "old_status", "new_status", "regression")
+    return history.diff(old, new).select("doc", F.coalesce("place", F.lit("-")).alias("place"), "kind", "old_status", "new_status", "regression")
+
+
+def same_run(spark, sf_dir):
+    """A run against itself has no change, whatever its findings."""
+    old, new = _two_runs(spark, sf_dir)
+    return history.diff(old, old).unionByName(history.diff(new, new)).agg(F.count("*").alias("n"))
 
 
 def docs_added_removed(spark, sf_dir):
@@ -568,12 +578,32 @@ def mixed_sets(spark, sf_dir):
     return x12.mixed_sets(_files(spark, sf_dir, lambda text, n: F.regexp_replace(text, r"ST\*850\*(\d*0)~", "ST*855*$1~")), "850")
 
 
+def _delimited_files(spark, sf_dir) -> DataFrame:
+    """Interchanges with other delimiters and line breaks, by file number; n."""
+    n = F.substring("file_id", 2, 20).cast("long")
+    text = F.when(n % 4 == 1, F.translate("text", "*~", "|'")).when(n % 4 == 2, F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))).when(n % 4 == 3, F.translate("text", "*~\n", "^!")).otherwise(F.col("text"))
+    return derived.interchange_text(spark, sf_dir).select("file_id", n.alias("n"), text.alias("text"))
+
+
 def scrub_round_trip(spark, sf_dir):
-    """Text put together again from its segments is the text, but for line breaks."""
-    files = derived.interchange_text(spark, sf_dir)
-    again = scrub.reassemble(x12.tokenize(files)).withColumnRenamed("text", "again")
-    bare = lambda c: F.regexp_replace(F.replace(c, F.lit("\n"), F.lit("")), "~$", "")
-    return files.join(again, "file_id").select("file_id", (bare("text") == bare("again")).alias("same"))
+    """Masked text against the text, byte for byte: lengths, a digest of what no mask
+    may touch, and how many elements changed."""
+    files = _delimited_files(spark, sf_dir)
+    done = scrub.scrub_text(files.select("file_id", "text"), [scrub.Mask("N1", 2), scrub.Mask("REF", 2, "pseudonymize", when=(1, ("IA",)))], "salt")
+    met = files.join(done.withColumnRenamed("text", "new"), "file_id")
+    rest = lambda c: F.sha2(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(^ISA(?:.[^|*^]*){5}.)[^|*^]{15}(.ZZ.)[^|*^]{15}", "$1#$2#"), r"(GS.PO.)[^|*^]*(.)[^|*^]*", "$1#$2#"), r"(N1.(?:ST|BT).)[^|*^~'!]*", "$1#"), r"(REF.IA.)[^|*^~'!]*", "$1#").cast("binary"), 256)
+    return met.select("file_id", (F.octet_length("text") == F.octet_length("new")).alias("same_length"), (rest("text") == rest("new")).alias("same_rest"), (F.col("text") == F.col("new")).alias("unmasked"), F.coalesce(F.col("new").contains("SENDER"), F.lit(True)).alias("names_sender"))
+
+
+def line_surplus(spark, sf_dir):
+    """Outputs with one line more than their transaction (each 29th, unless it lost
+    one): what the line holds is a wrong count, what it lacks is nothing."""
+    o = derived.orders(spark, sf_dir)
+    short = o.withColumn("lines", F.when(F.col("o_orderkey") % 29 == 0, F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0)))).otherwise(F.col("lines")))
+    placed = structure.place(derived.transaction_segments(spark, sf_dir, short), D850)
+    docs = derived.output_documents(spark, sf_dir, o).select("doc", F.try_parse_json("json").alias("v"))
+    rows = line_findings(placed, docs, PURCHASE_ORDER, D850).where("source_ref like '%(absent)'")
+    return rows.select("doc", "row_id", "line_ix", "status", "category", "target")
 
 
 def xml_fold(spark, sf_dir):
@@ -756,8 +786,11 @@ UNION ALL SELECT 'missing_output', (coalesce(sum(lost), 0) + (SELECT count(*) FR
 UNION ALL SELECT 'count_mismatch', (count(*) FILTER (k % 7 = 0 AND lines > 0) + count(*) FILTER (k % 31 = 0))::BIGINT FROM o UNION ALL SELECT 'unmapped_target', count(*) FROM o WHERE k % 41 = 0
 UNION ALL SELECT 'unmapped_source', (count(*) + count(*) FILTER (k % 43 = 0) + count(*) FILTER (k % 3 = 0))::BIGINT FROM o UNION ALL SELECT 'control', ((SELECT n FROM files) + (SELECT count(*) FROM orders WHERE o_orderkey % 13 = 0))::BIGINT) WHERE n > 0""",
     regression_diff: """WITH k AS (SELECT o_orderkey AS doc FROM orders), s AS (SELECT doc, CASE WHEN doc % 10 = 0 THEN 'FAIL' ELSE 'PASS' END AS a, CASE WHEN doc % 15 = 0 THEN 'FAIL' ELSE 'PASS' END AS b FROM k WHERE doc % 97 <> 0 AND doc % 89 <> 0)
-SELECT doc, CASE WHEN a = 'FAIL' AND b = 'PASS' THEN 'RESOLVED' ELSE 'CHANGED' END AS kind, a AS old_status, b AS new_status, a <> 'FAIL' AND b = 'FAIL' AS regression FROM s WHERE a = 'FAIL' OR b = 'FAIL'
-UNION ALL SELECT doc, 'DOC REMOVED', NULL, NULL, true FROM k WHERE doc % 97 <> 0 AND doc % 89 = 0 UNION ALL SELECT doc, 'DOC ADDED', NULL, NULL, false FROM k WHERE doc % 97 = 0 AND doc % 89 <> 0""",
+SELECT doc, 'order.po_number' AS place, CASE WHEN a = 'FAIL' AND b = 'PASS' THEN 'RESOLVED' ELSE 'CHANGED' END AS kind, a AS old_status, b AS new_status, a <> 'FAIL' AND b = 'FAIL' AS regression FROM s WHERE a = 'FAIL' OR b = 'FAIL'
+UNION ALL SELECT doc, '-', 'DOC REMOVED', NULL, NULL, true FROM k WHERE doc % 97 <> 0 AND doc % 89 = 0 UNION ALL SELECT doc, '-', 'DOC ADDED', NULL, NULL, false FROM k WHERE doc % 97 = 0 AND doc % 89 <> 0
+UNION ALL SELECT NULL, '(envelope) iea_missing F' || doc, 'NEW', NULL, 'FAIL', true FROM k WHERE doc % 100 = 0 AND doc <> 0
+UNION ALL SELECT NULL, '(envelope) iea_missing F' || doc, 'CHANGED', 'FAIL', 'FAIL', false FROM k WHERE doc % 50 = 0 AND doc % 100 <> 0 AND (doc % 250 = 0) <> (doc % 350 = 0)""",
+    same_run: "SELECT 0::BIGINT AS n FROM orders LIMIT 1",
     docs_added_removed: "SELECT 'DOC REMOVED' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 UNION ALL SELECT 'DOC ADDED', count(*) FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0",
     trend_pass_rate: """WITH r AS (SELECT o_orderkey AS k, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 200) WHERE o_orderkey % 3 <> 0)
 SELECT spec_file, count(*) AS total, count(*) FILTER (result = 'PASS') AS passed, round(avg(CASE WHEN result = 'PASS' THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, max_by(result, k) AS latest, count(*) AS series_length FROM r GROUP BY spec_file""",
@@ -796,7 +829,10 @@ SELECT 'base' AS origin, segment, count(*) AS n FROM b GROUP BY 2 UNION ALL SELE
     split_issues: _TEXT + """, g AS (SELECT f, count(*) AS docs FROM n GROUP BY f)
 SELECT 'F' || f AS file_id, 'nested_st' AS issue, docs AS n FROM g WHERE f % 13 = 0 UNION ALL SELECT 'F' || f, 'orphan_se', 1 FROM g WHERE f % 11 = 0 UNION ALL SELECT 'F' || f, 'unknown_set', docs FROM g WHERE f % 17 = 0 AND f % 13 <> 0""",
     mixed_sets: "SELECT DISTINCT 'F' || (o_orderkey // 20) AS file_id, '855' AS others FROM orders WHERE o_orderkey % 10 = 0",
-    scrub_round_trip: "SELECT DISTINCT 'F' || (o_orderkey // 20) AS file_id, true AS same FROM orders",
+    scrub_round_trip: "SELECT DISTINCT 'F' || (o_orderkey // 20) AS file_id, true AS same_length, true AS same_rest, false AS unmasked, false AS names_sender FROM orders",
+    line_surplus: _BASE + """SELECT doc, row_id, line_ix, 'FAIL' AS status, 'count_mismatch' AS category, 'lines[' || line_ix || '].' || field AS target FROM (
+  SELECT l.k AS doc, unnest(['R-20', 'R-21', 'R-22', 'R-23', 'R-24', 'R-25']) AS row_id, unnest(['line_no', 'qty', 'uom', 'price', 'part', 'text']) AS field, ix AS line_ix, part
+  FROM l JOIN o USING (k) WHERE l.k % 29 = 0 AND l.k % 7 <> 0 AND ix = lines - 1) WHERE row_id <> 'R-24' OR part % 5 <> 0""",
     xml_fold: f"SELECT * FROM ({_LAYOUT.format(po='po', count='001')}) WHERE file_id::BIGINT % 9 <> 0",
     xml_guard: "SELECT c_custkey, c_custkey % 4 <> 3 AS refused FROM customer",
     format_detection: "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'xml' WHEN 2 THEN 'control' ELSE 'flat' END AS format FROM customer",
