@@ -65,7 +65,7 @@ def import_lookups(spark, sf_dir):
     return grids.lookup_rows(rows.select(F.col("n_regionkey").cast("string").alias("file_id"), "row_ix", "cells"))
 
 
-def _guide(spark: SparkSession, sf_dir: str) -> guides.Guide:
+def _tabular_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guides of 25 parts each: an index page, and a page with a segment block a part.
     Lines of half the pages are running heads, so texts name their part."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", F.expr("p_partkey div 25").alias("f"))
@@ -82,11 +82,50 @@ def _guide(spark: SparkSession, sf_dir: str) -> guides.Guide:
     files = parts.groupBy("f").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), page.alias("page"), F.when(k % 5 != 0, row).alias("row")))).alias("p"))
     join = lambda name, by: F.array_join(F.transform("p", lambda x: x[name]), by)
     text = F.concat(F.lit("Guide of a partner\nHeading:\n"), join("row", "\n"), F.lit("\nPage 1"), join("page", ""))
-    return guides.Guide(guides.guide_lines(files.select(F.col("f").cast("string").alias("file_id"), text.alias("text"))))
+    return files.select(F.col("f").cast("string").alias("file_id"), text.alias("text"))
 
 
-def guide_templated(spark, sf_dir):
-    """Templated guides of 25 parts each: rules, with boxes apart from their names."""
+def _guide(spark: SparkSession, sf_dir: str) -> guides.Guide:
+    return guides.Guide(guides.guide_lines(_tabular_files(spark, sf_dir)))
+
+
+def _terse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terse guides of 25 parts each: index rows of segments, and a page for each."""
+    k, seg = F.col("p_partkey"), F.concat(F.lit("Q"), 10 + F.col("p_partkey") % 90)
+    usage = F.when(k % 2 == 0, "M").when(k % 3 == 0, "C").otherwise("O")
+    row = F.concat(seg, F.lit(" Name of it "), usage, F.lit(" >1"), F.when(k % 4 == 0, " N1 / 3").otherwise(""))
+    page = F.concat_ws(
+        "\n", F.concat(F.lit("\fSegment "), seg, F.when(k % 2 == 0, " – ").otherwise(" - "), "p_name"), F.lit("Level Heading"), F.concat(F.lit("Max. Use "), k % 7), F.lit("Purpose to say so\nat length"),
+        F.concat(F.lit("Comments see part "), k), F.when(k % 3 == 0, "and ask"), F.lit("Example: Q1*A*B\nID ELEMENT NAME FEATURES COMMENTS"),
+        F.concat(seg, F.lit("01 Qualifier of it M ID 2/3 "), F.when(k % 5 == 0, F.concat(F.lit('"AA" = First '), k, F.lit(" BB – Second"))).otherwise("as agreed")), F.when(k % 6 == 0, "C1 - third of all\nwhich is prose"),
+        F.concat(seg, F.lit("02 Not this N")), F.when(k % 7 == 0, F.concat(seg, F.lit("09 torn"))), F.when(k % 11 == 0, "REF02 Reference O AN 1/30"), F.lit("DD = no list of codes"), F.concat(F.lit("- "), k, F.lit(" -")),
+    )
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.expr("p_partkey div 25").alias("f")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), page.alias("page"), F.when(k % 13 != 0, row).alias("row")))).alias("p"))
+    join = lambda name, by: F.array_join(F.transform("p", lambda x: x[name]), by)
+    text = F.concat(F.lit("Data Segment Sequence for the Heading Area\nSeg. Req. Max\nID Use\n"), join("row", "\n"), F.lit("\nGLOSSARY M 1\nM = Mandatory"), join("page", ""))
+    return files.select(F.concat(F.lit("t"), "f").alias("file_id"), text.alias("text"))
+
+
+def guide_terse(spark, sf_dir):
+    """Segments of terse guides, joined with their index; elements and codes counted."""
+    g = guides.TerseGuide(guides.guide_lines(_terse_files(spark, sf_dir)))
+    els = g.elements().groupBy("file_id", "block").agg(F.count("elem_ix").alias("n_elements"), F.count_if(F.col("usage") == "not_used").alias("n_not_used"))
+    codes = g.codes().groupBy("file_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws("=", "code", "name").alias("t")))), lambda x: x["t"]), "|").alias("codes"))
+    met = g.segments().join(els, ["file_id", "block"], "left").join(codes, ["file_id", "block"], "left")
+    return met.select("file_id", "seg_id", "name", "max_use", "loop", "usage", "notes", "n_elements", "n_not_used", F.coalesce("codes", F.lit("")).alias("codes"))
+
+
+def guide_families(spark, sf_dir):
+    """Guides of all families, and of none, in one reading: coverage and reviews."""
+    every = _terse_files(spark, sf_dir).unionByName(_templated_files(spark, sf_dir)).unionByName(_tabular_files(spark, sf_dir).withColumn("file_id", F.concat(F.lit("b"), "file_id")))
+    every = every.unionByName(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), "n_nationkey").alias("file_id"), F.concat(F.lit("Segment: "), "n_name").alias("text")))
+    g = guides.AnyGuides(every)
+    seen = g.reviews().groupBy("file_id").agg(F.count("*").alias("n_reviews"))
+    return g.families.join(g.coverage().drop("family"), "file_id", "left").join(seen, "file_id", "left").select("file_id", F.coalesce("family", F.lit("-")).alias("family"), F.coalesce("detected", F.lit(0)).alias("detected"), F.coalesce("confident", F.lit(0)).alias("confident"), F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"))
+
+
+def _templated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templated guides of 25 parts each, with boxes apart from their names."""
     k, seg = F.col("p_partkey"), F.concat(F.lit("Q"), 10 + F.col("p_partkey") % 90)
     box = F.concat(F.lit("Pos: "), k, F.lit(" Max: 1"))
     block = F.concat_ws(
@@ -96,7 +135,12 @@ def guide_templated(spark, sf_dir):
     )
     files = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.expr("p_partkey div 25").alias("f")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), block.alias("t")))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["t"]), "\n")
-    g = guides.TemplatedGuide(guides.guide_lines(files.select(F.col("f").cast("string").alias("file_id"), text.alias("text")), blank=True))
+    return files.select(F.col("f").cast("string").alias("file_id"), text.alias("text"))
+
+
+def guide_templated(spark, sf_dir):
+    """Rules of templated guides."""
+    g = guides.TemplatedGuide(guides.guide_lines(_templated_files(spark, sf_dir), blank=True))
     n = g.codes().groupBy("file_id").agg(F.count("*").alias("n_codes"))
     return g.presence_rules().groupBy("file_id").agg(F.count("*").alias("n_rules"), F.count_if(F.col("loop") == "N1").alias("n_in_n1")).join(n, "file_id").join(g.coverage(), "file_id")
 
@@ -193,6 +237,11 @@ g AS (SELECT DISTINCT draft, 'BEG01' AS ref, unnest(['c1', 'c3', 'c9']) AS code
 a AS (SELECT DISTINCT draft, code_list, code FROM u JOIN g USING (draft, ref))
 """
 
+_TERSE = """
+WITH p AS (SELECT p_partkey AS k, p_name, 't' || (p_partkey // 25) AS file_id, 'Q' || (10 + p_partkey % 90) AS seg FROM part),
+t AS (SELECT *, CASE WHEN k % 13 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'must_use' ELSE 'used' END END AS usage, CASE WHEN k % 13 <> 0 AND k % 4 = 0 THEN 'N1' END AS loop FROM p)
+"""
+
 QUERIES = {
     import_rows: _IMPORT + "SELECT * FROM r",
     import_unmapped: _IMPORT + """SELECT f::VARCHAR AS file_id, unnest(['Notes']) AS header, count(*) AS n FROM p WHERE t = 0 GROUP BY f UNION ALL SELECT f::VARCHAR, 'column_6', count(*) FROM p WHERE t = 0 AND k % 7 = 0 GROUP BY f
@@ -212,6 +261,14 @@ WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.draft = x.draft AND a.code_list = x.co
     guide_templated: """WITH c AS (SELECT (p_partkey // 25)::VARCHAR AS file_id, count(*) FILTER (p_partkey % 2 = 0) + count(*) FILTER (p_partkey % 4 = 0) AS n_rules, count(*) FILTER (p_partkey % 10 = 0) + count(*) FILTER (p_partkey % 20 = 0) AS n_in_n1,
   count(*) AS n_codes, 3 * count(*) + count(*) FILTER (p_partkey % 11 = 0) AS detected, 3 * count(*) AS confident FROM part GROUP BY 1)
 SELECT *, round(confident / detected, 6) AS ratio FROM c WHERE n_rules > 0""",
+    guide_terse: _TERSE + """SELECT file_id, seg AS seg_id, p_name AS name, (k % 7)::VARCHAR AS max_use, coalesce(loop, '') AS loop, coalesce(usage, '') AS usage, 'see part ' || k || CASE WHEN k % 3 = 0 THEN ' and ask' ELSE '' END AS notes,
+  2::BIGINT AS n_elements, 1::BIGINT AS n_not_used, concat_ws('|', CASE WHEN k % 5 = 0 THEN 'AA=First ' || k || '|BB=Second' END, CASE WHEN k % 6 = 0 THEN 'C1=third of all' END) AS codes FROM t""",
+    guide_families: _TERSE + """SELECT file_id, 'terse' AS family, (count(*) + count(*) FILTER (k % 13 <> 0) + sum(2 + (k % 7 = 0)::INT + (k % 11 = 0)::INT))::BIGINT AS detected, (count(*) + count(*) FILTER (k % 13 <> 0) + 2 * count(*))::BIGINT AS confident,
+  (count(*) FILTER (k % 7 = 0) + count(*) FILTER (k % 11 = 0) + count(*) FILTER (k % 13 = 0))::BIGINT AS n_reviews FROM t GROUP BY 1
+UNION ALL SELECT (p_partkey // 25)::VARCHAR, 'templated', 3 * count(*) + count(*) FILTER (p_partkey % 11 = 0), 3 * count(*), count(*) FILTER (p_partkey % 11 = 0) FROM part GROUP BY 1
+UNION ALL SELECT 'b' || (p_partkey // 25), 'tabular', count(*) + (sum((p_partkey % 13 <> 0)::INT * (3 + (p_partkey % 11 = 0)::INT + (p_partkey % 17 = 0)::INT)))::BIGINT, sum((p_partkey % 13 <> 0)::INT * (3 + (p_partkey % 7 <> 0)::INT))::BIGINT,
+  (count(*) FILTER (p_partkey % 13 = 0) + count(*) FILTER (p_partkey % 13 <> 0 AND p_partkey % 11 = 0) + count(*) FILTER (p_partkey % 13 <> 0 AND p_partkey % 17 = 0) + count(*) FILTER (p_partkey % 13 <> 0 AND p_partkey % 7 = 0))::BIGINT FROM part GROUP BY 1
+UNION ALL SELECT 'n' || n_nationkey, '-', 0, 0, 1 FROM nation""",
     guide_segments: _GUIDE + "SELECT file_id, seg AS seg_id, p_name AS name, pos, loop, usage, 'read this in full ' || k AS notes FROM b",
     guide_elements: _GUIDE + """SELECT file_id, seg AS seg_id, seg || '01' AS ref, 1 AS elem_ix, 'ID' AS type, 'must_use' AS usage FROM b
 UNION ALL SELECT file_id, seg, seg || '02', 2, 'AN', CASE WHEN k % 4 = 0 THEN 'must_use' ELSE 'used' END FROM b UNION ALL SELECT file_id, seg, 'REF02', -1, 'AN', 'must_use' FROM b WHERE k % 17 = 0""",

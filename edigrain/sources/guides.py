@@ -46,6 +46,24 @@ TEMPLATE = {
     "element": r"^([A-Z][A-Z0-9]{1,2}[0-9]{2})\s+([0-9]+)\s+(.+?)\s+([MOCX])\s+([A-Z][A-Z0-9]{0,2})\s+([0-9]+)/([0-9]+)\s+(Must use|Used|Not used|Not Used)$",
     "torn": r"^[A-Z][A-Z0-9]{1,2}[0-9]{2}\b",
 }
+# The line forms of terse guides, in the order in which they are tried.
+TERSE = {
+    "segment": r"^Segment\s+([A-Z][A-Z0-9]{1,2})\s*[–—-]\s*(.+?)\s*$",
+    "level": r"^Level\s+(Heading|Detail|Summary)\s*$",
+    "max": r"^Max\.?\s*Use\s+(\S+)",
+    "table": r"^ID\s+ELEMENT\s+NAME\s+FEATURES\s+COMMENTS\s*$",
+    "comments": r"^Comments\b\s*(.*)$",
+    "standard": r"^(Purpose|Syntax Notes|Examples?)\b",
+    "element": r"^([A-Z][A-Z0-9]{1,2}[0-9]{2})\s+(.+?)\s+([MONCX])(?:\s+([A-Z][A-Z0-9]{0,2})\s+([0-9]+)/([0-9]+))?(?:\s+(.*\S))?\s*$",
+    "torn": r"^[A-Z][A-Z0-9]{1,2}[0-9]{2}\b",
+}
+TERSE_AREA = r"^Data Segment Sequence for\b"
+TERSE_INDEX_HEAD = r"^(Seg\.|ID\s+Use|GLOSSARY\b)"
+TERSE_INDEX_ROW = r"^([A-Z][A-Z0-9]{1,2})\s+(?:.*?\s)??([MOC])\s+>?[0-9]+(?:\s+([A-Z][A-Z0-9]{0,2})(?=\s|$).*|\s.*)?$"
+TERSE_FOOTER = r"(^-\s*[0-9]+\s*-\s*$|[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}\s*$|^Page [0-9]+)"
+TERSE_CODE = r"[“”\"]?([A-Z0-9]{1,4})[“”\"]?\s*[=–—-]\s*(.+?)(?=\s+[“”\"]?[A-Z0-9]{1,4}[“”\"]?\s*[=–—-]\s|$)"
+TERSE_CODE_LINE = r"^[“”\"]?[A-Z0-9]{1,4}[“”\"]?\s*[=–—-]\s"
+TERSE_WORDS = {"M": "must_use", "O": "used", "C": "used", "X": "used", "N": "not_used"}
 # Further line forms, words and segments of these guides.
 BOX_NAME = r"^([A-Z][A-Z0-9]{1,2})\s+([A-Z(].*)$"
 OPTION_WORDS = {"must use": "must_use", "used": "used", "not used": "not_used"}
@@ -75,15 +93,15 @@ def _structural() -> Column:
     return reduce(lambda a, b: a | b, (F.col("text").rlike(p) for p in forms))
 
 
-def strip_furniture(lines: DataFrame) -> DataFrame:
+def strip_furniture(lines: DataFrame, structural: Column | None = None, footer: str = FOOTER) -> DataFrame:
     """Lines without running heads (the same text on half the pages and on three,
     in guides of four pages or more, unless it is structure) and without page feet
     (a page's last line that is a date or a page number)."""
     size = lines.groupBy("file_id").agg(F.max("page").alias("pages"))
     seen = lines.groupBy("file_id", "text").agg(F.count_distinct("page").alias("n")).join(size, "file_id")
-    heads = seen.where((F.col("pages") >= 4) & (F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2))) & ~_structural()).select("file_id", "text")
+    heads = seen.where((F.col("pages") >= 4) & (F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2))) & ~(_structural() if structural is None else structural)).select("file_id", "text")
     last = F.max("line").over(Window.partitionBy("file_id", "page"))
-    body = lines.withColumn("foot", (F.col("line") == last) & F.col("text").rlike(FOOTER)).where(~F.col("foot")).drop("foot")
+    body = lines.withColumn("foot", (F.col("line") == last) & F.col("text").rlike(footer)).where(~F.col("foot")).drop("foot")
     return body.join(heads, ["file_id", "text"], "left_anti").select(*lines.columns)
 
 
@@ -124,6 +142,8 @@ def position(ref: str, seg_id: str) -> Column:
 class Guide:
     """What marked lines say. The marks are shared: each part reads them again."""
 
+    #: Reviews of lines that are no facts, or facts that are read all the same.
+    NO_DOUBT = ("code_of_no_list", "code_of_no_element", "text_before_loop", "not_in_index", "torn_codes")
     FACTS = "block > 0 and (kind = 'segment' or (seg_id is not null and kind in ('usage', 'element', 'torn')))"
 
     def __init__(self, lines: DataFrame):
@@ -177,7 +197,7 @@ class Guide:
     def coverage(self) -> DataFrame:
         """file_id, detected, confident and the ratio of facts that were read."""
         facts = self.marked.where(self.FACTS).select("file_id", "seq")
-        doubt = self.reviews().where("what not in ('code_of_no_list', 'code_of_no_element', 'text_before_loop')").select("file_id", "seq", F.lit(1).alias("bad"))
+        doubt = self.reviews().where(~F.col("what").isin(*self.NO_DOUBT)).select("file_id", "seq", F.lit(1).alias("bad"))
         got = facts.join(doubt, ["file_id", "seq"], "left").groupBy("file_id").agg(F.count("*").alias("detected"), F.count_if(F.col("bad").isNull()).alias("confident"))
         return got.withColumn("ratio", F.round(F.col("confident") / F.col("detected"), 6))
 
@@ -310,11 +330,129 @@ class TemplatedGuide(Guide):
         return self.segments().limit(0).select("file_id", "seg_id", "pos", "usage")
 
 
+def read_terse(lines: DataFrame) -> DataFrame:
+    """Lines with what they are, as of `read_tabular`. A block opens at a segment's
+    headline; before the first, lines are rows of the index or nothing."""
+    own = Window.partitionBy("file_id").orderBy("page", "line")
+    rows = lines.withColumn("seq", F.row_number().over(own))
+    kind = reduce(lambda c, kp: c.when(F.col("text").rlike(kp[1]), kp[0]), TERSE.items(), F.when(F.lit(False), "")).otherwise("other")
+    upto = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("kind", kind).withColumn("block", F.sum((F.col("kind") == "segment").cast("int")).over(upto).cast("int"))
+    listed = F.col("text").rlike(TERSE_INDEX_ROW) & ~F.col("text").rlike(TERSE_AREA) & ~F.col("text").rlike(TERSE_INDEX_HEAD)
+    rows = rows.withColumn("kind", F.when(F.col("block") > 0, F.col("kind")).when(listed, "index").otherwise("front"))
+    block = Window.partitionBy("file_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = F.col("kind").isin("segment", "level", "max", "table", "comments", "standard")
+    rows = rows.withColumn("in_table", F.max(F.col("kind") == "table").over(block)).withColumn("noting", F.last(F.when(keyed, F.col("kind") == "comments"), True).over(block))
+    rows = rows.withColumn("kind", F.when(keyed | F.col("in_table") | (F.col("block") == 0), F.col("kind")).when(F.col("noting"), "note").otherwise("prose"))
+    rows = rows.withColumn("row", F.sum(F.col("kind").isin("element", "torn").cast("int")).over(block).cast("int"))
+    part = lambda i: F.regexp_extract("text", TERSE["element"], i)
+    open_ = Window.partitionBy("file_id", "block", "row").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("el", F.max(F.when(F.col("kind") == "element", F.struct(part(1).alias("ref"), part(4).alias("type")))).over(open_))
+    head = F.max(F.when(F.col("kind") == "segment", F.regexp_extract("text", TERSE["segment"], 1))).over(block)
+    return rows.select("file_id", "seq", "page", "text", "kind", "block", head.alias("seg_id"), "row", F.col("el.ref").alias("ref"), F.col("el.type").alias("type"))
+
+
+class TerseGuide(Guide):
+    """Terse guides: two regions joined by segment id. The index before the first
+    block gives usage and loop, its last row of a segment winning; blocks give
+    elements, and codes out of the running text beside and below them."""
+
+    FACTS = "kind = 'index' or (block > 0 and kind in ('segment', 'element', 'torn'))"
+
+    def __init__(self, lines: DataFrame):
+        structural = reduce(lambda a, b: a | b, (F.col("text").rlike(p) for p in [*(p for k, p in TERSE.items() if k != "torn"), TERSE_AREA, TERSE_INDEX_HEAD]))
+        self.marked = share(read_terse(strip_furniture(lines, structural, TERSE_FOOTER)))
+        self.blocks = self.marked.where("block > 0")
+        self.words = F.create_map(*(F.lit(x) for kv in TERSE_WORDS.items() for x in kv))
+
+    def index(self) -> DataFrame:
+        part = lambda i: F.regexp_extract("text", TERSE_INDEX_ROW, i)
+        loop = F.nullif(part(3), F.lit(""))
+        rows = self.marked.where("kind = 'index'").select("file_id", "seq", part(1).alias("seg_id"), F.try_element_at(self.words, part(2)).alias("usage"), loop.alias("loop"))
+        return rows.groupBy("file_id", "seg_id").agg(F.max_by("usage", "seq").alias("usage"), F.max_by("loop", F.when(F.col("loop").isNotNull(), F.col("seq"))).alias("loop")).withColumn("pos", F.lit(""))
+
+    def _heads(self) -> DataFrame:
+        last = lambda kind, p, i: F.coalesce(F.max_by(F.regexp_extract("text", p, i), F.when(F.col("kind") == kind, F.col("seq"))), F.lit(""))
+        note = F.when(F.col("kind") == "comments", F.trim(F.regexp_extract("text", TERSE["comments"], 1))).when(F.col("kind") == "note", F.col("text"))
+        note = F.when((note != "") & ~F.startswith(F.lower(note), F.lit("example")) & ~note.rlike(RAW_SAMPLE), note)
+        return self.blocks.groupBy("file_id", "block", "seg_id").agg(
+            F.min("seq").alias("seq"), last("segment", TERSE["segment"], 2).alias("name"), F.lit("").alias("pos"), last("max", TERSE["max"], 1).alias("max_use"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(note.isNotNull(), F.struct("seq", note.alias("t"))))), lambda x: x["t"]), " ").alias("notes"),
+        )
+
+    def segments(self) -> DataFrame:
+        met = self._heads().join(self.index().drop("pos"), ["file_id", "seg_id"], "left")
+        return met.select("file_id", "block", "seg_id", "name", "pos", "max_use", F.coalesce("loop", F.lit("")).alias("loop"), F.coalesce("usage", F.lit("")).alias("usage"), "notes")
+
+    def elements(self) -> DataFrame:
+        part = lambda i: F.regexp_extract("text", TERSE["element"], i)
+        rows = self.blocks.where("kind = 'element'")
+        return rows.select("file_id", "block", "row", "seg_id", "ref", position("ref", "seg_id").alias("elem_ix"), F.trim(part(2)).alias("name"), "type", part(5).try_cast("int").alias("shortest"), part(6).try_cast("int").alias("longest"), F.try_element_at(self.words, part(3)).alias("usage"))
+
+    def _code_lines(self) -> DataFrame:
+        tail = F.when(F.col("kind") == "element", F.regexp_extract("text", TERSE["element"], 7)).when(F.col("kind") == "other", F.col("text"))
+        rows = self.blocks.where("type = 'ID'").withColumn("said", tail).where(F.col("said").rlike(TERSE_CODE_LINE))
+        every = lambda i: F.regexp_extract_all("said", F.lit(TERSE_CODE), F.lit(i))
+        return rows.withColumn("c", F.arrays_zip(every(1).alias("code"), every(2).alias("name")))
+
+    def codes(self) -> DataFrame:
+        rows = self._code_lines().select("file_id", "block", "row", "ref", "seq", F.posexplode("c").alias("nth", "x"))
+        # several codes of a line keep their order
+        return rows.select("file_id", "block", "row", "ref", (F.col("seq") + F.col("nth") / 1000.0).alias("seq"), F.col("x.code").alias("code"), F.trim("x.name").alias("name"))
+
+    def reviews(self) -> DataFrame:
+        what = F.when(F.col("kind") == "torn", "torn_element").when((F.col("kind") == "element") & position("ref", "seg_id").isNull(), "foreign_element")
+        rows = self.blocks.withColumn("what", what).where("what is not null").select("file_id", "seq", "page", "what", "text")
+        torn = self._code_lines().where((F.size("c") == 0) & (F.col("kind") == "other")).select("file_id", "seq", "page", F.lit("torn_codes").alias("what"), "text")
+        lone = self.blocks.where("kind = 'segment'").join(self.index(), ["file_id", "seg_id"], "left_anti").select("file_id", "seq", "page", F.lit("not_in_index").alias("what"), "text")
+        return rows.unionByName(torn).unionByName(lone)
+
+
+GUIDES = {"tabular": Guide, "templated": TemplatedGuide, "terse": TerseGuide}
+
+
 def families(lines: DataFrame) -> DataFrame:
-    """file_id, family: templated or tabular by the marks of each; null where no
-    family, or more than one, has all of its marks."""
+    """file_id, family: templated, tabular or terse by the marks of each; null where
+    no family, or more than one, has all of its marks."""
     has = lambda *forms: F.max(reduce(lambda a, b: a | b, (F.col("text").rlike(p) for p in forms)))
-    templated = has(TEMPLATE["header"], TEMPLATE["box"]) & has(TEMPLATE["summary"]) & has(TEMPLATE["element"])
-    tabular = has(FORMS["table"]) & has(FORMS["segment"]) & has(FORMS["usage"]) & has(FORMS["element"])
-    got = lines.groupBy("file_id").agg(templated.alias("a"), tabular.alias("b"))
-    return got.select("file_id", F.when(F.col("a") & ~F.col("b"), "templated").when(F.col("b") & ~F.col("a"), "tabular").alias("family"))
+    marks = {
+        "templated": has(TEMPLATE["header"], TEMPLATE["box"]) & has(TEMPLATE["summary"]) & has(TEMPLATE["element"]), "tabular": has(FORMS["table"]) & has(FORMS["segment"]) & has(FORMS["usage"]) & has(FORMS["element"]),
+        "terse": has(TERSE_AREA) & has(TERSE["segment"]) & has(TERSE["table"]),
+    }
+    got = lines.groupBy("file_id").agg(*(m.alias(k) for k, m in marks.items()))
+    held = F.filter(F.array(*(F.when(F.col(k), k) for k in marks)), lambda k: k.isNotNull())
+    return got.select("file_id", F.when(F.size(held) == 1, F.get(held, 0)).alias("family"))
+
+
+class AnyGuides:
+    """Guides of all families at once: each is read by its own family's grammar, and
+    a guide of no family, or of several, is a review."""
+
+    def __init__(self, files: DataFrame):
+        lines = share(guide_lines(files, blank=True))
+        self.families = share(families(lines))
+        of = lambda k: lines.join(self.families.where(F.col("family") == k).select("file_id"), "file_id", "left_semi")
+        self.parts = {k: make(of(k) if k == "templated" else of(k).where("text != ''")) for k, make in GUIDES.items()}
+
+    def _all(self, what: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, (getattr(g, what)().withColumn("family", F.lit(k)) for k, g in self.parts.items()))
+
+    def segments(self) -> DataFrame:
+        return self._all("segments")
+
+    def elements(self) -> DataFrame:
+        return self._all("elements")
+
+    def codes(self) -> DataFrame:
+        return self._all("codes")
+
+    def presence_rules(self) -> DataFrame:
+        return self._all("presence_rules")
+
+    def coverage(self) -> DataFrame:
+        return self._all("coverage")
+
+    def reviews(self) -> DataFrame:
+        none = F.lit(None).cast("int")
+        lost = self.families.where("family is null").select("file_id", none.alias("seq"), none.alias("page"), F.lit("no_family").alias("what"), F.lit(None).cast("string").alias("text"), "family")
+        return self._all("reviews").unionByName(lost)

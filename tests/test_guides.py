@@ -171,3 +171,58 @@ def test_families(spark):
     rows = [("a", TEMPLATED), ("b", INDEX + BEG), ("c", TEMPLATED + "\n" + BEG), ("d", "prose")]
     got = {r.file_id: r.family for r in guides.families(guides.guide_lines(spark.createDataFrame(rows, "file_id string, text string"))).collect()}
     assert got == {"a": "templated", "b": "tabular", "c": None, "d": None}
+
+
+TERSE = """Data Segment Sequence for the Heading Area
+Seg. Req. Max
+ID Use Name
+BEG Beginning Segment M 1
+N1 Name O 1 N1 / 3
+N1 Name again M >1
+PO1 Baseline C 100000 PO1
+GLOSSARY M 1
+\fSegment BEG – Beginning Segment
+Level Heading
+Max Use 1
+Comments
+BEG*00*SA*123
+Send one only.
+Example: none
+not this
+ID ELEMENT NAME FEATURES COMMENTS
+BEG01 Purpose Code M ID 2/2 00 = Original
+BEG02 Type Code M ID 2/2
+“SA” = Stand alone “NE” – New order
+some prose
+BEG03 Number
+AB = no list is open
+- 2 -
+\fSegment N1 - Name
+Max. Use 5
+ID ELEMENT NAME FEATURES COMMENTS
+N101 Entity Identifier Code M ID 2/3
+BY = Buyer
+N102 Name N
+XX01 Odd O AN 1/9
+\fSegment ZZ - Not listed
+Purpose none
+ID ELEMENT NAME FEATURES COMMENTS"""
+
+
+def test_terse_guides(spark):
+    files = spark.createDataFrame([("a", TERSE), ("b", TERSE.replace("N1 Name again M >1\n", "")), ("none", "Segment: x")], "file_id string, text string")
+    g = guides.TerseGuide(guides.guide_lines(files.where("file_id != 'none'")))
+    segs = {(r.file_id, r.seg_id): (r.name, r.max_use, r.loop, r.usage, r.notes) for r in g.segments().collect()}
+    assert segs["a", "BEG"] == ("Beginning Segment", "1", "", "must_use", "Send one only.") and segs["a", "N1"] == ("Name", "5", "N1", "must_use", "") and segs["b", "N1"][3] == "used" and segs["a", "ZZ"] == ("Not listed", "", "", "", "")
+    codes = [(r.ref, r.code, r.name) for r in g.codes().where("file_id = 'a'").orderBy("block", "row", "seq").collect()]
+    assert codes == [("BEG01", "00", "Original"), ("BEG02", "SA", "Stand alone"), ("BEG02", "NE", "New order"), ("N101", "BY", "Buyer")]
+    els = {r.ref: (r.elem_ix, r.usage, r.type, r.shortest) for r in g.elements().where("file_id = 'a'").collect()}
+    assert els == {"BEG01": (1, "must_use", "ID", 2), "BEG02": (2, "must_use", "ID", 2), "N101": (1, "must_use", "ID", 2), "N102": (2, "not_used", "", None), "XX01": (None, "used", "AN", 1)}
+    assert sorted((r.what, r.text) for r in g.reviews().where("file_id = 'a'").collect()) == [("foreign_element", "XX01 Odd O AN 1/9"), ("not_in_index", "Segment ZZ - Not listed"), ("torn_element", "BEG03 Number")]
+    rules = {(r.segment, r.elem_ix, tuple(r.codes)) for r in g.presence_rules().where("file_id = 'a'").collect()}
+    assert rules == {("BEG", 0, ()), ("BEG", 1, ()), ("BEG", 2, ()), ("N1", 0, ("BY",))}
+    every = guides.AnyGuides(files)
+    assert {r.file_id: r.family for r in every.families.collect()} == {"a": "terse", "b": "terse", "none": None}
+    assert every.segments().count() == 6 and [r.what for r in every.reviews().where("file_id = 'none'").collect()] == ["no_family"]
+    cover = {r.file_id: (r.detected, r.confident) for r in every.coverage().collect()}
+    assert cover["a"] == (13, 11)
