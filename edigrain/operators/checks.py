@@ -143,6 +143,14 @@ def reconcile(placed: DataFrame, definition: Definition) -> DataFrame:
     return wide.select("doc", F.explode(F.array(*(one(*p) for p in plans))).alias("r")).where("r.broken").select("doc", "r.rule", "r.status", "r.left_value", "r.right_value")
 
 
+def reconcile_sets(placed: DataFrame, definitions: dict[str, Definition]) -> DataFrame:
+    """doc, set_code and what `reconcile` finds, for placed rows of many sets: each
+    set is reconciled by its own rules. Placed rows should be shared: each set with
+    rules reads its own."""
+    out = [reconcile(placed.where(F.col("set_code") == d.set_code), d).withColumn("set_code", F.lit(d.set_code)) for d in definitions.values() if d.recon]
+    return reduce(DataFrame.unionByName, out)
+
+
 def line_counts(placed: DataFrame, docs: DataFrame, definition: Definition, list_path: str = "lines") -> DataFrame:
     """doc, source_lines, output_lines where they differ."""
     own = placed.groupBy("doc").agg(F.count_if(opens(definition.line_loop, definition)).alias("source_lines"))

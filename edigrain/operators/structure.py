@@ -28,37 +28,165 @@ def _any(cols) -> Column:
     return reduce(lambda a, b: a | b, cols, F.lit(False))
 
 
+class _Compiled:
+    """What one definition says of a segment, as columns of literals."""
+
+    def __init__(self, definition: Definition):
+        self.areas = definition.areas
+        self.loops = {x.trigger: x for a in self.areas for x in a.loops}
+        self.children: dict[str, Loop] = {c.trigger: c for x in self.loops.values() for c in x.children}
+
+    def _by_area(self, f) -> Column:
+        return reduce(lambda c, ia: F.when(F.col("area_ix") == ia[0], f(ia[1])).otherwise(c), enumerate(self.areas), F.lit(False))
+
+    def _by_loop(self, f) -> Column:
+        return reduce(lambda c, x: F.when(F.col("run_id") == x.trigger, f(x)).otherwise(c), self.loops.values(), F.lit(False))
+
+    def opener(self) -> Column:
+        return reduce(lambda c, ia: c.when(F.col("seg_id") == ia[1].opener, ia[0]) if ia[1].opener else c, enumerate(self.areas), F.when(F.lit(False), 0))
+
+    def trigger(self) -> Column:
+        return self._by_area(lambda a: _is([x.trigger for x in a.loops]))
+
+    def member(self) -> Column:
+        return self._by_loop(lambda x: _is(x.segments))
+
+    def child(self) -> Column:
+        return self._by_loop(lambda x: _is([c.trigger for c in x.children]))
+
+    def child_member(self) -> Column:
+        return reduce(lambda c, x: F.when(F.col("sub_id") == x.trigger, _is(x.segments)).otherwise(c), self.children.values(), F.lit(False))
+
+    def of_area(self) -> Column:
+        return self._by_area(lambda a: _is(a.segments))
+
+    def leveled(self) -> Column:
+        """The innermost loop is hierarchical."""
+        names = [x.trigger for x in self.loops.values() if x.levels]
+        return F.coalesce(F.col("inner_id").isin(*names), F.lit(False)) if names else F.lit(False)
+
+
+class _Looked:
+    """The same from the column `facts` that the rows bring along."""
+
+    def _in(self, name: str, at: str) -> Column:
+        return F.coalesce(F.array_contains(F.col(f"facts.{name}"), F.col(at)), F.lit(False))
+
+    def opener(self) -> Column:
+        return F.col("facts.opens")
+
+    def trigger(self) -> Column:
+        return self._in("trigger", "area_ix")
+
+    def member(self) -> Column:
+        return self._in("member", "run_id")
+
+    def child(self) -> Column:
+        return self._in("child", "run_id")
+
+    def child_member(self) -> Column:
+        return self._in("child_member", "sub_id")
+
+    def of_area(self) -> Column:
+        return self._in("area", "area_ix")
+
+    def leveled(self) -> Column:
+        return F.coalesce(F.array_contains(F.col("facts.leveled"), F.col("inner_id")), F.lit(False))
+
+
 def place(segments: DataFrame, definition: Definition) -> DataFrame:
     """Adds area_ix, loop_id and run (the seq of the trigger) of the open loop,
     child_id and sub of an open child loop, flat, known, and occ_ix (occurrence
     of the innermost loop in the transaction)."""
-    areas = definition.areas
-    doc = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = segments.where(~F.col("seg_id").isin("ISA", "GS", "ST", "SE", "GE", "IEA"))
-    opener = reduce(lambda c, ia: c.when(F.col("seg_id") == ia[1].opener, ia[0]) if ia[1].opener else c, enumerate(areas), F.when(F.lit(False), 0))
-    rows = rows.withColumn("area_ix", F.coalesce(F.max(opener).over(doc), F.lit(0)))
+    return _walk(segments, _Compiled(definition))
 
-    def by_area(f) -> Column:
-        return reduce(lambda c, ia: F.when(F.col("area_ix") == ia[0], f(ia[1])).otherwise(c), enumerate(areas), F.lit(False))
 
-    rows = rows.withColumn("t0", by_area(lambda a: _is([x.trigger for x in a.loops])))
-    area = Window.partitionBy("doc", "area_ix").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("run", F.max(F.when(F.col("t0"), F.col("seq"))).over(area)).withColumn("run_id", F.last(F.when(F.col("t0"), F.col("seg_id")), True).over(area))
-    loops = {x.trigger: x for a in areas for x in a.loops}
+DEFINITION_ROW = "set_code string, role string, area_ix int, loop string, sub string, seg_id string, code string, repeats int, leveled boolean"
+#: Roles of definition rows: a segment opens an area, belongs to it, opens a loop or
+#: belongs to it, opens a child loop (sub) or belongs to that; line is the loop of lines.
+ROLES = ("opener", "area", "trigger", "member", "child", "child_member", "line")
+
+
+def definition_rows(spark, definitions: dict[str, Definition]) -> DataFrame:
+    """Definitions as rows (DEFINITION_ROW)."""
+    out = []
+    for d in definitions.values():
+        row = lambda role, at, loop=None, sub=None, seg=None, code=None, repeats=None, leveled=None, d=d: out.append((d.set_code, role, at, loop, sub, seg, code, repeats, leveled))
+        for i, a in enumerate(d.areas):
+            if a.opener:
+                row("opener", i, seg=a.opener)
+            for s in a.segments:
+                row("area", i, seg=s)
+            for x in a.loops:
+                row("trigger", i, x.trigger, seg=x.trigger, repeats=x.max_repeats, leveled=bool(x.levels))
+                for s in x.segments:
+                    row("member", i, x.trigger, seg=s)
+                for c in x.children:
+                    row("child", i, x.trigger, c.trigger, c.trigger, repeats=c.max_repeats)
+                    for s in c.segments:
+                        row("child_member", i, x.trigger, c.trigger, s)
+        loop, _, code = d.line_loop.partition("[")
+        row("line", 0, loop, seg=loop, code=code.rstrip("]") or None)
+    return spark.createDataFrame(out, DEFINITION_ROW)
+
+
+def definition_errors(rows: DataFrame) -> DataFrame:
+    """set_code, error, seg_id of definition rows that cannot be meant: unknown_role,
+    no_set, no_segment, no_area, no_loop (of a loop's row), loop_never_opens,
+    no_line_loop and two_line_loops (a set defined twice)."""
+    member = F.col("role").isin("member", "child", "child_member", "trigger", "line")
+    opened = rows.where("role = 'trigger'").select("set_code", "loop").distinct().withColumn("opened", F.lit(True))
+    met = rows.join(opened, ["set_code", "loop"], "left")
+    error = (
+        F.when(F.col("set_code").isNull() | (F.col("set_code") == ""), "no_set").when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), "unknown_role").when(F.col("seg_id").isNull() | (F.col("seg_id") == ""), "no_segment")
+        .when(F.col("area_ix").isNull() | (F.col("area_ix") < 0), "no_area").when(member & F.col("loop").isNull(), "no_loop").when(F.col("role").isin("child", "child_member") & F.col("sub").isNull(), "no_loop")
+        .when(member & F.col("opened").isNull(), "loop_never_opens")
+    )
+    one = met.withColumn("error", error).where("error is not null").select("set_code", "error", "seg_id")
+    lines = rows.groupBy("set_code").agg(F.count_if(F.col("role") == "line").alias("n")).where("n != 1 and set_code is not null")
+    return one.unionByName(lines.select("set_code", F.when(F.col("n") == 0, "no_line_loop").otherwise("two_line_loops").alias("error"), F.lit(None).cast("string").alias("seg_id"))).distinct()
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be sent to all executors if it has `most` rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
 
-    def by_loop(f) -> Column:
-        return reduce(lambda c, x: F.when(F.col("run_id") == x.trigger, f(x)).otherwise(c), loops.values(), F.lit(False))
+def place_by(segments: DataFrame, rows: DataFrame) -> DataFrame:
+    """`place` for documents of many sets at once: segments have a set_code besides,
+    and each set is placed by its definition rows, in one plan. Segments of a set
+    without rows are left out: they are an issue of `split_issues`."""
+    of = lambda role, c: F.array_distinct(F.collect_list(F.when(F.col("role") == role, F.col(c)))).alias(role)
+    leveled = rows.where("role = 'trigger' and leveled").groupBy("set_code").agg(F.collect_set("loop").alias("leveled"))
+    facts = rows.where("role != 'line'").groupBy("set_code", "seg_id").agg(F.min(F.when(F.col("role") == "opener", F.col("area_ix"))).alias("opens"), of("trigger", "area_ix"), of("area", "area_ix"), of("member", "loop"), of("child", "loop"), of("child_member", "sub"))
+    named = F.struct("opens", "trigger", "area", "member", "child", "child_member", "leveled").alias("facts")
+    none = F.array().cast("array<string>")
+    # one row more for each set, for segments that it does not name
+    sets = rows.select("set_code").distinct().join(leveled, "set_code", "left").withColumn("leveled", F.coalesce("leveled", none))
+    facts = facts.join(sets, "set_code").select("set_code", "seg_id", named)
+    known = small(sets, 100_000).withColumnRenamed("leveled", "own_leveled")
+    met = segments.join(known, "set_code").join(small(facts, 100_000), ["set_code", "seg_id"], "left")
+    empty = F.struct(F.lit(None).cast("int").alias("opens"), F.array().cast("array<int>").alias("trigger"), F.array().cast("array<int>").alias("area"), none.alias("member"), none.alias("child"), none.alias("child_member"), F.col("own_leveled").alias("leveled"))
+    met = met.withColumn("facts", F.coalesce("facts", empty)).drop("own_leveled")
+    return _walk(met, _Looked(), "set_code")
 
-    rows = rows.withColumn("mem", by_loop(lambda x: _is(x.segments)))
-    rows = rows.withColumn("t1", F.col("run").isNotNull() & ~F.col("t0") & by_loop(lambda x: _is([c.trigger for c in x.children])))
+
+def _walk(segments: DataFrame, of, *carried: str) -> DataFrame:
+    doc = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = segments.where(~F.col("seg_id").isin("ISA", "GS", "ST", "SE", "GE", "IEA"))
+    rows = rows.withColumn("area_ix", F.coalesce(F.max(of.opener()).over(doc), F.lit(0)))
+    rows = rows.withColumn("t0", of.trigger())
+    area = Window.partitionBy("doc", "area_ix").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("run", F.max(F.when(F.col("t0"), F.col("seq"))).over(area)).withColumn("run_id", F.last(F.when(F.col("t0"), F.col("seg_id")), True).over(area))
+    rows = rows.withColumn("mem", of.member())
+    rows = rows.withColumn("t1", F.col("run").isNotNull() & ~F.col("t0") & of.child())
     run = Window.partitionBy("doc", "area_ix", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("sub", F.max(F.when(F.col("t1"), F.col("seq"))).over(run)).withColumn("sub_id", F.last(F.when(F.col("t1"), F.col("seg_id")), True).over(run))
-    children: dict[str, Loop] = {c.trigger: c for x in loops.values() for c in x.children}
-    cmem = reduce(lambda c, x: F.when(F.col("sub_id") == x.trigger, _is(x.segments)).otherwise(c), children.values(), F.lit(False))
-    rows = rows.withColumn("cmem", F.coalesce(cmem, F.lit(False)))
+    rows = rows.withColumn("cmem", F.coalesce(of.child_member(), F.lit(False)))
     in_sub = Window.partitionBy("doc", "area_ix", "run", "sub").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("popped", F.max(F.col("sub").isNotNull() & F.col("mem") & ~F.col("cmem") & ~F.col("t0") & ~F.col("t1")).over(in_sub))
-    aseg = by_area(lambda a: _is(a.segments))
+    rows = rows.withColumn("aseg", of.of_area())
+    aseg = F.col("aseg")
     rows = rows.withColumn("cleared", F.max(~F.col("t0") & ~F.col("t1") & aseg & ~F.col("mem") & ~(F.col("sub").isNotNull() & ~F.col("popped") & F.col("cmem"))).over(run))
     flat = F.col("run").isNull() | F.col("cleared")
     known = F.col("t0") | F.col("t1") | F.col("mem") | aseg | F.col("cmem")
@@ -72,10 +200,8 @@ def place(segments: DataFrame, definition: Definition) -> DataFrame:
     whole = Window.partitionBy("doc", "area_ix", F.coalesce("sub", "run"))
     trigger = F.min_by(element(1), F.when(opens, F.col("seq"))).over(whole)
     level = F.min_by(element(3), F.when(F.col("t0") & opens, F.col("seq"))).over(Window.partitionBy("doc", "area_ix", "run"))
-    hierarchical = [x.trigger for x in loops.values() if x.levels]
-    qualifier = F.when(F.col("inner_id").isin(*hierarchical), level).otherwise(trigger) if hierarchical else trigger
-    rows = rows.withColumn("qualifier", F.when(~F.col("flat"), qualifier))
-    return rows.select("doc", "seq", "seg_id", "elements", "area_ix", "flat", "known", "loop_id", "run", "child_id", "sub", "inner_id", "occ_ix", "qualifier", opens.alias("is_trigger"))
+    rows = rows.withColumn("qualifier", F.when(~F.col("flat"), F.when(of.leveled(), level).otherwise(trigger)))
+    return rows.select(*carried, "doc", "seq", "seg_id", "elements", "area_ix", "flat", "known", "loop_id", "run", "child_id", "sub", "inner_id", "occ_ix", "qualifier", opens.alias("is_trigger"))
 
 
 def repeat_notes(placed: DataFrame, definition: Definition) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import partner_queries
 from .functions import values
-from .operators import checks, history, outbound, partners, scopes, scrub, structure, validate
+from .operators import checks, history, outbound, partners, ruletable, scopes, scrub, structure, validate
 from .operators.judge import header_findings, line_cells, line_findings
 from .operators.store import share
 from .plans import tables
@@ -249,6 +249,63 @@ RULES = {
 }
 
 
+def _rule_rows(spark, spec, row_ids=None) -> DataFrame:
+    """A spec's rules as rows, without spec_id."""
+    rows = [(spec.set_code, r.row_id, r.source, r.context, r.target, r.kind, r.condition, r.then, r.otherwise, r.default, r.code_list, r.data_type, r.fmt) for r in spec.rules if row_ids is None or r.row_id in row_ids]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ruletable.COLUMNS[1:]))
+
+
+def rules_as_rows(spark, sf_dir):
+    """A spec for each nation, all in one plan: each second one leaves out R-08, and
+    each third one asks for another constant. Orders take their customer's."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.col("n_nationkey").cast("string").alias("spec_id"))
+    rules = _rule_rows(spark, PURCHASE_ORDER, {r for r, *_ in RULES.values()}).crossJoin(n)  # a few rules for each nation
+    rules = rules.where(~((F.col("row_id") == "R-08") & (F.col("n_nationkey") % 2 == 0))).withColumn("default", F.when((F.col("row_id") == "R-06") & (F.col("n_nationkey") % 3 == 0), "PO_OTHER").otherwise(F.col("default")))
+    codes = spark.createDataFrame([(k, a, b) for k, xs in PURCHASE_ORDER.code_lists.items() for a, b in xs.items()], "list string, source string, target string").crossJoin(n.select("spec_id"))
+    definitions = structure.definition_rows(spark, DEFINITIONS)
+    placed = share(structure.place_by(derived.transaction_segments(spark, sf_dir).withColumn("set_code", F.lit("850")), definitions))
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").join(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc"), F.col("c_nationkey").cast("string").alias("spec_id"))
+    found = ruletable.rule_findings(placed, _docs(spark, sf_dir).join(own, "doc"), rules, codes, definitions)
+    return found.groupBy("spec_id", "row_id", "status", F.coalesce("category", F.lit("-")).alias("category")).agg(F.count("*").alias("n"))
+
+
+_NATIONS = "(SELECT o_orderkey AS doc, c_nationkey AS nation FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+def _rules_as_rows_sql() -> str:
+    one = "SELECT nation, '{row}' AS row_id, status, category, count(*) AS n FROM ({sql}) r JOIN " + _NATIONS + " USING (doc) GROUP BY ALL"
+    every = " UNION ALL ".join(one.format(row=row, sql=sql) for row, _, sql in RULES.values())
+    return f"""SELECT nation::VARCHAR AS spec_id, row_id, CASE WHEN row_id = 'R-06' AND nation % 3 = 0 THEN 'FAIL' ELSE status END AS status,
+  CASE WHEN row_id = 'R-06' AND nation % 3 = 0 THEN 'constant_default' ELSE category END AS category, n FROM ({every}) WHERE row_id <> 'R-08' OR nation % 2 <> 0"""
+
+
+# --- mixed sets
+
+
+def _mixed(spark, sf_dir) -> DataFrame:
+    """Orders as 850, 855 or 856 by their key, with segments that no set knows, in
+    one table of segments."""
+    k = F.col("o_orderkey") % 3
+    shipped = _body([("BSN", ["00", "1"]), ("HL", ["1", "", "S"]), ("TD1", ["CTN25", "1"]), ("N1", ["SF", "x"]), ("N4", ["y"])], lambda x: [("HL", [x["line_ix"] + 1, "1", "I"]), ("SN1", ["", x["qty"], "EA"])], [("CTT", [F.size("lines") + 1])])
+    acked = _body([("BAK", ["00"]), ("ZZZ", ["?"])], lambda x: [("PO1", [x["line_ix"], x["qty"], "EA"]), ("ACK", ["IA", x["qty"] - F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)])], [("CTT", [F.size("lines")])])
+    ordered = _body([("BEG", ["00"]), ("N1", ["ST", "x"]), ("N4", ["y"])], lambda x: [("PO1", [x["line_ix"], x["qty"], "EA"]), ("PID", ["F"])], [("CTT", [F.size("lines") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)])])
+    o = derived.orders(spark, sf_dir).withColumn("set_code", F.when(k == 0, "850").when(k == 1, "855").otherwise("856"))
+    body = F.when(k == 0, ordered).when(k == 1, acked).otherwise(shipped)
+    return o.select(F.col("o_orderkey").alias("doc"), "set_code", F.posexplode(body).alias("seq", "s")).select("doc", "set_code", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
+
+
+def mixed_placement(spark, sf_dir):
+    """Three sets placed in one pass by definitions that are rows."""
+    placed = structure.place_by(_mixed(spark, sf_dir), structure.definition_rows(spark, DEFINITIONS))
+    return placed.groupBy("set_code", "seg_id", F.coalesce("loop_id", F.lit("-")).alias("loop_id"), F.coalesce("child_id", F.lit("-")).alias("child_id"), "known").agg(F.count("*").alias("n"), F.sum("occ_ix").alias("occurrences"))
+
+
+def mixed_recon(spark, sf_dir):
+    """Each document against the totals of its own set, as its rows placed it."""
+    placed = share(structure.place_by(_mixed(spark, sf_dir), structure.definition_rows(spark, DEFINITIONS)))
+    return checks.reconcile_sets(placed, DEFINITIONS).select("doc", "set_code", "rule", F.col("left_value").cast("long").alias("left_value"), F.col("right_value").cast("long").alias("right_value"))
+
+
 # --- runs
 
 
@@ -790,6 +847,19 @@ SELECT doc, 'order.po_number' AS place, CASE WHEN a = 'FAIL' AND b = 'PASS' THEN
 UNION ALL SELECT doc, '-', 'DOC REMOVED', NULL, NULL, true FROM k WHERE doc % 97 <> 0 AND doc % 89 = 0 UNION ALL SELECT doc, '-', 'DOC ADDED', NULL, NULL, false FROM k WHERE doc % 97 = 0 AND doc % 89 <> 0
 UNION ALL SELECT NULL, '(envelope) iea_missing F' || doc, 'NEW', NULL, 'FAIL', true FROM k WHERE doc % 100 = 0 AND doc <> 0
 UNION ALL SELECT NULL, '(envelope) iea_missing F' || doc, 'CHANGED', 'FAIL', 'FAIL', false FROM k WHERE doc % 50 = 0 AND doc % 100 <> 0 AND (doc % 250 = 0) <> (doc % 350 = 0)""",
+    rules_as_rows: _rules_as_rows_sql(),
+    mixed_placement: """WITH n AS (SELECT o_orderkey AS k, o_orderkey % 3 AS t, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+s AS (SELECT t, sum(lines) AS l, count(*) AS d, sum(lines * (lines + 1) // 2) AS tri, sum(lines) AS x FROM n GROUP BY t),
+r AS (SELECT * FROM s, (VALUES (0, '850', 'BEG', '-', '-', 'd', NULL), (0, '850', 'N1', 'N1', '-', 'd', 'd'), (0, '850', 'N4', 'N1', '-', 'd', 'd'), (0, '850', 'PO1', 'PO1', '-', 'l', 't'), (0, '850', 'PID', 'PO1', '-', 'l', 't'), (0, '850', 'CTT', '-', '-', 'd', NULL),
+  (1, '855', 'BAK', '-', '-', 'd', NULL), (1, '855', 'ZZZ', '-', '-', 'd', NULL), (1, '855', 'PO1', 'PO1', '-', 'l', 't'), (1, '855', 'ACK', 'PO1', '-', 'l', 't'), (1, '855', 'CTT', '-', '-', 'd', NULL),
+  (2, '856', 'BSN', '-', '-', 'd', NULL), (2, '856', 'TD1', 'HL', '-', 'd', 'd'), (2, '856', 'N1', 'HL', 'N1', 'd', 'd'), (2, '856', 'N4', 'HL', 'N1', 'd', 'd'), (2, '856', 'HL', 'HL', '-', 'h', 'h'), (2, '856', 'SN1', 'HL', '-', 'l', 's'), (2, '856', 'CTT', '-', '-', 'd', NULL))
+  v(t2, set_code, seg_id, loop_id, child_id, many, occ) WHERE t = t2)
+SELECT set_code, seg_id, loop_id, child_id, seg_id <> 'ZZZ' AS known, (CASE many WHEN 'd' THEN d WHEN 'l' THEN l ELSE d + l END)::BIGINT AS n, (CASE occ WHEN 'd' THEN d WHEN 't' THEN tri WHEN 's' THEN tri + l WHEN 'h' THEN tri + l + d END)::BIGINT AS occurrences
+FROM r WHERE many <> 'l' OR l > 0""",
+    mixed_recon: """WITH n AS (SELECT o_orderkey AS doc, count(l_orderkey) AS lines, coalesce(sum(l_quantity::INTEGER), 0)::BIGINT AS qty FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT doc, '850' AS set_code, 'ctt-line-count' AS rule, lines + 1 AS left_value, lines AS right_value FROM n WHERE doc % 3 = 0 AND doc % 7 = 0
+UNION ALL SELECT doc, '855', 'ack-qty-accounted', qty - lines, qty FROM n WHERE doc % 3 = 1 AND doc % 5 = 0 AND lines > 0
+UNION ALL SELECT doc, '856', 'td1-carton-count', 1, 0 FROM n WHERE doc % 3 = 2""",
     same_run: "SELECT 0::BIGINT AS n FROM orders LIMIT 1",
     docs_added_removed: "SELECT 'DOC REMOVED' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 UNION ALL SELECT 'DOC ADDED', count(*) FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0",
     trend_pass_rate: """WITH r AS (SELECT o_orderkey AS k, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 200) WHERE o_orderkey % 3 <> 0)
