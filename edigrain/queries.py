@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import partner_queries
 from .functions import values
-from .operators import checks, history, outbound, partners, ruletable, scopes, scrub, structure, validate
+from .operators import checks, history, outbound, pairing, partners, ruletable, scopes, scrub, structure, validate
 from .operators.judge import header_findings, line_cells, line_findings
 from .operators.store import share
 from .plans import tables
@@ -306,6 +306,53 @@ def mixed_recon(spark, sf_dir):
     return checks.reconcile_sets(placed, DEFINITIONS).select("doc", "set_code", "rule", F.col("left_value").cast("long").alias("left_value"), F.col("right_value").cast("long").alias("right_value"))
 
 
+# --- pairing by declared keys
+
+
+def _keyed_run(spark, sf_dir):
+    """(placed, transactions, outputs, runs, meta, definitions): files of orders and
+    their outputs; specs of four sorts, by file: order numbers, customers of the
+    party ST, the same outbound, and none."""
+    definitions = structure.definition_rows(spark, DEFINITIONS)
+    numbered = x12.transactions(x12.number_envelopes(x12.tokenize(derived.interchange_text(spark, sf_dir))))
+    segments = share(numbered.select(F.substring("file_id", 2, 20).cast("long").alias("run"), "set_code", F.col("st_ix").alias("pos"), F.col("control").try_cast("long").alias("doc"), "seq", "seg_id", "elements"))
+    placed = share(structure.place_by(segments.select("doc", "set_code", "seq", "seg_id", "elements"), definitions))
+    transactions = segments.where("seg_id = 'ST'").select("run", "doc", F.col("pos") - 1, "set_code").toDF("run", "doc", "pos", "set_code")
+    outputs = _docs(spark, sf_dir).select(F.expr("doc div 20").alias("run"), "doc", F.col("doc").cast("int").alias("pos"), "v")
+    runs = transactions.select("run").distinct().select("run", F.concat(F.lit("s"), F.col("run") % 4).alias("spec_id"))
+    meta = [("s0", "BEG03", "order.po_number", None), ("s1", "N1[ST] N104", "ship_to.id", "Inbound"), ("s2", "ship_to.id", "N1[ST] N104", "Outbound"), ("s3", None, None, None)]
+    rows = [(s, k, v) for s, a, b, d in meta for k, v in (("Pairing Key (source)", a), ("Pairing Key (target)", b), ("Direction", d), ("Transaction Set", "850"))]
+    return placed, transactions, outputs, runs, spark.createDataFrame(rows, "spec_id string, key string, value string"), definitions
+
+
+def pairing_by_key(spark, sf_dir):
+    """Pairs and findings of each file, keys read as its spec says."""
+    pairs, findings = pairing.pair_by_meta(*_keyed_run(spark, sf_dir))
+    shown = pairs.select("run", F.lit("-").alias("category"), F.concat(F.lit("pair "), "key", F.lit(" "), "x12_doc", F.lit(" "), "output_doc").alias("what"))
+    return shown.unionByName(findings.select("run", "category", F.concat_ws(": ", "source_ref", "actual").alias("what")))
+
+
+def keyed_findings(spark, sf_dir):
+    """Rules over the pairs that keys made: quantities and order numbers."""
+    placed, transactions, outputs, runs, meta, definitions = _keyed_run(spark, sf_dir)
+    inbound = runs.where("spec_id in ('s0', 's1')")
+    pairs, _ = pairing.pair_by_meta(placed, transactions, outputs, inbound, meta, definitions)
+    rows, docs = pairing.paired(placed, outputs, share(pairs), inbound)
+    rules = _rule_rows(spark, PURCHASE_ORDER, {"R-04", "R-21"}).withColumn("spec_id", F.explode(F.array(F.lit("s0"), F.lit("s1"))))
+    found = ruletable.rule_findings(rows, docs, rules, spark.createDataFrame([], "spec_id string, list string, source string, target string"), definitions)
+    return found.groupBy("spec_id", "row_id", "status", F.coalesce("category", F.lit("-")).alias("category")).agg(F.count("*").alias("n"))
+
+
+_KEYED = """
+WITH k AS (SELECT o_orderkey AS k, o_orderkey // 20 AS run, o_custkey AS cust, (o_orderkey // 20) % 4 AS sort FROM orders),
+s AS (SELECT k, run, sort, CASE sort WHEN 0 THEN CASE WHEN k % 19 <> 0 THEN 'PO' || k END ELSE cust::VARCHAR END AS key, row_number() OVER (PARTITION BY run ORDER BY k) AS nth FROM k),
+t AS (SELECT k, run, sort, CASE sort WHEN 0 THEN CASE WHEN k % 19 = 0 THEN NULL WHEN k % 11 = 0 THEN 'XX' || k ELSE 'PO' || k END ELSE CASE WHEN k % 5 <> 0 THEN cust::VARCHAR END END AS key, k + 1 AS nth FROM k WHERE k % 23 <> 0),
+sk AS (SELECT run, sort, key, min(k) AS k, count(*) AS n FROM s WHERE sort < 3 AND key IS NOT NULL GROUP BY ALL),
+tk AS (SELECT run, sort, key, min(k) AS k, count(*) AS n FROM t WHERE sort < 3 AND key IS NOT NULL GROUP BY ALL),
+pairs AS (SELECT run, sort, key, sk.k AS x, tk.k AS y FROM sk JOIN tk USING (run, sort, key))
+"""
+
+
 # --- runs
 
 
@@ -860,6 +907,20 @@ FROM r WHERE many <> 'l' OR l > 0""",
 SELECT doc, '850' AS set_code, 'ctt-line-count' AS rule, lines + 1 AS left_value, lines AS right_value FROM n WHERE doc % 3 = 0 AND doc % 7 = 0
 UNION ALL SELECT doc, '855', 'ack-qty-accounted', qty - lines, qty FROM n WHERE doc % 3 = 1 AND doc % 5 = 0 AND lines > 0
 UNION ALL SELECT doc, '856', 'td1-carton-count', 1, 0 FROM n WHERE doc % 3 = 2""",
+    pairing_by_key: _KEYED + """SELECT run, '-' AS category, 'pair ' || key || ' ' || x || ' ' || y AS what FROM pairs
+UNION ALL SELECT run, CASE sort WHEN 2 THEN 'unexpected_output' ELSE 'missing_output' END, CASE sort WHEN 2 THEN 'target' ELSE 'source' END || ' key ' || key || ': no partner' FROM sk ANTI JOIN tk USING (run, key)
+UNION ALL SELECT run, CASE sort WHEN 2 THEN 'missing_output' ELSE 'unexpected_output' END, CASE sort WHEN 2 THEN 'source' ELSE 'target' END || ' key ' || key || ': no partner' FROM tk ANTI JOIN sk USING (run, key)
+UNION ALL SELECT run, 'count_mismatch', CASE sort WHEN 2 THEN 'target' ELSE 'source' END || ' key ' || key || ': shared' FROM sk WHERE n > 1 UNION ALL SELECT run, 'count_mismatch', CASE sort WHEN 2 THEN 'source' ELSE 'target' END || ' key ' || key || ': shared' FROM tk WHERE n > 1
+UNION ALL SELECT run, 'missing_output', CASE sort WHEN 2 THEN 'target' ELSE 'source' END || ' #' || nth || ': no key' FROM s WHERE sort < 3 AND key IS NULL UNION ALL SELECT run, 'missing_output', CASE sort WHEN 2 THEN 'source' ELSE 'target' END || ' #' || nth || ': no key' FROM t WHERE sort < 3 AND key IS NULL
+UNION ALL SELECT run, CASE WHEN a = 1 AND b = 1 THEN '-' ELSE 'spec' END, CASE WHEN a = 1 AND b = 1 THEN 'pair #1 ' || x || ' ' || y ELSE '(pairing): ' || a || ' to ' || coalesce(b, 0) || ' without a key' END
+FROM (SELECT run, count(*) AS a, min(k) AS x FROM s WHERE sort = 3 GROUP BY run) LEFT JOIN (SELECT run, count(*) AS b, min(k) AS y FROM t WHERE sort = 3 GROUP BY run) USING (run)""",
+    keyed_findings: _KEYED + """, l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ix, l_quantity::INTEGER AS qty FROM lineitem),
+m AS (SELECT k, count(*) AS n FROM l GROUP BY k), p AS (SELECT pairs.*, CASE WHEN x % 19 <> 0 THEN 'PO' || x END AS want, CASE WHEN y % 19 = 0 THEN NULL WHEN y % 11 = 0 THEN 'XX' || y ELSE 'PO' || y END AS got FROM pairs WHERE sort < 2),
+h AS (SELECT sort, 'R-04' AS row_id, CASE WHEN want IS NULL AND got IS NULL THEN 'NOT TESTED' WHEN want IS NULL OR got IS NULL OR want <> got THEN 'FAIL' ELSE 'PASS' END AS status,
+  CASE WHEN want IS NULL AND got IS NOT NULL THEN 'unexpected_output' WHEN want IS NOT NULL AND got IS NULL THEN 'missing_output' WHEN want <> got THEN 'value_mismatch' ELSE '-' END AS category FROM p),
+a AS (SELECT p.sort, p.x, l.ix, l.qty FROM p JOIN l ON l.k = p.x), b AS (SELECT p.sort, p.x, l.ix, l.qty FROM p JOIN l ON l.k = p.y JOIN m ON m.k = p.y WHERE NOT (p.y % 7 = 0 AND l.ix = m.n)),
+r AS (SELECT coalesce(a.sort, b.sort) AS sort, 'R-21' AS row_id, CASE WHEN a.qty = b.qty THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN a.qty = b.qty THEN '-' WHEN a.qty IS NULL THEN 'count_mismatch' WHEN b.qty IS NULL THEN 'missing_output' ELSE 'value_mismatch' END AS category FROM a FULL JOIN b ON a.sort = b.sort AND a.x = b.x AND a.ix = b.ix)
+SELECT 's' || sort AS spec_id, row_id, status, category, count(*) AS n FROM (SELECT * FROM h UNION ALL SELECT * FROM r) GROUP BY ALL""",
     same_run: "SELECT 0::BIGINT AS n FROM orders LIMIT 1",
     docs_added_removed: "SELECT 'DOC REMOVED' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 UNION ALL SELECT 'DOC ADDED', count(*) FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0",
     trend_pass_rate: """WITH r AS (SELECT o_orderkey AS k, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 200) WHERE o_orderkey % 3 <> 0)
