@@ -21,6 +21,12 @@ def shared_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors see."""
+    shared_folder(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def share(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder. Lineage ends there, and
     a distribution by key stays, so that windows and joins on it need no shuffle."""

@@ -3,6 +3,8 @@ that recomputes each answer from the same tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from . import partner_queries
 from .functions import values
 from .operators import checks, history, outbound, pairing, partners, ruletable, scopes, scrub, structure, validate
 from .operators.judge import header_findings, line_cells, line_findings
-from .operators.store import share
+from .operators.store import share, shared_path
 from .plans import tables
 from .plans.spec import PURCHASE_ORDER, PURCHASE_ORDER_OUT, Format
 from .plans.transactions import DEFINITIONS, Presence
@@ -426,6 +428,37 @@ def docs_added_removed(spark, sf_dir):
     return history.diff(old, new).where("kind like 'DOC%'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_DIFF = """WITH k AS (SELECT o_orderkey AS doc FROM orders), s AS (SELECT doc, CASE WHEN doc % 10 = 0 THEN 'FAIL' ELSE 'PASS' END AS a, CASE WHEN doc % 15 = 0 THEN 'FAIL' ELSE 'PASS' END AS b FROM k WHERE doc % 97 <> 0 AND doc % 89 <> 0)
+SELECT doc, 'order.po_number' AS place, CASE WHEN a = 'FAIL' AND b = 'PASS' THEN 'RESOLVED' ELSE 'CHANGED' END AS kind, a AS old_status, b AS new_status, a <> 'FAIL' AND b = 'FAIL' AS regression FROM s WHERE a = 'FAIL' OR b = 'FAIL'
+UNION ALL SELECT doc, '-', 'DOC REMOVED', NULL, NULL, true FROM k WHERE doc % 97 <> 0 AND doc % 89 = 0 UNION ALL SELECT doc, '-', 'DOC ADDED', NULL, NULL, false FROM k WHERE doc % 97 = 0 AND doc % 89 <> 0
+UNION ALL SELECT NULL, '(envelope) iea_missing F' || doc, 'NEW', NULL, 'FAIL', true FROM k WHERE doc % 100 = 0 AND doc <> 0
+UNION ALL SELECT NULL, '(envelope) iea_missing F' || doc, 'CHANGED', 'FAIL', 'FAIL', false FROM k WHERE doc % 50 = 0 AND doc % 100 <> 0 AND (doc % 250 = 0) <> (doc % 350 = 0)"""
+
+
+def _recorded(spark, sf_dir) -> history.History:
+    """Two runs on record: the second was first tried with wrong findings, which were
+    never published, and recorded with others before."""
+    h = history.History(spark, f"{shared_path(spark)}/history-{uuid.uuid4().hex}")
+    old, new = _two_runs(spark, sf_dir)
+    h.record(1, old, "po.csv", "2026-01-01T00:00:00")
+    h.write_attempt(2, old.where("status = 'PASS'"), "po.csv", "2026-01-02T00:00:00")
+    h.record(2, old, "po.csv", "2026-01-02T00:00:00")
+    h.record(2, new, "po.csv", "2026-01-03T00:00:00")
+    h.bless("po.csv|", 1, "first", "2026-01-01T00:00:00")
+    return h
+
+
+def regress_by_id(spark, sf_dir):
+    """A recorded run against its baseline, by key and id."""
+    changes = _recorded(spark, sf_dir).regress_from_baseline("po.csv|", 2)
+    return changes.select("doc", F.coalesce("place", F.lit("-")).alias("place"), "kind", "old_status", "new_status", "regression")
+
+
+def run_children(spark, sf_dir):
+    """Documents on record beside their run's counts."""
+    return _recorded(spark, sf_dir).children().select("interchange_id", "doc", "result", "run_result", "run_fail", "file_findings", "n_documents")
+
+
 def _runs(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     result = F.when(F.col("o_orderkey") % 7 == 0, "FAIL").when(F.col("o_orderkey") % 5 == 0, "WARNING").otherwise("PASS")
@@ -889,11 +922,9 @@ UNION ALL SELECT NULL, n, 0, 0, 0, 'FAIL' FROM files WHERE n > 0""",
 UNION ALL SELECT 'missing_output', (coalesce(sum(lost), 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 23 = 0))::BIGINT FROM x UNION ALL SELECT 'code_translation', coalesce(sum(untranslated), 0)::BIGINT FROM x UNION ALL SELECT 'source_data', count(*) FROM o WHERE k % 19 = 0
 UNION ALL SELECT 'count_mismatch', (count(*) FILTER (k % 7 = 0 AND lines > 0) + count(*) FILTER (k % 31 = 0))::BIGINT FROM o UNION ALL SELECT 'unmapped_target', count(*) FROM o WHERE k % 41 = 0
 UNION ALL SELECT 'unmapped_source', (count(*) + count(*) FILTER (k % 43 = 0) + count(*) FILTER (k % 3 = 0))::BIGINT FROM o UNION ALL SELECT 'control', ((SELECT n FROM files) + (SELECT count(*) FROM orders WHERE o_orderkey % 13 = 0))::BIGINT) WHERE n > 0""",
-    regression_diff: """WITH k AS (SELECT o_orderkey AS doc FROM orders), s AS (SELECT doc, CASE WHEN doc % 10 = 0 THEN 'FAIL' ELSE 'PASS' END AS a, CASE WHEN doc % 15 = 0 THEN 'FAIL' ELSE 'PASS' END AS b FROM k WHERE doc % 97 <> 0 AND doc % 89 <> 0)
-SELECT doc, 'order.po_number' AS place, CASE WHEN a = 'FAIL' AND b = 'PASS' THEN 'RESOLVED' ELSE 'CHANGED' END AS kind, a AS old_status, b AS new_status, a <> 'FAIL' AND b = 'FAIL' AS regression FROM s WHERE a = 'FAIL' OR b = 'FAIL'
-UNION ALL SELECT doc, '-', 'DOC REMOVED', NULL, NULL, true FROM k WHERE doc % 97 <> 0 AND doc % 89 = 0 UNION ALL SELECT doc, '-', 'DOC ADDED', NULL, NULL, false FROM k WHERE doc % 97 = 0 AND doc % 89 <> 0
-UNION ALL SELECT NULL, '(envelope) iea_missing F' || doc, 'NEW', NULL, 'FAIL', true FROM k WHERE doc % 100 = 0 AND doc <> 0
-UNION ALL SELECT NULL, '(envelope) iea_missing F' || doc, 'CHANGED', 'FAIL', 'FAIL', false FROM k WHERE doc % 50 = 0 AND doc % 100 <> 0 AND (doc % 250 = 0) <> (doc % 350 = 0)""",
+    regression_diff: _DIFF,
+    regress_by_id: _DIFF,
+
     rules_as_rows: _rules_as_rows_sql(),
     mixed_placement: """WITH n AS (SELECT o_orderkey AS k, o_orderkey % 3 AS t, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 s AS (SELECT t, sum(lines) AS l, count(*) AS d, sum(lines * (lines + 1) // 2) AS tri, sum(lines) AS x FROM n GROUP BY t),
@@ -921,6 +952,9 @@ h AS (SELECT sort, 'R-04' AS row_id, CASE WHEN want IS NULL AND got IS NULL THEN
 a AS (SELECT p.sort, p.x, l.ix, l.qty FROM p JOIN l ON l.k = p.x), b AS (SELECT p.sort, p.x, l.ix, l.qty FROM p JOIN l ON l.k = p.y JOIN m ON m.k = p.y WHERE NOT (p.y % 7 = 0 AND l.ix = m.n)),
 r AS (SELECT coalesce(a.sort, b.sort) AS sort, 'R-21' AS row_id, CASE WHEN a.qty = b.qty THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN a.qty = b.qty THEN '-' WHEN a.qty IS NULL THEN 'count_mismatch' WHEN b.qty IS NULL THEN 'missing_output' ELSE 'value_mismatch' END AS category FROM a FULL JOIN b ON a.sort = b.sort AND a.x = b.x AND a.ix = b.ix)
 SELECT 's' || sort AS spec_id, row_id, status, category, count(*) AS n FROM (SELECT * FROM h UNION ALL SELECT * FROM r) GROUP BY ALL""",
+    run_children: """WITH k AS (SELECT o_orderkey AS doc FROM orders), d AS (SELECT 1 AS interchange_id, doc, CASE WHEN doc % 10 = 0 THEN 'FAIL' ELSE 'PASS' END AS result FROM k WHERE doc % 97 <> 0 UNION ALL SELECT 2, doc, CASE WHEN doc % 15 = 0 THEN 'FAIL' ELSE 'PASS' END FROM k WHERE doc % 89 <> 0),
+f AS (SELECT 1 AS interchange_id, count(*) AS n FROM k WHERE doc % 50 = 0 AND doc % 100 <> 0 UNION ALL SELECT 2, count(*) FROM k WHERE doc % 50 = 0 AND doc <> 0), t AS (SELECT interchange_id, count(*) AS n_documents, count(*) FILTER (result = 'FAIL') AS bad FROM d GROUP BY 1)
+SELECT interchange_id::BIGINT AS interchange_id, doc, result, 'FAIL' AS run_result, bad + n AS run_fail, n AS file_findings, n_documents FROM d JOIN f USING (interchange_id) JOIN t USING (interchange_id)""",
     same_run: "SELECT 0::BIGINT AS n FROM orders LIMIT 1",
     docs_added_removed: "SELECT 'DOC REMOVED' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 UNION ALL SELECT 'DOC ADDED', count(*) FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0",
     trend_pass_rate: """WITH r AS (SELECT o_orderkey AS k, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 200) WHERE o_orderkey % 3 <> 0)

@@ -1,5 +1,7 @@
 import hashlib
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from edigrain.operators import history, scrub, structure
@@ -69,3 +71,33 @@ def test_history(spark, tmp_path):
     assert [r.label for r in h.baselines().collect()] == ["second"]
     delta = history.diff(h.findings(1), h.findings(2)).collect()
     assert [(r.doc, r.kind, r.regression) for r in delta] == [(1, "CHANGED", True)]
+
+
+def test_history_publishes_whole_runs_only(spark, tmp_path):
+    h = history.History(spark, str(tmp_path))
+    cols = "doc long, status string, category string, row_id string, source_ref string, target string, line_ix int, expected string, actual string"
+    run = lambda s: spark.createDataFrame([(1, s, None, "R-1", "BEG01", "a", None, "x", "y"), (None, "FAIL", "control", None, "(envelope)", None, None, "x", "y")], cols)
+    h.record(1, run("PASS"), "s", "2026-01-01")
+    lost = h.write_attempt(2, run("WARNING"), "s", "2026-01-02")  # fails before it is published
+    assert [r.run_id for r in h.runs().collect()] == [1] and h.findings(2).count() == 0
+    h.record(2, run("FAIL"), "s", "2026-01-03", partner_file="p.csv")
+    h.record(2, run("WARNING"), "s", "2026-01-04", partner_file="p.csv")  # again: the later one counts
+    assert [r.status for r in h.findings(2).where("doc = 1").collect()] == ["WARNING"]
+    row = {r.run_id: r for r in h.runs().collect()}[2]
+    assert (row.result, row.fail, row.warning, row.file_findings, row.n_documents, row.partner_file) == ("FAIL", 1, 1, 1, 1, "p.csv")
+    assert [(r.doc, r.kind, r.regression) for r in h.regress(1, 2).collect()] == [(1, "CHANGED", False)]
+    h.bless("k", 1, "x", "2026")
+    assert h.regress(1, 1).count() == 0 and h.baseline("none") is None
+    assert h.regress_from_baseline("k", 2).count() == 1
+    with pytest.raises(KeyError):
+        h.regress_from_baseline("none", 2)
+    torn = h.write_attempt(3, run("PASS"), "s", "2026-01-05")
+    shutil.rmtree(tmp_path / "findings" / f"attempt={torn}")
+    run("PASS").where("doc = 1").withColumn("run_id", F.lit(3)).write.parquet(str(tmp_path / "findings" / f"attempt={torn}"))
+    with pytest.raises(RuntimeError, match="1 findings of 2"):
+        h.publish(3, torn, "2026-01-05")
+    assert [r.run_id for r in h.runs().orderBy("run_id").collect()] == [1, 2]
+    assert h.sweep() == 9 and lost not in {p.name for p in (tmp_path / "runs").iterdir()}  # three attempts of three tables
+    assert h.findings(2).count() == 2 and {(r.doc, r.result, r.run_result) for r in h.children().where("interchange_id = 2").collect()} == {(1, "WARNING", "FAIL")}
+    h.record(4, run("PASS").limit(0), "s", "2026-01-06")
+    assert [(r.result, r.n_documents) for r in h.runs().where("run_id = 4").collect()] == [("PASS", 0)] and h.findings(4).count() == 0
