@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rule types in words that partners use.
-EXPLICIT = {"direct": "DIRECT", "move": "DIRECT", "lookup": "CODE_LIST", "code list": "CODE_LIST", "translate": "CODE_LIST", "constant": "CONSTANT", "hardcode": "CONSTANT", "conditional": "CONDITIONAL", "if": "CONDITIONAL"}
+#: Rule types in words that partners use, as `normal` writes them.
+EXPLICIT = {
+    "direct": "DIRECT", "move": "DIRECT", "copy": "DIRECT", "passthrough": "DIRECT", "pass through": "DIRECT",
+    "constant": "CONSTANT", "hardcode": "CONSTANT", "hardcoded": "CONSTANT", "default": "CONSTANT", "literal": "CONSTANT", "fixed": "CONSTANT",
+    "conditional": "CONDITIONAL", "condition": "CONDITIONAL", "if": "CONDITIONAL", "if then": "CONDITIONAL",
+    "code list": "CODE_LIST", "codelist": "CODE_LIST", "xref": "CODE_LIST", "lookup": "CODE_LIST", "translate": "CODE_LIST", "translation": "CODE_LIST",
+    "loop count": "LOOP_COUNT", "count": "LOOP_COUNT",
+}
 
 
 def normal(text):
@@ -29,7 +35,7 @@ def classify(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("kind", kind)
     fine = F.col("source").rlike("^[A-Z][A-Z0-9]{1,2}[0-9]{2}$")
     review = (
-        F.when(~has("target"), "no target").when(F.col("kind") == "TODO", "no evidence of a rule").when((F.col("kind") != "CONSTANT") & ~F.coalesce(fine, F.lit(False)), "source is no element")
+        F.when(~has("target"), "no target").when(F.col("kind") == "TODO", "no evidence of a rule").when(~F.col("kind").isin("CONSTANT", "LOOP_COUNT") & ~F.coalesce(fine, F.lit(False)), "source is no element")
         .when((F.col("kind") == "CODE_LIST") & ~has("code_list"), "no code list").when((F.col("kind") == "CONDITIONAL") & coded_condition().isNull(), "condition is prose")
     )
     return out.withColumn("review", review)

@@ -680,6 +680,27 @@ def json_array_documents(spark, sf_dir):
     return out.select("file_id", "doc_ix", F.try_variant_get("v", "$.order.vendor", "string").alias("vendor"))
 
 
+def json_file_errors(spark, sf_dir):
+    """JSON files that are one object, two, none, no JSON, or hold other values."""
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey") % 6
+    one = F.to_json(F.struct("c_custkey", "c_name"))
+    text = F.when(k == 0, one).when(k == 1, F.concat(F.lit("["), one, F.lit(","), one, F.lit("]"))).when(k == 2, "[]").when(k == 3, F.concat(F.lit("{"), "c_name")).when(k == 4, F.concat(F.lit("["), one, F.lit(", 5]"))).otherwise("null")
+    files = c.select(F.col("c_custkey").cast("string").alias("file_id"), text.alias("text"))
+    both = documents.json_errors(files).withColumn("mode", F.lit("many")).unionByName(documents.json_errors(files, single=True).withColumn("mode", F.lit("one")))
+    return both.select("file_id", "mode", F.coalesce("doc_ix", F.lit(-1)).alias("doc_ix"), "error")
+
+
+def record_errors(spark, sf_dir):
+    """Keyed flat and fixed-width files with records that nobody knows, roles and
+    lines that are missing, and control records of another type or none."""
+    flat = _document_lines(spark, sf_dir, F.concat(F.lit("H|po="), "o_orderkey"), lambda x: F.when((F.col("o_orderkey") % 7 == 0) & (x["line_ix"] == 1), "Q|x=1").otherwise(F.concat(F.lit("D|qty="), x["qty"])), F.when(F.col("o_orderkey") % 5 == 0, "A|city=x|torn").otherwise("A|role=ship|city=x"))
+    pad = lambda c, n: F.rpad(c if isinstance(c, Column) else F.lit(c), n, " ")
+    head = F.when(F.col("o_orderkey") % 11 == 0, pad("HEAD", 30)).otherwise(F.concat(pad("EDI_DC40", 30), F.when(F.col("o_orderkey") % 3 == 0, "ORDERS04").otherwise("ORDERS05")))
+    fixed = _document_lines(spark, sf_dir, head, lambda x: F.when((F.col("o_orderkey") % 2 == 0) & (x["line_ix"] == 1), pad("NOTE", 30)).otherwise(pad("ITEM", 30)), pad("HUH", 30))
+    layout = [documents.Record("HEAD", "object", "h", ()), documents.Record("ITEM", "line", "lines", (("q", 30, 2),)), documents.Record("NOTE", "line_child", "lines", (("n", 30, 2),))]
+    return documents.flat_errors(flat).withColumn("layout", F.lit("flat")).unionByName(documents.layout_errors(fixed, layout, control=("EDI_DC40", 30, 8, "ORDERS05")).withColumn("layout", F.lit("fixed")))
+
+
 # --- files
 
 
@@ -955,6 +976,12 @@ SELECT 's' || sort AS spec_id, row_id, status, category, count(*) AS n FROM (SEL
     run_children: """WITH k AS (SELECT o_orderkey AS doc FROM orders), d AS (SELECT 1 AS interchange_id, doc, CASE WHEN doc % 10 = 0 THEN 'FAIL' ELSE 'PASS' END AS result FROM k WHERE doc % 97 <> 0 UNION ALL SELECT 2, doc, CASE WHEN doc % 15 = 0 THEN 'FAIL' ELSE 'PASS' END FROM k WHERE doc % 89 <> 0),
 f AS (SELECT 1 AS interchange_id, count(*) AS n FROM k WHERE doc % 50 = 0 AND doc % 100 <> 0 UNION ALL SELECT 2, count(*) FROM k WHERE doc % 50 = 0 AND doc <> 0), t AS (SELECT interchange_id, count(*) AS n_documents, count(*) FILTER (result = 'FAIL') AS bad FROM d GROUP BY 1)
 SELECT interchange_id::BIGINT AS interchange_id, doc, result, 'FAIL' AS run_result, bad + n AS run_fail, n AS file_findings, n_documents FROM d JOIN f USING (interchange_id) JOIN t USING (interchange_id)""",
+    json_file_errors: """WITH f AS (SELECT c_custkey::VARCHAR AS file_id, c_custkey % 6 AS k FROM customer)
+SELECT file_id, 'many' AS mode, CASE WHEN k = 4 THEN 1 ELSE -1 END AS doc_ix, CASE k WHEN 2 THEN 'empty_array' WHEN 3 THEN 'not_json' ELSE 'not_an_object' END AS error FROM f WHERE k IN (2, 3, 4, 5)
+UNION ALL SELECT file_id, 'one', -1, CASE k WHEN 3 THEN 'not_json' WHEN 5 THEN 'not_an_object' ELSE 'array' END FROM f WHERE k > 0""",
+    record_errors: """WITH n AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS file_id, count(l_orderkey)::INTEGER AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT file_id, 1 AS line_no, 'unknown_record' AS error, 'flat' AS layout FROM n WHERE k % 7 = 0 AND lines > 0 UNION ALL SELECT file_id, lines + 1, unnest(['no_role', 'torn_pair']), 'flat' FROM n WHERE k % 5 = 0
+UNION ALL SELECT file_id, 0, CASE WHEN k % 11 = 0 THEN 'no_control_record' ELSE 'other_type' END, 'fixed' FROM n WHERE k % 11 = 0 OR k % 3 = 0 UNION ALL SELECT file_id, 1, 'child_before_line', 'fixed' FROM n WHERE k % 2 = 0 AND lines > 0 UNION ALL SELECT file_id, lines + 1, 'unknown_record', 'fixed' FROM n""",
     same_run: "SELECT 0::BIGINT AS n FROM orders LIMIT 1",
     docs_added_removed: "SELECT 'DOC REMOVED' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 UNION ALL SELECT 'DOC ADDED', count(*) FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0",
     trend_pass_rate: """WITH r AS (SELECT o_orderkey AS k, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 200) WHERE o_orderkey % 3 <> 0)

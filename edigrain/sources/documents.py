@@ -19,6 +19,22 @@ def json_documents(files: DataFrame) -> DataFrame:
     return one.unionByName(each)
 
 
+def json_errors(files: DataFrame, single: bool = False) -> DataFrame:
+    """file_id, doc_ix, error of JSON files: not_json, empty_array, not_an_object (of
+    a value, or of the element doc_ix of an array), and array where a single document
+    was asked for."""
+    tvf = files.sparkSession.tvf
+    read = files.select("file_id", F.try_parse_json("text").alias("whole")).withColumn("kind", F.schema_of_variant("whole"))
+    many, none = F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False)), F.lit(None).cast("int")
+    object_ = lambda c: F.coalesce(F.col(c).startswith("OBJECT"), F.lit(False))
+    whole = F.when(F.col("whole").isNull(), "not_json").when(many, F.when(F.lit(single), "array").when(F.expr("size(try_variant_get(whole, '$', 'array<variant>'))") == 0, "empty_array")).when(~object_("kind"), "not_an_object")
+    out = read.select("file_id", none.alias("doc_ix"), whole.alias("error")).where("error is not null")
+    if single:
+        return out
+    each = read.where(many).lateralJoin(tvf.variant_explode(F.col("whole").outer()).toDF("pos", "key", "value")).withColumn("own", F.schema_of_variant("value"))
+    return out.unionByName(each.where(~object_("own")).select("file_id", F.col("pos").alias("doc_ix"), F.lit("not_an_object").alias("error")))
+
+
 def guard_xml(content: Column) -> Column:
     """True for XML, as bytes or text, that declares a document type, whichever of
     UTF-8, UTF-16 and UTF-32 it is in; it is never parsed."""
@@ -75,6 +91,17 @@ def flat_leaves(lines: DataFrame) -> DataFrame:
     return own.where(F.col("norm_path").isNotNull()).groupBy("file_id", "norm_path", "line_ix").agg(F.max_by("leaf_text", "line_no").alias("leaf_text"))
 
 
+def flat_errors(lines: DataFrame) -> DataFrame:
+    """file_id, line_no, error of keyed flat files: unknown_record (no H, S, A or D),
+    no_role of an A line, and torn_pair for a field without '='."""
+    rows = lines.where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    code = F.upper(F.substring_index("value", "|", 1))
+    pairs = F.filter(F.slice(F.split("value", "\\|", -1), 2, F.greatest(F.size(F.split("value", "\\|", -1)) - 1, F.lit(0))), lambda p: F.trim(p) != "")
+    role = F.exists(pairs, lambda p: F.startswith(p, F.lit("role=")) & (F.length(p) > 5))
+    found = F.array_compact(F.array(F.when(~code.isin("H", "S", "A", "D"), "unknown_record"), F.when((code == "A") & ~role, "no_role"), F.when(F.exists(pairs, lambda p: ~F.contains(p, F.lit("="))), "torn_pair")))
+    return rows.select("file_id", "line_no", F.explode(found).alias("error"))
+
+
 @dataclass(frozen=True)
 class Record:
     """One record type of a layout. kind: object, keyed, partner, line or
@@ -129,3 +156,25 @@ def layout_leaves(lines: DataFrame, records: list[Record], delimiter: str | None
     cells = rows.select("file_id", "line_no", "line", F.col("record").isin(*(r.name for r in records if r.kind in ("line", "line_child"))).alias("in_line"), F.explode(F.coalesce(*(one(r) for r in records))).alias("c"))
     found = cells.where(F.col("c.leaf_text").isNotNull() & F.col("c.norm_path").isNotNull())
     return found.select("file_id", "c.norm_path", F.when(F.col("in_line"), F.col("line")).cast("int").alias("line_ix"), "line_no", "c.leaf_text").groupBy("file_id", "norm_path", "line_ix").agg(F.min_by("leaf_text", "line_no").alias("leaf_text"))
+
+
+def layout_errors(lines: DataFrame, records: list[Record], delimiter: str | None = None, name_at: tuple[int, int] = (0, 30), control: tuple[str, int, int, str] | None = None) -> DataFrame:
+    """file_id, line_no, error of files that `layout_leaves` reads: unknown_record,
+    and child_before_line. With control (record, offset, length, type), a file's first
+    record has to be that one: no_control_record; and name the type there:
+    other_type. The control record itself is known."""
+    tagged = "fields" in lines.columns
+    cut = F.split("value", f"\\Q{delimiter}\\E", -1) if delimiter else None
+    name = F.col("record") if tagged else F.get(cut, 0) if delimiter else F.trim(F.substring("value", name_at[0] + 1, name_at[1]))
+    known = [r.name for r in records]
+    starts, children = [r.name for r in records if r.kind == "line"], [r.name for r in records if r.kind == "line_child"]
+    w = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.select("file_id", "line_no", *([] if tagged else ["value"]), name.alias("record")).where("record is not null and record != ''")
+    rows = rows.withColumn("begun", F.max(F.col("record").isin(*starts)).over(w)).withColumn("nth", F.row_number().over(Window.partitionBy("file_id").orderBy("line_no")))
+    first = F.lit(False)
+    error = F.when(F.col("record").isin(*children) & ~F.col("begun"), "child_before_line").when(~F.col("record").isin(*known), "unknown_record")
+    if control:
+        record, at, n, wanted = control
+        first = F.startswith(F.col("value"), F.lit(record))
+        error = F.when(F.col("nth") == 1, F.when(~first, "no_control_record").when(F.trim(F.substring("value", at + 1, n)) != wanted, "other_type")).otherwise(error)
+    return rows.withColumn("error", error).where("error is not null").select("file_id", "line_no", "error")
