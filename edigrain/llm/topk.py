@@ -8,7 +8,8 @@ query with the values at the current depth - no unseen vector can score more -
 is below its kth best score. Shard results meet in a ranked window per query.
 
 Null, empty and repeated input: vectors that are null or hold a null or
-non-finite component, and rows without an id, take no part. Rows that bear a
+non-finite component, or one beyond 2**27 after scaling (whose products need not
+fit 64 bits), and rows without an id, take no part. Rows that bear a
 query's id are its own and no candidates of it; repeated query rows with equal
 vectors are one query; other repeated rows count one by one. Only vectors of
 one length are compared. An empty table gives an empty result.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+MOST = 1 << 27  # of a component's magnitude
+
 
 def threshold_topk(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int, lists: np.ndarray, columns: np.ndarray, step: int = 32) -> list[tuple[int, int]]:
     """(score, id) of the k best rows for one query; ties go to the smaller id.
@@ -89,7 +92,7 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     total = df.count()
     shards = max(1, -(-total // shard_rows))
     raw = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"), is_query.alias("is_query"))
-    fine = F.col("id").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.col("id").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) <= MOST))
     vecs = raw.where(F.coalesce(fine, F.lit(False))).select("id", F.transform("e", lambda x: F.floor(x * scale)).alias("v"), "is_query", F.size("e").alias("dims"), F.xxhash64("id", "e").alias("qkey"))
     queries = vecs.where(F.coalesce("is_query", F.lit(False))).select("id", "v", "dims", "qkey").dropDuplicates(["id", "qkey"])
     blocks = max(1, -(-queries.count() // query_rows))

@@ -69,7 +69,7 @@ def test_long_texts_are_whole(spark):
 def test_topk_over_odd_vectors(spark):
     rng = np.random.default_rng(0)
     good = [(i, rng.normal(size=4).tolist()) for i in range(120)]
-    odd = [(200, None), (250, [1.0, None, 0.0, 0.0]), (300, [float("nan"), 0.0, 0.0, 0.0]), (350, [float("inf"), 0.0, 0.0, 0.0]), (400, good[50][1])]
+    odd = [(200, None), (250, [1.0, None, 0.0, 0.0]), (300, [float("nan"), 0.0, 0.0, 0.0]), (350, [float("inf"), 0.0, 0.0, 0.0]), (450, [1e300, 0.0, 0.0, 0.0]), (400, good[50][1])]
     rows = spark.createDataFrame(good + odd, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in CLASHES if c != "query_id"})
     got = topk.exact_topk(rows, F.col("vec_id") % 50 == 0).collect()
     assert {r.query_id for r in got} == {0, 50, 100, 400} and {r.vec_id for r in got if r.query_id == 400 and r["rank"] == 1} <= {50} | set(range(120))
