@@ -204,6 +204,31 @@ def _walk(segments: DataFrame, of, *carried: str) -> DataFrame:
     return rows.select(*carried, "doc", "seq", "seg_id", "elements", "area_ix", "flat", "known", "loop_id", "run", "child_id", "sub", "inner_id", "occ_ix", "qualifier", opens.alias("is_trigger"))
 
 
+def business_segments(placed: DataFrame, definition: Definition) -> DataFrame:
+    """doc, place (from 1), label, seq, seg_id, elements: segments depth first, as
+    reports list them. An area's flat segments come first, then its loops, each with
+    all its occurrences before those of the loops inside it. Flat segments bear their
+    area's name, the loop of lines LOOP #n, other loops LOOP[qualifier] (? if there
+    is none). A loop id is listed where the definition first names it."""
+    ranks: dict[str, int] = {}
+
+    def walk(loops) -> None:
+        for x in loops:
+            ranks.setdefault(x.trigger, len(ranks))
+            walk(x.children)
+
+    for i, a in enumerate(definition.areas):
+        ranks[f"{i}"] = len(ranks)
+        walk(a.loops)
+    name = F.element_at(F.create_map(*(F.lit(x) for i, a in enumerate(definition.areas) for x in (i, a.name))), F.col("area_ix"))
+    group = F.when(F.col("flat"), F.col("area_ix").cast("string")).otherwise(F.col("inner_id"))
+    rank = F.try_element_at(F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv)), group)
+    line = F.col("inner_id") == definition.line_loop.split("[")[0]
+    label = F.when(F.col("flat"), name).when(line, F.concat("inner_id", F.lit(" #"), "occ_ix")).otherwise(F.concat("inner_id", F.lit("["), F.coalesce("qualifier", F.lit("?")), F.lit("]")))
+    order = Window.partitionBy("doc").orderBy(rank, F.coalesce("occ_ix", F.lit(0)), "seq")
+    return placed.select("doc", F.row_number().over(order).alias("place"), label.alias("label"), "seq", "seg_id", "elements")
+
+
 def repeat_notes(placed: DataFrame, definition: Definition) -> DataFrame:
     """doc, loop_id, seq where a loop first passes its number of repeats."""
     most = {x.trigger: x.max_repeats for a in definition.areas for x in a.loops if x.max_repeats}

@@ -541,6 +541,11 @@ def hl_ancestors(spark, sf_dir):
     return structure.ancestors(tree).groupBy("doc").agg(F.count("*").alias("n"), F.max("distance").alias("depth"))
 
 
+def segment_labels(spark, sf_dir):
+    """Segments of shipments depth first: parties inside a level follow all levels."""
+    return structure.business_segments(_shipment(spark, sf_dir), DEFINITIONS["856"]).select("doc", "place", "label", "seg_id")
+
+
 def hl_unit_sum(spark, sf_dir):
     rows = checks.reconcile(_shipment(spark, sf_dir), DEFINITIONS["856"])
     return rows.where("rule = 'ctt02-unit-sum'").select("doc", F.col("left_value").cast("long").alias("claimed"), F.col("right_value").cast("long").alias("units"))
@@ -982,6 +987,9 @@ UNION ALL SELECT file_id, 'one', -1, CASE k WHEN 3 THEN 'not_json' WHEN 5 THEN '
     record_errors: """WITH n AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS file_id, count(l_orderkey)::INTEGER AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT file_id, 1 AS line_no, 'unknown_record' AS error, 'flat' AS layout FROM n WHERE k % 7 = 0 AND lines > 0 UNION ALL SELECT file_id, lines + 1, unnest(['no_role', 'torn_pair']), 'flat' FROM n WHERE k % 5 = 0
 UNION ALL SELECT file_id, 0, CASE WHEN k % 11 = 0 THEN 'no_control_record' ELSE 'other_type' END, 'fixed' FROM n WHERE k % 11 = 0 OR k % 3 = 0 UNION ALL SELECT file_id, 1, 'child_before_line', 'fixed' FROM n WHERE k % 2 = 0 AND lines > 0 UNION ALL SELECT file_id, lines + 1, 'unknown_record', 'fixed' FROM n""",
+    segment_labels: """WITH n AS (SELECT o_orderkey AS doc, count(l_orderkey)::INTEGER AS l FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT doc, place, label, seg_id FROM (SELECT doc, unnest([1, 2, 3, 4, 5, 6 + 2 * l, 7 + 2 * l, 8 + 2 * l]) AS place, unnest(['header', 'HL #1', 'HL #1', 'HL #2', 'HL #2', 'N1[SF]', 'N1[SF]', 'summary']) AS label, unnest(['BSN', 'HL', 'TD1', 'HL', 'PRF', 'N1', 'N4', 'CTT']) AS seg_id FROM n)
+UNION ALL SELECT doc, 4 + 2 * i + t, 'HL #' || (i + 2), CASE t WHEN 0 THEN 'HL' ELSE 'SN1' END FROM (SELECT doc, unnest(range(1, l + 1))::INTEGER AS i FROM n), (VALUES (0), (1)) v(t)""",
     same_run: "SELECT 0::BIGINT AS n FROM orders LIMIT 1",
     docs_added_removed: "SELECT 'DOC REMOVED' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 UNION ALL SELECT 'DOC ADDED', count(*) FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0",
     trend_pass_rate: """WITH r AS (SELECT o_orderkey AS k, 'spec' || (o_custkey % 9) AS spec_file, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderkey % 5 = 0 THEN 'WARNING' ELSE 'PASS' END AS result FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 200) WHERE o_orderkey % 3 <> 0)
