@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..plans.spec import Format, Rule, Spec, parse_condition, parse_format, parse_outcome
 from ..plans.transactions import Definition
-from .judge import MISMATCH, holds, line_cells, output_lines
+from .judge import MISMATCH, holds, line_cells, paired_lines
 from .scopes import cells, finish_read, first_read, leaves, loop_ids
 
 NEUTRAL = Format()
@@ -101,8 +101,7 @@ def line_findings(placed: DataFrame, docs: DataFrame, spec: Spec, definition: De
     with the occurrences of the line loop, both ways; an occurrence without an
     entry is a wrong count for each element it holds."""
     rules = [r for r in spec.rules if r.is_line]
-    loops = line_cells(placed, definition, sorted({r.target for r in rules})).join(docs.select("doc"), "doc", "left_semi")
-    rows = output_lines(docs, spec.list_path).join(loops, ["doc", "line_ix"], "full_outer").join(docs.select("doc", "v"), "doc", "left")
+    rows = paired_lines(line_cells(placed, definition, sorted({r.target for r in rules})), docs, spec.list_path, "v")
     head = f"{spec.list_path}[]."
     read = lambda path: F.try_variant_get("item", "$." + path.removeprefix(head), "variant") if path.startswith(head) else F.try_variant_get("v", f"$.{path}", "variant")
     return _judged(rows, [(r, *expected(r, spec, read, F.lit(None)), F.col(r.target)) for r in rules], F.col("line_ix"), F.col("item").isNull())
