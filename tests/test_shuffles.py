@@ -2,6 +2,7 @@
 
 from edigrain import queries as engine
 from edigrain.operators import judge, scopes, structure
+from edigrain.operators.store import share
 from edigrain.plans.transactions import DEFINITIONS
 from edigrain.sources import derived, x12
 
@@ -49,3 +50,11 @@ def test_lines_of_both_sides_meet_by_document(spark):
     docs = spark.createDataFrame([(1, '{"lines": [{"q": 1}]}'), (2, '{"lines": [{"q": 2}, {"q": 3}]}'), (4, '{"lines": {"k": {"q": 4}}}'), (5, "{}")], "doc long, j string").selectExpr("doc", "parse_json(j) v")
     got = judge.paired_lines(own, docs, "lines").selectExpr("doc", "line_ix", "x", "try_variant_get(item, '$.q', 'int') q", "has_source").collect()
     assert sorted(map(tuple, got), key=str) == [(1, 0, "a", 1, True), (1, 1, "b", None, True), (2, 0, "c", 2, True), (2, 1, None, 3, None), (4, 0, None, 4, None)]
+
+
+def test_shared_rows_stay_dealt_and_are_written_small(spark):
+    rows = spark.range(2000).selectExpr("id % 100 doc", "id seq", "array('a', 'b') elements", "parse_json('{}') v")
+    shared = share(rows.repartition(4, "doc"), "doc")
+    assert not [x for x in _plan(shared.groupBy("doc").count()) if "Exchange" in x]
+    assert shared.inputFiles() and all(x.endswith(".parquet") for x in shared.inputFiles())
+    assert shared.count() == 2000 and shared.columns == rows.columns
