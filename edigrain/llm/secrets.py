@@ -18,9 +18,8 @@ documents and whose size is fixed. A corpus whose documents make fewer decoys of
 a class than about 1 / `fdr` finds none there beside the base kinds.
 
 Null, empty and odd input: null is read as empty; an empty text has no span, and
-an empty table gives an empty result. Very long texts are read whole, but for
-decoys, which are taken at `DECOY_PLACES`. Of equal statistics all fall on one
-side of a cut. Repeated rows are scanned one by one. Extra columns are ignored,
+an empty table gives an empty result. Texts are read whole, for decoys too, however
+long they are. Of equal statistics all fall on one side of a cut. Repeated rows are scanned one by one. Extra columns are ignored,
 or carried whole by `redact_secrets`. Offsets count code points, ends are
 exclusive.
 """
@@ -167,55 +166,67 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[list, list]
     return hexes, tests
 
 
-#: Places of a text where words of decoys are taken, as shares of it, and how many
-#: characters there.
-DECOY_PLACES = (0.1, 0.45, 0.8)
-DECOY_WIDTH = 240
 #: A word that is no part of a longer token or of an assignment; names leave out
 #: shorter ones, as articles.
 WORD = re.compile(r"(?<![A-Za-z0-9+/_.=:-])[A-Za-z]{4,14}(?![A-Za-z0-9+/_=:-])")
 #: Letters as the six that sixteen figures need.
 SIXTEEN = str.maketrans({c: "ABCDEF"[i % 6] for i, c in enumerate(UPPER)})
+DIGITS32 = str.maketrans("0189", "4625")
 
 
-def names(words: list[str], seed: int) -> Iterator[tuple[int, str]]:
-    """(encoding, name) of the names that people make of words, with a number or
-    two between or without."""
+def name(words: list[str], seed: int, e: int) -> str:
+    """A name that people make of words in an encoding, with a number or two between
+    or without."""
     numbers, x = [""] * len(words), seed
     for _ in range(1 + seed % 2):  # one number or two, of eight digits at most
         x = (x * 1103515245 + 12345) & 0x7FFFFFFF
         numbers[min(len(words) - 1, x % 4)] = str(x)[: 1 + x // 4 % 8]
     pairs = list(zip(words, numbers))
-    camel, lower, upper = "".join(w.capitalize() + n for w, n in pairs), "".join(w.lower() + n for w, n in pairs), "".join(w.upper() + n for w, n in pairs)
-    encoding = ENCODINGS.index
-    yield encoding("alnum62"), camel
-    yield encoding("lower36"), lower
-    yield encoding("upper36"), upper
-    yield encoding("base32"), upper.translate(str.maketrans("0189", "4625"))
-    yield encoding("HEX"), upper.translate(SIXTEEN)
-    yield encoding("base64"), "/".join((w.lower(), w.capitalize())[seed & 1] + n for w, n in pairs)
-    yield encoding("base64url"), "-_"[seed & 1].join((w.lower(), w.capitalize())[seed & 2 > 0] + n * (seed & 4 > 0) for w, n in pairs)
-    yield encoding("alpha52"), "".join(w.capitalize() for w in words)
-    yield encoding("lower26"), "".join(words).lower()
-    yield encoding("upper26"), "".join(words).upper()
+    kind = ENCODINGS[e]
+    if kind == "base64":
+        made = "/".join((w.lower(), w.capitalize())[seed & 1] + n for w, n in pairs)
+    elif kind == "base64url":
+        made = "-_"[seed & 1].join((w.lower(), w.capitalize())[seed & 2 > 0] + n * (seed & 4 > 0) for w, n in pairs)
+    elif kind == "alnum62":
+        made = "".join(w.capitalize() + n for w, n in pairs)
+    elif kind == "alpha52":
+        made = "".join(w.capitalize() for w in words)
+    elif kind in ("lower26", "upper26"):
+        made = "".join(words).lower() if kind == "lower26" else "".join(words).upper()
+    else:
+        made = "".join(w + n for w, n in pairs)
+        made = made.lower() if kind == "lower36" else made.upper()
+        made = made.translate(DIGITS32) if kind == "base32" else made.translate(SIXTEEN) if kind == "HEX" else made
+    return made
+
+
+def stretches(text: str, base: list[tuple[int, int, int]]) -> Iterator[list[str]]:
+    """All words outside base spans, in order, some letters more than the longest
+    class at a time; what is left at the end is a stretch too."""
+    words = WORD.findall(text) if not base else [m[0] for m in WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+    own, size = [], 0
+    for w in words:
+        own.append(w)
+        size += len(w)
+        if size >= LENGTHS[-1]:
+            yield own
+            own, size = [], 0
+    if size >= LENGTHS[0]:
+        yield own
 
 
 def decoys(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> dict[int, int]:
     """Numbered histogram cells (encoding, length class, bin), and how many names
-    made of words outside base spans fall there, at some places of each text."""
+    made of words outside base spans fall there. Each word of a text is in one stretch
+    of words, long enough for a name of every length. A text's first stretch makes a
+    name of every encoding, so that short texts do, and each further one makes one, of
+    an encoding dealt by its hash: no text and no word is left out of the null."""
     found: list[list[str]] = [[] for _ in ENCODINGS]
     for text, base in zip(texts, bases):
-        for at in dict.fromkeys(int(len(text) * p) for p in DECOY_PLACES):
-            own, size = [], 0
-            for m in WORD.finditer(text, at, at + DECOY_WIDTH):
-                if size >= LENGTHS[-1]:
-                    break
-                if not any(a < m.end() and m.start() < b for a, _, b in base):
-                    own.append(m[0])
-                    size += len(m[0])
-            if own:
-                for e, name in names(own, zlib.crc32(" ".join(own).encode())):
-                    found[e].append(name)
+        for i, own in enumerate(stretches(text, base)):
+            seed = zlib.crc32(" ".join(own).encode())
+            for e in range(len(ENCODINGS)) if i == 0 else [(seed >> 8) % len(ENCODINGS)]:
+                found[e].append(name(own, seed, e))
     out: dict[int, int] = {}
     for e, made in enumerate(found):
         for c, n in enumerate(LENGTHS):

@@ -300,3 +300,14 @@ def test_pipeline(spark):
     assert secrets.scan_secrets(kept).where("n_assign + n_access + n_hex > 0").count() == 0
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert len(out) and set(out.columns) == {"doc_id", "epoch", "domain", "lang", "source", "n_tokens"}
+
+
+def test_decoys_come_from_whole_texts():
+    from edigrain.llm import secrets
+
+    filler = ["plain ordinary words which stand along without meaning or order whatever happens later"] * 40
+    early, late = " ".join(filler), " ".join(filler[:20] + ["quite other sentences follow between these places nobody looked before"] + filler[20:])
+    assert secrets.decoys([early], [[]]) != secrets.decoys([late], [[]])
+    words = [w for own in secrets.stretches(late, []) for w in own]
+    assert words == secrets.WORD.findall(late)[: len(words)] and len(late.split()) - len(words) < 60
+    assert sum(1 for _ in secrets.stretches(" ".join(filler * 10), [])) > 9 * sum(1 for _ in secrets.stretches(early, []))
