@@ -1,7 +1,7 @@
 """Segments, lines and what is shared are not shuffled again."""
 
 from edigrain import queries as engine
-from edigrain.operators import judge, scopes, structure
+from edigrain.operators import judge, pairing, scopes, structure
 from edigrain.operators.store import share
 from edigrain.plans.transactions import DEFINITIONS
 from edigrain.sources import derived, x12
@@ -58,3 +58,41 @@ def test_shared_rows_stay_dealt_and_are_written_small(spark):
     assert not [x for x in _plan(shared.groupBy("doc").count()) if "Exchange" in x]
     assert shared.inputFiles() and all(x.endswith(".parquet") for x in shared.inputFiles())
     assert shared.count() == 2000 and shared.columns == rows.columns
+
+
+def test_shared_rows_are_dealt_over_as_many_buckets_as_asked(spark):
+    rows = spark.range(2000).selectExpr("id % 100 doc", "id seq")
+    shared = share(rows.repartition(12, "doc"), "doc", parts=12)
+    assert shared.groupBy("doc").count().rdd.getNumPartitions() == 12 and shared.count() == 2000
+
+
+def test_large_tables_are_dealt_in_proportion(spark, monkeypatch):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(derived, "LARGE", 1)
+    monkeypatch.setattr(derived, "LINES_A_PART", lines // 22)
+    assert derived.parts(spark, SF) == 24  # of a session's four, for 22 and some
+    monkeypatch.setattr(derived, "LARGE", lines + 1)
+    assert derived.parts(spark, SF) is None
+
+
+def test_keys_are_read_where_segments_are(spark):
+    definitions = structure.definition_rows(spark, DEFINITIONS)
+    segments = spark.createDataFrame([(1, "850", 0, "BEG", ["00", "SA", "P1"]), (2, "850", 0, "BEG", ["00", "SA", "P2"])], "doc long, set_code string, seq long, seg_id string, elements array<string>")
+    placed = structure.place_by(share(segments.repartition(4, "doc"), "doc"), definitions)
+    docs = spark.createDataFrame([(1, "850", "BEG03"), (2, "850", "BEG03")], "doc long, set_code string, ref string")
+    keys = _large(spark, pairing.x12_keys(placed, docs, definitions))
+    plan = _plan(keys)
+    walk = next(i for i, x in enumerate(plan) if "Window" in x)
+    own = plan[walk].index("Window")
+    # nothing above the placement moves its rows: exchanges above it would be its ancestors
+    assert not [x for x in plan[:walk] if "Exchange" in x and len(x) - len(x.lstrip(" :+-")) < own]
+    assert sorted(map(tuple, keys.collect())) == [(1, "P1"), (2, "P2")]
+
+
+def test_packed_transactions_keep_every_segment(spark):
+    odd = "ISA*00*" + " " * 10 + "*00*" + " " * 10 + "*ZZ*S" + " " * 14 + "*ZZ*R" + " " * 14 + "*260101*1200*U*00401*000000001*0*P*>~GS*PO~ST*850*1~BEG*00**a\x01b~~REF*\x02**~DTM~SE*5*1~ST*850*2~BEG*01~SE*3*2~GE*2~IEA*1~"
+    numbered = x12.number_envelopes(x12.tokenize(spark.createDataFrame([("f", odd)], "file_id string, text string")))
+    want = x12.transactions(numbered).select("file_id", "st_ix", "set_code", "control", "seq", "seg_id", "elements").collect()
+    got = x12.unpacked(x12.packed(numbered), "file_id", "st_ix", "set_code", "control").collect()
+    key = lambda r: (r.st_ix, r.seq)
+    assert len(want) == 8 and sorted(want, key=key) == sorted(got, key=key)
