@@ -10,20 +10,39 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..plans.spec import Format, Rule, Spec, parse_condition, parse_format, parse_outcome
 from ..plans.transactions import Definition
-from .judge import MISMATCH, holds, line_cells, paired_lines
+from .judge import MISMATCH, holds, line_reads, paired_lines
 from .scopes import cells, finish_read, first_read, leaves, loop_ids
 
 NEUTRAL = Format()
 
 
-def expected(rule: Rule, spec: Spec, read, count: Column) -> tuple[Column, Column]:
-    """(kind, typed value). read(path) is a variant: absent, null and empty are all
-    nothing. The format describes the target, so the source reads by its type
-    alone, and literals read as the target does."""
+class Reads:
+    """The paths that rules read, as columns in steps: the variant, then its text and
+    type, so that none is worked out twice. Absent, null and empty are all nothing."""
+
+    def __init__(self, rules: list[Rule]):
+        own = [n for r in rules if r.kind != "LOOP_COUNT" for n in [r.source, *(t.name for t in (parse_condition(r.condition) if r.condition else ()))] if n]
+        self.names = {path: f"r{i}" for i, path in enumerate(dict.fromkeys(own))}
+
+    def add(self, rows: DataFrame, read) -> DataFrame:
+        """read(path) is a variant."""
+        rows = rows.withColumns({n: read(path) for path, n in self.names.items()})
+        return rows.withColumns({n + k: c for n in self.names.values() for k, c in (("t", F.nullif(F.try_variant_get(n, "$", "string"), F.lit(""))), ("l", F.schema_of_variant(n)))})
+
+    def text(self, path: str) -> Column:
+        return F.col(self.names[path] + "t")
+
+    def leaf(self, path: str) -> Column:
+        return F.col(self.names[path] + "l")
+
+
+def expected(rule: Rule, spec: Spec, reads: Reads, count: Column) -> tuple[Column, Column]:
+    """(kind, typed value). The format describes the target, so the source reads by
+    its type alone, and literals read as the target does."""
     fmt = parse_format(rule.fmt)
     none = values.typed_x12(F.lit(None).cast("string"), rule.data_type, fmt)
     literal = lambda text: (F.lit("value"), values.typed_x12(F.lit(text), rule.data_type, fmt))
-    text = lambda path: F.nullif(F.try_variant_get(read(path), "$", "string"), F.lit(""))
+    text = reads.text
 
     def source() -> tuple[Column, Column]:
         raw = text(rule.source)
@@ -31,7 +50,7 @@ def expected(rule: Rule, spec: Spec, read, count: Column) -> tuple[Column, Colum
             got = F.try_element_at(F.create_map(*(F.lit(x) for kv in spec.code_lists[rule.code_list].items() for x in kv)), raw)
             typed = values.typed_x12(got, rule.data_type, fmt)
         else:
-            typed = values.typed_actual(raw, F.schema_of_variant(read(rule.source)), rule.data_type, NEUTRAL)
+            typed = values.typed_actual(raw, reads.leaf(rule.source), rule.data_type, NEUTRAL)
         kind = F.when(raw.isNull(), "untestable").when(typed.isNull(), "source_defect").otherwise("value")
         if rule.default is not None:
             k, v = literal(rule.default)
@@ -89,10 +108,10 @@ def header_findings(placed: DataFrame, docs: DataFrame, spec: Spec, definition:
     for i, r in enumerate(rules):
         first, found = first_read(r.target, r.context, definition)
         aggs += [first.alias(f"p{i}"), found.alias(f"q{i}")]
-    rows = docs.join(placed.groupBy("doc").agg(*aggs), "doc")
-    read = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    reads = Reads(rules)
+    rows = reads.add(docs.join(placed.groupBy("doc").agg(*aggs), "doc"), lambda path: F.try_variant_get("v", f"$.{path}", "variant"))
     count = lambda r: F.coalesce(F.expr(f"size(try_variant_get(v, '$.{(r.source or '').removesuffix('[]')}', 'array<variant>'))"), F.lit(0))
-    own = [(r, *expected(r, spec, read, count(r) if r.kind == "LOOP_COUNT" else F.lit(None)), finish_read(f"p{i}", f"q{i}", r.target)) for i, r in enumerate(rules)]
+    own = [(r, *expected(r, spec, reads, count(r) if r.kind == "LOOP_COUNT" else F.lit(None)), finish_read(f"p{i}", f"q{i}", r.target)) for i, r in enumerate(rules)]
     return _judged(rows, own, F.lit(None), F.lit(False))
 
 
@@ -101,10 +120,13 @@ def line_findings(placed: DataFrame, docs: DataFrame, spec: Spec, definition: De
     with the occurrences of the line loop, both ways; an occurrence without an
     entry is a wrong count for each element it holds."""
     rules = [r for r in spec.rules if r.is_line]
-    rows = paired_lines(line_cells(placed, definition, sorted({r.target for r in rules})), docs, spec.list_path, "v")
-    head = f"{spec.list_path}[]."
-    read = lambda path: F.try_variant_get("item", "$." + path.removeprefix(head), "variant") if path.startswith(head) else F.try_variant_get("v", f"$.{path}", "variant")
-    return _judged(rows, [(r, *expected(r, spec, read, F.lit(None)), F.col(r.target)) for r in rules], F.col("line_ix"), F.col("item").isNull())
+    reads, head = Reads(rules), f"{spec.list_path}[]."
+    # what lines read of their document is read once for all of them
+    lent = {path: f"h{i}" for i, path in enumerate(p for p in reads.names if not p.startswith(head))}
+    docs = docs.withColumns({n: F.try_variant_get("v", f"$.{path}", "variant") for path, n in lent.items()})
+    rows = paired_lines(line_reads(placed, definition, sorted({r.target for r in rules})), docs, spec.list_path, *lent.values(), place="run")
+    rows = reads.add(rows, lambda path: F.col(lent[path]) if path in lent else F.try_variant_get("item", "$." + path.removeprefix(head), "variant"))
+    return _judged(rows, [(r, *expected(r, spec, reads, F.lit(None)), F.col(r.target)) for r in rules], F.col("line_ix"), F.col("item").isNull())
 
 
 def unmapped_source(docs: DataFrame, spec: Spec) -> DataFrame:
