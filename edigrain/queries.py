@@ -34,7 +34,8 @@ def _segments(rows: list[tuple[Column, list]]) -> Column:
 
 
 def _explode(df: DataFrame, body: Column) -> DataFrame:
-    return df.select(F.col("o_orderkey").alias("doc"), F.posexplode(body).alias("seq", "s")).select("doc", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
+    # bodies have a head: as outer rows they aren't made once more to be counted
+    return df.select(F.col("o_orderkey").alias("doc"), F.posexplode_outer(body).alias("seq", "s")).select("doc", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
 
 
 # --- sources and envelope
@@ -294,7 +295,7 @@ def _mixed(spark, sf_dir) -> DataFrame:
     ordered = _body([("BEG", ["00"]), ("N1", ["ST", "x"]), ("N4", ["y"])], lambda x: [("PO1", [x["line_ix"], x["qty"], "EA"]), ("PID", ["F"])], [("CTT", [F.size("lines") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)])])
     o = derived.orders(spark, sf_dir).withColumn("set_code", F.when(k == 0, "850").when(k == 1, "855").otherwise("856"))
     body = F.when(k == 0, ordered).when(k == 1, acked).otherwise(shipped)
-    return o.select(F.col("o_orderkey").alias("doc"), "set_code", F.posexplode(body).alias("seq", "s")).select("doc", "set_code", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
+    return o.select(F.col("o_orderkey").alias("doc"), "set_code", F.posexplode_outer(body).alias("seq", "s")).select("doc", "set_code", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
 
 
 def mixed_placement(spark, sf_dir):

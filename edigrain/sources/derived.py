@@ -46,11 +46,11 @@ def lines(spark, sf_dir: str) -> DataFrame:
     """(doc, lines, total): the lines of each order, in order of all columns, as an
     array of line_ix (from 1), qty, unit, price, part and supplier."""
     price = F.col("l_extendedprice").cast("decimal(18,2)")
-    own = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.struct(*LINE_COLUMNS).alias("l"), price.alias("price"))
-    own = dealt(own, spark, sf_dir, "doc").groupBy("doc").agg(F.sort_array(F.collect_list("l")).alias("lines"), F.sum("price").alias("total"))
+    own = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.struct(*LINE_COLUMNS, price.alias("price")).alias("l"))
+    own = dealt(own, spark, sf_dir, "doc").groupBy("doc").agg(F.sort_array(F.collect_list("l")).alias("lines"), F.sum("l.price").alias("total"))
     flag = lambda l: F.when(l["l_returnflag"] == "A", "EA").when(l["l_returnflag"] == "N", "CA").otherwise("DZ")  # noqa: E731, E741
     line = lambda l, i: F.struct(  # noqa: E731, E741
-        (i + 1).alias("line_ix"), l["l_quantity"].cast("int").alias("qty"), flag(l).alias("unit"), l["l_extendedprice"].cast("decimal(18,2)").alias("price"), l["l_partkey"].alias("part"), l["l_suppkey"].alias("supplier"),
+        (i + 1).alias("line_ix"), l["l_quantity"].cast("int").alias("qty"), flag(l).alias("unit"), l["price"].alias("price"), l["l_partkey"].alias("part"), l["l_suppkey"].alias("supplier"),
     )
     return own.select("doc", F.transform("lines", line).alias("lines"), "total")
 
@@ -106,9 +106,10 @@ def _transactions(o: DataFrame) -> DataFrame:
 
 
 def transaction_segments(spark, sf_dir: str, o: DataFrame | None = None) -> DataFrame:
-    """doc, seq, seg_id, elements, from ST to SE; o is `orders`, if at hand."""
+    """doc, seq, seg_id, elements, from ST to SE; o is `orders`, if at hand. No
+    transaction is empty: exploded as outer rows, it isn't made once more to be counted."""
     own = _transactions(orders(spark, sf_dir) if o is None else o)
-    return own.select("doc", F.posexplode("whole").alias("seq", "s")).select("doc", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
+    return own.select("doc", F.posexplode_outer("whole").alias("seq", "s")).select("doc", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
 
 
 def interchange_text(spark, sf_dir: str, per_file: int = 20, o: DataFrame | None = None) -> DataFrame:
