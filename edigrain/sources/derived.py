@@ -26,6 +26,8 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
 #: Lines that one partition holds, so that their segments are sorted in some hundred
 #: MB; tables below LARGE lines are left to Spark.
 LINES_A_PART, LARGE = 60_000, 2_400_000
+#: Customers that are too many to be sent to every executor.
+MANY_CUSTOMERS = 500_000
 
 
 def parts(spark, sf_dir: str) -> int | None:
@@ -63,7 +65,10 @@ def orders(spark, sf_dir: str) -> DataFrame:
     """A row for each order with its lines, in order, as an array. Lines are met last,
     so that orders stay dealt by their key and their segments need no shuffle."""
     cust = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").join(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
-    o = _table(spark, sf_dir, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
+    o = _table(spark, sf_dir, "orders")
+    if _table(spark, sf_dir, "customer").count() > MANY_CUSTOMERS:  # they meet in as many parts as lines do
+        o, cust = dealt(o, spark, sf_dir, "o_custkey"), dealt(cust, spark, sf_dir, "c_custkey")
+    o = o.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
     own = lines(spark, sf_dir)
     o = o.join(own, F.col("o_orderkey") == F.col("doc"), "left").drop("doc")
     return o.withColumn("lines", F.coalesce("lines", F.array().cast(o.schema["lines"].dataType))).withColumn("total", F.coalesce("total", F.lit(0).cast("decimal(28,2)")))

@@ -60,3 +60,18 @@ def test_plain_numbers_read_as_before(spark):
     pairs = [("1.50", "1.5", True), ("1", "1", True), ("-0", "0", True), ("1", "2", False), (None, "1", None), ("1", None, None)]
     rows = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", values.same(F.col("a"), F.col("b"), "decimal", Format()).alias("got"))
     assert all(r.want == r.got for r in rows.collect())
+
+
+def test_orders_meet_many_customers_in_as_many_parts_as_lines(spark, monkeypatch):
+    want = {tuple(r) for r in derived.orders(spark, SF).select("o_orderkey", "c_name", F.size("lines")).collect()}
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    for name, value in (("LARGE", 1), ("LINES_A_PART", lines // 22), ("MANY_CUSTOMERS", 1)):
+        monkeypatch.setattr(derived, name, value)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = derived.orders(spark, SF).select("o_orderkey", "c_name", F.size("lines"))
+        moved = [x for x in _plan(own) if "hashpartitioning(o_custkey" in x or "hashpartitioning(c_custkey" in x]
+        assert len(moved) == 2 and all(", 24)" in x for x in moved)
+        assert {tuple(r) for r in own.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
