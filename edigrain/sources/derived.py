@@ -26,6 +26,9 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
 #: Lines that one partition holds, so that their segments are sorted in some hundred
 #: MB; tables below LARGE lines are left to Spark.
 LINES_A_PART, LARGE = 60_000, 2_400_000
+#: Lines that one task reads at most, where their files can be split so: what it deals
+#: out is held in memory, in some 170 MB, or else spilled.
+LINES_A_READ = 1_000_000
 #: Customers that are too many to be sent to every executor.
 MANY_CUSTOMERS = 500_000
 
@@ -38,6 +41,14 @@ def parts(spark, sf_dir: str) -> int | None:
     return own * -(-n // (own * LINES_A_PART)) if n >= LARGE else None
 
 
+def read_apart(spark, sf_dir: str) -> None:
+    """From now on the session reads files in as many tasks, at least, as large tables
+    of lines need; a session that asks for more is left alone."""
+    n, key = _table(spark, sf_dir, "lineitem").count(), "spark.sql.files.minPartitionNum"
+    if n >= LARGE and int(spark.conf.get(key, None) or 0) < -(-n // LINES_A_READ):
+        spark.conf.set(key, str(-(-n // LINES_A_READ)))
+
+
 def dealt(df: DataFrame, spark, sf_dir: str, key: str) -> DataFrame:
     """df dealt by key over `parts`."""
     n = parts(spark, sf_dir)
@@ -47,6 +58,7 @@ def dealt(df: DataFrame, spark, sf_dir: str, key: str) -> DataFrame:
 def lines(spark, sf_dir: str) -> DataFrame:
     """(doc, lines, total): the lines of each order, in order of all columns, as an
     array of line_ix (from 1), qty, unit, price, part and supplier."""
+    read_apart(spark, sf_dir)
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     own = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.struct(*LINE_COLUMNS, price.alias("price")).alias("l"))
     own = dealt(own, spark, sf_dir, "doc").groupBy("doc").agg(F.sort_array(F.collect_list("l")).alias("lines"), F.sum("l.price").alias("total"))
@@ -68,7 +80,15 @@ def orders(spark, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders")
     if _table(spark, sf_dir, "customer").count() > MANY_CUSTOMERS:  # they meet in as many parts as lines do
         o, cust = dealt(o, spark, sf_dir, "o_custkey"), dealt(cust, spark, sf_dir, "c_custkey")
-    o = o.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return _with_lines(o.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left"), spark, sf_dir)
+
+
+def ordered(spark, sf_dir: str) -> DataFrame:
+    """`orders` without their customers, which then need not move."""
+    return _with_lines(_table(spark, sf_dir, "orders"), spark, sf_dir)
+
+
+def _with_lines(o: DataFrame, spark, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir)
     o = o.join(own, F.col("o_orderkey") == F.col("doc"), "left").drop("doc")
     return o.withColumn("lines", F.coalesce("lines", F.array().cast(o.schema["lines"].dataType))).withColumn("total", F.coalesce("total", F.lit(0).cast("decimal(28,2)")))

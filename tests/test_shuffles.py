@@ -96,3 +96,26 @@ def test_packed_transactions_keep_every_segment(spark):
     got = x12.unpacked(x12.packed(numbered), "file_id", "st_ix", "set_code", "control").collect()
     key = lambda r: (r.st_ix, r.seq)
     assert len(want) == 8 and sorted(want, key=key) == sorted(got, key=key)
+
+
+def test_large_tables_are_read_in_as_many_tasks_as_lines_need(spark, monkeypatch):
+    """What a task reads it deals out from memory: files of any size are split by lines."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(derived, "LARGE", 1)
+    monkeypatch.setattr(derived, "LINES_A_READ", lines // 22)
+    key = "spark.sql.files.minPartitionNum"
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        derived.lines(spark, SF)
+        assert int(spark.conf.get(key)) in (22, 23)
+        assert spark.read.parquet(f"{SF}/lineitem.parquet").rdd.getNumPartitions() >= 22
+        spark.conf.set(key, "99")
+        derived.lines(spark, SF)
+        assert spark.conf.get(key) == "99"  # a session may ask for more
+        spark.conf.unset(key)
+        monkeypatch.setattr(derived, "LARGE", lines + 1)
+        derived.lines(spark, SF)
+        assert spark.conf.get(key, None) is None
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
