@@ -293,7 +293,7 @@ def _mixed(spark, sf_dir) -> DataFrame:
     shipped = _body([("BSN", ["00", "1"]), ("HL", ["1", "", "S"]), ("TD1", ["CTN25", "1"]), ("N1", ["SF", "x"]), ("N4", ["y"])], lambda x: [("HL", [x["line_ix"] + 1, "1", "I"]), ("SN1", ["", x["qty"], "EA"])], [("CTT", [F.size("lines") + 1])])
     acked = _body([("BAK", ["00"]), ("ZZZ", ["?"])], lambda x: [("PO1", [x["line_ix"], x["qty"], "EA"]), ("ACK", ["IA", x["qty"] - F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)])], [("CTT", [F.size("lines")])])
     ordered = _body([("BEG", ["00"]), ("N1", ["ST", "x"]), ("N4", ["y"])], lambda x: [("PO1", [x["line_ix"], x["qty"], "EA"]), ("PID", ["F"])], [("CTT", [F.size("lines") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)])])
-    o = derived.orders(spark, sf_dir).withColumn("set_code", F.when(k == 0, "850").when(k == 1, "855").otherwise("856"))
+    o = derived.ordered(spark, sf_dir).withColumn("set_code", F.when(k == 0, "850").when(k == 1, "855").otherwise("856"))
     body = F.when(k == 0, ordered).when(k == 1, acked).otherwise(shipped)
     return o.select(F.col("o_orderkey").alias("doc"), "set_code", F.posexplode_outer(body).alias("seq", "s")).select("doc", "set_code", F.col("seq").cast("long").alias("seq"), "s.seg_id", "s.elements")
 
@@ -495,7 +495,7 @@ def top_root_causes(spark, sf_dir):
 
 
 def _lines_of(spark, sf_dir) -> DataFrame:
-    return derived.orders(spark, sf_dir)
+    return derived.ordered(spark, sf_dir)
 
 
 def _body(head: list, line, tail: list) -> Column:

@@ -119,3 +119,8 @@ def test_large_tables_are_read_in_as_many_tasks_as_lines_need(spark, monkeypatch
     finally:
         spark.conf.unset(key)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_shipments_and_mixed_sets_move_no_customers(spark):
+    for rows in (engine._shipment(spark, SF), engine._mixed(spark, SF)):
+        assert not [x for x in _plan(rows) if "custkey" in x]
