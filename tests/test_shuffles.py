@@ -124,3 +124,18 @@ def test_large_tables_are_read_in_as_many_tasks_as_lines_need(spark, monkeypatch
 def test_shipments_and_mixed_sets_move_no_customers(spark):
     for rows in (engine._shipment(spark, SF), engine._mixed(spark, SF)):
         assert not [x for x in _plan(rows) if "custkey" in x]
+
+
+def test_segments_and_documents_share_their_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(derived, "LARGE", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(_large(spark, engine.queries()["rule_default"](spark, SF)))
+        assert len([x for x in plan if "- Exchange hashpartitioning(doc" in x]) == 1
+        assert len([x for x in plan if "ReusedExchange" in x]) == 2  # of lines, and of orders
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    kept = derived.output_documents(spark, SF).select("doc").collect()
+    want = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 23 <> 0").select("o_orderkey").collect()
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, want))
