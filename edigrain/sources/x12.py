@@ -145,15 +145,16 @@ def ids_match(a: Column, b: Column) -> Column:
 def control_issues(numbered: DataFrame) -> DataFrame:
     """file_id, opened, issue, expected, actual of every trailer that doesn't add
     up, and of envelopes that were never closed; opened is the control number of
-    the transaction, group or interchange. All three levels are sets of one
-    grouping, so the segments are read once and shuffled as partial counts."""
+    the transaction, group or interchange. All three levels are keys of one
+    grouping, so the segments are read once, and files that are dealt stay so."""
     has = lambda s: F.max((F.col("seg_id") == s).cast("int"))
     at = lambda s, i: F.max(F.when(F.col("seg_id") == s, element(i)))
     level = lambda opener, trailer, head, found: F.struct(F.lit(trailer).alias("kind"), found.cast("bigint").alias("found"), at(opener, head).alias("opened"), at(trailer, 1).alias("claimed"), at(trailer, 2).alias("closed"), has(trailer).alias("has"), has(opener).alias("had"))
     n = lambda s: F.count_if(F.col("seg_id") == s)
-    levels = {2: level("ST", "SE", 2, F.count_if("in_st")), 1: level("GS", "GE", 6, n("ST")), 3: level("ISA", "IEA", 13, n("GS"))}  # by grouping_id
-    own = numbered.groupingSets([["file_id", "isa_ix", "st_ix"], ["file_id", "isa_ix", "gs_ix"], ["file_id", "isa_ix"]], "file_id", "isa_ix", "gs_ix", "st_ix").agg(F.grouping_id().alias("level"), *(c.alias(f"l{k}") for k, c in levels.items()))
-    own = own.select("file_id", F.when(F.col("level") == 2, F.col("l2")).when(F.col("level") == 1, F.col("l1")).otherwise(F.col("l3")).alias("t")).where("t.had = 1").select("file_id", "t.*")
+    levels = [("st_ix", level("ST", "SE", 2, F.count_if("in_st"))), ("gs_ix", level("GS", "GE", 6, n("ST"))), (None, level("ISA", "IEA", 13, n("GS")))]
+    at_level = F.inline(F.array(*(F.struct(F.lit(i), (F.col(ix) if ix else F.lit(None)).cast("int")) for i, (ix, _) in enumerate(levels)))).alias("level", "ix")
+    own = numbered.select("file_id", "isa_ix", "in_st", "seg_id", "elements", at_level).groupBy("file_id", "isa_ix", "level", "ix").agg(*(c.alias(f"l{i}") for i, (_, c) in enumerate(levels)))
+    own = own.select("file_id", F.when(F.col("level") == 0, F.col("l0")).when(F.col("level") == 1, F.col("l1")).otherwise(F.col("l2")).alias("t")).where("t.had = 1").select("file_id", "t.*")
     claimed = F.expr("try_cast(claimed AS BIGINT)")
     closed, name, text = F.col("has") == 1, F.lower("kind"), F.lit(None).cast("string")
     wrong = closed & ((claimed.isNull() & (F.col("kind") != "IEA")) | (claimed != F.col("found")))

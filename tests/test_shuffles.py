@@ -139,3 +139,12 @@ def test_segments_and_documents_share_their_shuffles(spark, monkeypatch):
     kept = derived.output_documents(spark, SF).select("doc").collect()
     want = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 23 <> 0").select("o_orderkey").collect()
     assert sorted(map(tuple, kept)) == sorted(map(tuple, want))
+
+
+def test_envelopes_are_checked_where_files_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(derived, "LARGE", 1)
+    try:
+        numbered = x12.number_envelopes(x12.tokenize(derived.interchange_text(spark, SF)))
+        assert not [x for x in _above(_large(spark, x12.control_issues(numbered)), "Generate posexplode") if "Exchange" in x]
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
