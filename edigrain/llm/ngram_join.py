@@ -21,7 +21,9 @@ connected component.
    opened and compared exactly. Groups above `block` sets are cut into blocks;
    blocks are linked first within, then through one set of each subgroup; of
    what is still apart, counts in hashed cells bound the overlap of any two sets
-   of two blocks, and those that may link are compared.
+   of two blocks, and those that may link are compared. What goes to the blocks is
+   the text of a set, or its hashes where these are shorter: hashes do not
+   compress, and most sets of a large corpus share a group with some other.
 
 Null, empty and odd input: documents without words, or with null text, have an
 empty set and link with nothing; shorter texts than `k` words are one shingle. A
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, materialize, mix64, slices, table, tidy, word_hashes
+from .common import RollingHash, discard, materialize, mix64, slices, table, tidy, word_hashes
 from .graph import components
 
 BASE = 0x9E3779B97F4A7C15
@@ -316,30 +318,55 @@ def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def _link(percent: int):
+_HASHES, _TEXT = b"\0", b"\1"
+
+
+def pack(sets: list[tuple[bytes, int]], k: int) -> list[bytes]:
+    """(text, size) of each set as its text, or as its hashes if they take less; the
+    last byte tells which."""
+    short = [i for i, (t, n) in enumerate(sets) if 8 * n < len(t)]
+    hashes = dict(zip(short, shingle_sets([sets[i][0] for i in short], k)))
+    return [hashes[i].tobytes() + _HASHES if i in hashes else t + _TEXT for i, (t, _) in enumerate(sets)]
+
+
+def unpack(own: list[bytes], k: int, max_bytes: int = 4 << 20) -> list[np.ndarray]:
+    """The sets again, about max_bytes of texts at a time."""
+    out = [np.frombuffer(x, dtype=np.uint64, count=len(x) // 8) if x[-1:] == _HASHES else None for x in own]
+    part, size = [], 0
+    for i in [*(i for i, x in enumerate(out) if x is None), None]:
+        if part and (i is None or size + len(own[i]) > max_bytes):
+            for j, x in zip(part, shingle_sets([own[j][:-1] for j in part], k)):
+                out[j] = x
+            part, size = [], 0
+        if i is not None:
+            part.append(i)
+            size += len(own[i])
+    return out
+
+
+def _link(k: int, percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sid = pdf["sid"].to_numpy()
-        root = link_sets([x.view(np.uint64) if isinstance(x, np.ndarray) else np.array(x, dtype=np.int64).view(np.uint64) for x in pdf["own"]], percent)
+        root = link_sets(unpack(pdf["own"].tolist(), k), percent)
         return pd.DataFrame({"a": sid, "b": sid[root]})
 
     return run
 
 
-def _across(percent: int):
+def _across(k: int, percent: int):
     """Links between two blocks of one group, only between parts still apart."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            sets = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in right["own"]]
+            sets = unpack(right["own"].tolist(), k)
             roots, place = np.unique(right["root"].to_numpy(), return_inverse=True)
             columns = np.uint64(columns_for(sets, len(roots)))
             matrix = np.zeros((len(roots), int(columns)), dtype=bool)
             for g, s in zip(place, sets):
                 matrix[g, (s % columns).astype(np.int64)] = True
             done = set()
-            for sid, root, x in zip(left["sid"], left["root"], left["own"]):
-                own = np.asarray(x, dtype=np.int64).view(np.uint64)
+            for sid, root, own in zip(left["sid"], left["root"], unpack(left["own"].tolist(), k)):
                 at = (own % columns).astype(np.int64)
                 bound = overlaps(matrix, at)
                 for g in np.flatnonzero(100 * bound >= percent * len(own)).tolist():
@@ -356,16 +383,18 @@ def _across(percent: int):
 CELLS_OF_SKETCH = 1024
 
 
-def _sketch(batches):
+def _sketch(k: int):
     """Counts of a set's shingles in hashed cells: the sum of the lesser counts
     of two sets is at least their overlap."""
-    for batch in batches:
-        out = []
-        for x in batch.column("own").to_pylist():
-            cells = np.array(x, dtype=np.int64).view(np.uint64) % np.uint64(CELLS_OF_SKETCH)
-            out.append(np.bincount(cells.astype(np.int64), minlength=CELLS_OF_SKETCH).astype(np.uint16).tobytes())
-        names = ["grp", "blk", "sid", "root", "n"]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out, pa.binary())], [*names, "sketch"])
+
+    def run(batches):
+        for batch in slices(batches, "own"):
+            sets = unpack(batch.column("own").to_pylist(), k)
+            out = [np.bincount((x % np.uint64(CELLS_OF_SKETCH)).astype(np.int64), minlength=CELLS_OF_SKETCH).astype(np.uint16).tobytes() for x in sets]
+            names = ["grp", "blk", "sid", "root"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array([len(x) for x in sets], pa.int32()), pa.array(out, pa.binary())], [*names, "n", "sketch"])
+
+    return run
 
 
 def _suspects(percent: int):
@@ -392,13 +421,24 @@ def _suspects(percent: int):
     return run
 
 
-def _sets(k: int):
+_PLACES = "array<struct<grp:long,blk:int,m:long>>"
+
+
+def _packed(k: int):
+    """(sid, places, own) of each set. Rows of one id and text follow each other and
+    count once; any that come twice all the same would link with themselves."""
+
     def run(batches):
+        last = None
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text").to_pylist(), k)
-            # rows of one id may differ in text: only the set asked for is kept
-            out = pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "own"])
-            yield out.filter(pa.array(set_ids(sets).view(np.int64) == batch.column("sid").to_numpy()))
+            sid = batch.column("sid").to_numpy()
+            lead = np.ones(len(sid), dtype=bool)
+            lead[1:] = sid[1:] != sid[:-1]
+            lead[0] = sid[0] != last
+            last = sid[-1]
+            batch = batch.filter(pa.array(lead))
+            own = pack(list(zip(batch.column("text").to_pylist(), batch.column("n").to_pylist())), k)
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("places"), pa.array(own, pa.binary())], ["sid", "places", "own"])
 
     return run
 
@@ -422,7 +462,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     del sigs
     tidy(docs.sparkSession)
     # one document of each distinct set in a group brings the set itself
-    heads = own.where(F.col("n") > 0).groupBy("sid").agg(F.min("id").alias("head"), F.max("n").alias("n"), F.first("lots").alias("lots")).join(groups, F.col("sid") == F.col("node")).select("sid", "head", "n", F.explode("lots").alias("lot"), F.col("root").alias("grp"))
+    heads = own.where(F.col("n") > 0).groupBy("sid").agg(F.min(F.struct("id", "key")).alias("head"), F.max("n").alias("n"), F.first("lots").alias("lots")).join(groups, F.col("sid") == F.col("node")).select("sid", "head", "n", F.explode("lots").alias("lot"), F.col("root").alias("grp"))
     # sets link within a neighbourhood of sizes only: a group for each
     # blocks hold about `block` sets, and not more than about `tokens` shingles; a
     # hash deals a large group into even blocks without sorting it anywhere
@@ -430,22 +470,23 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     # a large group's sets meet its size in sixteen tasks
     salt = F.expr("pmod(xxhash64(sid, 2), 16)").cast("int")
     heads = heads.withColumn("salt", salt).join(size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["grp", "lot", "salt"])
-    heads = materialize(heads.select("sid", "head", "m", F.xxhash64("grp", "lot").alias("grp"), F.expr(f"pmod(xxhash64(sid), ceil(m / {block}))").cast("int").alias("blk")))
-    wanted = heads.groupBy("sid").agg(F.min("head").alias("head"))
+    heads = materialize(heads.select("sid", "head", "n", "m", F.xxhash64("grp", "lot").alias("grp"), F.expr(f"pmod(xxhash64(sid), ceil(m / {block}))").cast("int").alias("blk")))
+    wanted = heads.groupBy("sid").agg(F.min("head").alias("head"), F.max("n").alias("n"), F.collect_list(F.struct("grp", "blk", "m")).alias("places"))
     # the wanted ids grow with the corpus: never broadcast
-    texts = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("head"))).select("sid", "text")
-    fetched = texts.mapInArrow(_sets(k), "sid long, own array<long>").dropDuplicates(["sid"])
-    blocked = materialize(heads.select("grp", "blk", "sid", "m").join(fetched, "sid"))
-    del fetched, texts
+    texts = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))).select("sid", "n", F.col("places").cast(_PLACES).alias("places"), "text")
+    # texts go from here to their blocks at once, and are dealt by nothing in between
+    packed = texts.mapInArrow(_packed(k), f"sid long, places {_PLACES}, own binary")
+    blocked = materialize(packed.select("sid", "own", F.explode("places").alias("at")).select("at.grp", "at.blk", "sid", "at.m", "own"))
+    del packed, texts
     tidy(docs.sparkSession)
-    links = materialize(blocked.groupBy("grp", "blk").applyInPandas(_link(percent), "a long, b long"))
+    links = materialize(blocked.groupBy("grp", "blk").applyInPandas(_link(k, percent), "a long, b long"))
     over = blocked.where(F.col("m") > block)
     if over.limit(1).count():
         sets = over.select("sid", "own").dropDuplicates(["sid"])
         places = over.select("grp", "blk", "sid", "m")  # joined without the sets
         heads2 = places.join(links.where(F.col("a") == F.col("b")).select(F.col("a").alias("sid")).distinct(), "sid", "left_semi")
         heads2 = heads2.select("grp", "sid", F.expr(f"pmod(xxhash64(sid, 1), ceil(m / {2 * block}))").cast("int").alias("lot")).join(sets, "sid")
-        links = materialize(links.unionByName(heads2.select("grp", "lot", "sid", "own").groupBy("grp", "lot").applyInPandas(_link(percent), "a long, b long")))
+        links = materialize(links.unionByName(heads2.select("grp", "lot", "sid", "own").groupBy("grp", "lot").applyInPandas(_link(k, percent), "a long, b long")))
         roots = components(links).withColumnRenamed("node", "sid")
         parts = places.drop("m").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         apart = parts.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
@@ -454,7 +495,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
         pairs = blks.join(blks.withColumnRenamed("blk", "blk2"), "grp").where("blk <= blk2")
         # counts in hashed cells tell which sets need comparing at all
         keys = ["grp", "blk", "blk2"]
-        small = materialize(parts.join(sets, "sid").withColumn("n", F.size("own")).select("grp", "blk", "sid", "root", "n", "own").mapInArrow(_sketch, "grp long, blk int, sid long, root long, n int, sketch binary"))
+        small = materialize(parts.join(sets, "sid").select("grp", "blk", "sid", "root", "own").mapInArrow(_sketch(k), "grp long, blk int, sid long, root long, n int, sketch binary"))
         cols = [*keys, "sid", "root", "n", "sketch"]
         left = small.join(pairs, ["grp", "blk"]).select(cols).toDF(*cols)
         right = small.withColumnRenamed("blk", "blk2").join(pairs, ["grp", "blk2"]).select(cols).toDF(*cols)
@@ -463,9 +504,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
         named = parts.select("grp", "sid", "root")
         left = near.where("side = 0").drop("side").join(named, ["grp", "sid"]).join(sets, "sid").select(cols).toDF(*cols)
         right = near.where("side = 1").drop("side").join(named, ["grp", "sid"]).join(sets, "sid").select(cols).toDF(*cols)
-        more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across(percent), "a long, b long")
+        more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across(k, percent), "a long, b long")
         links = links.unionByName(materialize(more))
     linked = components(links.where("a <> b"))
+    discard(blocked)
+    tidy(docs.sparkSession)
     named = own.join(linked, own["sid"] == F.col("node"), "left").select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("part"), F.expr("pmod(xxhash64(id, key), 16)").cast("int").alias("salt"))
     least = named.where(F.col("part").isNotNull()).groupBy("part").agg(F.min("id").alias("low"), F.count("*").alias("held")).where(F.col("held") > 1).select("part", "low")
     out = named.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["part", "salt"], "left")
