@@ -777,14 +777,15 @@ def line_surplus(spark, sf_dir):
 
 
 def xml_fold(spark, sf_dir):
-    """XML documents to leaves; each 9th declares a document type and is left out."""
-    o = derived.orders(spark, sf_dir)
+    """XML documents to leaves; each 9th declares a document type and is left out.
+    Files bear their order's key as a number until the end, by which they are dealt."""
+    o = derived.ordered(spark, sf_dir)
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c.cast("string"), F.lit(f"</{name}>"))
     items = F.array_join(F.transform("lines", lambda x: F.concat(F.lit('<ITEM SEGMENT="1">'), tag("QTY", x["qty"]), tag("PART", x["part"]), F.lit("</ITEM>"))), "\n")
     text = F.concat(F.when(F.col("o_orderkey") % 9 == 0, "<!doctype x>").otherwise("<?xml version='1.0'?>"), F.lit("<ORDERS><IDOC><HEAD>"), tag("PO", F.concat(F.lit("PO"), "o_orderkey")), tag("CUST", F.col("o_custkey")), F.lit("<NIL/></HEAD>"), items, F.lit("<SUMS><KIND>001</KIND>"), tag("N", F.size("lines")), F.lit("</SUMS></IDOC></ORDERS>"))
-    rows = documents.xml_records(o.select(F.col("o_orderkey").cast("string").alias("file_id"), text.alias("text")))
+    rows = documents.xml_records(o.select(F.col("o_orderkey").alias("file_id"), text.alias("text")))
     layout = [documents.Record("HEAD", "object", "header", (("po", "PO"), ("cust", "CUST"))), documents.Record("ITEM", "line", "lines", (("qty", "QTY"), ("part", "PART"))), documents.Record("SUMS", "keyed", "summary", (("kind", "KIND"), ("n", "N")), "kind", "n")]
-    return documents.layout_leaves(rows, layout).select("file_id", "norm_path", F.coalesce("line_ix", F.lit(-1)).alias("line_ix"), "leaf_text")
+    return documents.layout_leaves(rows, layout).select(F.col("file_id").cast("string").alias("file_id"), "norm_path", F.coalesce("line_ix", F.lit(-1)).alias("line_ix"), "leaf_text")
 
 
 def xml_guard(spark, sf_dir):

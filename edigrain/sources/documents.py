@@ -52,7 +52,8 @@ def xml_records(files: DataFrame) -> DataFrame:
     """(file_id, text) of XML to file_id, line_no, record, fields: an element with
     elements inside is a record, in document order, and an element with text alone
     is a field of the record around it (the first of a name wins). XML with a
-    document type gives no rows."""
+    document type gives no rows. Files that are dealt by file_id are not shuffled;
+    of others, all elements are, which are many times their text."""
     clean = F.regexp_replace("text", r"(?s)<!--.*?-->|<\?.*?\?>", "")
     tags = files.where(~guard_xml(F.col("text"))).select("file_id", F.posexplode(F.regexp_extract_all(clean, F.lit(r"(?s)<[^>]+>[^<]*"), F.lit(0))).alias("at", "tag"))
     name = F.regexp_extract("tag", r"^</?([^\s/>]+)", 1)
@@ -69,10 +70,13 @@ def xml_records(files: DataFrame) -> DataFrame:
     plain = F.col("inner")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    records = rows.where("opens").select("file_id", F.col("at").alias("line_no"), F.col("name").alias("record"))
-    cells = rows.where("leaf").groupBy("file_id", F.col("owner").alias("line_no"), "name").agg(F.min_by(F.trim(plain), "at").alias("value"))
-    cells = cells.groupBy("file_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fields"))
-    return records.join(cells, ["file_id", "line_no"], "left")
+    # a record and its fields meet in one grouping, so that files that are dealt stay so
+    cell = F.when(F.col("leaf"), F.struct("name", "at", F.trim(plain).alias("value")))
+    own = rows.where("opens or leaf").groupBy("file_id", F.when(F.col("opens"), F.col("at")).otherwise(F.col("owner")).alias("line_no"))
+    own = own.agg(F.max(F.when(F.col("opens"), F.col("name"))).alias("record"), F.sort_array(F.collect_list(cell)).alias("cells")).where("record is not null")
+    first = F.filter("cells", lambda x, i: (i == 0) | (F.get("cells", i - 1)["name"] != x["name"]))
+    fields = F.when(F.size("cells") > 0, F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"], x["value"]))))
+    return own.select("file_id", "line_no", "record", fields.alias("fields"))
 
 
 def flat_leaves(lines: DataFrame) -> DataFrame:

@@ -45,6 +45,11 @@ def test_files_are_numbered_where_they_arise(spark):
     assert not [x for x in _above(numbered, "Generate") if "Exchange" in x]
 
 
+def test_xml_of_dealt_files_is_not_shuffled(spark):
+    leaves = _large(spark, engine.xml_fold(spark, SF))
+    assert not [x for x in _above(leaves, "Generate posexplode") if "Exchange" in x or "Join" in x]
+
+
 def test_lines_of_both_sides_meet_by_document(spark):
     own = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d")], "doc long, line_ix int, x string")
     docs = spark.createDataFrame([(1, '{"lines": [{"q": 1}]}'), (2, '{"lines": [{"q": 2}, {"q": 3}]}'), (4, '{"lines": {"k": {"q": 4}}}'), (5, "{}")], "doc long, j string").selectExpr("doc", "parse_json(j) v")
