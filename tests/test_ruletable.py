@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from edigrain.operators import judge, ruletable, structure
 from edigrain.plans.spec import PURCHASE_ORDER
 from edigrain.plans.transactions import DEFINITIONS
-from edigrain.queries import _mixed, _rule_rows
+from edigrain.queries import _mixed, _rule_rows, rules_as_rows
 
 SF = "/root/testdata/sf0.001"
 TEXT = [
@@ -58,3 +58,8 @@ def test_definition_errors(spark):
     odd = [("900", "opener", 1, None, None, None, None, None, None), ("900", "heading", 0, None, None, "A", None, None, None), ("900", "member", 0, "L", None, "B", None, None, None), ("900", "area", None, None, None, "C", None, None, None), ("850", "line", 0, "PO1", None, "PO1", None, None, None)]
     got = {(r.set_code, r.error, r.seg_id) for r in structure.definition_errors(definitions.unionByName(spark.createDataFrame(odd, structure.DEFINITION_ROW))).collect()}
     assert got == {("900", "no_segment", None), ("900", "unknown_role", "A"), ("900", "loop_never_opens", "B"), ("900", "no_area", "C"), ("900", "no_line_loop", None), ("850", "two_line_loops", None)}
+
+
+def test_verdicts_are_worked_out_once(spark):
+    plan = rules_as_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "count_mismatch" in x]
