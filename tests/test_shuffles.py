@@ -153,3 +153,26 @@ def test_envelopes_are_checked_where_files_are_numbered(spark, monkeypatch):
         assert not [x for x in _above(_large(spark, x12.control_issues(numbered)), "Generate posexplode") if "Exchange" in x]
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_large_tables_are_not_read_in_fewer_tasks(spark, monkeypatch):
+    key = "spark.sql.files.minPartitionNum"
+    had = spark.conf.get(key, None)
+    monkeypatch.setattr(derived, "LARGE", 1)
+    spark.conf.unset(key)
+    try:
+        derived.read_apart(spark, SF)
+        assert int(spark.conf.get(key)) >= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(key, had) if had else spark.conf.unset(key)
+
+
+def test_segments_are_split_alike_by_any_separator(spark):
+    isa = "ISA*00*" + " " * 10 + "*00*" + " " * 10 + "*ZZ*A" + " " * 14 + "*ZZ*B" + " " * 14 + "*260101*1200*U*00401*000000001*0*P*>"
+    text = isa + "~\r\n \tBEG*00**x~\x0b REF*\f~~ST"
+    files = spark.createDataFrame([("a", text), ("b", text.replace("*", "|")), ("c", text.replace("*", "^"))], "file_id string, text string")
+    got = {}
+    for r in x12.tokenize(files).where("seq > 0").orderBy("seq").collect():
+        got.setdefault(r["file_id"], []).append((r["seq"], r["seg_id"], *r["elements"]))
+    want = [(1, "BEG", "00", "", "x"), (2, "REF", ""), (4, "ST")]
+    assert got == {"a": want, "b": want, "c": want}
